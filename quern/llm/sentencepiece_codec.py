@@ -128,6 +128,8 @@ class Model:
         if self.charsmap:
             raise ValueError("models with a normalisation table are not supported")
         self.longest = max(map(len, self.ids), default=1)
+        #: Score of a character outside the vocabulary.
+        self.unknown = min(self.scores, default=0.0) - 10.0
         #: Whether a piece has a space mark after another character: then no boundary is forced.
         self.crosses = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.memo = _Memo(self)
@@ -197,7 +199,7 @@ class Model:
         ids, scores, longest = self.ids, self.scores, self.longest
         text, last, total = "", [""], [0.0]
         before = ""  # the piece committed last
-        unknown = min(scores, default=0.0) - 10.0
+        unknown = self.unknown
         for chunk in chunks:
             for at in range(0, len(chunk), longest):
                 text += chunk[at : at + longest]
