@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import secret_scan, sentencepiece_codec, sharding
-from quern.llm.common import table
+from quern.llm import language_id, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding
+from quern.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,13 +20,39 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(table(spark, sf_dir, "documents"))
+
+
+def _shipped(query: Query) -> Query:
+    """The query, after the package has been handed to the executors."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
+    own = {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_secret_scan": op2_secret_scan,
+        "op3_language_id": op3_language_id,
         "op5_sharding": op5_sharding,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op8_quality_rules": op8_quality_rules,
     }
+    return {name: _shipped(query) for name, query in own.items()}

@@ -142,7 +142,7 @@ class Model:
             self.raw[at] = bytes([byte])
 
     def __reduce__(self):
-        return Model, (self.data,)
+        return _model_of, (self.data,)
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -280,6 +280,16 @@ class Model:
         return out[1:] if self.dummy_prefix and out[:1] == " " else out
 
 
+_models: dict[bytes, Model] = {}
+
+
+def _model_of(data: bytes) -> Model:
+    """One model (and memo) a worker process, whatever tasks it runs."""
+    if data not in _models:
+        _models[data] = Model(data)
+    return _models[data]
+
+
 def _path(last: list[str], end: int) -> list[str]:
     out = []
     while end > 0:
