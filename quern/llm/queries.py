@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import language_id, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding
+from quern.llm import language_id, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding
 from quern.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Query) -> Query:
     """The query, after the package has been handed to the executors."""
 
@@ -54,5 +58,6 @@ def queries() -> dict[str, Query]:
         "op5_sharding": op5_sharding,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_quality_rules": op8_quality_rules,
+        "op9_near_dedup": op9_near_dedup,
     }
     return {name: _shipped(query) for name, query in own.items()}

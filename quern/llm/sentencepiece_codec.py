@@ -42,7 +42,7 @@ from quern.llm.common import texts
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
-#: Stretches that the memo keeps; it is emptied when full.
+#: Stretches in a generation of the memo, and piece pairs that are remembered.
 MEMO = 400_000
 
 #: Rows encoded before they are handed back.
@@ -85,16 +85,24 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class _Memo(dict):
-    """Ids (as packed 32-bit numbers) of stretches that begin with a space mark, which the key leaves out."""
+    """Ids (as packed 32-bit numbers) of stretches after ``mark``, in two generations.
 
-    def __init__(self, model: Model):
+    When the young generation is full it becomes the old one, so frequent
+    stretches stay known and memory stays bounded.
+    """
+
+    def __init__(self, model: Model, mark: str):
         super().__init__()
-        self.model = model
+        self.model, self.mark, self.old = model, mark, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.model.pack(MARK + word)
+        ids = self.old.get(word)
+        if ids is None:
+            stretch = self.mark + word
+            ids = self.model.pack(stretch) if len(word) > MEMO_CHARS else self.model.pack_short(stretch)
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -132,7 +140,9 @@ class Model:
         self.unknown = min(self.scores, default=0.0) - 10.0
         #: Whether a piece has a space mark after another character: then no boundary is forced.
         self.crosses = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.memo = _Memo(self)
+        #: Whether a line break is no part of any piece: then it is a forced boundary too.
+        self.breaks = not any("\n" in p for p in self.ids)
+        self.memo, self.bare = _Memo(self, MARK), _Memo(self, "")
         self.pairs: dict[tuple[str, str], bool] = {}
         mark = MARK.encode()
         self.raw = [p.encode().replace(mark, b" ") for p in self.pieces]
@@ -235,6 +245,30 @@ class Model:
             alive.add(most - len(last[most]))
         return alive.pop()
 
+    def pack_short(self, stretch: str) -> bytes:
+        """``pack`` for a stretch that fits the window: the same backpointers, kept to its end."""
+        if not self.bpe:
+            return self.pack(stretch)
+        ids, pairs, longest = self.ids, self.pairs, self.longest
+        last = [""]
+        for end in range(1, len(stretch) + 1):
+            start = max(0, end - longest)
+            while True:
+                piece = stretch[start:end]
+                if piece in ids or end - start == 1:
+                    key = (last[start], piece)
+                    if pairs[key] if key in pairs else self.neighbours(*key):
+                        last.append(piece)
+                        break
+                start += 1
+        out = array("i")
+        for piece in _path(last, len(stretch)):
+            if piece in ids:
+                out.append(ids[piece])
+            else:
+                out.extend(self.ids_of(piece))
+        return out.tobytes()
+
     def ids_of(self, piece: str) -> list[int]:
         at = self.ids.get(piece)
         if at is not None:
@@ -258,17 +292,23 @@ class Model:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return b""
-        if self.dummy_prefix and not self.crosses:
-            words = text.replace(MARK, " ").split(" ")
-            if "" not in words:
-                return b"".join(map(self.memo.__getitem__, words))
-        marked = text.replace(" ", MARK)
-        marked = MARK + marked if self.dummy_prefix else marked
+        text = text.replace(MARK, " ")
         if self.crosses:
-            return self.pack(marked)
-        out = []
-        for stretch in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked):
-            out.append(self.memo[stretch[1:]] if stretch[0] == MARK else self.pack(stretch))
+            return self.pack((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
+        out: list[bytes] = []
+        marked = self.dummy_prefix
+        for at, line in enumerate(text.split("\n") if self.breaks else [text]):
+            if at:
+                out.append(self.bare["\n"])
+                marked = False
+            words = line.split(" ")
+            if "" not in words:
+                out.append((self.memo if marked else self.bare)[words[0]])
+                out.extend(map(self.memo.__getitem__, words[1:]))
+                continue
+            line = (MARK if marked else "") + line.replace(" ", MARK)
+            for stretch in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", line):
+                out.append(self.memo[stretch[1:]] if stretch[0] == MARK else self.bare[stretch])
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
