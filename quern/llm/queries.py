@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import language_id, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding
+from quern.llm import language_id, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, warc
 from quern.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def _shipped(query: Query) -> Query:
     """The query, after the package has been handed to the executors."""
 
@@ -59,5 +63,6 @@ def queries() -> dict[str, Query]:
         "op7_quality_classifier": op7_quality_classifier,
         "op8_quality_rules": op8_quality_rules,
         "op9_near_dedup": op9_near_dedup,
+        "op10_warc": op10_warc,
     }
     return {name: _shipped(query) for name, query in own.items()}
