@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import language_id, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, warc
+from quern.llm import (
+    decontaminate,
+    language_id,
+    license_scan,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sentencepiece_codec,
+    sharding,
+    warc,
+)
 from quern.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +35,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,7 +78,9 @@ def queries() -> dict[str, Query]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_secret_scan": op2_secret_scan,
         "op3_language_id": op3_language_id,
+        "op4_license_scan": op4_license_scan,
         "op5_sharding": op5_sharding,
+        "op6_decontaminate": op6_decontaminate,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_quality_rules": op8_quality_rules,
         "op9_near_dedup": op9_near_dedup,
