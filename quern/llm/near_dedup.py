@@ -251,3 +251,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are the smallest id of their component, with all their columns.
+
+    Rows that repeat an id are reduced to one. Rows with a null id all stay.
+    """
+    found = written(near_components(docs, id_col, text_col), "components")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(sized(gone), docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        kept = named.unionByName(kept.where(F.col(id_col).isNull()))
+    return kept

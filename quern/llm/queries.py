@@ -63,6 +63,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _shipped(query: Query) -> Query:
     """The query, after the package has been handed to the executors."""
 
@@ -85,5 +91,6 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_near_dedup": op9_near_dedup,
         "op10_warc": op10_warc,
+        "pipeline": pipeline,
     }
     return {name: _shipped(query) for name, query in own.items()}
