@@ -20,6 +20,9 @@ BROADCAST_IDS = 500_000
 SLICE = 256
 
 
+#: Rows in an Arrow batch, unless the session has its own setting.
+BATCH_ROWS = 1_000
+
 _shipped: set[str] = set()
 
 
@@ -34,6 +37,9 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        # whole texts are wide rows: smaller batches bound what a Python worker holds at a time
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     _shipped.add(app)
 
 

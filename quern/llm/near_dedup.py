@@ -14,11 +14,13 @@
 5. Candidates are confirmed on the full sets. Confirmed links give components
    (label propagation over written tables).
 6. What a star can miss are links between two members that do not link with
-   the centre. So buckets that still hold several components are looked at again:
-   first the smallest member of each component is compared with the members of
-   the others, then, when that finds no more, all members of different components
-   are. Within a component nothing is compared again. It ends when no new link
-   joins two components, so every link between documents that share a bucket counts.
+   the centre. The documents of buckets that still hold several components are
+   looked at again, in buckets of their rarest shingles (``rare_buckets``, an exact
+   filter that a passage common to thousands of documents does not fill): first
+   the smallest member of each component against the members of the others, then,
+   when that finds no more, all members of different components. Within a component
+   nothing is compared again. It ends when no new link joins two components, so
+   every link between documents that share a bucket counts.
 
 Results for odd input: a null or empty text, or one without words, has no
 shingles, is linked with nothing and kept; fewer than five words count as one
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import sized, texts, written
@@ -210,15 +212,42 @@ def _across(members: DataFrame, whole: bool) -> DataFrame:
     Not ``whole``: the smallest id of each component in the bucket against the
     members of the others. ``whole``: all members of different components.
     """
-    heads = members.groupBy("bucket", "label").agg(F.min("id").alias("head"))
-    mixed = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     inside = members.join(mixed, "bucket")
-    left = inside if whole else heads.join(mixed, "bucket").withColumnRenamed("head", "id")
+    left = inside if whole else inside.groupBy("bucket", "label").agg(F.min("id").alias("id"))
     left = left.select("bucket", F.col("id").alias("x"), F.col("label").alias("of_x"))
     pairs = inside.join(left, "bucket").where("label != of_x")
     return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
+def rare_buckets(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(bucket, id): the rarest shingles of the sets of ``ids``, enough of them that any two linked sets share one.
+
+    In one order of all shingles (rarest first), two sets with similarity 0.75
+    share a shingle among the first n - ceil(0.75 n) + 1 of each. Shingles of a
+    single set come first and can be shared with none, so a document of which
+    more than a quarter is its own drops out whole, whatever passage it has in
+    common with thousands of others.
+    """
+    rows = sets.join(ids, "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int32())])
+        for batch in batches:
+            for at, packed in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                h = np.frombuffer(packed, np.int64)
+                columns = [pa.array(np.full(len(h), at)), pa.array(h), pa.array(np.full(len(h), len(h), np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    single = rows.select("id", "shingles").mapInArrow(run, "id long, h long, n int")
+    often = single.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = single.join(often, "h")
+    mine = Window.partitionBy("id")
+    place = F.row_number().over(mine.orderBy("often", "h"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / 100) + 1 - (F.col("n") - F.count(F.lit(1)).over(mine))
+    return shared.withColumn("place", place).withColumn("first", first).where("place <= first").select(F.col("h").alias("bucket"), "id")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: (doc_id, n_shingles, component_id, kept)."""
     prints = written(fingerprints(docs, id_col, text_col), "prints")
@@ -232,15 +261,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(shingle_sets(docs, members.select("id").distinct(), id_col, text_col), "sets")
     tried = written(_stars(members), "tried")
     links = written(confirmed(tried, sets), "links")
+    labels = written(components(links), "labels")
+    named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    rest = named.join(mixed, "bucket", "left_semi").select("id").distinct()
+    rare = written(rare_buckets(sets, rest), "rare")
     whole = False
     while True:
-        labels = written(components(links), "labels")
-        named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        named = rare.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
         fresh = written(_across(named, whole).join(tried, ["a", "b"], "left_anti"), "tried")
         more = written(confirmed(fresh, sets), "links")
         tried = tried.unionByName(fresh)
         if more.limit(1).count():
             links, whole = links.unionByName(more), False
+            labels = written(components(links), "labels")
         elif whole:
             break
         else:
