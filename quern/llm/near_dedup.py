@@ -207,21 +207,33 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, whole: bool) -> DataFrame:
-    """Candidate pairs between components that share a bucket, of members (bucket, id, label).
+    """Candidate pairs between components that share a rare shingle, of members (bucket, id, n, place, label).
 
-    Not ``whole``: the smallest id of each component in the bucket against the
-    members of the others. ``whole``: all members of different components.
+    Not ``whole``: one member of each component in the bucket against the members
+    of the others. ``whole``: all members of different components. The smaller set
+    of a pair needs the shingle among its first n - ceil(6n/7) + 1, sizes must fit,
+    and what can still follow in both orders must reach the overlap that 0.75 asks
+    for: the exact length, prefix and position filters of a set-similarity join.
     """
+    row = ["id", "n", "place"]
     mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     inside = members.join(mixed, "bucket")
-    left = inside if whole else inside.groupBy("bucket", "label").agg(F.min("id").alias("id"))
-    left = left.select("bucket", F.col("id").alias("x"), F.col("label").alias("of_x"))
-    pairs = inside.join(left, "bucket").where("label != of_x")
-    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    left = inside
+    if not whole:
+        left = inside.groupBy("bucket", "label").agg(F.min(F.struct("n", "place", "id")).alias("m")).select("bucket", "label", *[f"m.{c}" for c in row])
+    left = left.where(f"7 * place <= n + {7}").select("bucket", F.col("label").alias("of_x"), *[F.col(c).alias(f"{c}_x") for c in row])
+    fit = (
+        (F.col("n_x") <= F.col("n"))
+        & (100 * F.col("n_x") >= PERCENT * F.col("n"))
+        & (F.col("label") != F.col("of_x"))
+        & ((100 + PERCENT) * (1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n") - F.col("place"))) >= PERCENT * (F.col("n_x") + F.col("n")))
+    )
+    pairs = inside.withColumnRenamed("bucket", "other").join(left, (F.col("other") == F.col("bucket")) & fit)
+    return pairs.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
 
 
 def rare_buckets(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(bucket, id): the rarest shingles of the sets of ``ids``, enough of them that any two linked sets share one.
+    """(bucket, id, n, place): the rarest shingles of the sets of ``ids``, enough of them that any two linked sets share one.
 
     In one order of all shingles (rarest first), two sets with similarity 0.75
     share a shingle among the first n - ceil(0.75 n) + 1 of each. Shingles of a
@@ -244,8 +256,9 @@ def rare_buckets(sets: DataFrame, ids: DataFrame) -> DataFrame:
     shared = single.join(often, "h")
     mine = Window.partitionBy("id")
     place = F.row_number().over(mine.orderBy("often", "h"))
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / 100) + 1 - (F.col("n") - F.count(F.lit(1)).over(mine))
-    return shared.withColumn("place", place).withColumn("first", first).where("place <= first").select(F.col("h").alias("bucket"), "id")
+    # places count from the sets' own shingles, which come first: n - (number shared) of them
+    ranked = shared.withColumn("place", F.col("n") - F.count(F.lit(1)).over(mine) + place)
+    return ranked.where(f"100 * place <= {100 - PERCENT} * n + 100").select(F.col("h").alias("bucket"), "id", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +281,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = written(rare_buckets(sets, rest), "rare")
     whole = False
     while True:
-        named = rare.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        named = rare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         fresh = written(_across(named, whole).join(tried, ["a", "b"], "left_anti"), "tried")
         more = written(confirmed(fresh, sets), "links")
         tried = tried.unionByName(fresh)
