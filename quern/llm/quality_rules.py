@@ -47,7 +47,7 @@ CLASS_SLACK = 40.0
 MOST_WORD = 0.40
 
 #: Words that a task counts before it hands its partial counts on.
-FLUSH = 200_000
+FLUSH = 100_000
 
 #: Base rules: fewest words, and the largest share of words in repeated windows in percent.
 BASE_WORDS = 50

@@ -42,8 +42,13 @@ from quern.llm.common import texts
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
-#: Stretches in a generation of the memo, and piece pairs that are remembered.
-MEMO = 400_000
+#: Stretches in a generation of the memo, and piece pairs that are remembered: about 150 MB a worker at most.
+MEMO = 200_000
+PAIRS = 400_000
+HEADS = 50_000
+
+#: Characters of a head.
+HEAD = 5
 
 #: Rows encoded before they are handed back.
 ROWS = 256
@@ -99,7 +104,13 @@ class _Memo(dict):
         ids = self.old.get(word)
         if ids is None:
             stretch = self.mark + word
-            ids = self.model.pack(stretch) if len(word) > MEMO_CHARS else self.model.pack_short(stretch)
+            if 1 < len(word) <= MEMO_CHARS and word[-2:] not in self.model.adjacent:
+                # no piece has these two characters side by side, so all paths meet between them
+                ids = self[word[:-1]] + self.model.bare[word[-1]]
+            elif len(word) > MEMO_CHARS:
+                ids = self.model.pack(stretch)
+            else:
+                ids = self.model.pack_short(stretch)
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.old = dict(self)
@@ -136,6 +147,13 @@ class Model:
         if self.charsmap:
             raise ValueError("models with a normalisation table are not supported")
         self.longest = max(map(len, self.ids), default=1)
+        #: Pairs of characters that are side by side in some piece.
+        self.adjacent = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: Longest piece by its last three characters.
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 2))
         #: Score of a character outside the vocabulary.
         self.unknown = min(self.scores, default=0.0) - 10.0
         #: Whether a piece has a space mark after another character: then no boundary is forced.
@@ -143,7 +161,8 @@ class Model:
         #: Whether a line break is no part of any piece: then it is a forced boundary too.
         self.breaks = not any("\n" in p for p in self.ids)
         self.memo, self.bare = _Memo(self, MARK), _Memo(self, "")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.heads: dict[str, tuple[list[str], list[int]]] = {}
         mark = MARK.encode()
         self.raw = [p.encode().replace(mark, b" ") for p in self.pieces]
         for at in self.control:
@@ -190,14 +209,21 @@ class Model:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
+    def code(self, piece: str) -> int:
+        """The id of a piece; characters outside the vocabulary get codes above it."""
+        at = self.ids.get(piece)
+        return len(self.pieces) + ord(piece) if at is None else at
+
     def neighbours(self, left: str, right: str) -> bool:
         """Whether the two pieces, merged on their own, stay as they are. No left: whether the right one does."""
-        key = (left, right)
+        key = (self.code(left) << 24 | self.code(right)) if left else -1 - self.code(right)
         known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merged(left + right) == ([left, right] if left else [right])
+        return self.judged(key, left, right) if known is None else known
+
+    def judged(self, key: int, left: str, right: str) -> bool:
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[key] = self._merged(left + right) == ([left, right] if left else [right])
         return known
 
     def stream(self, chunks: Iterable[str]) -> Iterator[str]:
@@ -245,28 +271,55 @@ class Model:
             alive.add(most - len(last[most]))
         return alive.pop()
 
-    def pack_short(self, stretch: str) -> bytes:
-        """``pack`` for a stretch that fits the window: the same backpointers, kept to its end."""
-        if not self.bpe:
-            return self.pack(stretch)
-        ids, pairs, longest = self.ids, self.pairs, self.longest
-        last = [""]
-        for end in range(1, len(stretch) + 1):
-            start = max(0, end - longest)
+    def _extend(self, stretch: str, last: list[str], codes: list[int]) -> tuple[list[str], list[int]]:
+        """Adds the backpointers (last pieces and their codes) of the boundaries that ``last`` does not have yet."""
+        get, find, reach = self.ids.get, self.pairs.get, self.reach.get
+        for end in range(len(last), len(stretch) + 1):
+            start = end - reach(stretch[end - 3 : end], 2) if end > 2 else 0
+            start = start if start > 0 else 0
             while True:
                 piece = stretch[start:end]
-                if piece in ids or end - start == 1:
-                    key = (last[start], piece)
-                    if pairs[key] if key in pairs else self.neighbours(*key):
+                at = get(piece)
+                if at is None and start == end - 1:
+                    at = self.code(piece)
+                if at is not None:
+                    key = codes[start] << 24 | at if start else -1 - at
+                    known = find(key)
+                    if self.judged(key, last[start], piece) if known is None else known:
                         last.append(piece)
+                        codes.append(at)
                         break
                 start += 1
-        out = array("i")
-        for piece in _path(last, len(stretch)):
-            if piece in ids:
-                out.append(ids[piece])
+        return last, codes
+
+    def pack_short(self, stretch: str) -> bytes:
+        """``pack`` for a stretch that fits the window: the same backpointers, kept to its end.
+
+        The backpointers of a head are the same whatever follows it, so they are remembered for heads.
+        """
+        if not self.bpe:
+            return self.pack(stretch)
+        size = len(stretch)
+        if size <= HEAD:
+            last, codes = self._extend(stretch, [""], [-1])
+        else:
+            head = stretch[:HEAD]
+            state = self.heads.get(head)
+            if state is None:
+                if len(self.heads) >= HEADS:
+                    self.heads.clear()
+                state = self.heads[head] = self._extend(head, [""], [-1])
+            last, codes = self._extend(stretch, state[0][:], state[1][:])
+        path = []
+        while size:
+            path.append(size)
+            size -= len(last[size])
+        limit, out = len(self.pieces), array("i")
+        for end in reversed(path):
+            if codes[end] < limit:
+                out.append(codes[end])
             else:
-                out.extend(self.ids_of(piece))
+                out.extend(self.ids_of(last[end]))
         return out.tobytes()
 
     def ids_of(self, piece: str) -> list[int]:
