@@ -100,7 +100,7 @@ _HINT = re.compile(
     r"licen[sc]e|copyright|all\s+rights\s+reserved|redistribut|permission|public\s+domain|without\s+warranty|\bcc[ -]?(by|0)|creative\s+commons|provided\s+by",
     re.IGNORECASE,
 )
-_END = re.compile(r"(?<=[.;!?])\s+(?=[A-Z\"(0-9])|\n\s*\n")
+_END = re.compile(r"(?<=[.;!?])\s+(?=[A-Z\"(0-9])|(?<=:)\s*\n\s*|\n\s*\n")
 _COMMENT = re.compile(r"(?m)^[ \t]*(#+|//+|/\*+|\*+/?|--+|;+)[ \t]?")
 
 
