@@ -97,7 +97,7 @@ RULES = (
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 #: A line without any of these strings has no known sentence.
 _HINT = re.compile(
-    r"licen[sc]e|copyright|all\s+rights\s+reserved|redistribut|permission|public\s+domain|without\s+warranty|\bcc[ -]?(by|0)|creative\s+commons|provided\s+by",
+    r"licen[sc]e|copyright|all\s+rights\s+reserved|redistribut|permission|public\s+domain|without\s+warranty|\bcc[ -]?(by|0)|creative\s+commons|provided\s+by|neither\s+the\s+names?|either\s+version|unencumbered",
     re.IGNORECASE,
 )
 _END = re.compile(r"(?<=[.;!?])\s+(?=[A-Z\"(0-9])|(?<=:)\s*\n\s*|\n\s*\n")
