@@ -83,12 +83,16 @@ def dictionary_tokens(words: list[str]):
     return run
 
 
-@F.pandas_udf("string")
-def normalise_unicode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKC, plain quotes, no zero-width characters, trimmed. Spark has no NFKC."""
-    table = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "​": None, "‌": None, "‍": None, "﻿": None, "⁠": None})
-    for s in parts:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x.translate(table)).translate(table).strip())
+def normalise_unicode(text: Column) -> Column:
+    """NFKC, plain quotes, no zero-width characters, trimmed. Spark has no NFKC, so Arrow batches go through Python."""
+    table = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "\u200b": None, "\u200c": None, "\u200d": None, "\ufeff": None, "\u2060": None})
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x.translate(table)).translate(table).strip())
+
+    return run(text)
 
 
 def blocked_ip(address: Column) -> Column:

@@ -8,6 +8,7 @@ shuffle or a UDF; guards come first as an outer ``when``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -87,13 +88,45 @@ class All(_Many):
 
 
 class Some(_Many):
+    """Whether any part holds. Patterns of one kind become one alternation, so a list costs one pass over the text."""
+
+    def _joined(self) -> list[Expr]:
+        flat: list[Expr] = []
+        for p in self.parts:
+            flat += p._joined() if isinstance(p, Some) else [p]
+        out: list[Expr] = []
+        for ignore in (False, True):
+            own = [p.pattern for p in flat if isinstance(p, Match) and p.ignore == ignore]
+            if own:
+                out.append(Match("|".join(f"(?:{x})" for x in own) if len(own) > 1 else own[0], ignore))
+        for lower in (False, True):
+            own = [p.literal for p in flat if isinstance(p, Contains) and p.lower == lower]
+            if own:
+                out.append(Literals(tuple(own), lower) if len(own) > 1 else Contains(own[0], lower))
+        return out + [p for p in flat if not isinstance(p, Match | Contains)]
+
     def column(self, text: Column) -> Column:
-        return reduce(lambda a, b: a | b, [p.column(text) for p in self.parts], F.lit(False))
+        return reduce(lambda a, b: a | b, [p.column(text) for p in self._joined()], F.lit(False))
 
     def sql(self, text: str) -> str:
         return "(" + (" OR ".join(p.sql(text) for p in self.parts) or "false") + ")"
 
 
+@dataclass(frozen=True)
+class Literals(Expr):
+    """Whether any of many literals occurs, by one alternation of quoted strings."""
+
+    literals: tuple[str, ...]
+    lower: bool = False
+
+    def column(self, text: Column) -> Column:
+        pattern = "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", x) for x in self.literals)
+        return (F.lower(text) if self.lower else text).rlike(pattern)
+
+    def sql(self, text: str) -> str:
+        return "(" + " OR ".join(Contains(x, self.lower).sql(text) for x in self.literals) + ")"
+
+
 class Not(_Many):
     def column(self, text: Column) -> Column:
         return ~self.parts[0].column(text)
@@ -185,18 +218,11 @@ def detect(texts: DataFrame, detectors: list[Detector], text_col: str = "text",
 
 def findings(texts: DataFrame, detectors: list[Detector], text_col: str = "text") -> DataFrame:
     """Adds ``findings``: (dimension, severity 0 to 100, score) of the hits, most severe first, then in declared order."""
-    scored = detect(texts, detectors, text_col)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(d.name).alias("dimension"),
-                F.floor(F.col(f"{d.name}_score") * 100 + 0.5).cast("int").alias("severity"),
-                F.col(f"{d.name}_score").alias("score"),
-                F.lit(i).alias("place"),
-            )
-            for i, d in enumerate(detectors)
-        ]
+    scored = texts.withColumn("findings", F.array(*[d.score(F.col(text_col)) for d in detectors]))
+    names = F.array(*[F.lit(d.name) for d in detectors])
+    rows = F.transform(
+        "findings",
+        lambda s, i: F.struct(F.element_at(names, i + 1).alias("dimension"), F.floor(s * 100 + 0.5).cast("int").alias("severity"), s.alias("score"), i.alias("place")),
     )
-    hits = F.filter(rows, lambda x: x["score"] > 0)
     by = lambda a, b: F.when(a["severity"] != b["severity"], b["severity"] - a["severity"]).otherwise(a["place"] - b["place"])
-    return scored.withColumn("findings", F.array_sort(hits, by)).drop(*[f"{d.name}_score" for d in detectors])
+    return scored.withColumn("findings", F.array_sort(F.filter(rows, lambda x: x["score"] > 0), by))
