@@ -1,7 +1,59 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
+
+None for: op1 (lattice), op3 and op7 (trained models), op4 (ordered rules),
+op5 (DuckDB has no crc32), op6 (BM25 with verification), op8 (learnt
+references), op9 (exact components of a similarity graph over all documents) and
+the pipeline. These are tested against brute force in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
+from quern.llm import secret_scan as S
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spans(kind: str, pattern: str, least: int, group: int, more: str = "true") -> str:
+    """Rows (doc_id, kind, start, end_at) of one kind: lengths of gaps and matches, summed up in order."""
+    rank = S.KINDS.index(kind)
+    return f"""SELECT doc_id, {rank} AS rank, b AS start, b + length(m) AS end_at FROM (
+      SELECT doc_id, m, v, sum(length(g)) OVER w + sum(length(m)) OVER w - length(m) AS b FROM (
+        SELECT doc_id, unnest(g[1:len(m)]) AS g, unnest(m) AS m, unnest(v) AS v, unnest(range(len(m))) AS k FROM (
+          SELECT doc_id, regexp_split_to_array(t, {_literal(pattern)}) AS g, regexp_extract_all(t, {_literal(pattern)}) AS m, regexp_extract_all(t, {_literal(pattern)}, {group}) AS v FROM docs WHERE regexp_matches(t, {_literal(pattern)})))
+      WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)) WHERE length(v) >= {least} AND {more}"""
+
+
+def _op2() -> str:
+    # without look-around and groups that extract: the same matches, stated for RE2
+    assign = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    split_assign = assign.replace("([A-Za-z0-9+/_.=-]+)", "(?:[A-Za-z0-9+/_.=-]+)")
+    allow = " OR ".join(f"regexp_matches(v, {_literal(a)})" for a in S.ALLOW if "\\1" not in a) + " OR length(replace(v, v[1], '')) = 0"
+    bits = "list_max(list_transform(range(1, length(v) - 18), lambda i: list_aggregate(string_split(substring(v, i, 20), ''), 'entropy')))"
+    verdict = " ".join(f"WHEN regexp_matches(v, {_literal(p)}) THEN {'false' if least is None else f'{bits} >= {least}'}" for _, p, least in S.CLASSES)
+    base = [
+        _spans("assign", assign, S.LEAST["assign"], 1).replace(f"regexp_split_to_array(t, {_literal(assign)})", f"regexp_split_to_array(t, {_literal(split_assign)})"),
+        _spans("access", "AKIA[A-Z0-9]+", S.LEAST["access"], 0),
+        _spans("hex", "[0-9a-f]{16,}", S.LEAST["hex"], 0),
+    ]
+    joined = "coalesce(string_agg(kind || ':' || start || ':' || end_at, ',' ORDER BY start, rank){f}, '')"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({' UNION ALL '.join(base)}),
+cand AS ({_spans("entropy", "[A-Za-z0-9+/=_-]{20,}", 20, 0, f"NOT ({allow}) AND CASE {verdict} END")}),
+every AS (SELECT * FROM base UNION ALL SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.end_at AND c.start < b.end_at)),
+named AS (SELECT doc_id, rank, ['assign', 'access', 'hex', 'entropy'][rank + 1] AS kind, start::BIGINT AS start, end_at::BIGINT AS end_at FROM every)
+SELECT d.doc_id, count(*) FILTER (n.rank = 0)::BIGINT AS n_assign, count(*) FILTER (n.rank = 1)::BIGINT AS n_access, count(*) FILTER (n.rank = 2)::BIGINT AS n_hex,
+  sha256({joined.format(f=" FILTER (n.rank < 3)")}) AS base_sha256, {joined.format(f=" FILTER (n.rank IS NOT NULL)")} AS spans, count(*) FILTER (n.rank = 3)::BIGINT AS n_entropy
+FROM docs d LEFT JOIN named n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+OP10 = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+t AS (SELECT html, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN coalesce(top, page_id) = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN coalesce(top, page_id) <> page_id THEN top END AS refers_to, url AS target_uri, true AS has_request
+FROM p LEFT JOIN t ON p.html = t.html"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secret_scan": _op2(), "op10_warc": OP10}
