@@ -20,6 +20,16 @@ _SPACES = "\\s\\u3000\\u00a0\\ufeff"
 CJK = "[一-鿿]"
 
 
+def _boundary(pattern: str, at: int) -> str:
+    """The cheapest form of the boundary at ``at``: next to a certain word character only the other side is looked at."""
+    before, after = pattern[at - 1 : at], pattern[at + 2 : at + 3]
+    if after.isascii() and (after.isalnum() or after == "_") and pattern[at + 3 : at + 4] not in ("?", "*", "{"):
+        return "(?<![A-Za-z0-9_])"
+    if before.isascii() and before.isalnum() and pattern[at - 2 : at - 1] != "\\":
+        return "(?![A-Za-z0-9_])"
+    return _BOUNDARY
+
+
 def java(pattern: str) -> str:
     """The pattern for Spark, with explicit ASCII boundaries and wide spaces."""
     out, i, inside = [], 0, False
@@ -28,7 +38,7 @@ def java(pattern: str) -> str:
         if c == "\\" and i + 1 < len(pattern):
             n = pattern[i + 1]
             if n == "b" and not inside:
-                out.append(_BOUNDARY)
+                out.append(_boundary(pattern, i))
             elif n == "s":
                 out.append(_SPACES if inside else f"[{_SPACES}]")
             else:
@@ -53,6 +63,34 @@ def java(pattern: str) -> str:
     return "".join(out)
 
 
+def needs_cjk(pattern: str) -> bool:
+    """Whether every match has a Han character: no letter or digit of another script is in the pattern, and each
+    alternative at the top has a Han character that is not optional. Then texts without one need not be searched."""
+    bare = re.sub(r"\\[a-zA-Z]|\{[0-9,]+\}|\(\?[:=!<i]*", "", pattern)
+    if re.search(r"[A-Za-z0-9]", bare):
+        return False
+    depth, parts, start = 0, [], 0
+    for i, c in enumerate(pattern):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+    parts.append(pattern[start:])
+
+    def certain(part: str) -> bool:
+        while True:
+            less = re.sub(r"\((?:\?:)?[^()]*\)[?*]|\[[^\]]*\][?*]|\[\^[^\]]*\](?:\{0,\d+\}\??)?|.[?*]", "", part)
+            if less == part:
+                break
+            part = less
+        inner = re.fullmatch(r"\((?:\?:)?(.*)\)", part)
+        if inner and "(" not in inner[1]:
+            return all(re.search(CJK, x) for x in inner[1].split("|"))
+        return bool(re.search(CJK, re.sub(r"\[[^\]]*\]", "", part)))
+
+    return all(map(certain, parts))
+
+
 def portable(pattern: str) -> bool:
     """Whether RE2 can run the pattern."""
     return not re.search(r"\(\?[=!<]|\\[1-9]", pattern)

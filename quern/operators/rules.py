@@ -15,7 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.regex import CJK, has_cjk, java, portable, sql_text
+from quern.functions.regex import CJK, has_cjk, java, needs_cjk, portable, sql_text
+
+
+#: Up to so many literals are looked for one by one, which beats an alternation.
+FEW_LITERALS = 24
 
 
 class Expr:
@@ -48,7 +52,8 @@ class Match(Expr):
     ignore: bool = False
 
     def column(self, text: Column) -> Column:
-        return text.rlike(("(?i)" if self.ignore else "") + java(self.pattern))
+        hit = text.rlike(("(?i)" if self.ignore else "") + java(self.pattern))
+        return has_cjk(text) & hit if needs_cjk(self.pattern) else hit
 
     def sql(self, text: str) -> str:
         return f"regexp_matches({text}, {sql_text(('(?i)' if self.ignore else '') + self.pattern)})"
@@ -120,6 +125,9 @@ class Literals(Expr):
     lower: bool = False
 
     def column(self, text: Column) -> Column:
+        if len(self.literals) <= FEW_LITERALS:
+            low = F.lower(text) if self.lower else text
+            return reduce(lambda a, b: a | b, [low.contains(F.lit(x)) for x in self.literals])
         pattern = "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", x) for x in self.literals)
         return (F.lower(text) if self.lower else text).rlike(pattern)
 

@@ -13,7 +13,7 @@ from quern.functions.regex import CJK, sql_text
 from quern.operators import text_rules as T
 from quern.operators.detectors import ARGUMENT_DETECTORS
 from quern.operators.rules import Match, any_literal, any_of, detect, findings
-from quern.plans.tables import table
+from quern.plans.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -110,7 +110,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     c = table(spark, sf_dir, "conversations").select((F.lit(-1_000_000) - F.col("conv_id") * 100 - F.col("turn")).alias("id"), "text")
     r = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(RULE_TEXTS)], "id long, text string")
-    return d.unionByName(c).unionByName(r)
+    return spread(d.unionByName(c)).unionByName(r)
 
 
 TEXTS = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import gates
 from quern.operators.rules import Match
-from quern.plans.tables import table
+from quern.plans.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ _ACTION = f"""CASE WHEN text IS NULL OR trim(text) = '' THEN 'pass'
 @query(f"SELECT lang, {_ACTION} AS action, count(*)::BIGINT AS n FROM documents GROUP BY ALL")
 def outbound_gate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5 over T44 and T46: actions of the outbound gate by language."""
-    docs = table(spark, sf_dir, "documents").select("lang", gates.outbound_action(F.col("text")).alias("action"))
+    docs = spread(table(spark, sf_dir, "documents")).select("lang", gates.outbound_action(F.col("text")).alias("action"))
     return docs.groupBy("lang", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -43,7 +43,7 @@ def outbound_gate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences by rule in the texts that have any."""
-    docs = table(spark, sf_dir, "documents").where(gates.pii_any(F.col("text")))
+    docs = spread(table(spark, sf_dir, "documents")).where(gates.pii_any(F.col("text")))
     return docs.select("doc_id", *[c.alias(f"n_{name}") for name, c in gates.pii_counts(F.col("text")).items()])
 
 
@@ -58,7 +58,7 @@ def _masked_sql() -> str:
 @query(f"SELECT doc_id, md5({_masked_sql()}) AS masked_md5 FROM documents")
 def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the masked texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(gates.mask_pii(F.col("text"))).alias("masked_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(gates.mask_pii(F.col("text"))).alias("masked_md5"))
 
 
 @query(f"SELECT {gates.sql_level('text')}::INT AS level, count(*)::BIGINT AS n FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations) GROUP BY ALL")
@@ -80,7 +80,7 @@ _PHRASES = ", ".join(
 def uncertainty_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims, hedges and the gap of each document (none has a Han character)."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", gates.claim_count(t).cast("long").alias("claims"), gates.has_hedge(t).alias("hedged"), F.round(gates.uncertainty_gap(t), 6).alias("gap")
     )
 
@@ -93,7 +93,7 @@ def output_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4 over T41, T42 and T43: the output screen of all documents and turns."""
     both = table(spark, sf_dir, "documents").select("doc_id", "text")
     turns = table(spark, sf_dir, "conversations").select((F.lit(-1) - F.col("conv_id") * 100 - F.col("turn")).alias("doc_id"), "text")
-    found = both.unionByName(turns).select("doc_id", gates.output_severities(F.col("text")).alias("s"))
+    found = spread(both.unionByName(turns)).select("doc_id", gates.output_severities(F.col("text")).alias("s"))
     return found.select(
         "doc_id",
         F.size("s").cast("long").alias("n_findings"),
@@ -142,7 +142,7 @@ SELECT cls, tp::BIGINT AS tp, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS
   round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)::DOUBLE AS f1 FROM m""")
 def gate_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9: the outbound gate held against the toxic labels, by language."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("cls"), (gates.outbound_action(F.col("text")) != "pass").alias("p"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("cls"), (gates.outbound_action(F.col("text")) != "pass").alias("p"))
     both = docs.join(table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("t")), "doc_id")
     out = gates.confusion(both, "p", "t", "cls")
     return out.select("cls", "tp", "tn", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
@@ -154,7 +154,7 @@ m(category, max_block, max_rewrite) AS (VALUES ('en', 0.0, 0.2), ('fr', 0.0, 0.0
 SELECT r.category, round(b, 6)::DOUBLE AS block_rate, round(w, 6)::DOUBLE AS rewrite_rate, n, b <= max_block AND w <= max_rewrite AS ok FROM r JOIN m ON r.category = m.category""")
 def category_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block and rewrite rates against budgets."""
-    acted = table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), gates.outbound_action(F.col("text")).alias("action"))
+    acted = spread(table(spark, sf_dir, "documents")).select(F.col("lang").alias("category"), gates.outbound_action(F.col("text")).alias("action"))
     budgets = spark.createDataFrame([("en", 0.0, 0.2), ("fr", 0.0, 0.01), ("de", 0.4, 0.05)], "category string, max_block double, max_rewrite double")
     out = gates.category_budget(acted, F.broadcast(budgets))
     return out.select("category", F.round("block_rate", 6).alias("block_rate"), F.round("rewrite_rate", 6).alias("rewrite_rate"), "n", "ok")
