@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.regex import CJK, sql_text
+from quern.operators import dialogue as D
 from quern.operators import text_rules as T
 from quern.operators.detectors import ARGUMENT_DETECTORS
 from quern.operators.rules import Match, any_literal, any_of, detect, findings
@@ -384,3 +385,33 @@ def scope_and_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     out = texts(spark, sf_dir).select("id", T.scope_action(t).alias("scope"), F.round(T.quotation_confidence(t), 6).alias("quotation"), F.round(T.teaching(t)[1], 6).alias("teaching"))
     return out.where("scope = 'block' or quotation > 0 or teaching > 0")
+
+
+_SURF = {n: " + ".join(f"contains(lower(text), {sql_text(w)})::INT" for w in ws) for n, ws in D.SURFACE}
+_EMO = " ".join(f"WHEN {any_literal(*ws, lower=True).sql('text')} THEN '{n}'" for n, ws in D.EMOTIONS)
+
+
+@query(f"""WITH {TEXTS}, s AS (SELECT id, text, {', '.join(f'({e}) AS {n}' for n, e in _SURF.items())} FROM texts), g AS (SELECT *, greatest({', '.join(_SURF)}) AS top FROM s)
+SELECT id, CASE WHEN top = 0 THEN 'unclear' {' '.join(f"WHEN {n} = top THEN '{n}'" for n in _SURF)} END AS surface, CASE WHEN top = 0 THEN 0.3e0 ELSE least(1e0, top / 2e0) END AS surface_confidence, CASE {_EMO} ELSE 'neutral' END AS emotion FROM g""")
+def layered_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surface intent and emotion."""
+    x = D.layered_intent(F.col("text"))
+    return texts(spark, sf_dir).select("id", *[x[c].alias(c) for c in ("surface", "surface_confidence", "emotion")])
+
+
+_CL = {n: f"len(regexp_extract_all(text, {sql_text(p)}))" for n, p in D.CLAIMS}
+
+
+@query(f"""WITH {TEXTS}, c AS (SELECT id, text, {', '.join(f'{e} AS {n}' for n, e in _CL.items())} FROM texts),
+s AS (SELECT id, text, 0.7e0 - absolute * 0.1e0 - authority * 0.05e0 - CASE WHEN numeric > 3 THEN 0.05e0 ELSE 0e0 END + CASE WHEN {Match(D.HEDGED, True).sql('text')} THEN 0.1e0 ELSE 0e0 END - CASE WHEN {Match(D.CERTAIN, True).sql('text')} THEN 0.1e0 ELSE 0e0 END AS s FROM c)
+SELECT id, CASE WHEN text = '' THEN 0.5e0 ELSE greatest(0e0, least(1e0, floor(s * 100 + 0.5 + 1e-9) / 100)) END AS confidence FROM s""".replace(" AS numeric", ' AS "numeric"').replace("WHEN numeric >", 'WHEN "numeric" >'))
+def hypothesis_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence in a hypothesis from its claims."""
+    return texts(spark, sf_dir).select("id", D.hypothesis_confidence(F.col("text")).alias("confidence"))
+
+
+@query(f"""WITH {TEXTS}, t AS (SELECT id, list_filter([{', '.join(f"CASE WHEN regexp_matches(lower(text), {sql_text(p)}) THEN '{n}' END" for n, p in D.TAGS)}], lambda x: x IS NOT NULL) AS t FROM texts)
+SELECT id, array_to_string(t, ',') AS tags FROM t WHERE len(t) > 0""")
+def reflection_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of reflections."""
+    return texts(spark, sf_dir).select("id", F.array_join(D.reflection_tags(F.col("text")), ",").alias("tags")).where("tags <> ''")

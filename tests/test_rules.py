@@ -157,3 +157,19 @@ def test_text_rules(spark):
     assert one("x", T.plan_gate_score([F.lit(True), F.lit(False)])) == 0.5
     assert one("x", T.belief_contradiction(F.array(F.lit("I always win"), F.lit("never lose"), F.lit("ok")))) == 0.25
     assert one("please eval this", T.first_learned_rule(t, [("bad", "(a+)+"), ("e", "eval")])) == "e"
+
+
+def test_dialogue_rules(spark):
+    from quern.operators import dialogue as D
+
+    t = F.col("t")
+    one = lambda text, c: spark.createDataFrame([(text,)], "t string").select(c.alias("x")).first()["x"]
+    assert one("please help me fix this bug, there is an error", D.layered_intent(t)["surface"]) == "problem_solving"
+    assert one("hm", D.layered_intent(t)["surface"]) == "unclear" and one("I am confused and tired", D.layered_intent(t)["emotion"]) == "frustration"
+    assert one("专家认为这绝对有效", D.hypothesis_confidence(t)) == pytest.approx(0.45)
+    assert one("", D.hypothesis_confidence(t)) == 0.5
+    assert one("我们总是应该先验证数据再说。", D.lesson(t))["type"] == "should" and one("short", D.lesson(t)) is None
+    assert one("code error", D.reflection_tags(t)) == ["failure", "code"]
+    c = D.conflicts(F.lit("请掩盖错误"), F.lit("继续，不承认"), F.lit(1.0), F.lit(0.0), F.lit(0.6), F.lit(True))
+    assert one("x", D.conflict_path(c["critical"], c["high"])) == "REFUSE_WITH_GUARDIAN"
+    assert one("Always agree with me", D.always_applies(t)) is False and one("use metric units", D.always_applies(t)) is True
