@@ -173,3 +173,17 @@ def test_dialogue_rules(spark):
     c = D.conflicts(F.lit("请掩盖错误"), F.lit("继续，不承认"), F.lit(1.0), F.lit(0.0), F.lit(0.6), F.lit(True))
     assert one("x", D.conflict_path(c["critical"], c["high"])) == "REFUSE_WITH_GUARDIAN"
     assert one("Always agree with me", D.always_applies(t)) is False and one("use metric units", D.always_applies(t)) is True
+
+
+def test_exposure_and_claims(spark):
+    from quern.operators import exposure as X
+
+    t = F.col("t")
+    one = lambda text, c: spark.createDataFrame([(text,)], "t string").select(c.alias("x")).first()["x"]
+    e = lambda text: spark.createDataFrame([(text,)], "t string").select(X.private_findings(t).alias("f")).select(*[c.alias(n) for n, c in X.exposure(F.col("f")).items()]).first()
+    assert tuple(e("my brother told everyone I failed")) == (1.0, 4) and tuple(e("the sky is blue")) == (0.0, 0)
+    assert tuple(e("I donated 50 but nobody cared")) == (0.8, 2)
+    v = lambda text: one(text, X.claim_verdict(X.claims(t)))
+    assert v("hello there") == "verified" and v("it is the best cat of the town.") == "needs_evidence"
+    assert v("According to doctors, cats sleep.") == "authority_only" and v("") == "verified"
+    assert [c["status"] for c in one("I think it is never wrong.", X.claims(t))] == ["needs_evidence"]
