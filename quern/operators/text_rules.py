@@ -382,7 +382,8 @@ PRINCIPLES = (
     ("falsifiability", ("结论是", "我的判断是", "我认为是", "推断"), ("如果", "当", "条件是", "可能不成立")),
 )
 DEFINITE = ("一定是", "肯定是", "绝对", "必然是")
-FRAMEWORK_TERMS = ("心虫", "Clarity", "心流状态", "reflection", "Reflexion")
+#: Terms of the caller's own framework; more than three of them in one text stand in for thought.
+FRAMEWORK_TERMS = ("Clarity", "心流状态", "reflection", "Reflexion")
 
 
 def epistemic_exprs() -> list[tuple[str, Expr]]:
@@ -568,7 +569,7 @@ TEACHING_CUES = (
     ("config_example", r"(?:app_id|app_secret|api_key|base_url)\s*[:=]"),
     ("tech_paths", r"\/etc\/shadow|\/root\/\.ssh|\/root\/projects"),
     ("qa_pattern", r"\n\s*Q[:：]|\n\s*A[:：]"),
-    ("capability_compare", r"Hermes (?:的优势|的局限|vs|对比)|优势[^\n]*局限"),
+    ("capability_compare", r"优势[^\n]*局限"),
     ("misconception_section", r"误解\s*\d|事实[：:]"),
     ("misconception_pair", "误解[^。]{0,30}事实|误解[^。]{0,30}纠正"),
     ("classroom", r"(?i)本节课目标|核心术语|常见错误|实战案例|检查清单|下一步行动|课程总结|课后作业|操作\s*\d|Step\s*\d"),
