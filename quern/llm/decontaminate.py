@@ -1,4 +1,4 @@
-"""Benchmark decontamination by BM25 with block-max WAND, then a check of question and answer.
+"""Benchmark decontamination by BM25 with block-max WAND, then a check that tolerates edits.
 
 The test items are the index: each item is cut into units of at most UNIT words,
 and a unit's postings hold its BM25 impacts divided by the unit's own best
@@ -10,9 +10,13 @@ that each stretch of UNIT words lies whole in some window). Block-max WAND adds
 up the largest impacts that a passage's words have in each block of units, skips
 the blocks whose sum cannot reach the threshold, and scores the others in full:
 all units above the threshold are retrieved, none is lost. Of an item whose
-units are retrieved, the question part and the answer part are then held against
-the words around the passage: an item leaks if both parts' five-word shingles
-occur there to OVERLAP or more.
+units are retrieved, the words around the passage are then checked. Where the
+table tells question and answer apart, an item leaks if both parts occur there
+to OVERLAP or more: by their five-word shingles, or, from five words on, by the
+fewest words inserted, deleted or replaced that turn the part into a stretch of
+the passage. Where the table has one text, the whole item is held against the
+passage too, and leaks if COVER of its words or more need no edit, wherever in
+the item the edits are; its last quarter may be missing.
 
 The index is broadcast in blocks of at most BLOCK_ITEMS items: a larger
 benchmark is run block by block against all documents, with word weights of its block.
@@ -45,12 +49,15 @@ UNIT = 64
 WINDOW = 2 * UNIT
 
 #: Share of a unit's own score that a passage must reach.
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 
-#: Share of five-word shingles of the question and of the answer that must occur.
+#: Share of the question and of the answer that must occur.
 SHINGLE = 5
 OVERLAP = 0.75
 
+#: Share of an item's words that need no edit where the table has one text: a 15-word item may lose its last five words.
+COVER = 0.65
+
 #: Share of an item's words that is its answer where the table does not tell them apart.
 ANSWER_SHARE = 0.25
 
@@ -75,6 +82,27 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
     return set(zip(*[words[k:] for k in range(size)], strict=False))
 
 
+def unedited(part: list[str], text: list[str]) -> float:
+    """1 - edits / words, with the fewest edits by which ``part`` becomes a stretch of ``text`` (bit-parallel, a step a word of ``text``)."""
+    full, last = (1 << len(part)) - 1, 1 << (len(part) - 1)
+    places: dict[str, int] = {}
+    for i, w in enumerate(part):
+        places[w] = places.get(w, 0) | 1 << i
+    more, less = full, 0
+    edits = fewest = len(part)
+    for w in text:
+        same = places.get(w, 0)
+        down = same | less
+        across = (((same & more) + more) ^ more) | same
+        up_across = (less | ~(across | more)) & full
+        down_across = more & across
+        edits += bool(up_across & last) - bool(down_across & last)
+        fewest = min(fewest, edits)
+        up_across, down_across = (up_across << 1) & full, (down_across << 1) & full
+        more, less = (down_across | ~(down | up_across)) & full, up_across & down
+    return 1 - fewest / len(part)
+
+
 def _expand(begins: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For list rows of a flat table: which of ``rows`` each entry belongs to, and the entry's place."""
     size = begins[rows + 1] - begins[rows]
@@ -83,10 +111,10 @@ def _expand(begins: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Index:
-    """The inverted index of the items' units, with block maxima."""
+    """The inverted index of the items' units, with block maxima. ``whole``: the items are one text each, whose split is a guess."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]]):
-        self.items = items
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], whole: bool = False):
+        self.items, self.whole = items, whole
         self.units: list[tuple[int, int]] = []
         bags = []
         for at, (_, question, answer) in enumerate(items):
@@ -162,7 +190,10 @@ class Index:
         return keys // len(self.terms), keys % len(self.terms), count
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
-        """(item's place, best score, question overlap, answer overlap) of the items that leak into a text."""
+        """(item's place, best score, question overlap, answer overlap) of the items that leak into a text.
+
+        Both overlaps are the share of the whole item's words where that is what decides.
+        """
         words = words_of(text)
         if not words or not self.terms:
             return []
@@ -173,13 +204,21 @@ class Index:
         for at, places in hits.items():
             _, question, answer = self.items[at]
             size = len(question) + len(answer)
-            best = (-1.0, 0.0, 0.0)
-            for begin, _ in places:
+            parts = [x for x in (question, answer) if x]
+            best, cover = (-1.0, 0.0, 0.0), 0.0
+            for begin in {b for b, _ in places}:
                 near = words[max(0, begin - size) : begin + WINDOW + 2 * size]
                 share = [len(own & shingles(near, k)) / len(own) for k, own in self.parts[at]]
+                if min(share) < OVERLAP:
+                    share = [max(x, unedited(own, near)) if len(own) >= SHINGLE else x for x, own in zip(share, parts, strict=True)]
                 best = max(best, (min(share), share[0], share[-1]))
+                if self.whole and best[0] < OVERLAP:
+                    cover = max(cover, unedited(question + answer, near))
+            top = max(s for _, s in places)
             if best[0] >= OVERLAP:
-                out.append((at, max(s for _, s in places), best[1], best[2]))
+                out.append((at, top, best[1], best[2]))
+            elif cover >= COVER:
+                out.append((at, top, cover, cover))
         return out
 
 
@@ -200,11 +239,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    whole = not {"question", "answer"} <= set(benchmark.columns)
     blocks = max(1, math.ceil(benchmark.count() / BLOCK_ITEMS))
     out = None
     for block in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == block)
-        index = docs.sparkSession.sparkContext.broadcast(Index(load_items(part, item_col)))
+        index = docs.sparkSession.sparkContext.broadcast(Index(load_items(part, item_col), whole))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value

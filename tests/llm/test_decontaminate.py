@@ -65,6 +65,42 @@ def test_long_items_and_edits(spark):
     assert got == {1, 2}
 
 
+def test_a_changed_word_anywhere_or_a_missing_end_still_leaks(spark):
+    rnd = random.Random(5)
+    lengths = (15, 30, 56)
+    bench = [[f"w{n}x{k}" for k in range(n)] for n in lengths]
+    noise = lambda n: [f"z{rnd.randrange(5000)}" for _ in range(n)]
+    cases = []
+    for at, item in enumerate(bench):
+        n = len(item)
+        cases += [(at, item[:k] + ["changed"] + item[k + 1 :]) for k in range(n)]
+        cases += [(at, D.split_item(item)[0]), (at, item[n // 4 :]), (at, item[: n // 2] + ["so", "to", "say"] + item[n // 2 :])]
+        cases += [(None, item[: n // 2]), (None, item[::-1])]
+    rows = [(i, " ".join(noise(80) + x + noise(150))) for i, (_, x) in enumerate(cases)]
+    table_ = spark.createDataFrame([(at, " ".join(x)) for at, x in enumerate(bench)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs(spark, rows), table_).collect()}
+    assert got == {(i, at) for i, (at, _) in enumerate(cases) if at is not None}
+
+
+def test_an_answer_with_a_changed_word_still_leaks(spark):
+    bench = spark.createDataFrame([(1, "where is the red house on the hill", "behind the old stone bridge")], "item_id long, question string, answer string")
+    assert D.leaks(docs(spark, [(1, "Where is the red house on the hill? Behind the old wooden bridge.")]), bench).count() == 1
+
+
+def test_unedited_is_the_fewest_edits():
+    rnd = random.Random(2)
+    for _ in range(200):
+        part = [rnd.choice("abcd") for _ in range(rnd.randrange(1, 9))]
+        text = [rnd.choice("abcd") for _ in range(rnd.randrange(0, 15))]
+        row = [0] * (len(text) + 1)
+        for i, w in enumerate(part):
+            new = [i + 1]
+            for k, v in enumerate(text):
+                new.append(min(row[k] + (v != w), row[k + 1] + 1, new[k] + 1))
+            row = new
+        assert abs(D.unedited(part, text) - (1 - min(row) / len(part))) < 1e-12
+
+
 def test_blocks_give_the_same_items(spark, monkeypatch):
     d, b = table(spark, SF2, "documents"), table(spark, SF2, "benchmark")
     whole = {(r["doc_id"], r["item_id"]) for r in D.leaks(d, b).collect()}
