@@ -47,6 +47,24 @@ def test_divergence_separates_junk_and_keeps_clean_text(spark):
     assert sum(clean) / len(clean) > 0.99 and sum(junk) / len(junk) < 0.4
 
 
+def test_short_junk_is_dropped_and_short_text_with_a_key_is_kept(spark):
+    d, labels = table(spark, SF2, "documents"), table(spark, SF2, "labels")
+    references = R.learn_references(d)
+    clean = [r["text"] for r in d.join(labels, "doc_id").where("quality = 1 and lang = 'en'").orderBy("doc_id").limit(30).collect()]
+    for text in clean:
+        words = text.split()
+        for n in (60, 90, 150):
+            part = words[:n]
+            if len(part) < n or R.verdict(" ".join(part), references)["base_failed"]:
+                continue
+            key = 'token = "269b1cea0846965f2d3ecb5cdb87c0edc7a7a587"'
+            assert R.verdict(" ".join([*part, key]), references)["kept"]
+            assert not R.verdict(" | ".join(part), references)["kept"]
+    got = R.judge(d, references).join(labels, "doc_id").where("not base_failed").collect()
+    assert sum(r["kept"] for r in got if r["quality"] == 0) <= 1
+    assert all(r["kept"] for r in got if r["quality"] == 1)
+
+
 def test_references_cover_all_documents(spark):
     rows = [(i, " ".join(f"w{i % 7} the x{j}" for j in range(60)), "en") for i in range(40)]
     counts = {(r["kind"], bytes(r["key"])): r["n"] for r in R.corpus_counts(docs(spark, rows)).collect()}
