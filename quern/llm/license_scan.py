@@ -1,7 +1,8 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each is normalised and mapped to the identifier of
-a known licence sentence; the sequence of identifiers is then matched against
+A text is cut into sentences, each is normalised and mapped to the identifiers of
+the known licence sentences in it, in order of place (of overlapping matches the
+one listed first wins); the sequence of identifiers is then matched against
 ordered rules, longest evidence first. Identifiers that a rule uses up are gone
 for later rules; what no rule explains is reported as unmatched.
 
@@ -22,13 +23,17 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import texts
 
-# Known licence sentences, as patterns over the normalised sentence. The first that matches names it.
+#: An identifier after an operator of an SPDX expression: it has a digit or a hyphen, or is one of the plain names, so prose is none.
+_SPDX_ID = r"([a-z0-9.+:]*[0-9-][a-z0-9.+:-]*|mit|isc|zlib|curl|ftl|json|ncsa|ruby|tcl|unlicense|vim|wtfpl|beerware|openssl)(?![a-z0-9.+:-])"
+
+# Known licence sentences, as patterns over the normalised sentence. Where matches overlap, the first listed wins.
 SENTENCES = (
-    ("ApacheLicensed", r"licensed (to you )?under the apache license,? version 2(\.0)?"),
+    ("SPDXNamed", rf"spdx-license-identifier: ?(?P<name>\(*[a-z0-9.+:-]+\)*( (and|or|with) \(*{_SPDX_ID}\)*)*)"),
+    ("ApacheLicensed", r"(licensed (to you )?under|under either of|\band|\bor) (the )?apache license,? version 2(\.0)?"),
     ("ApacheCompliance", r"you may not use this file except in compliance with the license"),
     ("ApacheCopy", r"you may obtain a copy of the license at"),
     ("ApacheAsIs", r"unless required by applicable law or agreed to in writing,? software distributed under the license"),
-    ("MITReleased", r"(released|licensed|distributed|available) under the (terms of the )?(mit|expat) license"),
+    ("MITReleased", r"((released|licensed|distributed|available) under|under either of|\band|\bor) (the )?(terms of the )?(mit|expat) license"),
     ("MITPermission", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
     ("MITNotice", r"the above copyright notice and this permission notice shall be included"),
     ("MITAsIs", r"the software is provided \"?as is\"?,? without warranty of any kind"),
@@ -36,15 +41,25 @@ SENTENCES = (
     ("BSDRedistribution", r"redistribution and use in source and binary forms,? with or without modification"),
     ("BSDSource", r"redistributions of source code must retain the above copyright"),
     ("BSDBinary", r"redistributions in binary form must reproduce the above copyright"),
-    ("BSDEndorse", r"neither the names? of .* may be used to endorse or promote"),
-    ("BSDAsIs", r"this software is provided by .* \"?as is\"?"),
+    ("BSDEndorse", r"neither the names? of .*? may be used to endorse or promote"),
+    ("BSDAsIs", r"this software is provided by .*? \"?as is\"?"),
     ("BSDNamed", r"licensed under the (new |simplified |3-clause |2-clause )?bsd( license)?"),
+    ("AGPLDetails", r"see the gnu affero general public license for more details"),
+    ("AGPLCopy", r"you should have received a copy of the gnu affero general public license"),
+    ("LGPLDetails", r"see the gnu (lesser|library) general public license for more details"),
+    ("LGPLCopy", r"you should have received a copy of the gnu (lesser|library) general public license"),
+    ("GPLDetails", r"see the gnu general public license for more details"),
+    ("GPLCopy", r"you should have received a copy of the gnu general public license"),
     ("AGPLNamed", r"gnu affero general public license"),
     ("LGPLNamed", r"gnu (lesser|library) general public license"),
-    ("GPLFree", r"this program is free software:? you can redistribute it and/or modify"),
+    ("GPLFree", r"this (program|library) is free software[:;]? you can redistribute it and/or modify"),
+    ("GPL1Later", r"either version 1(\.0)? of the license,? or \(?at your option\)? any later version"),
+    ("GPL2Later", r"either version 2(\.0)? of the license,? or \(?at your option\)? any later version"),
+    ("GPL21Later", r"either version 2\.1 of the license,? or \(?at your option\)? any later version"),
+    ("GPL3Later", r"either version 3(\.0)? of the license,? or \(?at your option\)? any later version"),
     ("GPLLater", r"either version (\d(\.\d)?) of the license,? or \(?at your option\)? any later version"),
-    ("GPL3Named", r"gnu general public license,? (version |v)?3"),
-    ("GPL2Named", r"gnu general public license,? (version |v)?2"),
+    ("GPL3Named", r"(version 3 of the gnu general public license|gnu general public license,? (version |v)?3)"),
+    ("GPL2Named", r"(version 2 of the gnu general public license|gnu general public license,? (version |v)?2)"),
     ("GPLNamed", r"gnu general public license"),
     ("MPLNamed", r"mozilla public license,? (version |v\. ?|v)?2(\.0)?"),
     ("CC0Named", r"(cc0( 1\.0)?|creative commons zero|public domain dedication)"),
@@ -55,12 +70,47 @@ SENTENCES = (
     ("CCBYNDNamed", r"cc[ -]by-nd"),
     ("CCBYNamed", r"(cc[ -]by|creative commons attribution)"),
     ("UnlicenseNamed", r"this is free and unencumbered software released into the public domain"),
-    ("SPDXNamed", r"spdx-license-identifier: ?(?P<name>[a-z0-9.+-]+)"),
     ("AllRights", r"all rights reserved"),
     ("Copyright", r"copyright( \(c\)| ©)? ?\d{4}"),
     ("SeeLicense", r"(see|found in) the license( file)?"),
 )
 
+# The GNU headers, the name of the licence that each gives, and the paragraphs that usually follow.
+_GNU = (
+    (("GPLFree", "AGPLNamed", "GPL3Later"), "AGPL-3.0-or-later"),
+    (("GPLFree", "LGPLNamed", "GPL21Later"), "LGPL-2.1-or-later"),
+    (("GPLFree", "LGPLNamed", "GPL2Later"), "LGPL-2.0-or-later"),
+    (("GPLFree", "LGPLNamed", "GPL3Later"), "LGPL-3.0-or-later"),
+    (("GPLFree", "GPL3Named", "GPL3Later"), "GPL-3.0-or-later"),
+    (("GPLFree", "GPL3Named", "GPLLater"), "GPL-3.0-or-later"),
+    (("GPLFree", "GPLNamed", "GPL3Later"), "GPL-3.0-or-later"),
+    (("GPLFree", "GPL2Named", "GPL2Later"), "GPL-2.0-or-later"),
+    (("GPLFree", "GPLNamed", "GPL2Later"), "GPL-2.0-or-later"),
+    (("GPLFree", "GPLNamed", "GPL1Later"), "GPL-1.0-or-later"),
+    (("GPLFree", "GPLNamed", "GPLLater"), "GPL-2.0-or-later"),
+    (("GPLFree", "AGPLNamed"), "AGPL-3.0"),
+    (("GPLFree", "LGPLNamed"), "LGPL"),
+    (("GPLFree", "GPL3Named"), "GPL-3.0"),
+    (("GPLFree", "GPL2Named"), "GPL-2.0"),
+    (("GPLFree", "GPLNamed"), "GPL"),
+    (("AGPLNamed",), "AGPL-3.0"),
+    (("LGPLNamed",), "LGPL"),
+    (("GPL3Named",), "GPL-3.0"),
+    (("GPL2Named",), "GPL-2.0"),
+    (("GPLNamed",), "GPL"),
+    ((), "AGPL-3.0"),
+    ((), "LGPL"),
+    ((), "GPL"),
+)
+
+
+def _with_tails(header: tuple[str, ...], licence: str) -> list[tuple[tuple[str, ...], str]]:
+    """A header with the paragraphs that may follow it, the fullest form first."""
+    kind = licence.partition("-")[0]
+    tails = ((f"{kind}Details", f"{kind}Copy"), (f"{kind}Details",), (f"{kind}Copy",), ())
+    return [(header + t, licence) for t in tails if header + t]
+
+
 # Ordered rules. A rule's identifiers must occur in this order (others may lie between); it names the licence.
 RULES = (
     (("ApacheLicensed", "ApacheCompliance", "ApacheCopy", "ApacheAsIs"), "Apache-2.0"),
@@ -68,19 +118,13 @@ RULES = (
     (("BSDRedistribution", "BSDSource", "BSDBinary", "BSDEndorse", "BSDAsIs"), "BSD-3-Clause"),
     (("BSDRedistribution", "BSDSource", "BSDBinary", "BSDAsIs"), "BSD-2-Clause"),
     (("MITPermission", "MITNotice", "MITAsIs"), "MIT"),
-    (("GPLFree", "GPL3Named", "GPLLater"), "GPL-3.0-or-later"),
-    (("GPLFree", "GPLNamed", "GPLLater"), "GPL-2.0-or-later"),
+    *(rule for header in _GNU for rule in _with_tails(*header)),
     (("ISCPermission", "MITAsIs"), "ISC"),
     (("ApacheLicensed",), "Apache-2.0"),
     (("MITReleased",), "MIT"),
     (("MITPermission",), "MIT"),
     (("ISCPermission",), "ISC"),
     (("BSDNamed",), "BSD-3-Clause"),
-    (("AGPLNamed",), "AGPL-3.0"),
-    (("LGPLNamed",), "LGPL"),
-    (("GPL3Named",), "GPL-3.0"),
-    (("GPL2Named",), "GPL-2.0"),
-    (("GPLNamed",), "GPL"),
     (("MPLNamed",), "MPL-2.0"),
     (("CC0Named",), "CC0-1.0"),
     (("CCBYNCSANamed",), "CC-BY-NC-SA"),
@@ -97,7 +141,7 @@ RULES = (
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 #: A line without any of these strings has no known sentence.
 _HINT = re.compile(
-    r"licen[sc]e|copyright|all\s+rights\s+reserved|redistribut|permission|public\s+domain|without\s+warranty|\bcc[ -]?(by|0)|creative\s+commons|provided\s+by|neither\s+the\s+names?|either\s+version|unencumbered",
+    r"licen[sc]e|copyright|all\s+rights\s+reserved|redistribut|permission|public\s+domain|without\s+warranty|\bcc[ -]?(by|0)|creative\s+commons|provided\s+by|neither\s+the\s+names?|either\s+version|free\s+software|unencumbered",
     re.IGNORECASE,
 )
 _END = re.compile(r"(?<=[.;!?])\s+(?=[A-Z\"(0-9])|(?<=:)\s*\n\s*|\n\s*\n")
@@ -121,8 +165,26 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
+def known(plain: str) -> list[tuple[str, str]]:
+    """(identifier, named part) of all known sentences in a normalised one, in order of place; an SPDX expression gives one a licence."""
+    spans: list[tuple[int, int, str, str]] = []
+    for name, pattern in _KNOWN:
+        for hit in pattern.finditer(plain):
+            if all(hit.end() <= a or b <= hit.start() for a, b, _, _ in spans):
+                spans.append((hit.start(), hit.end(), name, hit.groupdict().get("name") or ""))
+    out = []
+    for _, _, name, part in sorted(spans):
+        out += [(name, x.strip(" ().")) for x in re.split(r" (?:and|or) ", part)]
+    return out
+
+
 def identify(text: str) -> list[tuple[str, str]]:
-    """(identifier, named part) of the known sentences, in order. Only stretches around a hint are looked at.
+    """(identifier, named part) of the known sentences, in order."""
+    return [x for own in identified(text) for x in own]
+
+
+def identified(text: str) -> list[list[tuple[str, str]]]:
+    """(identifier, named part) by sentence, of the sentences that have any. Only stretches around a hint are looked at.
 
     A stretch runs from the last blank line before a hint to the next one after it,
     so a sentence that is broken over lines is seen whole.
@@ -139,12 +201,9 @@ def identify(text: str) -> list[tuple[str, str]]:
         for a, b in sentences(stretch):
             if not _HINT.search(stretch, a, b):
                 continue
-            plain = normalise(stretch[a:b])
-            for name, pattern in _KNOWN:
-                hit = pattern.search(plain)
-                if hit:
-                    out.append((name, hit.groupdict().get("name") or ""))
-                    break
+            own = known(normalise(stretch[a:b]))
+            if own:
+                out.append(own)
     return out
 
 
@@ -176,9 +235,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             rows = []
             for text in texts(batch.column(1)):
-                found = identify(text) if text else []
+                by_sentence = identified(text) if text else []
+                found = [x for own in by_sentence for x in own]
                 licenses, rest = match_rules(found) if found else ([], [])
-                rows.append((list(dict.fromkeys(licenses)), [n for n, _ in found], rest, len(found)))
+                rows.append((list(dict.fromkeys(licenses)), [n for n, _ in found], rest, len(by_sentence)))
             columns = [batch.column(0)] + [pa.array([r[i] for r in rows], schema.field(i + 1).type) for i in range(4)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 

@@ -29,6 +29,51 @@ def test_known_sentences():
     assert licences("a plain sentence about a license to kill") == []
 
 
+GNU = """This {what} is free software{sign} you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation{comma} either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details.
+
+You should have received a copy of the GNU {kind}General Public License
+along with this {what}.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_gnu_headers_in_one_sentence():
+    for what, sign, kind, comma, version, want in (
+        ("program", ":", "", ",", "3", "GPL-3.0-or-later"),
+        ("program", ";", "", ";", "2", "GPL-2.0-or-later"),
+        ("library", ";", "Lesser ", ";", "2.1", "LGPL-2.1-or-later"),
+        ("library", ";", "Library ", ";", "2", "LGPL-2.0-or-later"),
+        ("program", ":", "Affero ", ",", "3", "AGPL-3.0-or-later"),
+    ):
+        text = GNU.format(what=what, sign=sign, kind=kind, comma=comma, version=version)
+        assert licences(text) == [want]
+        assert licences(text.split("\n\n")[0]) == [want]
+        assert licences("\n".join("# " + x for x in text.split("\n"))) == [want]
+        assert licences(text.split("\n\n")[2]) == [want.split("-")[0] + ("-3.0" if want[0] == "A" else "")]
+
+
+def test_every_licence_of_a_sentence():
+    assert licences("Dual-licensed under the MIT license and the GNU General Public License, version 2.") == ["MIT", "GPL-2.0"]
+    assert licences("Licensed under either of Apache License, Version 2.0 or MIT license at your option.") == ["Apache-2.0", "MIT"]
+    assert licences("// SPDX-License-Identifier: MIT OR Apache-2.0") == ["mit", "apache-2.0"]
+    assert licences("SPDX-License-Identifier: (MIT AND CC-BY-4.0) OR GPL-2.0-only WITH Classpath-exception-2.0") == [
+        "mit", "cc-by-4.0", "gpl-2.0-only with classpath-exception-2.0",
+    ]
+    assert licences("SPDX-License-Identifier: MIT and nothing else") == ["mit"]
+
+
+def test_sentences_are_counted_once(spark):
+    rows = [(1, "Dual-licensed under the MIT license and the GNU General Public License, version 2.")]
+    assert [(r["n_license_sentences"], r["licenses"]) for r in L.scan(docs(spark, rows)).collect()] == [(1, ["MIT", "GPL-2.0"])]
+
+
 def test_rules_need_their_sentences_in_order():
     assert licences(MIT) == ["MIT"]
     assert licences("\n".join("// " + x for x in MIT.split("\n"))) == ["MIT"]
