@@ -3,7 +3,7 @@
 Writing: each page gives a request, a response (or revisit) and a metadata
 record; request and metadata name the response's record id in
 WARC-Concurrent-To. Of pages with equal payloads of at least REVISIT_BYTES
-bytes, the one with the largest id carries the payload and the others are
+bytes, those with the largest id carry the payload and the others are
 revisit records that refer to it. The sink is the gzip text sink with CRLF line
 ends, so archives are written by Spark's own committer to any store that Spark
 can write, and a lost executor leaves no half-written file.
@@ -14,9 +14,9 @@ included. The records of a capture are joined through their concurrent-to ids,
 one nested row a capture.
 
 Results for odd input: a null html is an empty payload; a null page id is a
-capture of its own with a null id; rows that agree in page id and payload are one
-capture, rows that agree in the id alone are several; an empty table gives an
-empty table; further columns are not read, whatever they are called.
+capture of its own with a null id, however often it occurs; rows with an id that
+agree in id, URL and payload are one capture, all others are several; an empty
+table gives an empty table; further columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_IDS, scratch, written
+from quern.llm.common import BROADCAST_IDS, scratch, sized, written
 
 #: Payloads shorter than this are never written as revisits.
 REVISIT_BYTES = 1000
@@ -67,8 +67,19 @@ def _roles(thin: DataFrame) -> DataFrame:
     """(row id, refers-to row id) of the revisits. Only ids and digests are shuffled."""
     large = thin.where(F.col("__bytes") >= REVISIT_BYTES).select("__row", "__page", "__digest")
     first = large.groupBy("__digest").agg(F.max(F.struct(F.col("__page"), F.col("__row"))).alias("top"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("__digest", F.col("top.__row").alias("__target"))
-    return large.join(first, "__digest").where(F.col("__row") != F.col("__target")).select(F.col("__row").alias("__of"), "__target")
+    first = first.where("n > 1").select("__digest", F.col("top.__row").alias("__target"), F.col("top.__page").alias("__top"))
+    other = (F.col("__row") != F.col("__target")) & (F.col("__page").isNull() | (F.col("__page") != F.col("__top")))
+    return large.join(first, "__digest").where(other).select(F.col("__row").alias("__of"), "__target")
+
+
+def _occurrences(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows without an id that agree in all else, each with an id of its own; equal rows with an id once. Only repeated rows are shuffled."""
+    marked = rows.join(sized(repeated), "__row", "left")
+    again = marked.where("__n is not null").dropDuplicates(["__row"])
+    times = F.when(F.col("__page").isNull(), F.col("__n")).otherwise(F.lit(1).cast("long"))
+    again = again.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    again = again.withColumn("__row", F.concat_ws(":", "__row", F.col("__k").cast("string")))
+    return marked.where("__n is null").select(*rows.columns).unionByName(again.select(*rows.columns))
 
 
 def records(
@@ -83,10 +94,11 @@ def records(
         html.alias("__html"),
         F.sha1(html).alias("__digest"),
         F.octet_length(html).cast("long").alias("__bytes"),
-    ).withColumn("__row", F.concat_ws(":", F.lit("urn:capture"), F.coalesce(F.col("__page").cast("string"), F.lit("none")), F.substring("__digest", 1, 16)))
+    ).withColumn("__row", F.concat_ws(":", F.lit("urn:capture"), F.coalesce(F.col("__page").cast("string"), F.lit("none")), F.substring("__digest", 1, 16), F.substring(F.sha1(F.col("__url").cast("binary")), 1, 16)))
     thin = written(own.select("__row", "__page", "__digest", "__bytes"), "captures")
-    if thin.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        own, thin = own.dropDuplicates(["__row"]), thin.dropDuplicates(["__row"])
+    repeated = written(thin.groupBy("__row").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "repeated")
+    if repeated.limit(1).count():
+        own, thin = _occurrences(own, repeated), _occurrences(thin, repeated)
     roles = written(_roles(thin), "roles")
     small = roles.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = own.join(F.broadcast(roles) if small else roles, F.col("__row") == F.col("__of"), "left")

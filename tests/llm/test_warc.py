@@ -78,3 +78,16 @@ def test_odd_input(spark):
     assert len(out) == 4
     assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in out} == {(1, "response", None), (None, "revisit", 4), (4, "response", None)}
     assert W.digest(pages(spark, rows).limit(0)).count() == 0
+
+
+def test_each_url_and_each_page_without_an_id_is_written(spark):
+    big = "a" * 2000
+    rows = [(None, "u", None), (None, "u", None), (None, "u", ""), (None, "v", "x"), (1, "a", "y"), (1, "b", "y"), (2, "a", big), (2, "b", big), (1, "c", big)]
+    out = W.digest(pages(spark, rows)).collect()
+    assert sorted((r["page_id"] or 0, r["target_uri"], r["record_type"], r["refers_to"] or 0) for r in out) == [
+        *[(0, "u", "response", 0)] * 3, (0, "v", "response", 0), (1, "a", "response", 0), (1, "b", "response", 0),
+        (1, "c", "revisit", 2), (2, "a", "response", 0), (2, "b", "response", 0),
+    ]
+    assert all(r["has_request"] for r in out)
+    same = W.digest(pages(spark, [(None, "u", big)] * 3)).collect()
+    assert sorted(r["record_type"] for r in same) == ["response", "revisit", "revisit"]
