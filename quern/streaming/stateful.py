@@ -66,11 +66,39 @@ def last_values(events: DataFrame, entity: str, order: str, value: str, most: in
 
 
 def periodic(events: DataFrame, consolidate: Callable[[DataFrame, int], None], checkpoint: str, least: int = 20, every: str = "1 hour"):
-    """Runs ``consolidate`` on each micro-batch of at least ``least`` rows; smaller ones are left to the sink's next batch by the caller."""
+    """Runs ``consolidate`` on all rows since its last run, as soon as they are ``least`` or more.
+
+    Each micro-batch is kept below ``checkpoint``/pending before its offsets are
+    committed. A batch that is run again overwrites its own rows; a mark with the
+    batch's number, set after ``consolidate``, says which rows are done. After a
+    failure before the mark, ``consolidate`` gets the same rows and number again.
+    """
+    pending, marks = f"{checkpoint.rstrip('/')}/pending", f"{checkpoint.rstrip('/')}/consolidated"
 
     def batch(rows: DataFrame, number: int) -> None:
-        if rows.limit(least).count() >= least:
-            consolidate(rows, number)
+        spark = rows.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+        store = path(checkpoint).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+        numbers = lambda where: [int(x.getPath().getName()) for x in store.listStatus(path(where))] if store.exists(path(where)) else []
+        done = max(numbers(marks), default=-1)
+        for old in numbers(pending):
+            if old <= done:
+                store.delete(path(f"{pending}/{old}"), True)
+        if number <= done:
+            return
+        rows.write.mode("overwrite").parquet(f"{pending}/{number}")
+        if spark.read.schema(rows.schema).parquet(f"{pending}/{number}").limit(1).count() == 0:
+            store.delete(path(f"{pending}/{number}"), True)
+        held = [f"{pending}/{x}" for x in sorted(numbers(pending)) if x <= number]
+        if not held:
+            return
+        waiting = spark.read.schema(rows.schema).parquet(*held)
+        if waiting.limit(least).count() < least:
+            return
+        consolidate(waiting, number)
+        store.create(path(f"{marks}/{number}"), True).close()
+        for name in held:
+            store.delete(path(name), True)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 

@@ -170,3 +170,27 @@ def test_streams_equal_the_batch(spark, tmp_path):
     last = {r["user_id"]: r["ema"] for r in spark.table("ema").groupBy("user_id").agg(F.max_by("ema", "n").alias("ema")).collect()}
     want = {r["user_id"]: r["ema"] for r in L.ema(e, "user_id", ["event_id"], "value").collect()}
     assert last == pytest.approx(want)
+
+
+def test_periodic_consolidates_what_small_batches_add_up_to(spark, tmp_path):
+    source, checkpoint, seen = str(tmp_path / "in"), str(tmp_path / "checkpoint"), []
+
+    def consolidate(rows, number):
+        seen.append(sorted(r["id"] for r in rows.collect()))
+
+    def feed(first, last):
+        spark.range(first, last).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long").parquet(source)
+        query = stateful.periodic(stream, consolidate, checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+        assert query.exception() is None
+
+    feed(0, 15)
+    assert seen == []
+    feed(15, 30)
+    assert seen == [list(range(30))]
+    feed(30, 45)
+    feed(45, 49)
+    assert len(seen) == 1
+    feed(49, 51)
+    assert seen[1:] == [list(range(30, 51))]
