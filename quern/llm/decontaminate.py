@@ -7,9 +7,12 @@ passage must reach. Postings are kept in blocks with their largest impact.
 
 Every training passage is a query (windows of WINDOW words, half overlapping, so
 that each stretch of UNIT words lies whole in some window). Block-max WAND adds
-up the largest impacts that a passage's words have in each block of units, skips
-the blocks whose sum cannot reach the threshold, and scores the others in full:
-all units above the threshold are retrieved, none is lost. Of an item whose
+up the largest impacts that a passage's words have in a block of units, skips the
+blocks whose sum cannot reach the threshold, and scores the others in full: all
+units above the threshold are retrieved, none is lost. It is run for many passages
+at a time, from large blocks of blocks to small ones: of the blocks that pass, the
+cursors of the passage's words are set forward to their parts by binary search, so
+the postings in between are never read. Of an item whose
 units are retrieved, the words around the passage are then checked. Where the
 table tells question and answer apart, an item leaks if both parts occur there
 to OVERLAP or more: by their five-word shingles, or, from five words on, by the
@@ -18,13 +21,15 @@ the passage. Where the table has one text, the whole item is held against the
 passage too, and leaks if COVER of its words or more need no edit, wherever in
 the item the edits are; its last quarter may be missing.
 
-The index is broadcast in blocks of at most BLOCK_ITEMS items: a larger
-benchmark is run block by block against all documents, with word weights of its block.
+The index is broadcast in parts of about BLOCK_ITEMS items and BLOCK_BYTES bytes at
+most: a larger benchmark is run part by part against all documents. Word weights
+and lengths are counted once over all items, so the scores are the same in any
+number of parts.
 
 Results for odd input: a null or empty text leaks nothing; items without words
-are never matched; items shorter than five words are one shingle; repeated
-items and rows give repeated matches; very long texts are cut into windows to
-their end; an empty table on either side gives an empty table; further columns
+are never matched; items shorter than five words are one shingle; equal item rows
+count once; repeated documents give repeated matches; very long texts are cut into
+windows to their end, and searched some windows at a time; an empty table on either side gives an empty table; further columns
 are not read, whatever they are called.
 """
 
@@ -40,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import sized, texts
+from quern.llm.common import sized, texts, written
 
 K1, B = 1.2, 0.75
 
@@ -61,9 +66,16 @@ COVER = 0.65
 #: Share of an item's words that is its answer where the table does not tell them apart.
 ANSWER_SHARE = 0.25
 
-#: Units in a block, and items in a broadcast index.
+#: Parts of a block (units in the smallest ones), and most blocks that are tested without a larger one above them.
 BLOCK = 8
+TOP_BLOCKS = 64
+
+#: Items and bytes in a broadcast index.
 BLOCK_ITEMS = 50_000
+BLOCK_BYTES = 8 << 20
+
+#: Postings that a step of the search holds at a time.
+STEP = 1 << 20
 
 _WORD = re.compile(r"\w+")
 
@@ -110,71 +122,109 @@ def _expand(begins: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[rows], size)
 
 
+def units_of(words: list[str]) -> list[Counter]:
+    """The bags of words of an item's units."""
+    return [Counter(words[begin : begin + UNIT]) for begin in range(0, len(words), UNIT)]
+
+
+class Statistics:
+    """What BM25 weights depend on, over all items: the number of units, their mean length and each word's units."""
+
+    def __init__(self, units: int, words: int, df: dict[str, int]):
+        self.units, self.mean, self.df = units, words / max(1, units), df
+
+    @classmethod
+    def of(cls, items: list[tuple[int, list[str], list[str]]]) -> Statistics:
+        bags = [bag for _, q, a in items for bag in units_of(q + a)]
+        return cls(len(bags), sum(sum(b.values()) for b in bags), Counter(w for b in bags for w in b))
+
+    def impacts(self, bag: Counter) -> dict[str, float]:
+        """The BM25 impact of each word of a unit."""
+        size, n, df = sum(bag.values()), self.units, self.df
+        return {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * size / self.mean)) for w, c in bag.items()}
+
+
+class Level:
+    """The largest impacts of each term in blocks of ``size`` units, sorted by term and block; ``size`` 1 has the postings themselves."""
+
+    def __init__(self, size: int, blocks: int, term: np.ndarray, block: np.ndarray, top: np.ndarray, terms: int):
+        self.size, self.blocks, self.block, self.top = size, blocks, block, top
+        self.key = term * blocks + block
+        self.begins = np.searchsorted(term, np.arange(terms + 1))
+
+    def above(self, term: np.ndarray, terms: int) -> Level:
+        """The level of blocks of BLOCK blocks."""
+        blocks = -(-self.blocks // BLOCK)
+        key, place = np.unique(term * blocks + self.block // BLOCK, return_inverse=True)
+        top = np.zeros(len(key))
+        np.maximum.at(top, place, self.top)
+        return Level(self.size * BLOCK, blocks, key // blocks, key % blocks, top, terms)
+
+
 class Index:
     """The inverted index of the items' units, with block maxima. ``whole``: the items are one text each, whose split is a guess."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], whole: bool = False):
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], whole: bool = False, statistics: Statistics | None = None):
         self.items, self.whole = items, whole
+        statistics = statistics or Statistics.of(items)
         self.units: list[tuple[int, int]] = []
-        bags = []
-        for at, (_, question, answer) in enumerate(items):
-            words = question + answer
-            for begin in range(0, len(words), UNIT):
-                self.units.append((at, begin))
-                bags.append(Counter(words[begin : begin + UNIT]))
-        n = len(bags)
-        mean = sum(sum(b.values()) for b in bags) / max(1, n)
-        df = Counter(w for b in bags for w in b)
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for u, bag in enumerate(bags):
-            size = sum(bag.values())
-            impact = {
-                w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * size / mean)) for w, c in bag.items()
-            }
-            own = sum(impact.values())
-            for w, x in impact.items():
-                postings[w].append((u, x / own))
+        for at, (_, question, answer) in enumerate(items):
+            for k, bag in enumerate(units_of(question + answer)):
+                impact = statistics.impacts(bag)
+                own = sum(impact.values())
+                for w, x in impact.items():
+                    postings[w].append((len(self.units), x / own))
+                self.units.append((at, k * UNIT))
         names = sorted(postings)
         self.terms = {w: i for i, w in enumerate(names)}
-        self.n_units, self.n_blocks = n, -(-n // BLOCK)
         lists = [postings[w] for w in names]
         self.unit_from = np.cumsum([0, *map(len, lists)])
         self.unit_of = np.array([u for p in lists for u, _ in p], np.int64)
         self.unit_impact = np.array([x for p in lists for _, x in p], float)
-        tops: list[dict[int, float]] = []
-        for p in lists:
-            top: dict[int, float] = {}
-            for u, x in p:
-                top[u // BLOCK] = max(x, top.get(u // BLOCK, 0.0))
-            tops.append(top)
-        self.block_from = np.cumsum([0, *map(len, tops)])
-        self.block_of = np.array([b for top in tops for b in top], np.int64)
-        self.block_top = np.array([x for top in tops for x in top.values()], float)
+        term = np.repeat(np.arange(len(lists)), np.diff(self.unit_from))
+        self.levels = [Level(1, len(self.units), term, self.unit_of, self.unit_impact, len(lists))]
+        while len(self.levels) < 2 or self.levels[-1].blocks > TOP_BLOCKS:
+            last = self.levels[-1]
+            self.levels.append(last.above(last.key // max(1, last.blocks), len(lists)))
         #: Shingle size and shingles of each part; a part of fewer than five words is one shingle.
         self.parts = [[(size := min(SHINGLE, len(x)), shingles(x, size)) for x in (q, a) if x] for _, q, a in items]
 
     def search(self, passage: np.ndarray, term: np.ndarray, passages: int, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
-        """(passage, unit, score) of all units that reach the threshold; ``passage`` and ``term`` are distinct pairs.
+        """(passage, unit, score) of all units that reach the threshold; ``passage`` and ``term`` are distinct pairs, sorted by passage."""
+        begins = np.searchsorted(passage, np.arange(passages + 1))
+        top = self.levels[-1]
+        cost = np.maximum(np.bincount(passage, weights=np.diff(top.begins)[term], minlength=passages), top.blocks)
+        part = (np.cumsum(cost) // STEP).astype(np.int64)
+        out = []
+        for first, last in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right")), strict=True):
+            own = slice(begins[first], begins[last])
+            owner, at = _expand(top.begins, term[own])
+            bound = np.bincount((passage[own][owner] - first) * top.blocks + top.block[at], weights=top.top[at], minlength=(last - first) * top.blocks)
+            opened = np.flatnonzero(bound >= threshold - 1e-9)
+            of, block, score = opened // top.blocks + first, opened % top.blocks, bound[opened]
+            for level in self.levels[-2::-1]:
+                of, block, score = self._descend(level, begins, term, of, block, threshold)
+            out += zip(of.tolist(), block.tolist(), score.tolist(), strict=True)
+        return out
 
-        The pivot test of WAND is made for whole blocks: the largest impacts of
-        a passage's words in a block are added up, and only blocks whose sum
-        reaches the threshold are opened and scored in full.
-        """
-        owner, at = _expand(self.block_from, term)
-        ceiling = np.bincount(
-            passage[owner] * self.n_blocks + self.block_of[at], weights=self.block_top[at], minlength=passages * self.n_blocks
-        )
-        opened = ceiling >= threshold - 1e-9
-        if not opened.any():
-            return []
-        live = opened.reshape(passages, self.n_blocks).any(1)[passage]
-        passage, term = passage[live], term[live]
-        owner, at = _expand(self.unit_from, term)
-        unit, of = self.unit_of[at], passage[owner]
-        inside = opened[of * self.n_blocks + unit // BLOCK]
-        keys, place = np.unique(of[inside] * self.n_units + unit[inside], return_inverse=True)
-        score = np.bincount(place, weights=self.unit_impact[at][inside], minlength=len(keys))
-        return [(int(k // self.n_units), int(k % self.n_units), float(x)) for k, x in zip(keys, score, strict=True) if x >= threshold - 1e-9]
+    def _descend(self, level: Level, begins: np.ndarray, term: np.ndarray, of: np.ndarray, parent: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+        """The parts on ``level`` of the opened (passage, block) pairs whose sum reaches the threshold."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        part = np.cumsum((begins[of + 1] - begins[of]) * BLOCK) // STEP
+        for chunk in np.split(np.arange(len(of)), np.flatnonzero(np.diff(part)) + 1):
+            if not len(chunk):
+                continue
+            pair, at = _expand(begins, of[chunk])
+            base, inside = term[at] * level.blocks, parent[chunk][pair] * BLOCK
+            low = np.searchsorted(level.key, base + inside)
+            size = np.searchsorted(level.key, base + np.minimum(inside + BLOCK, level.blocks)) - low
+            pair, at = np.repeat(pair, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+            key, place = np.unique(of[chunk][pair] * level.blocks + level.block[at], return_inverse=True)
+            score = np.bincount(place, weights=level.top[at], minlength=len(key))
+            good = score >= threshold - 1e-9
+            found.append((key[good] // level.blocks, key[good] % level.blocks, score[good]))
+        return tuple(np.concatenate([x[i] for x in found]) for i in range(3))
 
     def passages(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         """Distinct (passage, term) pairs of a text's windows, and the number of windows: window k has the UNIT-word steps k and k + 1."""
@@ -222,15 +272,59 @@ class Index:
         return out
 
 
-def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[int, list[str], list[str]]]:
-    """The items of one block, with their question and answer words (columns ``question`` and ``answer`` where there are both)."""
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(i, q, a): the distinct items; without question and answer columns ``q`` is the whole text."""
     if {"question", "answer"} <= set(benchmark.columns):
-        rows = benchmark.select(F.col(id_col).alias("i"), F.col("question").alias("q"), F.col("answer").alias("a")).collect()
-        found = [(r["i"], words_of(r["q"]), words_of(r["a"])) for r in rows]
-    else:
-        rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).collect()
-        found = [(r["i"], *split_item(words_of(r["t"]))) for r in rows if words_of(r["t"])]
-    return sorted((x for x in found if x[1] or x[2]), key=lambda x: (x[0] is None, x[0] or 0))
+        return benchmark.select(F.col(id_col).alias("i"), F.col("question").alias("q"), F.col("answer").alias("a")).distinct()
+    return benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("q"), F.lit(None).cast("string").alias("a")).distinct()
+
+
+def _loaded(items: DataFrame, whole: bool) -> list[tuple[int, list[str], list[str]]]:
+    found = [(r["i"], *(split_item(words_of(r["q"])) if whole else (words_of(r["q"]), words_of(r["a"])))) for r in items.collect()]
+    return sorted((x for x in found if x[1] or x[2]), key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
+
+
+def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[tuple[int, list[str], list[str]]]:
+    """The distinct items of a bounded table, with their question and answer words (columns ``question`` and ``answer`` where there are both)."""
+    return _loaded(_items(benchmark, id_col, text_col), not {"question", "answer"} <= set(benchmark.columns))
+
+
+def word_units(items: DataFrame) -> DataFrame:
+    """(word, units, words): the units of all items that hold a word; the row of the null word has all units and their words."""
+    schema = pa.schema([("word", pa.string()), ("units", pa.int64()), ("words", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            df: Counter = Counter()
+            units = words = 0
+            for q, a in zip(texts(batch.column(0)), texts(batch.column(1)), strict=True):
+                for bag in units_of(words_of(q) + words_of(a)):
+                    df.update(bag.keys())
+                    units, words = units + 1, words + sum(bag.values())
+            rows = [(None, units, words), *((w, n, 0) for w, n in df.items())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    counts = items.select("q", "a").mapInArrow(run, "word string, units long, words long")
+    return counts.groupBy("word").agg(F.sum("units").alias("units"), F.sum("words").alias("words"))
+
+
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """The index in parts of about BLOCK_ITEMS items and BLOCK_BYTES bytes, each with the word weights of the whole."""
+    whole = not {"question", "answer"} <= set(benchmark.columns)
+    items = written(_items(benchmark, id_col, text_col), "items")
+    size = F.octet_length(F.concat_ws(" ", "q", "a"))
+    count, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = max(1, math.ceil(count / BLOCK_ITEMS), math.ceil(total / BLOCK_BYTES))
+    if parts == 1:
+        yield Index(_loaded(items, whole), whole)
+        return
+    words = written(word_units(items), "words")
+    units, length = words.where("word is null").select("units", "words").first()
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("i", "q", "a"), F.lit(parts)) == part)
+        known = word_units(own).where("word is not null").select("word").join(words, "word")
+        df = {r["word"]: r["units"] for r in known.select("word", "units").collect()}
+        yield Index(_loaded(own, whole), whole, Statistics(units, length, df))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -239,15 +333,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    whole = not {"question", "answer"} <= set(benchmark.columns)
-    blocks = max(1, math.ceil(benchmark.count() / BLOCK_ITEMS))
-    out = None
-    for block in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == block)
-        index = docs.sparkSession.sparkContext.broadcast(Index(load_items(part, item_col), whole))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = index.value
+
+    def against(held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = held.value
             for batch in batches:
                 found = [
                     (doc_id, own.items[m[0]][0], *m[1:])
@@ -257,9 +346,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 columns = [pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        own = rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = own if out is None else out.unionByName(own)
-    return out
+        return rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+
+    context = docs.sparkSession.sparkContext
+    out = before = None
+    for index in indexes(benchmark, item_col):
+        if before is not None:
+            # a part's rows are written before the next part is broadcast, so one part is held at a time
+            done = written(against(before), "leaks")
+            out = done if out is None else out.unionByName(done)
+            before.unpersist()
+        before = context.broadcast(index)
+    last = against(before)
+    return last if out is None else out.unionByName(last)
 
 
 def drop_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
