@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids that a broadcast may hold (about 16 MB on each executor); beyond it the join shuffles.
@@ -20,8 +20,12 @@ BROADCAST_IDS = 500_000
 SLICE = 256
 
 
-#: Rows in an Arrow batch, unless the session has its own setting.
+#: Rows and bytes in an Arrow batch, unless the session has its own settings.
 BATCH_ROWS = 1_000
+BATCH_BYTES = 4 << 20
+
+#: Bytes of a row group of a scratch table: what a task's writer holds back.
+GROUP_BYTES = 16 << 20
 
 _shipped: set[str] = set()
 
@@ -37,9 +41,11 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        # whole texts are wide rows: smaller batches bound what a Python worker holds at a time
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    # whole texts are wide rows: smaller batches bound what a Python worker holds at a time
+    settings = spark._jsparkSession.sessionState().conf()  # noqa: SLF001
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not settings.contains(f"spark.sql.execution.arrow.{key}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
     _shipped.add(app)
 
 
@@ -50,10 +56,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (a local session, as in tests) a folder of our own is made and set.
+    Only where it is unset in a local session, as in tests, a folder of our own is made
+    and set; on a cluster a folder of one machine would not be shared, so that is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -79,8 +88,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder; lost executors lose nothing of it."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.scratch_path)
 
 
 def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -103,3 +120,13 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str | None]:
 def crc_fold(doc_id, folds: int = 5):
     """crc32 of the id as text, modulo ``folds``: the held-out split (a null id falls in fold 0)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))
+
+
+def hash63(column) -> Column:
+    """63 bits of a hash of the column, not negative."""
+    return F.shiftrightunsigned(F.xxhash64(column), 1)
+
+
+def hash_mark(share: float) -> int:
+    """The value below which ``share`` of all 63-bit hashes lie, in full precision: no floor at any size."""
+    return min(2**63 - 1, int(max(0.0, share) * 2**63))

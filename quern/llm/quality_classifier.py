@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_fold, sized, texts
+from quern.llm.common import crc_fold, discard, hash63, hash_mark, sized, texts, written
 from quern.llm.textstats import CLASSES, base_counts, class_counts
 
 #: Labelled documents that the weights are learnt from, at most (expected; by hash), and pairs drawn from them.
@@ -128,24 +128,31 @@ def fit(x: np.ndarray, better: np.ndarray, seed: int = 7) -> Ranker:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
-    """Fits on about TRAIN_DOCS labelled documents outside the held-out fold; the ids of the sample are bounded, so they are broadcast."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
+    """Fits on at most about TRAIN_DOCS labelled documents outside the held-out fold; of rows that share an id one counts.
+
+    An id is in the sample if its hash is below a threshold that makes TRAIN_DOCS
+    the expected number at any size. The sample's ids are bounded, so they are broadcast.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__label"))
     known = known.where(F.col("__label").isin(0, 1) & F.col("__id").isNotNull() & (crc_fold(F.col("__id"), FOLDS) != 0))
-    known = known.groupBy("__id").agg(F.min("__label").alias("__label"))
-    count = known.count()
-    keep = min(1.0, TRAIN_DOCS / max(1, count))
-    known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(keep * 1_000_000))
-    rows = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).alias("__text"))
-    rows = rows.join(sized(known), F.col("__id") == F.col("__id2")).select("__label", "__text")
-    schema = pa.schema([("label", pa.int32()), ("x", pa.list_(pa.float64()))])
+    known = written(known.groupBy("__id").agg(F.min("__label").alias("__label")), "labels")
+    sample = known.where(hash63("__id") < hash_mark(TRAIN_DOCS / max(1, known.count())))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id2"), F.col(text_col).alias("__text"))
+    rows = rows.join(sized(sample), F.col("__id") == F.col("__id2")).select("__id", "__label", "__text")
+    schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, tuple[int, list[float]]] = {}
         for batch in batches:
-            found = [features(t).tolist() for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(found, schema.field(1).type)], schema=schema)
-
-    got = rows.mapInArrow(run, "label int, x array<double>").collect()
-    got = sorted((r["label"], tuple(r["x"])) for r in got)
+            for at, label, text in zip(*(texts(batch.column(i)) for i in range(3)), strict=True):
+                found = (label, features(text).tolist())
+                own[at] = min(found, own.get(at, found))
+        columns = [pa.array(own, pa.int64()), *(pa.array([v[i] for v in own.values()], schema.field(i + 1).type) for i in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    one = rows.mapInArrow(run, "id long, label int, x array<double>").groupBy("id").agg(F.min(F.struct("label", "x")).alias("own"))
+    got = sorted((r["label"], tuple(r["x"])) for r in one.select("own.label", "own.x").collect())
+    discard(known)
     x = np.array([v for _, v in got]).reshape(-1, len(FEATURES))
     return fit(x, np.array([y for y, _ in got], int))
 
