@@ -34,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import texts
+from quern.llm.common import discard, texts, written
 from quern.llm.textstats import CLASSES, base_counts, byte_counts, class_counts, code_points
 
 #: Least share of a language's tokens for a common word.
 COMMON_SHARE = 0.004
 
+#: Least share of the reference words for a language of its own; rarer ones are pooled under this name.
+LANG_SHARE = 0.002
+POOLED = "(pooled)"
+
 #: Guard: below this length the class distance is not judged.
 LEAST_CHARS = 200
 
@@ -179,16 +183,24 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
-    """References from all documents. Only common words come to the driver: at most 1 / COMMON_SHARE a language."""
-    counts = corpus_counts(docs, text_col, lang_col)
-    counts = counts.persist()
-    totals = {r["lang"]: r["n"] for r in counts.where("kind = 'total'").collect()}
-    least = F.lit(2**62).cast("long")
-    for lang, n in totals.items():
-        least = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(max(2, int(np.ceil(COMMON_SHARE * n))))).otherwise(least)
-    chosen = counts.where((F.col("kind") != "word") | (F.col("n") >= least))
-    rows = [(r["lang"], r["kind"], bytes(r["key"]), r["n"]) for r in chosen.collect()]
-    counts.unpersist()
+    """References from all documents.
+
+    Languages with less than LANG_SHARE of all reference words are counted as one,
+    so a dirty language column gives 1 / LANG_SHARE references at most; of each only
+    the common words come to the driver, at most 1 / COMMON_SHARE.
+    """
+    counts = written(corpus_counts(docs, text_col, lang_col), "counts")
+    totals = counts.where("kind = 'total'").select(F.col("lang").alias("__lang"), F.col("n").alias("__total"))
+    whole = totals.agg(F.sum("__total")).first()[0] or 0
+    large = F.broadcast(totals.where(F.col("__total") >= LANG_SHARE * whole).drop("__total").withColumn("__large", F.lit(True)))
+    named = counts.join(large, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    pooled = F.when(F.col("__large"), F.col("lang")).otherwise(F.lit(POOLED))
+    summed = written(named.select(pooled.alias("lang"), "kind", "key", "n").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
+    own = F.broadcast(summed.where("kind = 'total'").select(F.col("lang").alias("__lang"), F.col("n").alias("__total")))
+    least = F.greatest(F.lit(2), F.ceil(COMMON_SHARE * F.col("__total")))
+    chosen = summed.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").where((F.col("kind") != "word") | (F.col("n") >= least))
+    rows = [(r["lang"], r["kind"], bytes(r["key"]), r["n"]) for r in chosen.select("lang", "kind", "key", "n").collect()]
+    discard(counts, summed)
     return References(rows)
 
 
@@ -225,14 +237,15 @@ def judge(docs: DataFrame, references: References, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, references: References, text_col: str = "text") -> DataFrame:
-    """The rows whose text is kept, with all their columns; nothing is shuffled."""
-    at = docs.columns.index(text_col)
+    """The rows whose text is kept, with all their columns. Only the text goes to Python and only the verdict comes back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.filter(pa.array([verdict(text, references)["kept"] for text in texts(batch.column(at))], pa.bool_()))
+            yield pa.array([verdict(text, references)["kept"] for text in texts(batch)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    # the types of the hints are looked up by Spark, which text annotations hide
+    keep.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.where(F.arrow_udf(keep, "boolean")(F.col(text_col)))
 
 
 def assess(docs: DataFrame) -> DataFrame:
