@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import sized, texts, written
+from quern.llm.common import discard, sized, texts, written
 
 WORDS = 5
 #: Link: 100 * intersection >= PERCENT * union.
@@ -172,56 +172,72 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Three numbers that differ whenever the sets of edges do, but for a chance of about 2^-64."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 32))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each linked id can reach.
 
     Large-star and small-star steps in turn: each node hooks its neighbours to
     the smallest label it sees, which halves the depth of the trees; every round
     is written to the shared folder, so no lineage grows and nothing is collected.
+    The least neighbours are written before they are joined: both sides of the
+    join are then plain shuffles, of which Spark splits the one of a large node.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = written(edges, "edges")
+    mark = _fingerprint(edges)
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # large star: larger neighbours go to the smallest one
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = large.distinct()
+        large = written(large.distinct(), "large")
         # small star: a node and its smaller neighbours go to the smallest one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, "edges")
-        changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(after, ["u", "v"], "left_anti").limit(1).count()
-        edges = after
-        if not changed:
+        discard(edges, least, large)
+        edges, before, mark = after, mark, _fingerprint(after)
+        if mark == before:
             break
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("label"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots)
+    out = written(edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots), "labels")
+    discard(edges)
+    return out
 
 
 def _stars(members: DataFrame) -> DataFrame:
     """Candidate pairs (a, b), a < b, of bucket members (bucket, id): the smallest id against the rest."""
-    centre = members.groupBy("bucket").agg(F.min("id").alias("a"))
-    return members.join(centre, "bucket").where("id != a").select("a", F.col("id").alias("b")).distinct()
+    centre = written(members.groupBy("bucket").agg(F.min("id").alias("a")), "centres")
+    pairs = written(members.join(centre, "bucket").where("id != a").select("a", F.col("id").alias("b")).distinct(), "tried")
+    discard(centre)
+    return pairs
 
 
-def _across(members: DataFrame, whole: bool) -> DataFrame:
-    """Candidate pairs between components that share a rare shingle, of members (bucket, id, n, place, label).
+def _across(members: DataFrame, whole: bool, tried: DataFrame) -> DataFrame:
+    """Candidate pairs between components that share a rare shingle, of members (bucket, id, n, place, label), without those in ``tried``.
 
     Not ``whole``: one member of each component in the bucket against the members
     of the others. ``whole``: all members of different components. The smaller set
     of a pair needs the shingle among its first n - ceil(6n/7) + 1, sizes must fit,
     and what can still follow in both orders must reach the overlap that 0.75 asks
     for: the exact length, prefix and position filters of a set-similarity join.
+    Both sides are written first, so a bucket that holds a large share of the
+    members is split by Spark's skew join.
     """
     row = ["id", "n", "place"]
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    inside = members.join(mixed, "bucket")
+    mixed = written(members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "mixed")
+    inside = written(members.join(mixed, "bucket", "left_semi"), "inside")
     left = inside
     if not whole:
         left = inside.groupBy("bucket", "label").agg(F.min(F.struct("n", "place", "id")).alias("m")).select("bucket", "label", *[f"m.{c}" for c in row])
     left = left.where(f"7 * place <= n + {7}").select("bucket", F.col("label").alias("of_x"), *[F.col(c).alias(f"{c}_x") for c in row])
+    left = written(left, "heads")
     fit = (
         (F.col("n_x") <= F.col("n"))
         & (100 * F.col("n_x") >= PERCENT * F.col("n"))
@@ -229,7 +245,10 @@ def _across(members: DataFrame, whole: bool) -> DataFrame:
         & ((100 + PERCENT) * (1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n") - F.col("place"))) >= PERCENT * (F.col("n_x") + F.col("n")))
     )
     pairs = inside.withColumnRenamed("bucket", "other").join(left, (F.col("other") == F.col("bucket")) & fit)
-    return pairs.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
+    pairs = pairs.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
+    fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+    discard(mixed, inside, left)
+    return fresh
 
 
 def rare_buckets(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -252,52 +271,64 @@ def rare_buckets(sets: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     single = rows.select("id", "shingles").mapInArrow(run, "id long, h long, n int")
-    often = single.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    often = written(single.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     shared = single.join(often, "h")
     mine = Window.partitionBy("id")
     place = F.row_number().over(mine.orderBy("often", "h"))
     # places count from the sets' own shingles, which come first: n - (number shared) of them
     ranked = shared.withColumn("place", F.col("n") - F.count(F.lit(1)).over(mine) + place)
-    return ranked.where(f"100 * place <= {100 - PERCENT} * n + 100").select(F.col("h").alias("bucket"), "id", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"))
+    out = ranked.where(f"100 * place <= {100 - PERCENT} * n + 100")
+    out = written(out.select(F.col("h").alias("bucket"), "id", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place")), "rare")
+    discard(often)
+    return out
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: (doc_id, n_shingles, component_id, kept)."""
+    """One row a document: (doc_id, n_shingles, component_id, kept). The result is written; the tables that led to it are removed."""
     prints = written(fingerprints(docs, id_col, text_col), "prints")
-    thin = prints.select("doc_id", "n_shingles", "set_key")
     known = prints.where("set_key is not null and doc_id is not null")
-    classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.join(classes, "set_key").where("doc_id = rep").dropDuplicates(["doc_id"])
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = written(members.join(crowded, "bucket"), "members")
+    classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "classes")
+    # on key and id, not on the key alone: a class may hold a third of all rows
+    reps = known.join(classes, ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    everyone = written(reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")), "members")
+    crowded = written(everyone.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "crowded")
+    members = written(everyone.join(crowded, "bucket", "left_semi"), "members")
+    discard(everyone, crowded)
     sets = written(shingle_sets(docs, members.select("id").distinct(), id_col, text_col), "sets")
-    tried = written(_stars(members), "tried")
+    tried = _stars(members)
     links = written(confirmed(tried, sets), "links")
-    labels = written(components(links), "labels")
-    named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    rest = named.join(mixed, "bucket", "left_semi").select("id").distinct()
-    rare = written(rare_buckets(sets, rest), "rare")
-    whole = False
+    labels = components(links)
+    named = written(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "named")
+    mixed = written(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "mixed")
+    rest = written(named.join(mixed, "bucket", "left_semi").select("id").distinct(), "rest")
+    discard(members, named, mixed)
+    rare = rare_buckets(sets, rest)
+    held, whole = [prints, classes, sets, rest, rare, tried, links], False
     while True:
         named = rare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        fresh = written(_across(named, whole).join(tried, ["a", "b"], "left_anti"), "tried")
+        fresh = _across(named, whole, tried)
         more = written(confirmed(fresh, sets), "links")
+        held += [fresh, more]
         tried = tried.unionByName(fresh)
         if more.limit(1).count():
             links, whole = links.unionByName(more), False
-            labels = written(components(links), "labels")
+            discard(labels)
+            labels = components(links)
         elif whole:
             break
         else:
             whole = True
-    final = classes.join(labels, classes["rep"] == labels["id"], "left").select("set_key", F.coalesce("label", "rep").alias("label"))
+    final = classes.join(labels, classes["doc_id"] == labels["id"], "left").select("set_key", F.coalesce("label", "doc_id").alias("label"))
+    # documents without shingles are not dealt by the null of their key
+    thin = prints.select("doc_id", "n_shingles", F.coalesce("set_key", F.encode(F.col("doc_id").cast("string"), "utf-8")).alias("set_key"))
     out = thin.join(final, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "doc_id"))
-    return out.select(
+    out = out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
+    out = written(out, "components")
+    discard(labels, *held)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +336,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that repeat an id are reduced to one. Rows with a null id all stay.
     """
-    found = written(near_components(docs, id_col, text_col), "components")
+    found = near_components(docs, id_col, text_col)
     gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(sized(gone), docs[id_col].cast("long") == gone["__gone"], "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
