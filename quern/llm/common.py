@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -27,6 +27,9 @@ BATCH_BYTES = 4 << 20
 #: Bytes of a row group of a scratch table: what a task's writer holds back.
 GROUP_BYTES = 16 << 20
 
+#: Rows that a file of a narrow scratch table has at least, where their number is known.
+FILE_ROWS = 100_000
+
 _shipped: set[str] = set()
 
 
@@ -84,10 +87,16 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder; lost executors lose nothing of it."""
+def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder; lost executors lose nothing of it.
+
+    Where the caller knows about how many narrow rows there are, small tables get as many files as
+    there are cores and large ones a file for FILE_ROWS rows, however many partitions a shuffle has.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
+    if most_rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, most_rows // FILE_ROWS))
     df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -106,6 +115,18 @@ def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if small else ids
 
 
+def joined(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed`` on a whole-number key that may hold a large share of ``rows``.
+
+    Both sides are dealt out by the inverted key. If ``keyed`` comes from an
+    aggregation on the key, a plain join would reuse that dealing, and Spark's skew
+    join can split neither side; dealt anew, it splits the rows of a hot key.
+    """
+    left = rows.withColumn("__key", F.bitwise_not(F.col(key)))
+    right = keyed.withColumn("__key", F.bitwise_not(F.col(key))).drop(key)
+    return left.join(right, "__key", how).drop("__key")
+
+
 def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[list]:
     """The column as lists of Python objects, a few rows at a time."""
     for i in range(0, len(column), size):
@@ -117,6 +138,18 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str | None]:
         yield from part
 
 
+def text_test(test: Callable[[str | None], bool]) -> Callable[[Column], Column]:
+    """A condition on one column that is tested in Python, in Arrow batches: the other columns stay with Spark."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([test(text) for text in texts(batch)], pa.bool_())
+
+    # Spark looks the types of the hints up, which postponed annotations hide
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "boolean")
+
+
 def crc_fold(doc_id, folds: int = 5):
     """crc32 of the id as text, modulo ``folds``: the held-out split (a null id falls in fold 0)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import sized, texts, written
+from quern.llm.common import sized, text_test, texts, written
 
 K1, B = 1.2, 0.75
 
@@ -311,14 +311,14 @@ def word_units(items: DataFrame) -> DataFrame:
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """The index in parts of about BLOCK_ITEMS items and BLOCK_BYTES bytes, each with the word weights of the whole."""
     whole = not {"question", "answer"} <= set(benchmark.columns)
-    items = written(_items(benchmark, id_col, text_col), "items")
+    items = written(_items(benchmark, id_col, text_col), "items", benchmark.count())
     size = F.octet_length(F.concat_ws(" ", "q", "a"))
     count, total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     parts = max(1, math.ceil(count / BLOCK_ITEMS), math.ceil(total / BLOCK_BYTES))
     if parts == 1:
         yield Index(_loaded(items, whole), whole)
         return
-    words = written(word_units(items), "words")
+    words = written(word_units(items), "words", 0)
     units, length = words.where("word is null").select("units", "words").first()
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("i", "q", "a"), F.lit(parts)) == part)
@@ -361,6 +361,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return last if out is None else out.unionByName(last)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows into whose text no item leaks, with all their columns, whatever their ids. Nothing is shuffled or joined."""
+    context = docs.sparkSession.sparkContext
+    before = None
+    for index in indexes(benchmark, item_col):
+        if before is not None:
+            docs = written(docs, "clean")
+            before.unpersist()
+        before = context.broadcast(index)
+        docs = docs.where(text_test(lambda text, held=before: not held.value.matches(text))(F.col(text_col)))
+    return docs
+
+
 def drop_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents into which nothing leaks, with all their columns. Null ids stay."""
     ids = found.select(F.col("doc_id").alias("__leaked")).distinct()

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, sized, texts, written
+from quern.llm.common import discard, joined, sized, texts, written
 
 WORDS = 5
 #: Link: 100 * intersection >= PERCENT * union.
@@ -178,45 +178,49 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 32))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that each linked id can reach.
+def _stars_of_stars(edges: DataFrame) -> DataFrame:
+    """The edges (u, v), u > v, after a large-star and a small-star step."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # large star: larger neighbours go to the smallest one
+    large = joined(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    # small star: a node and its smaller neighbours go to the smallest one
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, label): the smallest id that each linked id can reach. ``most``: links there can be, where that is known.
 
     Large-star and small-star steps in turn: each node hooks its neighbours to
     the smallest label it sees, which halves the depth of the trees; every round
     is written to the shared folder, so no lineage grows and nothing is collected.
-    The least neighbours are written before they are joined: both sides of the
-    join are then plain shuffles, of which Spark splits the one of a large node.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = written(edges, "edges")
+    edges = written(edges, "edges", most)
     mark = _fingerprint(edges)
     while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        # large star: larger neighbours go to the smallest one
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = written(large.distinct(), "large")
-        # small star: a node and its smaller neighbours go to the smallest one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = written(small, "edges")
-        discard(edges, least, large)
+        after = written(_stars_of_stars(edges), "edges", 2 * mark[0])
+        discard(edges)
         edges, before, mark = after, mark, _fingerprint(after)
         if mark == before:
             break
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("label"))
-    out = written(edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots), "labels")
+    out = written(edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots), "labels", 2 * mark[0])
     discard(edges)
     return out
 
 
 def _stars(members: DataFrame) -> DataFrame:
     """Candidate pairs (a, b), a < b, of bucket members (bucket, id): the smallest id against the rest."""
-    centre = written(members.groupBy("bucket").agg(F.min("id").alias("a")), "centres")
-    pairs = written(members.join(centre, "bucket").where("id != a").select("a", F.col("id").alias("b")).distinct(), "tried")
-    discard(centre)
-    return pairs
+    centre = members.groupBy("bucket").agg(F.min("id").alias("a"))
+    return joined(members, centre, "bucket").where("id != a").select("a", F.col("id").alias("b")).distinct()
+
+
+def _mixed_buckets(members: DataFrame) -> DataFrame:
+    """The buckets that hold several labels."""
+    return members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
 
 
 def _across(members: DataFrame, whole: bool, tried: DataFrame) -> DataFrame:
@@ -227,28 +231,22 @@ def _across(members: DataFrame, whole: bool, tried: DataFrame) -> DataFrame:
     of a pair needs the shingle among its first n - ceil(6n/7) + 1, sizes must fit,
     and what can still follow in both orders must reach the overlap that 0.75 asks
     for: the exact length, prefix and position filters of a set-similarity join.
-    Both sides are written first, so a bucket that holds a large share of the
-    members is split by Spark's skew join.
     """
     row = ["id", "n", "place"]
-    mixed = written(members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "mixed")
-    inside = written(members.join(mixed, "bucket", "left_semi"), "inside")
+    inside = joined(members, _mixed_buckets(members), "bucket", "left_semi")
     left = inside
     if not whole:
         left = inside.groupBy("bucket", "label").agg(F.min(F.struct("n", "place", "id")).alias("m")).select("bucket", "label", *[f"m.{c}" for c in row])
     left = left.where(f"7 * place <= n + {7}").select("bucket", F.col("label").alias("of_x"), *[F.col(c).alias(f"{c}_x") for c in row])
-    left = written(left, "heads")
     fit = (
         (F.col("n_x") <= F.col("n"))
         & (100 * F.col("n_x") >= PERCENT * F.col("n"))
         & (F.col("label") != F.col("of_x"))
         & ((100 + PERCENT) * (1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n") - F.col("place"))) >= PERCENT * (F.col("n_x") + F.col("n")))
     )
-    pairs = inside.withColumnRenamed("bucket", "other").join(left, (F.col("other") == F.col("bucket")) & fit)
+    pairs = joined(inside, left, "bucket").where(fit)
     pairs = pairs.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
-    fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-    discard(mixed, inside, left)
-    return fresh
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def rare_buckets(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -271,49 +269,51 @@ def rare_buckets(sets: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     single = rows.select("id", "shingles").mapInArrow(run, "id long, h long, n int")
-    often = written(single.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
-    shared = single.join(often, "h")
+    often = single.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = joined(single, often, "h")
     mine = Window.partitionBy("id")
     place = F.row_number().over(mine.orderBy("often", "h"))
     # places count from the sets' own shingles, which come first: n - (number shared) of them
     ranked = shared.withColumn("place", F.col("n") - F.count(F.lit(1)).over(mine) + place)
     out = ranked.where(f"100 * place <= {100 - PERCENT} * n + 100")
-    out = written(out.select(F.col("h").alias("bucket"), "id", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place")), "rare")
-    discard(often)
-    return out
+    return out.select(F.col("h").alias("bucket"), "id", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: (doc_id, n_shingles, component_id, kept). The result is written; the tables that led to it are removed."""
     prints = written(fingerprints(docs, id_col, text_col), "prints")
     known = prints.where("set_key is not null and doc_id is not null")
-    classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "classes")
+    n_docs, n_hashes = prints.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "classes", n_docs)
     # on key and id, not on the key alone: a class may hold a third of all rows
     reps = known.join(classes, ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    everyone = written(reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id")), "members")
-    crowded = written(everyone.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "crowded")
-    members = written(everyone.join(crowded, "bucket", "left_semi"), "members")
-    discard(everyone, crowded)
-    sets = written(shingle_sets(docs, members.select("id").distinct(), id_col, text_col), "sets")
-    tried = _stars(members)
-    links = written(confirmed(tried, sets), "links")
-    labels = components(links)
-    named = written(members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "named")
-    mixed = written(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "mixed")
-    rest = written(named.join(mixed, "bucket", "left_semi").select("id").distinct(), "rest")
-    discard(members, named, mixed)
-    rare = rare_buckets(sets, rest)
-    held, whole = [prints, classes, sets, rest, rare, tried, links], False
+    everyone = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
+    crowded = everyone.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = written(joined(everyone, crowded, "bucket", "left_semi"), "members", BANDS * classes.count())
+    n_members = members.count()
+    sets = written(shingle_sets(docs, members.select("id").distinct(), id_col, text_col), "sets", n_hashes)
+    tried = written(_stars(members), "tried", n_members)
+    links = written(confirmed(tried, sets), "links", n_members)
+    n_links = links.count()
+    labels = components(links, n_links)
+    named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    rest = joined(named, _mixed_buckets(named), "bucket", "left_semi").select("id").distinct()
+    rare = written(rare_buckets(sets, rest), "rare", n_hashes)
+    n_rare = rare.count()
+    held, whole = [prints, classes, members, sets, rare, tried, links], False
     while True:
         named = rare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        fresh = _across(named, whole, tried)
-        more = written(confirmed(fresh, sets), "links")
+        fresh = written(_across(named, whole, tried), "tried", n_rare)
+        more = written(confirmed(fresh, sets), "links", fresh.count())
         held += [fresh, more]
         tried = tried.unionByName(fresh)
-        if more.limit(1).count():
-            links, whole = links.unionByName(more), False
-            discard(labels)
-            labels = components(links)
+        found = more.count()
+        if found:
+            # what is linked so far is a star of each component
+            known = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more)
+            n_links, before, whole = n_links + found, labels, False
+            labels = components(known, 2 * n_links)
+            discard(before)
         elif whole:
             break
         else:
@@ -326,7 +326,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
-    out = written(out, "components")
+    out = written(out, "components", n_docs)
     discard(labels, *held)
     return out
 

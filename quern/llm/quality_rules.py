@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, texts, written
+from quern.llm.common import discard, text_test, texts, written
 from quern.llm.textstats import CLASSES, base_counts, byte_counts, class_counts, code_points
 
 #: Least share of a language's tokens for a common word.
@@ -189,18 +189,19 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     so a dirty language column gives 1 / LANG_SHARE references at most; of each only
     the common words come to the driver, at most 1 / COMMON_SHARE.
     """
-    counts = written(corpus_counts(docs, text_col, lang_col), "counts")
-    totals = counts.where("kind = 'total'").select(F.col("lang").alias("__lang"), F.col("n").alias("__total"))
-    whole = totals.agg(F.sum("__total")).first()[0] or 0
-    large = F.broadcast(totals.where(F.col("__total") >= LANG_SHARE * whole).drop("__total").withColumn("__large", F.lit(True)))
-    named = counts.join(large, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    pooled = F.when(F.col("__large"), F.col("lang")).otherwise(F.lit(POOLED))
-    summed = written(named.select(pooled.alias("lang"), "kind", "key", "n").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
-    own = F.broadcast(summed.where("kind = 'total'").select(F.col("lang").alias("__lang"), F.col("n").alias("__total")))
-    least = F.greatest(F.lit(2), F.ceil(COMMON_SHARE * F.col("__total")))
-    chosen = summed.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").where((F.col("kind") != "word") | (F.col("n") >= least))
+    counts = written(corpus_counts(docs, text_col, lang_col), "counts", 0)
+    totals = counts.where("kind = 'total'")
+    whole = totals.agg(F.sum("n")).first()[0] or 0
+    large = [(r["lang"], r["n"], True) for r in totals.where(F.col("n") >= LANG_SHARE * whole).collect()]
+    rest = whole - sum(n for _, n, _ in large)
+    own = docs.sparkSession.createDataFrame(large, "own string, total long, large boolean")
+    found = counts.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("own")), "left")
+    lang = F.when(F.col("large"), F.col("lang")).otherwise(F.lit(POOLED))
+    total = F.coalesce("total", F.lit(rest))
+    summed = found.groupBy(lang.alias("lang"), total.alias("total"), "kind", "key").agg(F.sum("n").alias("n"))
+    chosen = summed.where((F.col("kind") != "word") | (F.col("n") >= F.greatest(F.lit(2), F.ceil(COMMON_SHARE * F.col("total")))))
     rows = [(r["lang"], r["kind"], bytes(r["key"]), r["n"]) for r in chosen.select("lang", "kind", "key", "n").collect()]
-    discard(counts, summed)
+    discard(counts)
     return References(rows)
 
 
@@ -239,13 +240,7 @@ def judge(docs: DataFrame, references: References, id_col: str = "doc_id", text_
 def keep_good(docs: DataFrame, references: References, text_col: str = "text") -> DataFrame:
     """The rows whose text is kept, with all their columns. Only the text goes to Python and only the verdict comes back."""
 
-    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([verdict(text, references)["kept"] for text in texts(batch)], pa.bool_())
-
-    # the types of the hints are looked up by Spark, which text annotations hide
-    keep.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.where(F.arrow_udf(keep, "boolean")(F.col(text_col)))
+    return docs.where(text_test(lambda text: verdict(text, references)["kept"])(F.col(text_col)))
 
 
 def assess(docs: DataFrame) -> DataFrame:
