@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import discard, written
+
 SHARDS = 40
 SEED = "interleave-1"
 
@@ -59,8 +61,12 @@ def assign_shards(
     text_col: str = "text",
     source_col: str = "source",
     seed: str = SEED,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One thin row a document: (doc_id, source, size, text_crc32, position, shard, slot). The text is never shuffled."""
+    """One thin row a document: (doc_id, source, size, text_crc32, position, shard, slot) and the columns ``carry``.
+
+    The text is read once, for the thin table that all else works on, and never shuffled.
+    """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -71,12 +77,14 @@ def assign_shards(
         (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
         F.crc32(text).alias("text_crc32"),
         key.alias("__key"),
+        *carry,
     )
-    total = docs.count()
+    thin = written(thin, "thin")
+    total = thin.count()
     buckets = max(1, min(MOST_BUCKETS, total // BUCKET_ROWS))
     first = F.conv(F.substring("__key", 1, 8), 16, 10).cast("long")
     thin = thin.withColumn("__bucket", F.floor(first * buckets / F.lit(2**32)).cast("int"))
-    ties = ["doc_id", "text_crc32", "size"]
+    ties = ["doc_id", "text_crc32", "size", *carry]
     within = _ranked(thin, ["source"], "__bucket", ["__key", *ties], "__rank").drop("__bucket")
     sums = thin.groupBy("source").agg(F.count(F.lit(1)).alias("__rows"))
     spread = (
@@ -98,17 +106,23 @@ def assign_shards(
         F.col("position"),
         shard.cast("int").alias("shard"),
         (F.col("position") - begins).cast("long").alias("slot"),
+        *carry,
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", **columns) -> None:
     """Writes whole rows into ``shard=N`` folders below ``path``, in slot order within a shard's files.
 
-    Needs ids that are unique and not null: the thin assignment is joined back on them.
+    Every row is written once, also rows with a null or repeated id: the rows are
+    written with a number first, and the assignment is joined back on it. Columns of
+    ``docs`` named shard or slot are kept as ``input_shard`` and ``input_slot``.
     """
-    thin = assign_shards(docs, shards, id_col, **columns).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    rows = docs.join(thin, docs[id_col] == thin["__id"]).drop("__id")
+    names = {c: f"input_{c.lower()}" for c in docs.columns if c.lower() in ("shard", "slot")}
+    held = written(docs.withColumnsRenamed(names).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    thin = assign_shards(held, shards, names.get(id_col, id_col), **columns, carry=("__row",)).select("__row", "shard", "slot")
+    rows = held.join(thin, "__row").drop("__row")
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    discard(held)
 
 
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -67,3 +67,14 @@ def test_write_shards_keeps_every_row(spark, tmp_path):
     S.write_shards(d, str(tmp_path / "out"), 5)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
+
+
+def test_write_shards_with_odd_ids_and_clashing_names(spark, tmp_path):
+    rows = [(None, "a"), (None, "b"), (7, "c"), (7, "c"), (7, "d"), (8, None)]
+    d = docs(spark, rows).withColumn("shard", F.lit("x")).withColumn("Slot", F.lit(3))
+    S.write_shards(d, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["input_shard"], r["input_slot"]) for r in back.collect()) == sorted(
+        (i or 0, t or "", "x", 3) for i, t in rows
+    )
+    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [2, 2, 2]
