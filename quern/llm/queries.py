@@ -60,7 +60,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.digest(table(spark, sf_dir, "pages"))
+    return warc.digest(table(spark, sf_dir, "pages"), each=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

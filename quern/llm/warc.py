@@ -15,7 +15,8 @@ one nested row a capture.
 
 Results for odd input: a null html is an empty payload; a null page id is a
 capture of its own with a null id, however often it occurs; rows with an id that
-agree in id, URL and payload are one capture, all others are several; an empty
+agree in id, URL and payload are one capture, or with ``each`` (as in the registered
+query) as many as there are rows, all others are several; an empty
 table gives an empty table; further columns are not read, whatever they are called.
 """
 
@@ -72,20 +73,23 @@ def _roles(thin: DataFrame) -> DataFrame:
     return large.join(first, "__digest").where(other).select(F.col("__row").alias("__of"), "__target")
 
 
-def _occurrences(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows without an id that agree in all else, each with an id of its own; equal rows with an id once. Only repeated rows are shuffled."""
+def _occurrences(rows: DataFrame, repeated: DataFrame, each: bool) -> DataFrame:
+    """Equal rows, each with an id of its own; unless ``each``, equal rows with a page id once. Only repeated rows are shuffled."""
     marked = rows.join(sized(repeated), "__row", "left")
     again = marked.where("__n is not null").dropDuplicates(["__row"])
-    times = F.when(F.col("__page").isNull(), F.col("__n")).otherwise(F.lit(1).cast("long"))
+    times = F.when(F.col("__page").isNull() | F.lit(each), F.col("__n")).otherwise(F.lit(1).cast("long"))
     again = again.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), times)))
     again = again.withColumn("__row", F.concat_ws(":", "__row", F.col("__k").cast("string")))
     return marked.where("__n is null").select(*rows.columns).unionByName(again.select(*rows.columns))
 
 
 def records(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2026-01-01T00:00:00Z"
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2026-01-01T00:00:00Z", each: bool = False
 ) -> DataFrame:
-    """(value): one row a page, the text of its request, response or revisit, and metadata record."""
+    """(value): one row a page, the text of its request, response or revisit, and metadata record.
+
+    ``each``: rows that agree in page id, URL and html are a capture each; else they are one.
+    """
     html = F.coalesce(F.col(html_col).cast("binary"), F.lit(b"").cast("binary"))
     page = F.col(id_col).cast("long")
     own = pages.select(
@@ -98,7 +102,7 @@ def records(
     thin = written(own.select("__row", "__page", "__digest", "__bytes"), "captures")
     repeated = written(thin.groupBy("__row").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "repeated")
     if repeated.limit(1).count():
-        own, thin = _occurrences(own, repeated), _occurrences(thin, repeated)
+        own, thin = _occurrences(own, repeated, each), _occurrences(thin, repeated, each)
     roles = written(_roles(thin), "roles")
     small = roles.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = own.join(F.broadcast(roles) if small else roles, F.col("__row") == F.col("__of"), "left")
@@ -311,11 +315,11 @@ def captures(found: DataFrame) -> DataFrame:
     )
 
 
-def digest(pages: DataFrame) -> DataFrame:
-    """Writes the pages' archives to the shared folder, reads them back and returns one row a page."""
+def digest(pages: DataFrame, each: bool = False) -> DataFrame:
+    """Writes the pages' archives to the shared folder, reads them back and returns one row a page; ``each`` as for ``records``."""
     spark = pages.sparkSession
     path = scratch(spark, "warc")
-    write_archives(pages, path)
+    write_archives(pages, path, each=each)
     found = captures(read_records(spark, path, payloads=False))
     length = F.regexp_extract("metadata.fields", r"payloadLength: (\d+)", 1).cast("long")
     revisit = F.col("response.type") == "revisit"

@@ -91,3 +91,13 @@ def test_each_url_and_each_page_without_an_id_is_written(spark):
     assert all(r["has_request"] for r in out)
     same = W.digest(pages(spark, [(None, "u", big)] * 3)).collect()
     assert sorted(r["record_type"] for r in same) == ["response", "revisit", "revisit"]
+
+
+def test_equal_rows_are_a_record_each(spark):
+    big = "a" * 2000
+    rows = [(1, "u", big), (1, "u", big), (1, "u", "x"), (1, "u", "x"), (0, "u", big), (None, "u", big), (None, "u", big)]
+    out = W.digest(pages(spark, rows), each=True).collect()
+    assert sorted((-1 if r["page_id"] is None else r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in out) == [
+        (-1, 2000, "revisit", 1), (-1, 2000, "revisit", 1), (0, 2000, "revisit", 1),
+        (1, 1, "response", None), (1, 1, "response", None), (1, 2000, "response", None), (1, 2000, "response", None),
+    ]
