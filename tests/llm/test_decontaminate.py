@@ -121,3 +121,27 @@ def test_odd_input(spark):
     assert D.leaks(odd(spark), bench.limit(0)).count() == 0
     found = D.leaks(odd(spark), bench)
     assert D.drop_leaks(odd(spark), found).count() == 10 and D.drop_leaks(odd(spark), found).columns == odd(spark).columns
+
+
+def test_parts_give_the_same_scores_and_long_texts_are_searched_in_steps(spark, monkeypatch):
+    d, b = table(spark, SF2, "documents"), table(spark, SF2, "benchmark")
+    rows = lambda: sorted((r["doc_id"], r["item_id"], r["score"], r["question_overlap"], r["answer_overlap"]) for r in D.leaks(d, b).collect())
+    whole = rows()
+    monkeypatch.setattr(D, "BLOCK_ITEMS", 15)
+    assert rows() == whole
+    index = D.Index(D.load_items(b) * 20)
+    assert len(index.levels) > 2
+    words = [w for _, q, a in index.items[:10] for w in q + a] * 3
+    pairs = index.passages(words)
+    want = sorted(index.search(*pairs, 0.3))
+    monkeypatch.setattr(D, "STEP", 50)
+    assert want and sorted(index.search(*pairs, 0.3)) == want
+
+
+def test_keep_clean_equals_the_documents_without_leaks(spark, monkeypatch):
+    d, b = table(spark, SF2, "documents"), table(spark, SF2, "benchmark")
+    want = {r["doc_id"] for r in D.drop_leaks(d, D.leaks(d, b)).collect()}
+    assert {r["doc_id"] for r in D.keep_clean(d, b).collect()} == want
+    monkeypatch.setattr(D, "BLOCK_ITEMS", 9)
+    assert {r["doc_id"] for r in D.keep_clean(d, b).collect()} == want
+    assert D.keep_clean(odd(spark), b).count() == 10 and D.keep_clean(odd(spark), b.limit(0)).count() == 10
