@@ -119,3 +119,29 @@ def test_classifier_on_odd_input(spark):
     assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
     assert Q.classify(empty(spark), labels).count() == 0
     assert {r["score"] for r in Q.classify(odd(spark), labels.limit(0)).collect()} == {0.5}
+
+
+def test_sample_size_holds_for_any_number_of_rows(spark, monkeypatch):
+    from quern.llm import language_id as L
+    from quern.llm.common import hash_mark
+
+    assert hash_mark(1e-10) == int(1e-10 * 2**63) > 0 and hash_mark(2.0) == 2**63 - 1
+    rows = [(i, f"word{i} and some more", "en" if i % 2 else "fr") for i in range(3000)] + [(3001, "the same again", "en")] * 2000
+    monkeypatch.setattr(L, "TRAIN_DOCS", 200)
+    seen = []
+    monkeypatch.setattr(L, "Hierarchy", lambda x, langs: seen.append(langs))
+    L.learn(docs(spark, rows))
+    assert 100 < len(seen[0]) < 300
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3002)], "doc_id long, quality int")
+    monkeypatch.setattr(Q, "TRAIN_DOCS", 200)
+    monkeypatch.setattr(Q, "fit", lambda x, y: len(x))
+    assert 100 < Q.learn(docs(spark, rows), labels) < 300
+
+
+def test_rare_languages_are_pooled(spark, monkeypatch):
+    monkeypatch.setattr(R, "LANG_SHARE", 0.2)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text, "en") for i in range(20)] + [(100 + i, text, f"x{i}") for i in range(5)]
+    references = R.learn_references(docs(spark, rows))
+    assert set(references.langs) == {"en", R.POOLED}
+    assert all(abs(s[:-1].sum() - 1) < 1e-9 for s in references.word_shares)
