@@ -105,7 +105,8 @@ def count_matches(text: Column, pattern: str, ignore_case: bool = False) -> Colu
 
 
 def has_cjk(text: Column) -> Column:
-    return text.rlike(CJK)
+    """Whether the text has a Han character. ASCII texts, whose bytes are their characters, are not searched."""
+    return (F.octet_length(text) != F.length(text)) & text.rlike(CJK)
 
 
 def sql_text(value: str) -> str:

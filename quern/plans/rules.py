@@ -15,7 +15,7 @@ from quern.operators import exposure as X
 from quern.operators import text_rules as T
 from quern.operators.detectors import ARGUMENT_DETECTORS
 from quern.operators.rules import Match, any_literal, any_of, detect, findings
-from quern.plans.tables import spread, table
+from quern.plans.tables import settled, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -143,7 +143,7 @@ def _detector_query(name: str, detectors: list, doc: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored = detect(texts(spark, sf_dir), detectors)
         names = [f"{d.name}_score" for d in detectors]
-        return scored.where(F.greatest(F.lit(0.0), *names) > 0).select("id", *names)
+        return settled(scored.select("id", *names)).where(F.greatest(F.lit(0.0), *names) > 0)
 
     run.__name__, run.__doc__ = name, doc
     scores = ", ".join(f"{d.sql('text')} AS {d.name}_score" for d in detectors)
@@ -181,7 +181,7 @@ def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that try to take over."""
     t = F.col("text")
     out = texts(spark, sf_dir).select("id", T.injection_reason(t).alias("reason"), T.suspicious_count(t).cast("int").alias("suspicious"), T.is_instruction(t).alias("instruction"))
-    return out.where("instruction or suspicious > 0 or reason is not null")
+    return settled(out).where("instruction or suspicious > 0 or reason is not null")
 
 
 _SENS = " OR ".join(f"regexp_matches(l, {sql_text(p)})" for p in T.SENSITIVE)
@@ -203,7 +203,7 @@ def input_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TEXTS}, d AS (SELECT id, CASE {' '.join(f'WHEN {Match(p, True).sql(chr(116) + "ext")} THEN {sql_text(n)}' for n, _, p in T.BLOCKED_DOMAINS)} END AS domain FROM texts) SELECT * FROM d WHERE domain IS NOT NULL")
 def domain_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in a blocked domain."""
-    return texts(spark, sf_dir).select("id", T.blocked_domain(F.col("text")).alias("domain")).where("domain is not null")
+    return settled(texts(spark, sf_dir).select("id", T.blocked_domain(F.col("text")).alias("domain"))).where("domain is not null")
 
 
 _EPI = " + ".join([f"({e.sql('text')})::INT" for _, e in T.epistemic_exprs()] + ["((" + " + ".join(f"contains(text, '{w}')::INT" for w in T.FRAMEWORK_TERMS) + ") > 3)::INT"])
@@ -213,7 +213,7 @@ _EPI = " + ".join([f"({e.sql('text')})::INT" for _, e in T.epistemic_exprs()] +
 def epistemic_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violated principles."""
     n = F.size(T.epistemic_violations(F.col("text")))
-    return texts(spark, sf_dir).select("id", n.alias("violations"), (9 - n).alias("checked")).where("violations > 0")
+    return settled(texts(spark, sf_dir).select("id", n.alias("violations"), (9 - n).alias("checked"))).where("violations > 0")
 
 
 _FORB = " + ".join(f"({Match(p, True).sql('text')})::INT" for _, p in T.FORBIDDEN_CALLS)
@@ -223,7 +223,7 @@ _FORB = " + ".join(f"({Match(p, True).sql('text')})::INT" for _, p in T.FORBIDDE
 def forbidden_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that need a plan first."""
     n, score = T.forbidden_call(F.col("text"))
-    return texts(spark, sf_dir).select("id", n.alias("n"), score.alias("score")).where("n > 0")
+    return settled(texts(spark, sf_dir).select("id", n.alias("n"), score.alias("score"))).where("n > 0")
 
 
 _PAIRS = " + ".join(rf"(({Match(rf'\b{a}\w*\b', True).sql('text')}) <> ({Match(rf'\b{b}\w*\b', True).sql('text')}))::INT" for a, b in T.SYMMETRIC)
@@ -234,7 +234,7 @@ _SHAPES = " + ".join(rf"(NOT {Match(rf'\b{s}\b', True).sql('text')})::INT" for s
 SELECT id, gaps::INT AS gaps FROM g WHERE gaps > 0""")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing halves of verb pairs and data shapes."""
-    return texts(spark, sf_dir).select("id", T.coverage_gaps(F.col("text")).alias("gaps")).where("gaps > 0")
+    return settled(texts(spark, sf_dir).select("id", T.coverage_gaps(F.col("text")).alias("gaps"))).where("gaps > 0")
 
 
 _TAX = " ".join(f"WHEN {any_literal(*ws, lower=True).sql('text')} THEN '{c}'" for c, _, ws in sorted(T.ERROR_TAXONOMY, key=lambda t: t[1]))
@@ -296,7 +296,7 @@ SELECT id, len(s)::INT AS n, CASE WHEN list_max(s) >= 60 THEN 'rewrite' WHEN len
 )
 def frame_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed frames and the action."""
-    s = texts(spark, sf_dir).select("id", T.frame_severities(F.col("text")).alias("s")).where(F.size("s") > 0)
+    s = settled(texts(spark, sf_dir).select("id", T.frame_severities(F.col("text")).alias("s"))).where(F.size("s") > 0)
     return s.select("id", F.size("s").alias("n"), T.frame_action(F.col("s")).alias("action"))
 
 
@@ -315,7 +315,7 @@ def premise_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = {k: c.cast("int").alias(k) for k, c in T.premises(F.col("text")).items()}
     kinds = [k for k, *_ in T.PREMISES]
     out = texts(spark, sf_dir).select("id", *p.values())
-    return out.where(sum((F.col(k) for k in kinds), F.lit(0)) > 0)
+    return settled(out).where(sum((F.col(k) for k in kinds), F.lit(0)) > 0)
 
 
 _OV = lambda ws: any_literal(*ws, lower=True).sql("x")
@@ -327,7 +327,7 @@ n AS (SELECT id, c AND NOT (svc OR coalesce(lag(svc) OVER w, false) OR coalesce(
 SELECT id, sum(claim::INT)::BIGINT AS n_claims, CASE WHEN sum(claim::INT) >= 3 THEN 'systemic' WHEN sum(claim::INT) >= 1 THEN 'flag' ELSE 'clean' END AS level FROM n GROUP BY 1 HAVING sum(claim::INT) > 0""")
 def overclaim_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of completion without a qualifier near by."""
-    return T.overclaims(texts(spark, sf_dir), "id").where("n_claims > 0")
+    return settled(T.overclaims(texts(spark, sf_dir), "id")).where("n_claims > 0")
 
 
 @query(f"""WITH {TEXTS}, r AS (SELECT id, text, ({' + '.join(f'({Match(p, True).sql("text")})::INT' for p in T.SUSPICIOUS)}) AS k FROM texts)
@@ -349,7 +349,7 @@ _RULES = [("shout", ["!!", "???"]), ("pirate", ["pirate", "jailbreak"]), ("shiel
 )
 def auto_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first trigger of each rule."""
-    t = texts(spark, sf_dir).select("id", T.triggered_rules(F.col("text"), _RULES).alias("t")).where(F.size("t") > 0)
+    t = settled(texts(spark, sf_dir).select("id", T.triggered_rules(F.col("text"), _RULES).alias("t"))).where(F.size("t") > 0)
     return t.select("id", F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["rule"], x["trigger"])), ",").alias("triggered"))
 
 
@@ -366,21 +366,21 @@ def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     rev = T.reversibility(t)
     out = texts(spark, sf_dir).select("id", T.code_habits(t)[0].alias("habits"), T.architecture_issues(t).alias("architecture"), F.round(rev["score"], 6).alias("reversibility"))
-    return out.where("habits > 0 or architecture > 0 or reversibility < 1")
+    return settled(out).where("habits > 0 or architecture > 0 or reversibility < 1")
 
 
 @query()
 def share_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares that do not add up (look-around)."""
     t = F.col("text")
-    return texts(spark, sf_dir).select("id", T.percentage_overflow(t).alias("overflow"), T.incoherent_coverage(t).alias("incoherent")).where("overflow > 0 or incoherent > 0")
+    return settled(texts(spark, sf_dir).select("id", T.percentage_overflow(t).alias("overflow"), T.incoherent_coverage(t).alias("incoherent"))).where("overflow > 0 or incoherent > 0")
 
 
 @query()
 def unicode_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disguised texts."""
     v = T.adversarial_variant(F.col("text"))
-    return texts(spark, sf_dir).select("id", *[c.alias(n) for n, c in v.items()]).where("high or zero_width or homoglyph or combining")
+    return settled(texts(spark, sf_dir).select("id", *[c.alias(n) for n, c in v.items()])).where("high or zero_width or homoglyph or combining")
 
 
 @query()
@@ -388,7 +388,7 @@ def scope_and_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope, quotation and teaching material."""
     t = F.col("text")
     out = texts(spark, sf_dir).select("id", T.scope_action(t).alias("scope"), F.round(T.quotation_confidence(t), 6).alias("quotation"), F.round(T.teaching(t)[1], 6).alias("teaching"))
-    return out.where("scope = 'block' or quotation > 0 or teaching > 0")
+    return settled(out).where("scope = 'block' or quotation > 0 or teaching > 0")
 
 
 _SURF = {n: " + ".join(f"contains(lower(text), {sql_text(w)})::INT" for w in ws) for n, ws in D.SURFACE}
@@ -418,7 +418,7 @@ def hypothesis_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, array_to_string(t, ',') AS tags FROM t WHERE len(t) > 0""")
 def reflection_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of reflections."""
-    return texts(spark, sf_dir).select("id", F.array_join(D.reflection_tags(F.col("text")), ",").alias("tags")).where("tags <> ''")
+    return settled(texts(spark, sf_dir).select("id", F.array_join(D.reflection_tags(F.col("text")), ",").alias("tags"))).where("tags <> ''")
 
 
 def _private_sql() -> str:
@@ -431,7 +431,7 @@ def _private_sql() -> str:
 @query(_private_sql())
 def privacy_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Private matters laid open."""
-    f = texts(spark, sf_dir).select("id", X.private_findings(F.col("text")).alias("f")).where(F.size("f") > 0)
+    f = settled(texts(spark, sf_dir).select("id", X.private_findings(F.col("text")).alias("f"))).where(F.size("f") > 0)
     e = X.exposure(F.col("f"))
     return f.select("id", F.size("f").alias("n"), e["score"].alias("score"), e["severity"].alias("severity"))
 

@@ -17,10 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of input a core: below it the input's splits may be fewer than the cores.
+SPLIT_BYTES = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows over all cores where the input has fewer splits than cores (one small file); larger inputs are left as they are."""
+    """Deals the rows over all cores where the input is small, by the plan's estimate of its bytes; larger inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, each column computed once where it stands.
+
+    A filter on a computed column is otherwise pushed below the dealing out of the
+    rows, and what it needs is computed there and a second time above it. No filter
+    passes through a generator.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import gates
 from quern.operators.rules import Match
-from quern.plans.tables import spread, table
+from quern.plans.tables import settled, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,8 +43,9 @@ def outbound_gate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences by rule in the texts that have any."""
-    docs = spread(table(spark, sf_dir, "documents")).where(gates.pii_any(F.col("text")))
-    return docs.select("doc_id", *[c.alias(f"n_{name}") for name, c in gates.pii_counts(F.col("text")).items()])
+    counts = {f"n_{name}": c for name, c in gates.pii_counts(F.col("text")).items()}
+    found = settled(spread(table(spark, sf_dir, "documents")).select("doc_id", *[c.alias(name) for name, c in counts.items()]))
+    return found.where(F.greatest(*counts) > 0)
 
 
 def _masked_sql() -> str:
