@@ -30,10 +30,11 @@ LEAST = {"assign": 12, "access": 18, "hex": 16, "entropy": 20}
 #: Characters in the sliding window.
 WINDOW = 20
 
-#: Character class: the candidates that belong to it (first match wins) and the entropy in bits that a window must reach. None: such strings are never secrets (identifiers, long words).
+#: Character class: the candidates that belong to it (first match wins) and the entropy in bits that a window must reach.
+#: A window of letters must have 18 distinct characters or nearly so: words and paths, whose letters repeat, stay below.
 CLASSES = (
-    ("digits", r"^[0-9]+$", None),
-    ("letters", r"^[A-Za-z_=+/-]+$", None),
+    ("digits", r"^[0-9]+$", 3.1),
+    ("letters", r"^[A-Za-z_=+/-]+$", 4.05),
     ("hex", r"^[0-9A-Fa-f]+$", 3.0),
     ("mixed", r"^.*$", 3.75),
 )
@@ -62,7 +63,8 @@ def best_window_bits(candidate: Column) -> Column:
 
     The state holds the counts of the window's characters and the sum of
     c*log2(c); each step adds the character that enters and takes off the one
-    that leaves, so a step costs the same whatever the window's length.
+    that leaves, so a step costs two passes over the ALPHABET's counts whatever the
+    window's length.
     """
     chars = F.filter(F.split(candidate, ""), lambda c: c != "")
     shifted = F.slice(F.concat(F.array_repeat(F.lit(""), WINDOW), chars), F.lit(1), F.size(chars))

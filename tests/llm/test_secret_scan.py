@@ -82,3 +82,13 @@ def test_odd_input(spark):
 def test_no_python_in_the_plan(spark):
     plan = S.scan(odd(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
+
+
+def test_each_class_has_a_threshold(spark):
+    rows = [
+        (1, "key kJhQwErTyUiOpAsDfGhJkLzXcVbNm end"), (2, "no 48201957360418295736 end"), (3, "no 11111111112222222222 end"),
+        (4, "getUserAccountSettingsFromTheRepository src/main/resources/templates/account-settings-page"), (5, "x" * 40), (6, "internationalization_of_configuration"),
+    ]
+    got = {r["doc_id"]: r["n_entropy"] for r in S.scan(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
+    assert all(least is not None for _, _, least in S.CLASSES)
