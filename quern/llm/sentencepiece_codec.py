@@ -18,7 +18,10 @@ What "best" means depends on the model's kind:
   of the public library.
 
 Where no piece of the vocabulary can span a boundary (a word end before a space
-mark), all paths meet; such stretches are encoded once and kept in a bounded memo.
+mark), all paths meet: the ids up to it are committed there. A stretch between two
+such boundaries that is no longer than the longest piece lies whole in the window
+and needs no search for an earlier meeting point; longer ones are streamed. What a
+stretch gave is kept in a bounded memo.
 
 Results for odd input: a null text has null ids and a null text back; an empty
 text has no ids; characters outside the vocabulary become byte pieces; very long
@@ -53,7 +56,7 @@ HEAD = 5
 #: Rows encoded before they are handed back.
 ROWS = 256
 
-#: Stretches longer than this are streamed and not kept.
+#: Stretches longer than this are not kept.
 MEMO_CHARS = 64
 
 
@@ -107,7 +110,7 @@ class _Memo(dict):
             if 1 < len(word) <= MEMO_CHARS and word[-2:] not in self.model.adjacent:
                 # no piece has these two characters side by side, so all paths meet between them
                 ids = self[word[:-1]] + self.model.bare[word[-1]]
-            elif len(word) > MEMO_CHARS:
+            elif len(stretch) > self.model.longest:
                 ids = self.model.pack(stretch)
             else:
                 ids = self.model.pack_short(stretch)
@@ -293,7 +296,7 @@ class Model:
         return last, codes
 
     def pack_short(self, stretch: str) -> bytes:
-        """``pack`` for a stretch that fits the window: the same backpointers, kept to its end.
+        """``pack`` for a stretch no longer than the longest piece, the window: the same backpointers, kept to its end.
 
         The backpointers of a head are the same whatever follows it, so they are remembered for heads.
         """
