@@ -4,7 +4,8 @@ A text is cut into sentences, each is normalised and mapped to the identifiers o
 the known licence sentences in it, in order of place (of overlapping matches the
 one listed first wins); the sequence of identifiers is then matched against
 ordered rules, longest evidence first. Identifiers that a rule uses up are gone
-for later rules; what no rule explains is reported as unmatched.
+for later rules; what no rule explains is reported as unmatched. A licence that a
+sentence refuses ("not licensed under ...") has no identifier.
 
 Results for odd input: a null or empty text has no sentences and no licence;
 very long texts are scanned whole, line by line; repeated sentences count each
@@ -43,13 +44,17 @@ SENTENCES = (
     ("BSDBinary", r"redistributions in binary form must reproduce the above copyright"),
     ("BSDEndorse", r"neither the names? of .*? may be used to endorse or promote"),
     ("BSDAsIs", r"this software is provided by .*? \"?as is\"?"),
-    ("BSDNamed", r"licensed under the (new |simplified |3-clause |2-clause )?bsd( license)?"),
+    ("BSD2Named", r"licensed under (the )?((simplified |2-clause |two-clause )bsd|bsd[ -](2|two)-clause)( license)?"),
+    ("BSD4Named", r"licensed under (the )?((original |4-clause |four-clause )bsd|bsd[ -](4|four)-clause)( license)?"),
+    ("BSDNamed", r"licensed under (the )?((new |modified |3-clause |three-clause )?bsd|bsd[ -](3|three)-clause)( license)?"),
     ("AGPLDetails", r"see the gnu affero general public license for more details"),
     ("AGPLCopy", r"you should have received a copy of the gnu affero general public license"),
     ("LGPLDetails", r"see the gnu (lesser|library) general public license for more details"),
     ("LGPLCopy", r"you should have received a copy of the gnu (lesser|library) general public license"),
     ("GPLDetails", r"see the gnu general public license for more details"),
     ("GPLCopy", r"you should have received a copy of the gnu general public license"),
+    ("LGPL21Named", r"(version 2\.1 of the gnu lesser general public license|gnu lesser general public license,? (version |v)?2\.1)"),
+    ("LGPL3Named", r"(version 3(\.0)? of the gnu lesser general public license|gnu lesser general public license,? (version |v)?3(\.0)?)"),
     ("AGPLNamed", r"gnu affero general public license"),
     ("LGPLNamed", r"gnu (lesser|library) general public license"),
     ("GPLFree", r"this (program|library) is free software[:;]? you can redistribute it and/or modify"),
@@ -93,6 +98,10 @@ _GNU = (
     (("GPLFree", "GPL3Named"), "GPL-3.0"),
     (("GPLFree", "GPL2Named"), "GPL-2.0"),
     (("GPLFree", "GPLNamed"), "GPL"),
+    (("GPLFree", "LGPL21Named", "GPL21Later"), "LGPL-2.1-or-later"),
+    (("GPLFree", "LGPL3Named", "GPL3Later"), "LGPL-3.0-or-later"),
+    (("LGPL21Named",), "LGPL-2.1"),
+    (("LGPL3Named",), "LGPL-3.0"),
     (("AGPLNamed",), "AGPL-3.0"),
     (("LGPLNamed",), "LGPL"),
     (("GPL3Named",), "GPL-3.0"),
@@ -124,6 +133,8 @@ RULES = (
     (("MITReleased",), "MIT"),
     (("MITPermission",), "MIT"),
     (("ISCPermission",), "ISC"),
+    (("BSD2Named",), "BSD-2-Clause"),
+    (("BSD4Named",), "BSD-4-Clause"),
     (("BSDNamed",), "BSD-3-Clause"),
     (("MPLNamed",), "MPL-2.0"),
     (("CC0Named",), "CC0-1.0"),
@@ -138,6 +149,13 @@ RULES = (
     (("AllRights",), "Proprietary"),
 )
 
+#: A licence that is named behind one of these words is refused, not granted: its identifier is not given.
+_REFUSED = re.compile(r"(\bnot|\bnever|\bno longer|n't|\bneither|\bcannot be)\b[^,;:()]{0,40}$")
+_NAMING = re.compile(r".*(Named|Licensed|Released)$")
+
+#: SPDX names by their lower case, for one spelling of a licence however a text names it.
+_SPELLINGS = {name.lower(): name for _, name in RULES}
+
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 #: A line without any of these strings has no known sentence.
 _HINT = re.compile(
@@ -170,6 +188,8 @@ def known(plain: str) -> list[tuple[str, str]]:
     spans: list[tuple[int, int, str, str]] = []
     for name, pattern in _KNOWN:
         for hit in pattern.finditer(plain):
+            if _NAMING.match(name) and _REFUSED.search(plain, 0, hit.start()):
+                continue
             if all(hit.end() <= a or b <= hit.start() for a, b, _, _ in spans):
                 spans.append((hit.start(), hit.end(), name, hit.groupdict().get("name") or ""))
     out = []
@@ -226,6 +246,11 @@ def match_rules(found: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
     return [x for _, x in sorted(got)], [name for _, (name, _) in left]
 
 
+def spelt(licence: str) -> str:
+    """One spelling of a licence's name: the SPDX one where it is known (expressions part by part), else as it is."""
+    return " ".join(_SPELLINGS.get(part, part) for part in licence.split(" "))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: (doc_id, licenses, sentence_ids, unmatched, n_license_sentences). Distinct licences, sorted by first place."""
     kinds = pa.list_(pa.string())
@@ -238,7 +263,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 by_sentence = identified(text) if text else []
                 found = [x for own in by_sentence for x in own]
                 licenses, rest = match_rules(found) if found else ([], [])
-                rows.append((list(dict.fromkeys(licenses)), [n for n, _ in found], rest, len(by_sentence)))
+                rows.append((list(dict.fromkeys(map(spelt, licenses))), [n for n, _ in found], rest, len(by_sentence)))
             columns = [batch.column(0)] + [pa.array([r[i] for r in rows], schema.field(i + 1).type) for i in range(4)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 

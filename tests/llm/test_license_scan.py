@@ -1,4 +1,6 @@
 from quern.llm import license_scan as L
+from quern.llm.common import table
+from tests.conftest import SF2
 from tests.llm.helpers import docs, empty, odd
 
 MIT = """Copyright (c) 2020 A. Person
@@ -94,3 +96,31 @@ def test_odd_input(spark):
     assert L.scan(empty(spark)).count() == 0
     long = "word " * 50_000 + ".\nReleased under the MIT License.\n" + "word " * 50_000
     assert licences(long) == ["MIT"]
+
+
+def test_clauses_versions_and_refusals():
+    assert licences("Licensed under the 2-clause BSD license.") == ["BSD-2-Clause"]
+    assert licences("Licensed under the BSD-3-Clause license.") == ["BSD-3-Clause"]
+    assert licences("Licensed under the original BSD license.") == ["BSD-4-Clause"]
+    assert licences("You may use it under the GNU Lesser General Public License, version 2.1.") == ["LGPL-2.1"]
+    assert licences("You may use it under version 3 of the GNU Lesser General Public License.") == ["LGPL-3.0"]
+    assert licences("This is not licensed under the MIT license.") == []
+    assert licences("The program is no longer distributed under the MIT license.") == []
+    assert licences("If not, see the GNU General Public License, version 3.") == ["GPL-3.0"]
+
+
+def test_one_spelling_of_a_licence(spark):
+    text = "# SPDX-License-Identifier: Apache-2.0\n\nLicensed under the Apache License, Version 2.0.\n\nSPDX-License-Identifier: GPL-2.0 WITH Some-exception-1.0"
+    assert L.scan(docs(spark, [(1, text)])).first()["licenses"] == ["Apache-2.0", "GPL-2.0 with some-exception-1.0"]
+
+
+def test_hints_lose_no_sentence(spark):
+    """Against a reading of every sentence of every text, without hints."""
+    texts = [r["text"] or "" for r in table(spark, SF2, "documents").select("text").collect()] + [MIT, BSD, GNU]
+    hits = 0
+    for t in texts:
+        bare = L._COMMENT.sub("", t)
+        want = [x for a, b in L.sentences(bare) for x in L.known(L.normalise(bare[a:b]))]
+        assert L.identify(t) == want
+        hits += bool(want)
+    assert hits > 20
