@@ -103,6 +103,11 @@ def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame
     return out
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The plan's estimate of the bytes of the rows: for a table that is read, those of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` that nothing reads any more."""
     for df in tables:

@@ -318,7 +318,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     if parts == 1:
         yield Index(_loaded(items, whole), whole)
         return
-    words = written(word_units(items), "words", 0)
+    words = written(word_units(items), "words", total // SHINGLE)
     units, length = words.where("word is null").select("units", "words").first()
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("i", "q", "a"), F.lit(parts)) == part)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, text_test, texts, written
+from quern.llm.common import discard, plan_bytes, text_test, texts, written
 from quern.llm.textstats import CLASSES, base_counts, byte_counts, class_counts, code_points
 
 #: Least share of a language's tokens for a common word.
@@ -61,6 +61,9 @@ MOST_WORD = 0.40
 #: Words that a task counts before it hands its partial counts on.
 FLUSH = 100_000
 
+#: Bytes of the documents for each row of counts, about.
+KEY_BYTES = 20
+
 #: Base rules: fewest words, and the largest share of words in repeated windows in percent.
 BASE_WORDS = 50
 BASE_REPEATED = 50
@@ -189,7 +192,7 @@ def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     so a dirty language column gives 1 / LANG_SHARE references at most; of each only
     the common words come to the driver, at most 1 / COMMON_SHARE.
     """
-    counts = written(corpus_counts(docs, text_col, lang_col), "counts", 0)
+    counts = written(corpus_counts(docs, text_col, lang_col), "counts", plan_bytes(docs) // KEY_BYTES)
     totals = counts.where("kind = 'total'")
     whole = totals.agg(F.sum("n")).first()[0] or 0
     large = [(r["lang"], r["n"], True) for r in totals.where(F.col("n") >= LANG_SHARE * whole).collect()]
