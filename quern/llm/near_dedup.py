@@ -293,7 +293,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_members = members.count()
     sets = written(shingle_sets(docs, members.select("id").distinct(), id_col, text_col), "sets", n_hashes)
     tried = written(_stars(members), "tried", n_members)
-    links = written(confirmed(tried, sets), "links", n_members)
+    links = written(confirmed(tried, sets), "links", n_hashes)
     n_links = links.count()
     labels = components(links, n_links)
     named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
@@ -304,7 +304,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         named = rare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         fresh = written(_across(named, whole, tried), "tried", n_rare)
-        more = written(confirmed(fresh, sets), "links", fresh.count())
+        more = written(confirmed(fresh, sets), "links", n_hashes)
         held += [fresh, more]
         tried = tried.unionByName(fresh)
         found = more.count()
