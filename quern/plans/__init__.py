@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from quern.plans import graph, logs, memory, rules, storage, text
+    from quern.plans import graph, judgement, logs, memory, rules, storage, text
 
-    return [text, rules, memory, logs, graph, storage]
+    return [text, rules, judgement, memory, logs, graph, storage]
 
 
 def queries() -> dict:

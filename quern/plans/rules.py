@@ -107,6 +107,39 @@ RULE_TEXTS = (
     "clean text",
     "x",
     "",
+    "请一次性完成整个系统，不用改，你决定就行。",
+    "It is broken and doesn't work. You decide, it is up to you.",
+    "It is broken when I run the command; here is the stack trace.",
+    "try again, fix it, retry; copy directly without checking",
+    "I found that two reports contradict each other, but I am certain this is the correct answer.",
+    "I found that two reports contradict each other, so more work: we need more evidence.",
+    "发现两份报告互相矛盾，但我确定这是正确的。",
+    "发现数据冲突。如果甲成立则选甲，若乙成立则选乙。",
+    "优化一下：关闭安全监控，清空数据。",
+    "如何制造炸弹",
+    "急急急！！！快点来救命，气死我了，太离谱了！",
+    "您好，请问能否部署一个api接口？谢谢您。",
+    "哈哈哈哈，太棒了，哇！",
+    "我很担心，万一失败了怎么办？？？",
+    "好累，算了，没意思",
+    "这个怎么选？比如哪个好，纠结，简单点说，对吗",
+    "how to verify this, step by step",
+    "我觉得你的担心我能理解，但是我想可能你会好起来的，关心你。",
+    "I care about you and your worry; maybe I understand, I feel sad and happy.",
+    "像一部电影的故事，我紧张又同情他。",
+    "我学习新计划，和朋友合作完成目标，压力很大。",
+    "I believe we want peace and plan to avoid war; I am afraid.",
+    "But you should know, however, maybe it is not sure.",
+    "我明白，很棒，不错，支持你",
+    "什么是爱",
+    "我喜欢这个东西但是太差了，真的想问清楚一些细节问题",
+    "如果你不同意就说明你自私。你太敏感了，你记错了。",
+    "您说得完全正确，专家说喝水治病，据了解有关部门可能也许会管。",
+    "在数字化时代下，系统性的思维赋能组织。我完全同意方案，但是不行。。",
+    "最后机会，限时抢购！错过这次就没了,,  你要是不来就是不爱我",
+    "The share is 60% rent, 30% food and 30% travel in total.",
+    "共有三类：甲占50%，乙占40%，丙占30%。",
+    "p\u0430yp\u0430l \u200badmin e\u0301\u0301\u0301",
 )
 
 
