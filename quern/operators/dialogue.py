@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.regex import count_matches
@@ -117,3 +117,52 @@ def conflict_path(critical: Column, high: Column) -> Column:
 def always_applies(content: Column) -> Column:
     """Whether a standing preference applies: not if it asks to give up judgement."""
     return ~any_literal(*UNSAFE_PREFERENCES, lower=True).column(content)
+
+
+# Words of an action that serves progress, truth and passing on, with their weights.
+PROGRESS_WORDS = (
+    (0.4, ("升级", "传递", "承认", "修正", "优化", "改进", "学习", "进化")),
+    (0.3, ("真相", "事实", "错误", "逻辑")),
+    (0.3, ("记录", "分享", "传递", "保存", "文档")),
+)
+
+# When a preference applies, and words of preferences that exclude each other.
+DIRECT_REFERENCES = ("根据你了解的我", "基于你对我的了解", "你知道我喜欢", "你知道我", "我喜欢的", "我感兴趣的")
+PERSONAL_REQUESTS = ("推荐", "建议", "适合我", "帮我想", "基于我的情况", "根据我的")
+TECHNICAL_TOPICS = ("代码", "编程", "算法", "数学", "物理", "化学", "API", "函数")
+CREATIVE_TOPICS = ("故事", "诗歌", "小说", "剧本", "创意")
+EXPLICIT_REQUEST = "结合|融入|基于"
+EXCLUSIVE = (("简洁", "详细"), ("formal", "casual"), ("简短", "详细"), ("中文", "英文"), ("技术", "通俗"))
+
+
+def progress_weight(action: Column) -> Column:
+    """How much an action serves progress, 0 to 1."""
+    low = F.lower(F.coalesce(action, F.lit("")))
+    return F.least(F.lit(1.0), _add(F.when(any_literal(*ws).column(low), w).otherwise(0.0) for w, ws in PROGRESS_WORDS))
+
+
+def preference_applies(kind: Column, content: Column, query: Column) -> Column:
+    """Whether a preference of kind always, behavioral or contextual applies to a query; other kinds never do."""
+    q = F.coalesce(query, F.lit(""))
+    has = lambda ws: any_literal(*ws).column(q)
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 2)
+    irrelevant = (q == "") | has(TECHNICAL_TOPICS) | (has(CREATIVE_TOPICS) & ~q.rlike(EXPLICIT_REQUEST))
+    related = q.contains("我") & F.arrays_overlap(words(content), words(q))
+    contextual = (q != "") & (has(DIRECT_REFERENCES) | related | has(PERSONAL_REQUESTS))
+    return F.coalesce(F.when(kind == "always", always_applies(content)).when(kind == "behavioral", ~irrelevant).when(kind == "contextual", contextual), F.lit(False))
+
+
+def excluding_pairs(preferences: DataFrame, owner: str, order: str, content: str) -> DataFrame:
+    """(owner, earlier, later) of an owner's preferences that exclude each other; the later one takes precedence.
+
+    Joined on owner and the pair of words, so only preferences that hold opposite words meet.
+    """
+    low = F.lower(F.col(content))
+    sides = F.array(
+        *[F.when(low.contains(a if side == 0 else b), F.struct(F.lit(at).alias("pair"), F.lit(side).alias("side"))) for at, (a, b) in enumerate(EXCLUSIVE) for side in (0, 1)]
+    )
+    held = preferences.select(owner, order, F.explode(F.array_compact(sides)).alias("x")).select(owner, order, "x.pair", "x.side")
+    a = held.where("side = 0").select(owner, "pair", F.col(order).alias("one"))
+    b = held.where("side = 1").select(owner, "pair", F.col(order).alias("two"))
+    pairs = a.join(b, [owner, "pair"]).where("one != two")
+    return pairs.select(owner, F.least("one", "two").alias("earlier"), F.greatest("one", "two").alias("later")).distinct()

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def js_round(value: Column, digits: int = 0) -> Column:
@@ -148,9 +151,17 @@ def bursts(rows: DataFrame, source: str, ts: str, most: int = 20) -> DataFrame:
 
 
 def recurrence(rows: DataFrame, category: str, ts: str, seconds: int = 3600) -> DataFrame:
-    """Adds ``recurrences``: rows of the category in the hour before. A range window, not a self-join."""
-    by = Window.partitionBy(category).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, -1)
-    return rows.withColumn("recurrences", F.count(F.lit(1)).over(by))
+    """Adds ``recurrences``: rows of the category in the hour before.
+
+    A range window over stretches of ``seconds``: each row also goes, as an echo, to the
+    next stretch, where it may lie in the hour before. So a category with most of the
+    rows is dealt over as many tasks as it has hours, and nothing is joined.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    stretch = F.floor(micros / (seconds * 1_000_000))
+    both = rows.withColumn("__echo", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__stretch", stretch + F.col("__echo"))
+    by = Window.partitionBy(category, "__stretch").orderBy(micros).rangeBetween(-seconds * 1_000_000, -1)
+    return both.withColumn("recurrences", F.count(F.lit(1)).over(by)).where("__echo = 0").drop("__echo", "__stretch")
 
 
 def recurrence_by_category(rows: DataFrame, category: str, count: str, least: int = 2) -> DataFrame:
@@ -286,18 +297,42 @@ def ema(rows: DataFrame, entity: str, order: Sequence[str], value: str, alpha: f
     )
 
 
+#: Rows of an entity that a running average is taken over at a time.
+EMA_CHUNK = 10_000
+
+
 def ema_series(rows: DataFrame, entity: str, order: Sequence[str], value: str, alpha: float = 0.1) -> DataFrame:
-    """The average after each value: (entity, order..., value, ema)."""
-    series = rows.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.expr("cast(array() as array<double>)").alias("all"))
+    """The average after each value: (entity, order..., value, ema). The first value is its own average.
+
+    An entity's rows are numbered and cut into chunks. A chunk is averaged in one linear
+    pass as if nothing came before it; what came before adds its average times a power of
+    1 - alpha, and is carried from chunk to chunk over one row a chunk.
+    """
+    place = F.row_number().over(Window.partitionBy(entity).orderBy(*order)) - 1
+    cut = rows.select(entity, *order, F.col(value).cast("double").alias(value)).withColumn("__place", place)
+    cut = cut.withColumn("__chunk", F.floor(F.col("__place") / EMA_CHUNK))
+    schema = T.StructType([*cut.schema.fields, T.StructField("__own", T.DoubleType())])
+
+    def average(chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values("__place")
+        own = pd.Series(np.concatenate([[0.0], chunk[value].to_numpy(float)])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+        return chunk.assign(__own=own)
+
+    averaged = cut.groupBy(entity, "__chunk").applyInPandas(average, schema)
+    inside = F.col("__place") % EMA_CHUNK
+    ends = averaged.groupBy(entity, "__chunk").agg(
+        F.max_by("__own", "__place").alias("__last"), F.max(inside).alias("__size"), F.min_by(value, "__place").alias("__first")
+    )
+    chunks = ends.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("__chunk", "__last", "__size", "__first"))).alias("__ends"))
+    start = F.struct(F.col("__ends")[0]["__first"].alias("carry"), F.expr("cast(array() as array<double>)").alias("all"))
 
     def step(acc: Column, x: Column) -> Column:
-        new = F.when(acc["last"].isNull(), x[value]).otherwise(x[value] * alpha + acc["last"] * (1 - alpha))
-        return F.struct(new.alias("last"), F.concat(acc["all"], F.array(new)).alias("all"))
+        after = x["__last"] + acc["carry"] * F.pow(F.lit(1 - alpha), x["__size"] + 1)
+        return F.struct(after.alias("carry"), F.concat(acc["all"], F.array(acc["carry"])).alias("all"))
 
-    done = series.select(entity, "s", F.aggregate("s", start, step, lambda acc: acc["all"]).alias("e"))
-    flat = done.select(entity, F.explode(F.arrays_zip("s", "e")).alias("x"))
-    return flat.select(entity, *[F.col(f"x.s.{c}").alias(c) for c in (*order, value)], F.col("x.e").alias("ema"))
+    carries = chunks.select(F.col(entity).alias("__entity"), F.posexplode(F.aggregate("__ends", start, step, lambda acc: acc["all"])).alias("__at", "__carry"))
+    both = averaged.join(carries, F.col(entity).eqNullSafe(F.col("__entity")) & (F.col("__chunk") == F.col("__at")))
+    return both.select(entity, *order, value, (F.col("__own") + F.col("__carry") * F.pow(F.lit(1 - alpha), inside + 1)).alias("ema"))
 
 
 def sustained(rows: DataFrame, entity: str, order: Sequence[str], condition: Column, size: int = 10, share: float = 0.5) -> DataFrame:

@@ -246,14 +246,32 @@ def active_inference(options: DataFrame, certainty: float, group: str) -> DataFr
 # -- eviction -----------------------------------------------------------------------
 
 
-def bucketed_rank(rows: DataFrame, group: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
-    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+#: Buckets that a rank by a score is taken in.
+RANK_BUCKETS = 4096
+
+
+def bucketed_rank(rows: DataFrame, group: list[str], score: str, ties: list[Column], low: float = 0.0, high: float = 1.0, rank: str = "rank") -> DataFrame:
+    """Adds ``rank`` (from 1) within ``group`` by a falling score, ``ties`` deciding.
+
+    A group may hold most rows: a rank is the number of rows in higher buckets of the
+    score (running sums over a table of RANK_BUCKETS rows a group at most) plus the
+    place within the bucket, so no task sorts a whole group.
+    """
+    share = (F.lit(high) - F.coalesce(F.col(score), F.lit(low))) / (high - low)
+    named = rows.withColumn("__bucket", F.greatest(F.lit(0), F.least(F.lit(RANK_BUCKETS - 1), F.floor(share * RANK_BUCKETS))))
+    counts = named.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__bucket").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], F.col("__bucket") == F.col("__at"))
+    place = F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy(F.desc(score), *ties))
+    out = named.withColumn("__place", place).join(counts, same)
+    return out.select(*rows.columns, (F.col("__before") + F.col("__place")).alias(rank))
 
 
 def enforce_budget(rows: DataFrame, budgets: dict[str, int], as_of: int) -> DataFrame:
     """Evicts the least important records of each layer beyond its budget; a layer without one keeps all."""
     scored = rows.withColumn("computed", computed_importance(as_of))
-    ranked = bucketed_rank(scored, ["layer"], [F.desc("computed"), F.desc("id")])
+    ranked = bucketed_rank(scored, ["layer"], "computed", [F.desc("id")])
     budget = reduce(lambda acc, kv: F.when(F.col("layer") == kv[0], kv[1]).otherwise(acc), budgets.items(), F.lit(2**31 - 1))
     return ranked.where(F.col("rank") <= budget).drop("rank")
 

@@ -632,6 +632,32 @@ def anchor_drift(text: Column, keywords: list[str], new_topic: str = r"\b(by the
     return F.when(Match(new_topic, True).column(text) | (share < 0.1), "drift").when(share < 0.25, "warn").otherwise("ok")
 
 
+def goal_keywords(text: Column, domains: dict[str, list[str]]) -> Column:
+    """The known words of all domains that a text holds, in declared order; without any, its own words of two characters and more."""
+    low = F.lower(text)
+    known = list(dict.fromkeys(w for ws in domains.values() for w in ws))
+    found = F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in known]))
+    own = F.array_distinct(F.filter(F.split(F.regexp_replace(text, "[，。！？、；：\"'（）()【】\\[\\]《》<>]", " "), r"\s+"), lambda w: F.length(w) >= 2))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.expr("cast(array() as array<string>)")).when(F.size(found) > 0, found).otherwise(own)
+
+
+def goal_domain(text: Column, domains: dict[str, list[str]]) -> Column:
+    """The domain with the most words in a text, the first declared of equals; general without any."""
+    low = F.lower(text)
+    counts = [F.struct(_sum(_n(low.contains(w)) for w in ws).alias("n"), F.lit(-at).alias("place"), F.lit(name).alias("name")) for at, (name, ws) in enumerate(domains.items())]
+    best = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    return F.when(best["n"] > 0, best["name"]).otherwise("general")
+
+
+def goal_distance(goal: Column, said: Column, domains: dict[str, list[str]]) -> Column:
+    """(deviates, related, confidence): the share of an input's keywords that are the goal's, in percent, and whether both have one domain."""
+    ours, theirs = goal_keywords(goal, domains), goal_keywords(said, domains)
+    share = F.when(F.size(theirs) > 0, F.size(F.array_intersect(theirs, ours)) / F.size(theirs)).otherwise(0.0)
+    aim = goal_domain(goal, domains)
+    same = (goal_domain(said, domains) == aim) | (aim == "general")
+    return F.struct(((share < 0.5) & ~same).alias("deviates"), ((share > 0.3) | same).alias("related"), F.floor(share * 100 + 0.5).cast("int").alias("confidence"))
+
+
 def goal_deviation(goal: Column, action: Column, same_domain: Column) -> Column:
     """Whether an action shares less than half of the goal's keywords and belongs to another domain."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9一-鿿]+"), lambda w: F.length(w) > 2))
