@@ -6,13 +6,12 @@ entity's rows; an entity is assumed to fit one task, as a user's events do.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def js_round(value: Column, digits: int = 0) -> Column:
@@ -297,42 +296,31 @@ def ema(rows: DataFrame, entity: str, order: Sequence[str], value: str, alpha: f
     )
 
 
-#: Rows of an entity that a running average is taken over at a time.
-EMA_CHUNK = 10_000
-
-
 def ema_series(rows: DataFrame, entity: str, order: Sequence[str], value: str, alpha: float = 0.1) -> DataFrame:
-    """The average after each value: (entity, order..., value, ema). The first value is its own average.
+    """The average after each value: (entity, order..., value, ema). The first value is its own average; ``alpha`` below 1.
 
-    An entity's rows are numbered and cut into chunks. A chunk is averaged in one linear
-    pass as if nothing came before it; what came before adds its average times a power of
-    1 - alpha, and is carried from chunk to chunk over one row a chunk.
+    An entity's rows are numbered and cut into chunks so long that a value's weight falls
+    to a thousandth within one. Inside a chunk the average is a running sum of weighted
+    values, as if nothing came before. What came before adds the ends of the six chunks
+    ahead, each a thousandth of the next: what is older is below the precision of a double.
+    Everything is a window over a chunk or over chunk ends; nothing is collected.
     """
+    size = max(1, math.ceil(math.log(1000) / -math.log(1 - alpha)))
+    keep = lambda n: F.pow(F.lit(1 - alpha), n)
     place = F.row_number().over(Window.partitionBy(entity).orderBy(*order)) - 1
     cut = rows.select(entity, *order, F.col(value).cast("double").alias(value)).withColumn("__place", place)
-    cut = cut.withColumn("__chunk", F.floor(F.col("__place") / EMA_CHUNK))
-    schema = T.StructType([*cut.schema.fields, T.StructField("__own", T.DoubleType())])
-
-    def average(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values("__place")
-        own = pd.Series(np.concatenate([[0.0], chunk[value].to_numpy(float)])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
-        return chunk.assign(__own=own)
-
-    averaged = cut.groupBy(entity, "__chunk").applyInPandas(average, schema)
-    inside = F.col("__place") % EMA_CHUNK
-    ends = averaged.groupBy(entity, "__chunk").agg(
-        F.max_by("__own", "__place").alias("__last"), F.max(inside).alias("__size"), F.min_by(value, "__place").alias("__first")
-    )
-    chunks = ends.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("__chunk", "__last", "__size", "__first"))).alias("__ends"))
-    start = F.struct(F.col("__ends")[0]["__first"].alias("carry"), F.expr("cast(array() as array<double>)").alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        after = x["__last"] + acc["carry"] * F.pow(F.lit(1 - alpha), x["__size"] + 1)
-        return F.struct(after.alias("carry"), F.concat(acc["all"], F.array(acc["carry"])).alias("all"))
-
-    carries = chunks.select(F.col(entity).alias("__entity"), F.posexplode(F.aggregate("__ends", start, step, lambda acc: acc["all"])).alias("__at", "__carry"))
-    both = averaged.join(carries, F.col(entity).eqNullSafe(F.col("__entity")) & (F.col("__chunk") == F.col("__at")))
-    return both.select(entity, *order, value, (F.col("__own") + F.col("__carry") * F.pow(F.lit(1 - alpha), inside + 1)).alias("ema"))
+    inside = F.col("__place") % size
+    cut = cut.withColumn("__chunk", F.floor(F.col("__place") / size))
+    run = Window.partitionBy(entity, "__chunk").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    own = cut.withColumn("__own", keep(inside) * F.sum(F.col(value) * alpha * keep(-inside)).over(run))
+    ends = own.groupBy(entity, "__chunk").agg(F.max_by("__own", "__place").alias("__last"), F.min_by(value, "__place").alias("__first"))
+    by = Window.partitionBy(entity).orderBy("__chunk")
+    fade = (1 - alpha) ** size
+    before = [F.coalesce(F.lag("__last", j + 1).over(by), F.lit(0.0)) * fade**j for j in range(6)]
+    seed = F.first("__first").over(by) * F.pow(F.lit(fade), F.col("__chunk"))
+    carries = ends.select(F.col(entity).alias("__entity"), F.col("__chunk").alias("__at"), reduce(lambda a, b: a + b, before, seed).alias("__carry"))
+    both = own.join(carries, F.col(entity).eqNullSafe(F.col("__entity")) & (F.col("__chunk") == F.col("__at")))
+    return both.select(entity, *order, value, (F.col("__own") + F.col("__carry") * keep(inside + 1)).alias("ema"))
 
 
 def sustained(rows: DataFrame, entity: str, order: Sequence[str], condition: Column, size: int = 10, share: float = 0.5) -> DataFrame:

@@ -6,6 +6,8 @@ hits, near misses and exemptions, inline in Spark and as VALUES in SQL.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +141,9 @@ RULE_TEXTS = (
     "最后机会，限时抢购！错过这次就没了,,  你要是不来就是不爱我",
     "The share is 60% rent, 30% food and 30% travel in total.",
     "共有三类：甲占50%，乙占40%，丙占30%。",
+    "if (x > 1) { return 2; } done",
+    "if (x > 1) { return 2; } else { return 3; } done",
+    "if (x > 1) { return 2; } if (y) { z(); } else { return 3; }",
     "p\u0430yp\u0430l \u200badmin e\u0301\u0301\u0301",
 )
 
@@ -198,6 +203,20 @@ def detector_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.size("findings").alias("n"), F.array_join(F.transform("findings", lambda x: x["dimension"]), ",").alias("dimensions"))
 
 
+_ROWS = ", ".join(f"{{'place': {i}, 'name': '{d.name}', 'severity': floor({d.sql('text')} * 100 + 0.5)::INT}}" for i, d in enumerate(PORTABLE))
+
+
+@query(
+    f"""WITH {TEXTS}, f AS (SELECT id, list_filter([{_ROWS}], lambda x: x.severity > 0) AS f FROM texts), r AS (SELECT id, unnest(f) AS x FROM f)
+SELECT id, count(*)::INT AS n, string_agg(x.name || ':' || x.severity, ',' ORDER BY x.severity DESC, x.place) AS dimensions FROM r GROUP BY id"""
+)
+def portable_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the detectors without look-around, most severe first."""
+    out = settled(findings(texts(spark, sf_dir), PORTABLE).select("id", "findings")).where(F.size("findings") > 0)
+    named = F.transform("findings", lambda x: F.concat_ws(":", x["dimension"], x["severity"].cast("string")))
+    return out.select("id", F.size("findings").alias("n"), F.array_join(named, ",").alias("dimensions"))
+
+
 @query()
 def repetition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated clauses (look-around free, but not SQL in one pass)."""
@@ -263,7 +282,13 @@ _PAIRS = " + ".join(rf"(({Match(rf'\b{a}\w*\b', True).sql('text')}) <> ({Match(r
 _SHAPES = " + ".join(rf"(NOT {Match(rf'\b{s}\b', True).sql('text')})::INT" for s in T.DATA_SHAPES)
 
 
-@query(rf"""WITH {TEXTS}, g AS (SELECT id, ({_PAIRS}) + ({Match(T.PROCESSES, True).sql('text')} AND ({_SHAPES}) >= 5)::INT + (len(regexp_extract_all(text, 'catch\s*\([^)]*\)\s*\{{\s*\}}')) > 2)::INT AS gaps FROM texts)
+#: A branch that returns, and what follows it if there is another branch.
+_EARLY = r"if\s*\([^)]+\)\s*\{[^}]*return[^}]*\}"
+_AFTER = rf"string_split(regexp_replace(text, '({_EARLY})', '\1' || chr(1), 'g'), chr(1))"
+_LONE = rf"len(list_filter(range(1, len({_AFTER})), lambda k: NOT regexp_matches(array_to_string(({_AFTER})[k + 1:], ''), '^[\s\S]{{0,80}}?\}}\s*else\s*\{{|^\s*else\s*\{{'))) > 0"
+
+
+@query(rf"""WITH {TEXTS}, g AS (SELECT id, ({_LONE})::INT + ({_PAIRS}) + ({Match(T.PROCESSES, True).sql('text')} AND ({_SHAPES}) >= 5)::INT + (len(regexp_extract_all(text, 'catch\s*\([^)]*\)\s*\{{\s*\}}')) > 2)::INT AS gaps FROM texts)
 SELECT id, gaps::INT AS gaps FROM g WHERE gaps > 0""")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing halves of verb pairs and data shapes."""
@@ -409,13 +434,45 @@ def share_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(texts(spark, sf_dir).select("id", T.percentage_overflow(t).alias("overflow"), T.incoherent_coverage(t).alias("incoherent"))).where("overflow > 0 or incoherent > 0")
 
 
-@query()
+def _variants_sql() -> str:
+    re2 = lambda p: re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", p)
+    flags = {n: f"regexp_matches(text, {sql_text(re2(p))})" for n, _, p in T.VARIANTS}
+    look, latin = "len(regexp_extract_all(text, '[\\x{0400}-\\x{04ff}\\x{0370}-\\x{03ff}]'))", "len(regexp_extract_all(text, '[A-Za-z]'))"
+    flags["homoglyph"] = f"({look} > 0 AND {latin} > 0 AND {look} <= 0.3 * ({look} + {latin}))"
+    severity = {n: v for n, v, _ in T.VARIANTS} | {"homoglyph": 0.85}
+    total = " + ".join(f"CASE WHEN {n} THEN {severity[n]}e0 ELSE 0e0 END" for n in flags)
+    top = ", ".join(f"CASE WHEN {n} THEN {severity[n]}e0 ELSE 0e0 END" for n in flags)
+    return f"""WITH {TEXTS}, f AS (SELECT id, {', '.join(f'coalesce({e}, false) AS {n}' for n, e in flags.items())} FROM texts), h AS (SELECT *, greatest({top}) >= 0.8 OR {total} >= 1.5 AS high FROM f)
+    SELECT * FROM h WHERE high OR zero_width OR homoglyph OR combining"""
+
+
+@query(_variants_sql())
 def unicode_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disguised texts."""
     v = T.adversarial_variant(F.col("text"))
     return settled(texts(spark, sf_dir).select("id", *[c.alias(n) for n, c in v.items()])).where("high or zero_width or homoglyph or combining")
 
 
+_WORD = f"CASE WHEN regexp_matches(text, '{CJK}') THEN {any_literal(*T.IN_SCOPE).sql('text')} ELSE " + any_of(*[rf"\b{w}\b" for w in T.IN_SCOPE if w.isascii()], ignore=True).sql("text") + " END"
+
+
+@query(f"""WITH {TEXTS}, s AS (SELECT id, CASE WHEN text IS NULL OR text = '' THEN 'pass' WHEN {any_of(*[p for _, p in T.OUT_OF_SCOPE], ignore=True).sql('text')} THEN 'block' WHEN NOT ({_WORD}) AND length(text) > 5 THEN 'flag' ELSE 'pass' END AS scope FROM texts)
+SELECT id, scope FROM s WHERE scope <> 'pass'""")
+def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are refused or without any known word."""
+    return settled(texts(spark, sf_dir).select("id", T.scope_action(F.col("text")).alias("scope"))).where("scope <> 'pass'")
+
+
+_CUES = {n: f"regexp_matches(text, {sql_text(p)})" for n, p in T.TEACHING_CUES}
+_CUES["config_example"] = f"({_CUES['config_example']} AND regexp_matches(text, 'cli_[a-z0-9]+|[xX]{{4}}'))"
+
+
+@query(f"WITH {TEXTS}, c AS (SELECT id, ({' + '.join(f'({e})::INT' for e in _CUES.values())}) / 8e0 AS share FROM texts) SELECT id, round(share, 6) AS share FROM c WHERE share > 0")
+def teaching_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues of teaching material."""
+    return settled(texts(spark, sf_dir).select("id", F.round(T.teaching(F.col("text"))[1], 6).alias("share"))).where("share > 0")
+
+
 @query()
 def scope_and_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope, quotation and teaching material."""
