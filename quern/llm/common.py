@@ -96,7 +96,9 @@ def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame
     spark = df.sparkSession
     path = scratch(spark, name)
     if most_rows is not None:
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, most_rows // FILE_ROWS))
+        files = max(spark.sparkContext.defaultParallelism, most_rows // FILE_ROWS)
+        # an estimate may be the largest number there is, for a plan whose size is unknown
+        df = df.coalesce(min(files, 2**31 - 1))
     df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
