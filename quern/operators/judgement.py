@@ -336,9 +336,9 @@ def implicit_needs(text: Column, emotion: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["need"].alias("need"), x["confidence"].alias("confidence")))
 
 
-def empathy(text: Column) -> Column:
-    """(contagion, concern, perspective, distinction, score, level) of a text."""
-    low = F.lower(text)
+def empathy(text: Column, low: Column | None = None) -> Column:
+    """(contagion, concern, perspective, distinction, score, level) of a text; ``low``: a column that has it in lower case."""
+    low = F.lower(text) if low is None else low
     feelings = holds(low, JOY) + holds(low, GRIEF)
     contagion = F.least(F.lit(1.0), feelings / F.lit(3.0))
     others = own = F.lit(0)
@@ -346,13 +346,15 @@ def empathy(text: Column) -> Column:
         at = F.instr(low, w) - 1
         start = F.greatest(F.lit(0), at - 5)
         around = F.substring(low, start + 1, at + len(w) + 5 - start)
-        about = low.contains(F.lit(w)) & around.rlike(ABOUT_OTHERS)
-        others = others + about.cast("int")
-        own = own + (low.contains(F.lit(w)) & ~around.rlike(ABOUT_OTHERS) & around.rlike(ABOUT_SELF)).cast("int")
+        found = low.contains(F.lit(w))
+        others = others + (found & around.rlike(ABOUT_OTHERS)).cast("int")
+        own = own + (found & ~around.rlike(ABOUT_OTHERS) & around.rlike(ABOUT_SELF)).cast("int")
     cared = holds(low, CONCERN)
     concern = F.when(cared == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.least(F.lit(0.8), cared * 0.3) + F.when(others > own, 0.2).otherwise(0.0)))
-    seen = reduce(lambda a, b: a + b, [F.regexp_count(low, F.lit(w)) for w in PERSPECTIVE])
-    guessed = reduce(lambda a, b: a | b, [F.exists(windows(low, w, 8, len(w) + 8), lambda x: x.rlike(SPECULATIVE)) for w in PERSPECTIVE])
+    has = {w: low.contains(F.lit(w)) for w in PERSPECTIVE}
+    seen = reduce(lambda a, b: a + b, [F.when(has[w], F.regexp_count(low, F.lit(w))).otherwise(0) for w in PERSPECTIVE])
+    near = reduce(lambda a, b: a | b, [has[w] & F.exists(windows(low, w, 8, len(w) + 8), lambda x: x.rlike(SPECULATIVE)) for w in PERSPECTIVE])
+    guessed = low.rlike(SPECULATIVE) & near
     perspective = F.when(seen == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.least(F.lit(0.9), seen * 0.25) + F.when(guessed, 0.1).otherwise(0.0)))
     mine, yours, edge = holds(low, SELF_WORDS) > 0, holds(low, OTHER_WORDS) > 0, holds(low, BOUNDARY_WORDS) > 0
     distinction = F.when(mine & yours, 0.5).otherwise(0.0) + F.when(edge, 0.3).otherwise(0.0) + F.when(mine | yours, 0.2).otherwise(0.0)

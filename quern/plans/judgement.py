@@ -142,7 +142,8 @@ def _empathy_sql() -> str:
 @query(_empathy_sql())
 def empathy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four parts of empathy, their score and level."""
-    found = settled(texts(spark, sf_dir).select("id", J.empathy(F.col("text")).alias("x")))
+    rows = settled(texts(spark, sf_dir).select("id", "text", F.lower("text").alias("low")))
+    found = settled(rows.select("id", J.empathy(F.col("text"), F.col("low")).alias("x")))
     return found.where("x.level <> 'none'").select("id", "x.*")
 
 
