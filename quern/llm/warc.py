@@ -11,7 +11,8 @@ can write, and a lost executor leaves no half-written file.
 Reading: archives are split among tasks, decompressed piece by piece, and cut
 into records by Content-Length, so a payload may hold anything, a record header
 included. The records of a capture are joined through their concurrent-to ids,
-one nested row a capture.
+one nested row a capture: in one step for archives written here (``captures``), over
+chains of any length and direction for any archive (``assemble``).
 
 Results for odd input: a null html is an empty payload; a null page id is a
 capture of its own with a null id, however often it occurs; rows with an id that
@@ -28,10 +29,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import BROADCAST_IDS, scratch, sized, written
+from quern.llm.near_dedup import components
 
 #: Payloads shorter than this are never written as revisits.
 REVISIT_BYTES = 1000
@@ -49,8 +51,9 @@ PIECE = 1 << 18
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
+CONCURRENT = "warc-concurrent-to"
 
-RECORD = "type string, record_id string, target_uri string, date string, concurrent_to string, refers_to string, block_digest string, payload_digest string, block_bytes long, payload_bytes long, page_id long, payload binary, http_head string, fields string"
+RECORD = "type string, record_id string, target_uri string, date string, concurrent_to string, refers_to string, block_digest string, payload_digest string, block_bytes long, payload_bytes long, page_id long, payload binary, http_head string, fields string, concurrent_all array<string>"
 
 
 def _url(column: Column) -> Column:
@@ -196,7 +199,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         headers = {}
         for line in m[1].decode("utf-8", "replace").split(CRLF)[:-1]:
             key, _, value = line.partition(":")
-            headers[key.strip().lower()] = value.strip()
+            key, value = key.strip().lower(), value.strip()
+            # the one header that may be repeated: its ids hold no blanks
+            headers[key] = f"{headers[key]} {value}" if key == CONCURRENT and key in headers else value
         begin, size = m.end(), int(headers["content-length"])
         while more and len(buffer) < begin + size:
             piece = next(pieces, None)
@@ -237,7 +242,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     fields = [("type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string())]
     fields += [("concurrent_to", pa.string()), ("refers_to", pa.string()), ("block_digest", pa.string()), ("payload_digest", pa.string())]
     fields += [("block_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("page_id", pa.int64()), ("payload", pa.binary())]
-    fields += [("http_head", pa.string()), ("fields", pa.string())]
+    fields += [("http_head", pa.string()), ("fields", pa.string()), ("concurrent_all", pa.list_(pa.string()))]
     schema = pa.schema(fields)
 
     def row(headers: dict[str, str], block: bytes) -> tuple:
@@ -256,12 +261,13 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
             digest = "sha1:" + hashlib.sha1(payload).hexdigest()
         page = headers.get("x-page-id")
         bare = lambda k: headers[k].strip("<>") if k in headers else None
+        together = [x.strip("<>") for x in headers.get(CONCURRENT, "").split()]
         return (
             kind,
             bare("warc-record-id"),
             headers.get("warc-target-uri"),
             headers.get("warc-date"),
-            bare("warc-concurrent-to"),
+            together[0] if together else None,
             bare("warc-refers-to"),
             headers.get("warc-block-digest"),
             digest.rpartition(":")[2].lower() if digest else None,
@@ -271,6 +277,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
             payload if payloads else None,
             head,
             note,
+            together,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +304,8 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
 def captures(found: DataFrame) -> DataFrame:
     """One nested row a capture: (capture_id, page_id, response, request, metadata), through the concurrent-to ids.
 
-    A capture has a handful of records, so no group is large; two aggregations
-    never see more than a few records of one key.
+    For archives as ``write_archives`` makes them: each request and metadata record
+    names its response. ``assemble`` takes any.
     """
     key = F.coalesce("concurrent_to", "record_id")
     whole = F.struct(*[c for c in found.columns])
@@ -315,6 +322,38 @@ def captures(found: DataFrame) -> DataFrame:
     )
 
 
+#: Kinds of record by the column that they go to.
+MAIN = ("response", "revisit", "resource")
+
+
+def assemble(found: DataFrame) -> DataFrame:
+    """One nested row a capture of any archive: (capture_id, part, page_id, response, request, metadata).
+
+    Records belong together if their concurrent-to ids lead from one to the other, over
+    any number of records, in either direction, with several ids a record; a repeated
+    record id is one record's. Ids that no record has lead nowhere. A capture with
+    several records of a kind has a row, a ``part``, for each, so nothing is dropped and
+    no group is collected. ``capture_id`` is the least record id of the responses, revisits
+    and resources, or of all records if there are none. Records without an id are captures of their own.
+    """
+    held = written(found.where(F.col("type") != "warcinfo").withColumn("__no", F.monotonically_increasing_id()), "records")
+    ids = held.where("record_id is not null").groupBy("record_id").agg(F.min("__no").alias("b"))
+    named = held.select(F.col("__no").alias("a"), F.explode(F.array_append("concurrent_all", F.col("record_id"))).alias("record_id"))
+    links = written(named.join(ids, "record_id").select("a", "b"), "together")
+    labels = components(links, links.count())
+    rows = held.join(labels, held["__no"] == labels["id"], "left").drop("id").withColumn("__capture", F.coalesce("label", "__no")).drop("label")
+    kind = F.when(F.col("type").isin(*MAIN), "response").when(F.col("type") == "request", "request").otherwise("metadata")
+    order = Window.partitionBy("__capture", "__kind").orderBy(F.col("record_id").asc_nulls_last(), "__no")
+    rows = rows.withColumn("__kind", kind).withColumn("part", F.row_number().over(order) - 1)
+    least = F.coalesce(F.min(F.when(F.col("__kind") == "response", F.col("record_id"))), F.min("record_id"))
+    names = rows.groupBy("__capture").agg(least.alias("capture_id"), F.max("page_id").alias("page_id")).withColumnRenamed("__capture", "__of")
+    whole = F.struct(*found.columns)
+    pick = lambda k: F.max(F.when(F.col("__kind") == k, whole)).alias(k)
+    nested = rows.groupBy("__capture", "part").agg(*[pick(k) for k in ("response", "request", "metadata")])
+    out = nested.join(names, F.col("__capture") == F.col("__of"))
+    return out.select("capture_id", "part", "page_id", "response", "request", "metadata")
+
+
 def digest(pages: DataFrame, each: bool = False) -> DataFrame:
     """Writes the pages' archives to the shared folder, reads them back and returns one row a page; ``each`` as for ``records``."""
     spark = pages.sparkSession

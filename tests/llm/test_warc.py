@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import os
 
 import pytest
 
@@ -101,3 +102,43 @@ def test_equal_rows_are_a_record_each(spark):
         (-1, 2000, "revisit", 1), (-1, 2000, "revisit", 1), (0, 2000, "revisit", 1),
         (1, 1, "response", None), (1, 1, "response", None), (1, 2000, "response", None), (1, 2000, "response", None),
     ]
+
+
+def test_assembly_over_chains_directions_and_several_ids(spark):
+    ship(spark)
+
+    def record(kind, own, *together):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\n" + (f"WARC-Record-ID: <{own}>\r\n" if own else "")
+        return (head + "".join(f"WARC-Concurrent-To: <{x}>\r\n" for x in together) + "Content-Length: 2\r\n\r\nhi\r\n\r\n").encode()
+
+    records = [
+        record("warcinfo", "u:info"),
+        record("response", "u:r1"), record("request", "u:q1", "u:r1"), record("metadata", "u:m1", "u:r1"),  # direct
+        record("response", "u:r2", "u:q2"), record("request", "u:q2"), record("metadata", "u:m2", "u:q2"),  # from the response, and a chain
+        record("resource", "u:r3"), record("metadata", "u:m3", "u:nowhere", "u:r3"), record("metadata", "u:m4", "u:m3"),  # several ids, two of a kind
+        record("request", "u:q5", "u:nowhere"),  # no response
+        record("metadata", None), record("metadata", None),  # no id
+    ]
+    for data in (b"".join(records), b"".join(map(gzip.compress, records))):
+        path = scratch(spark, "foreign")
+        local = path.removeprefix("file:")
+        os.makedirs(local)
+        with open(f"{local}/part-0.txt" + (".gz" if data[:2] == b"\x1f\x8b" else ""), "wb") as f:
+            f.write(data)
+        out = W.assemble(W.read_records(spark, path)).collect()
+        of = lambda x: x["record_id"] if x else None
+        got = sorted((r["capture_id"] or "", r["part"], of(r["response"]) or "", of(r["request"]) or "", of(r["metadata"]) or "") for r in out)
+        assert got == [
+            ("", 0, "", "", ""), ("", 0, "", "", ""), ("u:q5", 0, "", "u:q5", ""), ("u:r1", 0, "u:r1", "u:q1", "u:m1"),
+            ("u:r2", 0, "u:r2", "u:q2", "u:m2"), ("u:r3", 0, "u:r3", "", "u:m3"), ("u:r3", 1, "", "", "u:m4"),
+        ]
+
+
+def test_assembly_equals_captures_for_own_archives(spark):
+    rows = [(i, f"http://h/{i}", "<p>" + "x" * (900 + i % 7 * 40) + "</p>") for i in range(120)]
+    path = scratch(spark, "warc-own")
+    W.write_archives(pages(spark, rows), path)
+    records = W.read_records(spark, path)
+    key = lambda r: (r["capture_id"], r["page_id"], r["response"]["record_id"], r["request"]["record_id"], r["metadata"]["record_id"])
+    assert sorted(map(key, W.assemble(records).collect())) == sorted(map(key, W.captures(records).collect()))
+    assert W.assemble(records.limit(0)).count() == 0
