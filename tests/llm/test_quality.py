@@ -145,3 +145,75 @@ def test_rare_languages_are_pooled(spark, monkeypatch):
     references = R.learn_references(docs(spark, rows))
     assert set(references.langs) == {"en", R.POOLED}
     assert all(abs(s[:-1].sum() - 1) < 1e-9 for s in references.word_shares)
+
+
+def test_verdict_against_a_plain_reading(spark):
+    """Distances and verdicts again, by counting characters and words one by one."""
+    import math
+
+    from quern.llm.textstats import STOPS, SYMBOLS
+
+    def kind(c):
+        if ord(c) > 127:
+            return "other"
+        for name, test in (("lower", str.islower), ("upper", str.isupper), ("digit", str.isdigit), ("space", str.isspace)):
+            if test(c) and not 0x1C <= ord(c) <= 0x1F:
+                return name
+        if c.encode() in [bytes([b]) for b in SYMBOLS]:
+            return "symbol"
+        if c.encode() in [bytes([b]) for b in STOPS]:
+            return "stop"
+        return "control" if ord(c) < 32 or ord(c) == 127 else "mark"
+
+    def distance(p, q):
+        total = 0.0
+        for k in set(p) | set(q):
+            a, b = p.get(k, 0.0), q.get(k, 0.0)
+            m = (a + b) / 2
+            total += sum(x * math.log2(x / m) for x in (a, b) if x > 0) / 2
+        return math.sqrt(max(0.0, total))
+
+    d = table(spark, SF2, "documents")
+    references = R.learn_references(d)
+    seen = Counter()
+    for r in d.orderBy("doc_id").limit(300).collect():
+        text = r["text"] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        chars = Counter(map(kind, text))
+        tokens = Counter(kind(c) for w in words if len(w.encode()) >= R.LONG_TOKEN and re.search("[0-9]", w) for c in w)
+        if tokens and sum(tokens.values()) <= R.TOKEN_SHARE * sum(chars.values()):
+            chars = chars - tokens
+        plain = [w.encode().strip(R._STRIP).lower() for w in words]
+        best = None
+        for own, shares, classes in zip(references.words, references.word_shares, references.class_shares, strict=True):
+            known = {w: s for (w, _), s in zip(own, shares, strict=False)}
+            count = Counter(w if w in known else None for w in plain)
+            mine = {w: n / max(1, len(words)) for w, n in count.items()}
+            by_word = distance(mine, known | {None: float(shares[-1])})
+            share = {c: n / max(1, sum(chars.values())) for c, n in chars.items()}
+            pair = (by_word, distance(share, dict(zip(R.CLASSES, map(float, classes), strict=True))))
+            best = pair if best is None or pair < best else best
+        base = brute_counts(text)
+        failed = base["n_words"] < 50 or 100 * base["n_repeat_words"] > 50 * base["n_words"]
+        bad = len(text) >= R.LEAST_CHARS and best[1] > R.MOST_CLASS + R.CLASS_SPREAD / math.sqrt(len(text))
+        got = R.verdict(r["text"], references)
+        assert got["kept"] == (not (failed or bad or best[0] > R.MOST_WORD)), r["doc_id"]
+        if words:
+            assert abs(got["word_distance"] - best[0]) < 1e-6 and abs(got["class_distance"] - best[1]) < 1e-6, r["doc_id"]
+        seen[got["kept"]] += 1
+    assert seen[True] > 100 and seen[False] > 10
+
+
+def test_scores_against_a_plain_reading(spark):
+    """The classifier's score from its weights, term by term."""
+    import math
+
+    d, labels = table(spark, SF2, "documents"), table(spark, SF2, "labels")
+    ranker = Q.learn(d, labels)
+    got = {r["doc_id"]: r for r in Q.score(d, ranker).collect()}
+    for r in d.limit(200).collect():
+        x = Q.features(r["text"])
+        strength = sum((float(v) - m) / s * w for v, m, s, w in zip(x, ranker.mean, ranker.spread, ranker.weights, strict=True))
+        z = max(-40.0, min(40.0, (strength - ranker.cut) / ranker.width + math.log(0.3 / 0.7)))
+        want = 1 / (1 + math.exp(-z))
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-9 and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.3)
