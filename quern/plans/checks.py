@@ -214,11 +214,11 @@ _NUMBER = r"\d+(?:\.\d+)?\s*(?:%|万亿|万|亿)?"
 
 @query(f"""WITH {TEXTS}, n AS (SELECT id, list_transform(regexp_extract_all(text, '{_NUMBER}'), lambda x: regexp_extract(x, '\\d+(?:\\.\\d+)?')::DOUBLE *
   CASE WHEN ends_with(x, '%') THEN 0.01e0 WHEN ends_with(x, '万亿') THEN 1e12 WHEN ends_with(x, '万') THEN 1e4 WHEN ends_with(x, '亿') THEN 1e8 ELSE 1e0 END) AS n FROM texts)
-SELECT id, len(n)::INT AS n, round(list_sum(n), 4) AS total FROM n WHERE len(n) > 0""")
+SELECT id, len(n)::INT AS n, round(ln(1 + list_sum(n)), 6) AS magnitude FROM n WHERE len(n) > 0""")
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """numbers with their units worked in."""
+    """numbers with their units worked in; the logarithm of their sum, whose last digits depend on the order of adding."""
     found = settled(texts(spark, sf_dir).select("id", scalars.numbers_with_units(F.col("text")).alias("x"))).where(F.size("x") > 0)
-    return found.select("id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    return found.select("id", F.size("x").alias("n"), F.round(F.log1p(F.aggregate("x", F.lit(0.0), lambda a, x: a + x)), 6).alias("magnitude"))
 
 
 @query("""SELECT event_id, round(greatest(0e0, least(1e0, sqrt((p * p + a * a + d * d) / 3e0))), 6) AS mood, round(v + 0.1e0 * (r - v), 6) AS learnt, round(0.2e0 * log2(event_id % 9 + 2), 6) AS choice,
