@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from quern.plans import checks, graph, judgement, logs, memory, rules, storage, text
+    from quern.plans import assessment, checks, graph, judgement, logs, memory, rules, storage, text
 
-    return [text, rules, judgement, checks, memory, logs, graph, storage]
+    return [text, rules, judgement, assessment, checks, memory, logs, graph, storage]
 
 
 def queries() -> dict:
