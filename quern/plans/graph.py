@@ -78,9 +78,10 @@ WHERE c.seq = (SELECT min(seq) FROM tri)""")
 def causal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path from a customer to its region and its mean confidence."""
     t = triples(spark, sf_dir)
-    first = t.orderBy("seq").select("subject", "seq").first()
-    region = t.where(F.col("subject") == first["subject"]).select(F.col("object").alias("n")).join(t, F.col("n") == F.col("subject")).first()["object"]
-    p = G.paths(t, first["subject"], region)
+    first = t.agg(F.min_by("subject", "seq").alias("node"))
+    nation = t.join(first, F.col("subject") == F.col("node"), "left_semi").select(F.col("object").alias("n")).distinct()
+    region = t.join(nation, F.col("subject") == F.col("n"), "left_semi").agg(F.min("object").alias("node"))
+    p = G.paths(t, first, region)
     return p.select(F.element_at("nodes", -1).alias("region"), "length", F.round(G.chain_confidence(F.col("confidences")), 6).alias("confidence"))
 
 
@@ -89,7 +90,7 @@ SELECT object AS entity, 'out' AS direction, round(confidence, 6)::DOUBLE AS con
 def related_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that touch a domain, with their direction."""
     t = triples(spark, sf_dir)
-    name = t.where("predicate = 'lives_in'").agg(F.min("object")).first()[0]
+    name = t.where("predicate = 'lives_in'").agg(F.min("object").alias("node"))
     return G.related(t, name).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -158,12 +159,12 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.similar_pairs(t, "id", M.words(F.col("text")), 0.12).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, (string_split(lower(text), ' '))[1:5] AS w FROM conversations), e AS (SELECT conv_id, turn, unnest(w) AS c, unnest(range(len(w))) AS i FROM c)
-SELECT l.conv_id * 100 + l.turn AS id, l.c AS x, r.c AS y FROM e l JOIN e r ON l.conv_id = r.conv_id AND l.turn = r.turn AND l.i < r.i""")
+@query("""WITH c AS (SELECT l_orderkey AS id, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem)
+SELECT l.id, l.p AS x, r.p AS y FROM c l JOIN c r ON l.id = r.id AND l.i < r.i""")
 def concept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a record's concepts."""
-    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.slice(F.split(F.lower("text"), " ", -1), 1, 5).alias("w"))
-    return G.concept_pairs(t, "id", "w")
+    """Pairs of a record's concepts, with an order's parts as its concepts."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("c"))
+    return G.concept_pairs(lines.select("id", F.col("c.l_partkey").alias("w")), "id", "w")
 
 
 @query("SELECT r_name AS parent, n_name AS child FROM region JOIN nation ON n_regionkey = r_regionkey")
@@ -184,9 +185,14 @@ def shared_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.shared_seeds(d, "seeds")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, list_distinct(regexp_split_to_array(lower(text), '\\s+')) AS w FROM conversations),
+r AS (SELECT conv_id, list({'turn': turn, 'w': w} ORDER BY turn) AS free, CAST(NULL AS STRUCT(turn INTEGER, w VARCHAR[])) AS seed, CAST([] AS INTEGER[]) AS taken FROM t GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, list_filter(free, lambda x: NOT list_contains(own, x.turn)), free[1], own FROM (
+    SELECT conv_id, free, list_transform(list_filter(free, lambda x: x.turn = free[1].turn OR len(list_intersect(x.w, free[1].w)) / len(list_distinct(list_concat(x.w, free[1].w)))::DOUBLE > 0.1), lambda x: x.turn) AS own FROM r WHERE len(free) > 0))
+SELECT conv_id, unnest(taken) AS turn, seed.turn AS "cluster" FROM r WHERE seed IS NOT NULL""")
 def seed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy clusters of each conversation's turns (order-dependent, so no SQL)."""
+    """Greedy clusters of each conversation's turns."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", M.word_set(F.col("text")).alias("w"))
     return G.seed_clusters(t, "conv_id", "turn", "w", 0.1)
 

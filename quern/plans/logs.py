@@ -260,11 +260,11 @@ def benchmark_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("label", L.benchmark_label(F.col("score")))
 
 
-@query("""WITH s AS (SELECT unnest(string_split(lower(text), ' ')[1:5]) AS step FROM conversations WHERE role = 'assistant')
+@query("""WITH s AS (SELECT unnest(string_split(lower(text), ' ')) AS step FROM conversations WHERE role = 'assistant')
 SELECT step, count(*)::BIGINT AS n FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def common_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most common steps of successes."""
-    c = table(spark, sf_dir, "conversations").select(F.slice(F.split(F.lower("text"), " ", -1), 1, 5).alias("steps"), (F.col("role") == "assistant").alias("ok"))
+    c = table(spark, sf_dir, "conversations").select(F.split(F.lower("text"), " ", -1).alias("steps"), (F.col("role") == "assistant").alias("ok"))
     return L.common_steps(c, "steps", "ok")
 
 

@@ -42,4 +42,5 @@ def differences(spark, con, run, sql: str, sf_dir: str) -> list[str]:
     want = sorted(tuple(value(r[i]) for i in at) for r in result.fetchall())
     if got == want:
         return []
-    return [f"{len(got)} and {len(want)} rows"] + [str(x) for x in got if x not in set(want)][:2] + [str(x) for x in want if x not in set(got)][:2]
+    left, right = set(got), set(want)
+    return [f"{len(got)} and {len(want)} rows"] + [str(x) for x in got if x not in right][:2] + [str(x) for x in want if x not in left][:2]

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import os
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -194,3 +195,34 @@ def test_periodic_consolidates_what_small_batches_add_up_to(spark, tmp_path):
     assert len(seen) == 1
     feed(49, 51)
     assert seen[1:] == [list(range(30, 51))]
+
+
+def test_seed_clusters_against_all_pairs_in_order(spark):
+    rnd = random.Random(8)
+    rows = [(g, i, [rnd.choice("abcdefgh") for _ in range(rnd.randrange(6))]) for g in ("x", "y") for i in range(60)]
+    want = {}
+    for g in ("x", "y"):
+        own = [(i, set(w)) for h, i, w in rows if h == g]
+        for at, (i, w) in enumerate(own):
+            if (g, i) in want:
+                continue
+            want[g, i] = i
+            for j, v in own[at + 1 :]:
+                if (g, j) not in want and w | v and len(w & v) / len(w | v) > 0.3:
+                    want[g, j] = i
+    df = spark.createDataFrame(rows, "g string, k long, w array<string>")
+    assert {(r["g"], r["k"]): r["cluster"] for r in G.seed_clusters(df, "g", "k", "w", 0.3).collect()} == want
+    with pytest.raises(Exception, match="more than 10"):
+        G.seed_clusters(df, "g", "k", "w", 0.3, most=10).collect()
+
+
+def test_paths_between_tables_of_names(spark):
+    e = spark.createDataFrame([("A", "r", "B", 0.5), ("B", "r", "C", 1.0), ("C", "r", "D", 0.2)], "subject string, predicate string, object string, confidence double")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    assert G.paths(e, names("A"), names("C")).first()["nodes"] == ["A", "B", "C"]
+    assert G.related(e, names("B")).count() == 2 and G.related(e, names()).count() == 0
+
+
+def test_pairs_of_concepts_keep_their_order(spark):
+    df = spark.createDataFrame([(1, ["c", "a", "a"]), (2, ["x"]), (3, []), (4, None)], "id long, w array<string>")
+    assert sorted(map(tuple, G.concept_pairs(df, "id", "w").collect())) == [(1, "a", "a"), (1, "c", "a"), (1, "c", "a")]
