@@ -188,16 +188,40 @@ FULL_COVER = r"覆盖全部|涵盖全部|包含全部|覆盖了?所有|涵盖所
 PARTIAL_COVER = r"绝大部分|绝大多数|九成|八成|七成|过半|大部分|多数客户|most of|vast majority|nearly all|about \d+% of the|剩余部分|剩下[的\d]"
 
 
+#: A percentage and how far around it is looked; people of whom some are a share; a place that a share comes from.
+PERCENTAGE, SHARE_SPAN = r"\d+(?:\.\d+)?\s*%", 14
+SHARE_OF = r"\d+(?:\.\d+)?\s*%\s*of\s+(?:the\s+)?(?:respondents?|students?|users?|people|customers?|participants?|voters?|employees?|members)"
+SHARE_FROM = r"from\s+[A-Z一-龥]"
+SHARE_RISE = r"上升|下跌|从\s*[\d.]+\s*%\s*(?:升|降)"
+LEAST_SHARE_TEXT = 6
+
+
 def shares(text: Column, after: str, rates: bool) -> Column:
-    """Percentages of a whole: those with a word of sharing within fourteen characters on either side."""
-    number = r"(\d+(?:\.\d+)?)\s*%"
-    value = F.regexp_extract_all(text, F.lit(number), 1)
-    before = F.regexp_extract_all(text, F.lit(rf"(?s)(?<=(.{{0,14}}))(?<![\d.]){number}"), 1)
-    behind = F.regexp_extract_all(text, F.lit(rf"(?s){number}(?=(.{{0,14}}))"), 2)
-    rows = F.arrays_zip(value.alias("v"), before.alias("b"), behind.alias("a"))
-    keep = lambda r: r["b"].rlike(f"(?i){SHARE_BEFORE}") | r["a"].rlike(f"(?i){after}") | r["a"].rlike("^ of ")
-    sane = F.filter(rows, lambda r: keep(r) & (~(r["b"].rlike(SHARE_RATE) | r["a"].rlike(SHARE_RATE)) if rates else F.lit(True)))
-    return F.transform(sane, lambda r: r["v"].cast("double"))
+    """Percentages of a whole: those with a word of sharing within fourteen characters on either side, or "of" people.
+
+    The text is cut ahead of every percentage. A piece but the first has two characters
+    at least, so its neighbours within ``SHARE_SPAN`` pieces hold all that is looked at.
+    """
+    ahead, behind = "\x01", "\x02"
+    cut = F.split(F.regexp_replace(F.translate(text, ahead + behind, "  "), f"({java(PERCENTAGE)})", f"{ahead}$1{behind}"), ahead, -1)
+    of = Match(SHARE_OF, True).column(text)
+
+    def read(pieces: Column, k: Column) -> Column:
+        whole = lambda part: F.replace(F.array_join(part, ""), F.lit(behind), F.lit(""))
+        before = F.right(whole(F.slice(pieces, F.greatest(F.lit(1), k - SHARE_SPAN + 1), F.least(k, F.lit(SHARE_SPAN)))), F.lit(SHARE_SPAN))
+        rest = F.element_at(F.split(F.element_at(pieces, k + 1), behind, 2), 2)
+        follow = F.left(F.concat(rest, whole(F.slice(pieces, k + 2, F.lit(SHARE_SPAN)))), F.lit(SHARE_SPAN))
+        return F.struct(F.regexp_extract(F.element_at(pieces, k + 1), r"^(\d+(?:\.\d+)?)", 1).cast("double").alias("v"), before.alias("b"), follow.alias("a"))
+
+    def keep(r: Column) -> Column:
+        held = Match(SHARE_BEFORE, True).column(r["b"]) | Match(after, True).column(r["a"]) | (of & r["a"].rlike(java(r"^\s*of\b")))
+        if not rates:
+            return held
+        return (held | r["a"].rlike(java(SHARE_FROM))) & ~(r["b"].rlike(SHARE_RATE) | r["a"].rlike(SHARE_RATE))
+
+    every = lambda pieces: F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: read(pieces, k))
+    found = F.get(F.transform(F.array(cut), lambda pieces: F.when(F.size(pieces) > 1, F.transform(F.filter(every(pieces), keep), lambda r: r["v"]))), 0)
+    return F.coalesce(found, F.expr("cast(array() as array<double>)"))
 
 
 def _total(values: Column) -> Column:
@@ -206,20 +230,21 @@ def _total(values: Column) -> Column:
 
 def percentage_overflow(text: Column) -> Column:
     """0.7, 0.85 or 0.9: shares of one whole that add up to more than 100.5, 105 or 115."""
-    exempt = text.rlike(SHARE_CHANGE) | text.rlike(SHARE_FREQUENCY) | text.rlike(f"(?i){SHARE_PHASE}") | text.rlike(f"(?i){SHARE_PROGRESS}")
+    exempt = text.rlike(java(SHARE_CHANGE)) | text.rlike(SHARE_FREQUENCY) | text.rlike(f"(?i){SHARE_PHASE}") | text.rlike(f"(?i){SHARE_PROGRESS}")
     parts = shares(text, SHARE_AFTER, True)
     total = _total(parts)
     score = F.when((F.size(parts) < 2) | (total <= 100.5), 0.0).when(total >= 115, 0.9).when(total >= 105, 0.85).otherwise(0.7)
-    return F.when(F.coalesce(text.contains("%"), F.lit(False)) & ~exempt, score).otherwise(F.lit(0.0))
+    usable = F.coalesce(text.contains("%") & (F.length(text) >= LEAST_SHARE_TEXT), F.lit(False))
+    return F.when(usable & ~exempt, score).otherwise(F.lit(0.0))
 
 
 def incoherent_coverage(text: Column) -> Column:
     """0.75, 0.85 or 0.9: shares said to cover everything that add up to 92 at most, with a gap of 20 or 40."""
-    exempt = text.rlike(SHARE_CHANGE + "|上升|下跌") | text.rlike(SHARE_FREQUENCY) | text.rlike(f"(?i){SHARE_PHASE}") | text.rlike(f"(?i){PARTIAL_COVER}")
+    exempt = text.rlike(java(SHARE_CHANGE + "|" + SHARE_RISE)) | text.rlike(SHARE_FREQUENCY) | text.rlike(f"(?i){SHARE_PHASE}") | text.rlike(f"(?i){PARTIAL_COVER}")
     parts = shares(text, SHARE_AFTER_WIDE, False)
     total = _total(parts)
     score = F.when((F.size(parts) < 2) | (total > 92), 0.0).when(total <= 60, 0.9).when(total <= 80, 0.85).otherwise(0.75)
-    usable = F.coalesce(text.contains("%") & text.rlike(f"(?i){FULL_COVER}"), F.lit(False))
+    usable = F.coalesce(text.contains("%") & (F.length(text) >= LEAST_SHARE_TEXT) & text.rlike(f"(?i){FULL_COVER}"), F.lit(False))
     return F.when(usable & ~exempt, score).otherwise(F.lit(0.0))
 
 

@@ -145,6 +145,12 @@ RULE_TEXTS = (
     "if (x > 1) { return 2; } else { return 3; } done",
     "if (x > 1) { return 2; } if (y) { z(); } else { return 3; }",
     "p\u0430yp\u0430l \u200badmin e\u0301\u0301\u0301",
+    "45% from India and 60% from China, it covers all.",
+    "60% of respondents agreed, 42% of students did not.",
+    "覆盖全部场景：甲占30%，乙占20%。",
+    "绝大部分预算，覆盖全部场景：甲占30%，乙占20%。",
+    "全部渠道：甲占45 %，乙占40.5%，准确率为9%。",
+    "甲占60%，同比增长为60%。",
 )
 
 
@@ -427,9 +433,25 @@ def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(out).where("habits > 0 or architecture > 0 or reversibility < 1")
 
 
-@query()
+def _shares_sql() -> str:
+    cut = f"string_split(regexp_replace(translate(text, chr(1) || chr(2), '  '), {sql_text('(' + T.PERCENTAGE + ')')}, chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+    whole = lambda part: f"replace(array_to_string({part}, ''), chr(2), '')"
+    read = f"""SELECT id, text, regexp_extract(cut[k + 1], '^([0-9]+([.][0-9]+)?)', 1)::DOUBLE AS v, right({whole(f'cut[greatest(1, k - {T.SHARE_SPAN} + 1):k]')}, {T.SHARE_SPAN}) AS b,
+      left(substring(cut[k + 1], instr(cut[k + 1], chr(2)) + 1) || {whole(f'cut[k + 2:k + 1 + {T.SHARE_SPAN}]')}, {T.SHARE_SPAN}) AS a FROM (SELECT id, text, cut, unnest(range(1, len(cut))) AS k FROM (SELECT id, text, {cut} AS cut FROM texts WHERE contains(text, '%') AND length(text) >= {T.LEAST_SHARE_TEXT}))"""
+    held = lambda after: f"({Match(T.SHARE_BEFORE, True).sql('b')} OR {Match(after, True).sql('a')} OR ({Match(T.SHARE_OF, True).sql('text')} AND regexp_matches(a, '^\\s*of\\b')))"
+    rate = f"(regexp_matches(b, '{T.SHARE_RATE}') OR regexp_matches(a, '{T.SHARE_RATE}'))"
+    over = f"({held(T.SHARE_AFTER)} OR regexp_matches(a, {sql_text(T.SHARE_FROM)})) AND NOT {rate}"
+    not_ = lambda *ps: " AND ".join(f"NOT regexp_matches(text, {sql_text(p)})" for p in ps)
+    common = (T.SHARE_CHANGE, T.SHARE_FREQUENCY, "(?i)" + T.SHARE_PHASE)
+    return f"""WITH {TEXTS}, p AS ({read}), s AS (SELECT id, text, count(*) FILTER ({over}) AS n, sum(v) FILTER ({over}) AS total, count(*) FILTER ({held(T.SHARE_AFTER_WIDE)}) AS m, sum(v) FILTER ({held(T.SHARE_AFTER_WIDE)}) AS part FROM p GROUP BY id, text),
+    r AS (SELECT id, CASE WHEN n < 2 OR total <= 100.5 OR NOT ({not_(*common, '(?i)' + T.SHARE_PROGRESS)}) THEN 0e0 WHEN total >= 115 THEN 0.9e0 WHEN total >= 105 THEN 0.85e0 ELSE 0.7e0 END AS overflow,
+      CASE WHEN m < 2 OR part > 92 OR NOT ({not_(*common, T.SHARE_RISE, '(?i)' + T.PARTIAL_COVER)}) OR NOT regexp_matches(text, {sql_text('(?i)' + T.FULL_COVER)}) THEN 0e0 WHEN part <= 60 THEN 0.9e0 WHEN part <= 80 THEN 0.85e0 ELSE 0.75e0 END AS incoherent FROM s)
+    SELECT * FROM r WHERE overflow > 0 OR incoherent > 0"""
+
+
+@query(_shares_sql())
 def share_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares that do not add up (look-around)."""
+    """Shares that do not add up."""
     t = F.col("text")
     return settled(texts(spark, sf_dir).select("id", T.percentage_overflow(t).alias("overflow"), T.incoherent_coverage(t).alias("incoherent"))).where("overflow > 0 or incoherent > 0")
 

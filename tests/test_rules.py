@@ -187,3 +187,18 @@ def test_exposure_and_claims(spark):
     assert v("hello there") == "verified" and v("it is the best cat of the town.") == "needs_evidence"
     assert v("According to doctors, cats sleep.") == "authority_only" and v("") == "verified"
     assert [c["status"] for c in one("I think it is never wrong.", X.claims(t))] == ["needs_evidence"]
+
+
+def test_shares_by_the_words_ahead_of_them(spark):
+    over = lambda t: one(t, T.percentage_overflow(F.col("text")))
+    cover = lambda t: one(t, T.incoherent_coverage(F.col("text")))
+    one = lambda t, c: spark.createDataFrame([(t,)], "text string").select(c.alias("x")).first()["x"]
+    assert over("共有三类：甲占50%，乙占40%，丙占30%。") == 0.9
+    assert over("甲占 60 %，乙占 42%") == 0.7 and over("甲占60%，乙占45%") == 0.85 and over("甲占60%，乙占40.5%") == 0.0
+    assert over("45% from India and 60% from China") == 0.85 and over("45% from india and 60% from china") == 0.0
+    assert over("60% of respondents, 50% of them") == 0.85 and over("60% of steel, 50% of iron") == 0.0
+    assert over("甲的准确率为90%，乙的召回为80%") == 0.0 and over("甲占60%，同比为60%") == 0.0
+    assert over("voted for one long thing 60%, then 50%") == 0.0 and over("A voted 60%, B voted 50%") == 0.85
+    assert over("占9%占9") == 0.0 and over(None) == 0.0 and over("") == 0.0 and over("%%%%%%") == 0.0
+    assert cover("覆盖全部场景：甲占30%，乙占20%") == 0.9 and cover("覆盖全部场景：15% 用甲，从20%升到30%，占") == 0.0
+    assert cover("绝大部分，覆盖全部场景：甲占30%，乙占20%") == 0.0 and cover("覆盖所有：甲占50%，乙占45%") == 0.0
