@@ -221,14 +221,14 @@ def _half_up(x: Column, digits: int = 2) -> Column:
 def windows(text: Column, pattern: str, before: int, after: int) -> Column:
     """The surroundings of every match: ``before`` characters ahead of its begin and ``after`` from its begin on.
 
-    The text is cut before each match. Only texts with a match are cut.
+    The text is cut before each match, once, and only if it has one. Every piece but the
+    first has a character at least, so as many pieces as characters are looked at hold them.
     """
     mark = "\x01"
     cut = F.split(F.regexp_replace(F.replace(text, F.lit(mark), F.lit(" ")), f"({pattern})", f"{mark}$1"), mark, -1)
-    around = lambda k: F.concat(
-        F.right(F.array_join(F.slice(cut, F.lit(1), k), ""), F.lit(before)), F.left(F.array_join(F.slice(cut, k + 1, F.size(cut)), ""), F.lit(after))
-    )
-    found = F.transform(F.sequence(F.lit(1), F.size(cut) - 1), around)
+    ahead = lambda x, k: F.right(F.array_join(F.slice(x, F.greatest(F.lit(1), k - before), F.least(k, F.lit(before + 1))), ""), F.lit(before))
+    behind = lambda x, k: F.left(F.array_join(F.slice(x, k + 1, F.lit(after)), ""), F.lit(after))
+    found = F.get(F.transform(F.array(cut), lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda k: F.concat(ahead(x, k), behind(x, k)))), 0)
     return F.when(text.rlike(pattern), found).otherwise(F.expr("cast(array() as array<string>)"))
 
 

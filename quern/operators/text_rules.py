@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions.regex import count_matches, has_cjk, java
 from quern.functions.scalars import sentences
 from quern.operators.detectors import FRAMES_EN, FRAMES_ZH
+from quern.operators.judgement import windows
 from quern.operators.rules import Expr, Match, Some, any_literal, any_of
 
 
@@ -134,19 +135,11 @@ def architecture_issues(text: Column) -> Column:
     return _sum(issues)
 
 
-def context_free(text: Column, pattern: str, span: int, *saved: str, ic: bool = True) -> Column:
-    """Matches of a pattern without any of the saving patterns within ``span`` characters on either side.
-
-    Each match is taken with its surroundings by one look-around pattern, so no
-    position has to leave the expression.
-    """
-    flag = "(?i)" if ic else ""
-    p = java(pattern)
-    around = F.regexp_extract_all(text, F.lit(f"(?s){flag}(?=((?:{p}).{{0,{span}}}))(?:{p})"), 1)
-    before = F.regexp_extract_all(text, F.lit(f"(?s){flag}(?<=(.{{0,{span}}}))(?:{p})"), 1)
-    pairs = F.zip_with(before, around, lambda b, a: F.concat(F.coalesce(b, F.lit("")), F.coalesce(a, F.lit(""))))
-    free = F.filter(pairs, lambda w: ~_any(w.rlike(f"(?i){java(s)}") for s in saved)) if saved else pairs
-    return F.when(text.rlike(flag + p), F.size(free)).otherwise(F.lit(0))
+def context_free(text: Column, pattern: str, span: int, *saved: str) -> Column:
+    """Matches of a pattern, in either case, without any of the saving patterns within ``span`` characters of their begin on either side."""
+    found = windows(text, "(?i)" + java(pattern), span, span)
+    free = F.filter(found, lambda w: ~_any(w.rlike(f"(?i){java(s)}") for s in saved)) if saved else found
+    return F.coalesce(F.size(free), F.lit(0))
 
 
 # Destructive, sweeping and production words with what saves them.
@@ -167,12 +160,8 @@ def reversibility(text: Column) -> dict[str, Column]:
 
 
 def _both_near(text: Column, pattern: str, span: int, *needed: str) -> Column:
-    p = java(pattern)
-    after = F.regexp_extract_all(text, F.lit(f"(?s)(?i)(?=((?:{p}).{{0,{span}}}))(?:{p})"), 1)
-    before = F.regexp_extract_all(text, F.lit(f"(?s)(?i)(?<=(.{{0,{span}}}))(?:{p})"), 1)
-    pairs = F.zip_with(before, after, lambda b, a: F.concat(F.coalesce(b, F.lit("")), F.coalesce(a, F.lit(""))))
-    ok = F.filter(pairs, lambda w: reduce(lambda x, y: x & y, [w.rlike(f"(?i){java(s)}") for s in needed]))
-    return F.when(text.rlike("(?i)" + p), F.size(ok)).otherwise(F.lit(0))
+    ok = F.filter(windows(text, "(?i)" + java(pattern), span, span), lambda w: reduce(lambda x, y: x & y, [w.rlike(f"(?i){java(s)}") for s in needed]))
+    return F.coalesce(F.size(ok), F.lit(0))
 
 
 # Percentages that are shares of a whole.

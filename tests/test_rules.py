@@ -202,3 +202,13 @@ def test_shares_by_the_words_ahead_of_them(spark):
     assert over("占9%占9") == 0.0 and over(None) == 0.0 and over("") == 0.0 and over("%%%%%%") == 0.0
     assert cover("覆盖全部场景：甲占30%，乙占20%") == 0.9 and cover("覆盖全部场景：15% 用甲，从20%升到30%，占") == 0.0
     assert cover("绝大部分，覆盖全部场景：甲占30%，乙占20%") == 0.0 and cover("覆盖所有：甲占50%，乙占45%") == 0.0
+
+
+def test_what_saves_a_word_may_be_ahead_of_it(spark):
+    def count(t, kind="destructive"):
+        return spark.createDataFrame([(t,)], "text string").select(T.reversibility(F.col("text"))[kind].alias("x")).first()["x"]
+
+    assert count("Take a backup, then DROP TABLE users") == 0 and count("Take a backup, then " + "x" * 200 + " DROP TABLE users") == 1
+    assert count("DROP TABLE users" + "x" * 200 + " after a backup") == 1 and count("drop table a, drop table b") == 2
+    assert count("12 items with a backup: batch run", "sweeping") == 0 and count("12 items: batch run", "sweeping") == 1
+    assert count(None) == 0 and count("") == 0
