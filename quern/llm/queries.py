@@ -11,6 +11,7 @@ from quern.llm import (
     language_id,
     license_scan,
     near_dedup,
+    ngram_join,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -63,6 +64,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"), each=True)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_near_dedup": op9_near_dedup,
         "op10_warc": op10_warc,
+        "op11_ngram_join": op11_ngram_join,
         "pipeline": pipeline,
     }
     return {name: _shipped(query) for name, query in own.items()}
