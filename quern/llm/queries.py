@@ -17,6 +17,7 @@ from quern.llm import (
     secret_scan,
     sentencepiece_codec,
     sharding,
+    spelling_variants,
     warc,
 )
 from quern.llm.common import ship, table
@@ -68,6 +69,10 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op9_near_dedup": op9_near_dedup,
         "op10_warc": op10_warc,
         "op11_ngram_join": op11_ngram_join,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
     }
     return {name: _shipped(query) for name, query in own.items()}
