@@ -82,5 +82,18 @@ walk AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT w.word,
 SELECT f.*, root FROM f JOIN (SELECT word, root FROM walk WHERE next IS NULL) USING (word)"""
 
 
+OP12 = f"""WITH {CRC_TABLE},
+own AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT c, s, c - ((c % 20) + 20) % 20 AS base, ({_crc32("(c::VARCHAR)")})::BIGINT % 4 AS h FROM own, crc),
+whole AS (SELECT h.c, list_concat(coalesce(b.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN own b ON b.c = h.base),
+prefix AS (SELECT c, d, s[1:d] AS p, d = len(s) AS last FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM whole)),
+node AS MATERIALIZED (SELECT p, d, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends FROM prefix GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS up, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+own_sums AS (SELECT node.p, d, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(list_filter(regexp_split_to_array(node.p[-1].text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) END AS saved FROM node LEFT JOIN kids ON kids.up = node.p),
+sums AS (SELECT p[1:k] AS p, sum(leaf) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(d + 1)) AS k FROM own_sums) GROUP BY 1)
+SELECT x.c AS conv_id, x.d AS depth, up.c AS parent_conv_id, x.n AS n_convs, coalesce(k, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM node x JOIN sums ON sums.p = x.p LEFT JOIN kids ON kids.up = x.p LEFT JOIN node up ON up.p = x.p[1:x.d - 1] AND x.d > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": _op2(), "op10_warc": OP10, "op13_spelling_variants": OP13}
+    return {"op2_secret_scan": _op2(), "op10_warc": OP10, "op12_prefix_trie": OP12, "op13_spelling_variants": OP13}

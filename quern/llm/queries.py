@@ -12,6 +12,7 @@ from quern.llm import (
     license_scan,
     near_dedup,
     ngram_join,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -69,6 +70,10 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_groups(table(spark, sf_dir, "documents"))
 
@@ -102,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op9_near_dedup": op9_near_dedup,
         "op10_warc": op10_warc,
         "op11_ngram_join": op11_ngram_join,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
     }
