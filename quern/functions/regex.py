@@ -127,3 +127,56 @@ def risky(pattern: str) -> str | None:
     if re.search(r"(?:\.\*){2,}|(?:\.\+){2,}", pattern):
         return "adjacent wildcards"
     return None
+
+
+_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def required_literals(pattern: str) -> list[str]:
+    """Literals, ASCII letters in lower case, of which every match holds one in either case; empty if none is certain.
+
+    They are the longest run of certain characters, or the alternatives of a group where the
+    shortest of those is longer.
+    """
+    found: list[list[str]] = []
+    run: list[str] = []
+
+    def cut() -> None:
+        if run:
+            found.append(["".join(run)])
+            run.clear()
+
+    def walk(items) -> None:
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                run.append(chr(arg))
+            elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+                continue
+            elif name == "SUBPATTERN":
+                walk(arg[3])
+            elif name == "ATOMIC_GROUP":
+                walk(arg)
+            elif name.endswith("REPEAT") and arg[0] >= 1:
+                walk(arg[2])
+                if arg[1] != 1:
+                    cut()
+            elif name == "BRANCH":
+                cut()
+                each = [best(list(x)) for x in arg[1]]
+                if all(each):
+                    found.append([lit for part in each for lit in part])
+            else:
+                cut()
+
+    def best(items: list) -> list[str]:
+        nonlocal found, run
+        outer = found, run
+        found, run = [], []
+        walk(items)
+        cut()
+        chosen = max(found, key=lambda x: (min(map(len, x)), -len(x)), default=[])
+        found, run = outer
+        return chosen
+
+    return [x.translate(_ASCII_LOWER) for x in best(list(re._parser.parse(pattern)))]  # noqa: SLF001

@@ -1,7 +1,8 @@
 """Aggregates and sequence operators over event logs, experiences and state series.
 
-Aggregates combine on the map side. Sequence operators are windows over one
-entity's rows; an entity is assumed to fit one task, as a user's events do.
+Aggregates combine on the map side. Folds and cooldowns are cut into ordered parts, so
+that one entity may hold most of the rows. The other sequence operators are windows over
+one entity's rows, which one task sorts (spilling, not collecting) as a user's events are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.scratch import Grown, written
+
 
 def js_round(value: Column, digits: int = 0) -> Column:
     """Rounding half up on the real line, also below zero. The last bit of a sum does not decide a tie."""
@@ -283,17 +286,54 @@ def normalised_state(identity: Column, dissonance: Column, decay: Column) -> Col
     return F.greatest(F.coalesce(identity, F.lit(0.5)), F.coalesce(dissonance, F.lit(0.0)), F.coalesce(decay, F.lit(0.5)))
 
 
-def fold(rows: DataFrame, entity: str, order: Sequence[str], value: str, start: Column, step, out: str) -> DataFrame:
-    """An ordered fold over an entity's values that gives the last state: (entity, out)."""
-    series = rows.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("s"))
-    return series.select(entity, F.aggregate(F.transform("s", lambda x: x[value]), start, step).alias(out))
+def in_parts(rows: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:
+    """Adds ``__part`` and ``__seq``: the rows sorted by entity and order over all tasks, by a range exchange.
+
+    A part is one task's stretch of that order, so a part of an entity is bounded however many rows
+    the entity has; parts and numbers rise with the order.
+    """
+    dealt = rows.repartitionByRange(entity, *order).sortWithinPartitions(entity, *order)
+    return dealt.withColumn("__seq", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__seq", 33))
+
+
+def affine_last(rows: DataFrame, entity: str, order: Sequence[str], value: str, factor: float, weight: float, out: str, start: float | None = 0.0) -> DataFrame:
+    """(entity, out): the last of x = factor * x + weight * value over an entity's values in order, from ``start``.
+
+    ``start`` None: the first value itself is the first state. Null values are passed over. Each value is
+    an affine map, and maps compose: within a part to (number of values, sum of weighted values),
+    then over the parts of an entity, which are as few as tasks.
+    """
+    known = in_parts(rows.where(F.col(value).isNotNull()).select(entity, *order, F.col(value).cast("double").alias(value)), entity, order)
+    keep = lambda n: F.pow(F.lit(float(factor)), n)
+    later = F.row_number().over(Window.partitionBy(entity, "__part").orderBy(F.desc("__seq"))) - 1
+    parts = known.withColumn("__later", later).groupBy(entity, "__part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(value) * weight * keep(F.col("__later"))).alias("c"), F.min_by(value, "__seq").alias("first")
+    )
+    every = Window.partitionBy(entity)
+    upto = every.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("n").over(every)
+    seed = F.lit(start) * keep(total) if start is not None else F.first("first").over(upto) * (1 - weight) * keep(total - 1)
+    whole = parts.select(entity, (F.col("c") * keep(total - F.sum("n").over(upto))).alias("c"), seed.alias("seed"))
+    return whole.groupBy(entity).agg((F.sum("c") + F.max("seed")).alias(out))
 
 
 def ema(rows: DataFrame, entity: str, order: Sequence[str], value: str, alpha: float = 0.1) -> DataFrame:
     """The exponential moving average after the last value; the first value seeds it."""
-    return fold(
-        rows, entity, order, value, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(x * alpha + acc * (1 - alpha)), "ema"
-    )
+    return affine_last(rows, entity, order, value, 1 - alpha, alpha, "ema", None)
+
+
+def q_value(rows: DataFrame, entity: str, order: Sequence[str], reward: str, rate: float = 0.1, discount: float = 0.9) -> DataFrame:
+    """(entity, q) after the last reward of q = q + rate * (reward + discount * q - q), from 0."""
+    return affine_last(rows, entity, order, reward, 1 - rate * (1 - discount), rate, "q")
+
+
+def last_values(rows: DataFrame, entity: str, order: Sequence[str], value: str, most: int) -> DataFrame:
+    """(entity, values): the latest ``most`` values of each entity in order. Each task keeps so many of an entity before the shuffle."""
+    back = F.row_number().over(Window.partitionBy(entity).orderBy(*[F.desc(c) for c in order]))
+    recent = rows.withColumn("__back", back).where(F.col("__back") <= most)
+    placed = [F.max(F.when(F.col("__back") == k, F.col(value))).alias(f"__v{k}") for k in range(most, 0, -1)]
+    out = recent.groupBy(entity).agg(F.max("__back").alias("__n"), *placed)
+    return out.select(entity, F.slice(F.array(*[f"__v{k}" for k in range(most, 0, -1)]), most + 1 - F.col("__n"), F.col("__n")).alias("values"))
 
 
 def ema_series(rows: DataFrame, entity: str, order: Sequence[str], value: str, alpha: float = 0.1) -> DataFrame:
@@ -375,8 +415,10 @@ def running_mean(rows: DataFrame, entity: str, order: Sequence[str], value: str)
 
 def repeats_in_last(rows: DataFrame, entity: str, order: Sequence[str], value: str, size: int, least: int) -> DataFrame:
     """Adds ``repeated``: whether the row's value occurs ``least`` times in the last ``size`` rows, itself included."""
-    by = Window.partitionBy(entity).orderBy(*order).rowsBetween(1 - size, 0)
-    same = F.size(F.filter(F.collect_list(value).over(by), lambda x: x == F.col(value)))
+    by_order = Window.partitionBy(entity).orderBy(*order)
+    same = F.when(F.col(value).isNotNull(), 1).otherwise(0)
+    for k in range(1, size):
+        same = same + F.when(F.lag(value, k).over(by_order) == F.col(value), 1).otherwise(0)
     return rows.withColumn("repeated", same >= least)
 
 
@@ -389,18 +431,60 @@ def flow_phase(score: Column) -> Column:
     return F.when(score >= 0.6, "frustrated").when(score >= 0.3, "recovery").otherwise("flow")
 
 
-def cooldown_gate(rows: DataFrame, entity: str, seconds: Column, minutes: int = 15) -> DataFrame:
-    """(entity, second) of the events that pass: the first, then each that is ``minutes`` after the last one that passed."""
-    series = rows.groupBy(entity).agg(F.array_sort(F.collect_list(seconds)).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.expr("cast(array() as array<double>)").alias("ok"))
+def first_at_or_after(events: DataFrame, probes: DataFrame, entity: str, width: int) -> DataFrame:
+    """(entity, t, at, next): for each probe (entity, t, at) the first event (entity, s) with s >= at, null if there is none. Whole numbers.
+
+    A range merge: both are laid in order in buckets of ``width`` of an entity and the event seen last, coming
+    from above, is the next one. A probe with none left in its bucket takes the first event of the next bucket
+    that has any; buckets are one row each.
+    """
+    mine = F.col(entity).alias(entity)
+    bucket = lambda c: F.floor(F.col(c) / width)
+    none = F.lit(None).cast("long")
+    both = events.select(mine, bucket("s").alias("b"), F.col("s").alias("x"), F.col("s").alias("event"), none.alias("t")).unionByName(
+        probes.select(mine, bucket("at").alias("b"), F.col("at").alias("x"), none.alias("event"), "t")
+    )
+    down = Window.partitionBy(entity, "b").orderBy(F.desc("x"), F.col("event").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("next", F.last("event", ignorenulls=True).over(down)).where("t is not null")
+    # one row a bucket: those with events know their first, those with probes alone ask for one
+    firsts = both.groupBy(entity, "b").agg(F.min("event").alias("first"))
+    above = Window.partitionBy(entity).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select(F.col(entity).alias("__e"), F.col("b").alias("__b"), F.last("first", ignorenulls=True).over(above).alias("__first"))
+    out = inside.join(firsts, F.col(entity).eqNullSafe(F.col("__e")) & (F.col("b") == F.col("__b")))
+    return out.select(mine, "t", F.col("x").alias("at"), F.coalesce("next", "__first").alias("next"))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        free = acc["last"].isNull() | (x - acc["last"] >= minutes * 60)
-        return F.struct(
-            F.when(free, x).otherwise(acc["last"]).alias("last"), F.when(free, F.concat(acc["ok"], F.array(x))).otherwise(acc["ok"]).alias("ok")
-        )
+def orbit(starts: DataFrame, steps: DataFrame, entity: str) -> DataFrame:
+    """(entity, s) of everything reached from ``starts`` (entity, s) by following ``steps`` (entity, t, next), starts included.
 
-    return series.select(entity, F.explode(F.aggregate("s", start, step, lambda a: a["ok"])).alias("second"))
+    Pointer doubling over written tables: what is reached so far is sent on by the steps taken as often
+    as all rounds before, so n rounds follow 2^n steps. No row is reached twice.
+    """
+    reached = Grown(starts.select(entity, F.col("s").cast("long").alias("s")), "orbit")
+    known = steps.where("next is not null").select(F.col(entity).alias("__e"), "t", "next")
+    # a row that no step leads to and that is no start is never asked for
+    asked = known.select("__e", F.col("next").alias("t")).union(starts.select(entity, "s")).distinct()
+    jump = written(known.join(asked, (known["__e"].eqNullSafe(asked["__e"])) & (known["t"] == asked["t"]), "left_semi"), "jump")
+    while True:
+        at = reached.all()
+        further = at.join(jump, at[entity].eqNullSafe(jump["__e"]) & (at["s"] == jump["t"])).select(entity, F.col("next").alias("s"))
+        if not reached.add(further):
+            return reached.all()
+        then = jump.select(F.col("__e").alias("__f"), F.col("t").alias("u"), F.col("next").alias("last"))
+        jump = written(jump.join(then, jump["__e"].eqNullSafe(then["__f"]) & (jump["next"] == then["u"])).select("__e", "t", F.col("last").alias("next")), "jump")
+
+
+def cooldown_gate(rows: DataFrame, entity: str, seconds: Column, minutes: int = 15) -> DataFrame:
+    """(entity, second) of the events that pass: the first, then each that is ``minutes`` after the last one that passed.
+
+    Times count in microseconds; events of one entity at the same time are one. Null times are left out.
+    """
+    gap = minutes * 60 * 1_000_000
+    events = rows.select(F.col(entity).alias(entity), F.round(seconds * 1_000_000).cast("long").alias("s")).where("s is not null").distinct()
+    events = written(events, "events")
+    steps = first_at_or_after(events, events.select(entity, F.col("s").alias("t"), (F.col("s") + gap).alias("at")), entity, gap)
+    firsts = events.groupBy(entity).agg(F.min("s").alias("s"))
+    return orbit(firsts, steps, entity).select(entity, (F.col("s") / 1_000_000).alias("second"))
 
 
 def reward(expressed: Column, success: Column, actual: Column | None = None) -> Column:

@@ -1,26 +1,20 @@
 """What a user adds: plugins of DataFrame functions, stages of a run, engines chosen for what they give, rules learned from data.
 
-Registries live on the driver and only compose plans; no row passes through them.
+Registries live on the driver and only compose plans; no row passes through them. ``rule_index`` holds learned rules against texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.regex import risky
-from quern.operators.rules import Match
-
 Transform = Callable[[DataFrame], DataFrame]
 
 #: A pattern becomes a rule when it is seen so often.
 LEARN_AT = 3
-#: A rule table of more rows than this is refused: its rules become one expression.
-MOST_RULES = 1000
 
 # Rules against a kind of error, as kind: (rule, action, triggers).
 PREVENTION = {
@@ -141,20 +135,6 @@ def learned(seen: DataFrame, pattern: str, decision: str, order: str, least: int
     return known.withColumn("__place", place).where(F.col("__place") == least).select(F.col(pattern).alias("pattern"), F.col(decision).alias("decision"), F.col(order).alias("learned_at"))
 
 
-def decide(text: Column, rules: DataFrame) -> Column:
-    """(decision, pattern) of the rule learned first that matches in either case; null if none does. Rules come from ``learned``.
-
-    A rule table is small by its nature; one of more than ``MOST_RULES`` rows raises. Unsafe and invalid patterns are left out.
-    """
-    rows = rules.orderBy("learned_at", "pattern", "decision").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    good = [r for r in rows if risky(r["pattern"]) is None]
-    none = F.lit(None).cast("struct<decision:string,pattern:string>")
-    pick = lambda acc, r: F.when(Match(r["pattern"], True).column(text), F.struct(F.lit(r["decision"]).alias("decision"), F.lit(r["pattern"]).alias("pattern"))).otherwise(acc)
-    return reduce(pick, reversed(good), none)
-
-
 def prevention_rules(errors: DataFrame, category: str, recurrences: str | None = None, least: int = 3) -> DataFrame:
     """(category, rule, action, triggers, n) for the kinds of error seen ``least`` times, or all kinds seen if one error recurred so often."""
     spark = errors.sparkSession

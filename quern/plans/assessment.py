@@ -9,6 +9,7 @@ from quern.functions.regex import sql_text
 from quern.operators import assessment as A
 from quern.operators import gates
 from quern.operators import registry as R
+from quern.operators import rule_index as I  # noqa: E741
 from quern.operators.rules import Match, any_literal, any_of
 from quern.plans.rules import TEXTS, texts
 from quern.plans.tables import settled, table
@@ -271,8 +272,28 @@ def grown_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(x) for x in _TAUGHT]), (F.col("user_id") % 5 + 1).cast("int")).alias("p"),
         F.element_at(F.array(F.lit("ANALYZE"), F.lit("SUMMARIZE")), (F.col("event_id") % 2 + 1).cast("int")).alias("d"),
     )
-    rule = R.decide(F.col("text"), R.learned(seen, "p", "d", "seq"))
-    return settled(samples(spark, sf_dir).select("id", rule.alias("x"))).where("x is not null").select("id", "x.decision", "x.pattern")
+    return I.first_match(samples(spark, sf_dir), R.learned(seen, "p", "d", "seq"), "id", "text").select("id", "decision", "pattern")
+
+
+_WORDS = "([A-Za-z]{2,})[ ,.\\n]+([A-Za-z]{2,})[ ,.\\n]+([A-Za-z]{2,})"
+_TAKEN = ", ".join(f"regexp_extract(text, '{_WORDS}', {k}) AS {c}" for k, c in ((1, "a"), (2, "b"), (3, "c")))
+
+
+@query(f"""WITH t AS (SELECT conv_id * 100 + turn AS n, {_TAKEN} FROM conversations
+  UNION ALL SELECT 1000000 + item_id, {_TAKEN} FROM benchmark),
+r AS (SELECT DISTINCT n, lower(a) AS a, lower(b) AS b, a || '[ ,.\\n]+' || b || '.{{0,20}}' || c AS pattern FROM t WHERE a <> ''),
+m AS (SELECT doc_id, n, pattern, row_number() OVER (PARTITION BY doc_id ORDER BY n, pattern) AS place, count(*) OVER (PARTITION BY doc_id) AS hits FROM (SELECT doc_id, text, lower(text) AS low FROM documents) JOIN r ON contains(low, a) AND contains(low, b) AND regexp_matches(text, '(?i)' || pattern))
+SELECT doc_id, n AS rule, pattern, hits::BIGINT AS hits FROM m WHERE place = 1""")
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts against a table of rules, here the beginnings of turns and benchmark items: the first that occurs and how many do."""
+    part = lambda k: F.regexp_extract("text", _WORDS, k)
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("n"), *[part(k).alias(f"w{k}") for k in (1, 2, 3)])
+    items = table(spark, sf_dir, "benchmark").select((F.lit(1_000_000) + F.col("item_id")).cast("long").alias("n"), *[part(k).alias(f"w{k}") for k in (1, 2, 3)])
+    made = F.concat("w1", F.lit("[ ,.\\n]+"), "w2", F.lit(".{0,20}"), "w3")
+    rules = turns.unionByName(items).where("w1 <> ''").select("n", made.alias("pattern"))
+    hit = I.matches(table(spark, sf_dir, "documents"), rules, "doc_id", "text")
+    out = hit.groupBy("doc_id").agg(F.min(F.struct("n", "pattern")).alias("first"), F.count(F.lit(1)).alias("hits"))
+    return out.select("doc_id", F.col("first.n").alias("rule"), "first.pattern", "hits")
 
 
 _KINDS = (*R.PREVENTION, "other")

@@ -434,5 +434,5 @@ SELECT user_id, round(list_reduce(list_prepend(0e0, v), lambda q, r: q + 0.1e0 *
 def q_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a Q value folded over a user's outcomes."""
     e = experiences(spark, sf_dir).withColumn("r", F.when(F.col("success"), 1.0).otherwise(-1.0))
-    out = L.fold(e, "user_id", ["ts", "event_id"], "r", F.lit(0.0), lambda q, r: q + 0.1 * (r + 0.9 * q - q), "q")
+    out = L.q_value(e, "user_id", ["ts", "event_id"], "r")
     return out.select("user_id", F.round("q", 9).alias("q"))

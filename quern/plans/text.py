@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import gates
+from quern.operators import logs as L
 from quern.operators.rules import Match
 from quern.plans.tables import settled, spread, table
 
@@ -168,6 +169,6 @@ SELECT user_id, CASE WHEN n < 3 AND damped THEN 'hold' WHEN last > 0.2 THEN 'hea
 def trajectory_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: action from the trajectory of a user's values."""
     e = table(spark, sf_dir, "events")
-    t = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") / 500).alias("v")))).alias("s"))
-    out = t.select("user_id", gates.trajectory_action(F.transform("s", lambda x: x["v"])).alias("x"))
+    t = L.last_values(e.withColumn("v", F.col("value") / 500), "user_id", ["ts", "event_id"], "v", 3)
+    out = t.select("user_id", gates.trajectory_action(F.col("values")).alias("x"))
     return out.select("user_id", "x.action", "x.confidence")

@@ -4,8 +4,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import regex
 from quern.operators import assessment as A
 from quern.operators import registry as R
+from quern.operators import rule_index as I  # noqa: E741
 from quern.plans.assessment import SAMPLES
 from quern.streaming import stateful as S
 
@@ -150,12 +152,41 @@ def test_rules_grow_from_what_is_seen(spark):
     rules = R.learned(df, "p", "d", "n")
     assert {tuple(r) for r in rules.collect()} == {("hot", "A", 2), ("b+", "B", 4), ("(a+)+", "E", 2)}
     assert "WindowGroupLimit" in rules._jdf.queryExecution().executedPlan().toString()
-    assert text(spark, "BB hot", lambda t: R.decide(t, rules))["decision"] == "A"
-    assert text(spark, "xBx", lambda t: R.decide(t, rules))["pattern"] == "b+"
-    assert text(spark, "rare aaaa", lambda t: R.decide(t, rules)) is None and text(spark, None, lambda t: R.decide(t, rules)) is None
-    many = spark.range(R.MOST_RULES + 1).selectExpr("cast(id as string) pattern", "'x' decision", "id learned_at")
-    with pytest.raises(ValueError):
-        R.decide(F.lit("x"), many)
+    texts = spark.createDataFrame([(1, "BB hot"), (2, "xBx"), (3, "rare aaaa"), (4, None), (5, "")], "k long, t string")
+    assert {r["k"]: (r["decision"], r["pattern"]) for r in I.first_match(texts, rules, "k", "t").collect()} == {1: ("A", "hot"), 2: ("B", "b+")}
+
+
+def test_many_rules_equal_brute_force(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdeé日") for _ in range(rnd.randint(1, 5)))
+    shapes = ("{a}", "{a}{b}", r"{a}\s+{b}", "({a}|{b})", "{a}.{{0,3}}{b}", "^{a}", "[{a}]x?", "{a}+{b}?", "(?:{a}{b})?", "{a}(?={b})", "({a}", "{a}|", "(?:{a}|{b}x)y*")
+    rules = [(rnd.choice(shapes).format(a=word(), b=word()), k % 7, f"d{k}") for k in range(3000)]
+    texts = [(k, " ".join(rnd.choice((word(), word().upper())) for _ in range(rnd.randint(0, 8)))) for k in range(60)]
+    want = {}
+    for k, t in texts:
+        for p, at, d in sorted(rules, key=lambda r: (r[1], r[0], r[2])):
+            if regex.risky(p) is None and re.search(p, t, re.I | re.A):
+                want[k] = (at, p, d)
+                break
+    df = spark.createDataFrame(rules, "pattern string, learned_at long, decision string")
+    got = I.first_match(spark.createDataFrame(texts, "k long, t string"), df, "k", "t").collect()
+    assert {r["k"]: (r["learned_at"], r["pattern"], r["decision"]) for r in got} == want
+
+
+def test_fifty_thousand_rules_without_collecting_them(spark):
+    rules = spark.range(50_000).selectExpr("concat('rule', lpad(id, 5, '0'), '[a-z]+') pattern", "id learned_at", "'d' decision")
+    texts = spark.range(300).selectExpr("id k", "concat('x RULE', lpad(id * 150, 5, '0'), 'ab rule', lpad(id * 160, 5, '0'), 'c') t")
+    found = I.first_match(texts, rules, "k", "t")
+    assert {r["k"]: r["learned_at"] for r in found.collect()} == {k: k * 150 for k in range(300)}
+    assert "rule00001" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    ("pattern", "literals"),
+    [("abc.def?g", ["abc"]), ("(?i)AB(cd)+e", ["abcd"]), ("(always|never)x", ["always", "never"]), ("a|", []), ("[ab]c*", []), (r"\bfoo\b", ["foo"]), ("(?:ab){2,}c", ["ab"]), ("x(?!yz)w", ["xw"])],
+)
+def test_required_literals(pattern, literals):
+    assert regex.required_literals(pattern) == literals
 
 
 def test_prevention_rules(spark):

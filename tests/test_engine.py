@@ -212,8 +212,48 @@ def test_seed_clusters_against_all_pairs_in_order(spark):
                     want[g, j] = i
     df = spark.createDataFrame(rows, "g string, k long, w array<string>")
     assert {(r["g"], r["k"]): r["cluster"] for r in G.seed_clusters(df, "g", "k", "w", 0.3).collect()} == want
-    with pytest.raises(Exception, match="more than 10"):
-        G.seed_clusters(df, "g", "k", "w", 0.3, most=10).collect()
+
+
+def test_seed_clusters_of_a_chain_take_rounds(spark):
+    df = spark.createDataFrame([("g", k, [f"t{k}", f"t{k + 1}"]) for k in range(9)] + [("h", 1, []), ("h", 2, None), (None, 3, ["a"]), (None, 4, ["a"])], "g string, k long, w array<string>")
+    got = {(r["g"], r["k"]): r["cluster"] for r in G.seed_clusters(df, "g", "k", "w", 0.3).collect()}
+    assert got == {("g", k): k - k % 2 for k in range(9)} | {("h", 1): 1, ("h", 2): 2, (None, 3): 3, (None, 4): 3}
+
+
+def test_search_of_a_long_chain_keeps_its_plan(spark):
+    e = spark.createDataFrame([(f"n{k:02}", "r", f"n{k + 1:02}", 0.5) for k in range(25)] + [("n00", "r", "n02", 0.1)], "subject string, predicate string, object string, confidence double")
+    near = G.neighbourhood(e, spark.createDataFrame([("n00",)], "entity string"), 20)
+    assert {r["entity"]: r["distance"] for r in near.collect()} == {f"n{k:02}": max(0, k - 1) if k > 1 else k for k in range(22)}
+    assert str(near._jdf.queryExecution().optimizedPlan()).count("Relation") <= 1
+    assert G.paths(e, "n00", "n20", depth=19).first()["length"] == 19 and G.paths(e, "n00", "n21", depth=19).count() == 0
+
+
+def test_one_hot_entity_in_folds_and_cooldowns(spark):
+    rnd = random.Random(9)
+    times, at = [], 0
+    for _ in range(3000):
+        at += rnd.choice((0, 1, 5, 100, 899, 900, 4000))
+        times.append(at)
+    rows = [("hot", k, float(t), rnd.random()) for k, t in enumerate(times)] + [("cold", 0, 5.0, 0.25), (None, 0, 1.0, 0.5), (None, 1, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "u string, n long, s double, v double").repartition(3)
+    last, passed = None, []
+    for t in times:
+        if last is None or t - last >= 900:
+            last = t
+            passed.append(float(t))
+    gate = L.cooldown_gate(df, "u", F.col("s"))
+    assert sorted(r["second"] for r in gate.where("u = 'hot'").collect()) == passed
+    assert {(r["u"], r["second"]) for r in gate.where("u is null or u = 'cold'").collect()} == {("cold", 5.0), (None, 1.0)}
+    e, q = None, 0.0
+    for *_, v in rows[:3000]:
+        e = v if e is None else 0.1 * v + 0.9 * e
+        q = q + 0.1 * (v + 0.9 * q - q)
+    folded = L.ema(df, "u", ["n"], "v")
+    assert abs(folded.where("u = 'hot'").first()["ema"] - e) < 1e-12 and abs(folded.where("u is null").first()["ema"] - 0.55) < 1e-12
+    assert abs(L.q_value(df, "u", ["n"], "v").where("u = 'hot'").first()["q"] - q) < 1e-10
+    assert "collect" not in str(folded._jdf.queryExecution().optimizedPlan())
+    assert {r["u"]: len(r["values"]) for r in L.last_values(df, "u", ["n"], "v", 3).collect()} == {"hot": 3, "cold": 1, None: 2}
+    assert L.last_values(df, "u", ["n"], "v", 3).where("u = 'hot'").first()["values"] == [r[3] for r in rows[2997:3000]]
 
 
 def test_paths_between_tables_of_names(spark):
