@@ -281,8 +281,9 @@ _TAKEN = ", ".join(f"regexp_extract(text, '{_WORDS}', {k}) AS {c}" for k, c in (
 
 @query(f"""WITH t AS (SELECT conv_id * 100 + turn AS n, {_TAKEN} FROM conversations
   UNION ALL SELECT 1000000 + item_id, {_TAKEN} FROM benchmark),
-r AS (SELECT DISTINCT n, lower(a) AS a, lower(b) AS b, a || '[ ,.\\n]+' || b || '.{{0,20}}' || c AS pattern FROM t WHERE a <> ''),
-m AS (SELECT doc_id, n, pattern, row_number() OVER (PARTITION BY doc_id ORDER BY n, pattern) AS place, count(*) OVER (PARTITION BY doc_id) AS hits FROM (SELECT doc_id, text, lower(text) AS low FROM documents) JOIN r ON contains(low, a) AND contains(low, b) AND regexp_matches(text, '(?i)' || pattern))
+r AS (SELECT DISTINCT n, lower(a) AS x, lower(b) AS y, lower(c) AS z, a || '[ ,.\\n]+' || b || '.{{0,20}}' || c AS pattern FROM t WHERE a <> ''),
+c AS MATERIALIZED (SELECT doc_id, text, n, pattern FROM (SELECT doc_id, text, lower(text) AS low FROM documents) JOIN r ON contains(low, x) AND contains(low, y) AND contains(low, z)),
+m AS (SELECT doc_id, n, pattern, row_number() OVER (PARTITION BY doc_id ORDER BY n, pattern) AS place, count(*) OVER (PARTITION BY doc_id) AS hits FROM c WHERE regexp_matches(text, '(?i)' || pattern))
 SELECT doc_id, n AS rule, pattern, hits::BIGINT AS hits FROM m WHERE place = 1""")
 def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts against a table of rules, here the beginnings of turns and benchmark items: the first that occurs and how many do."""

@@ -12,9 +12,11 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.operators.logs import circuit_windows
+from quern.sources.scratch import scratch_path, shared_dir
 
 
 def deduplicated(events: DataFrame, key: str, ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -47,6 +49,89 @@ def running_ema(events: DataFrame, entity: str, order: str, value: str, alpha: f
     )
 
 
+def breaker_states(
+    events: DataFrame, entity: str, micros: str, success: str, load: str, window: int = 60, cooldown: int = 60, least: int = 10, warn: float = 0.3, trip: float = 0.5, critical: float = 95.0
+) -> DataFrame:
+    """(entity, s, state) after each instant, as ``operators.breaker`` gives for the whole log: five numbers of state an entity.
+
+    An instant's rows come in one batch, batches in order of time; within a batch rows may come in any order.
+    """
+    kind, wide, cool = dict(events.dtypes)[entity], window * 1_000_000, cooldown * 1_000_000
+
+    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, total, bad, tripped = state.get if state.exists else (None, 0, 0, None)
+        rows = pd.concat(list(frames))
+        rows = rows.assign(fails=~rows[success].fillna(False).astype(bool)).groupby(micros).agg(n=("fails", "size"), fails=("fails", "sum"), load=(load, "max")).sort_index()
+        out = []
+        for at, n, fails, most in rows.itertuples():
+            if start is None or at - start > wide:
+                start, total, bad = at, 0, 0
+            total, bad = total + n, bad + int(fails)
+            hot = bool(most >= critical)
+            if tripped is not None and at - tripped >= cool and not hot:
+                tripped, total, bad = None, 0, 0
+            elif hot and (tripped is None or at - tripped >= cool):
+                tripped = at
+            rate = bad / total if total >= least else 0.0
+            out.append("TRIPPED" if tripped is not None else "OPEN" if rate >= trip else "HALF_OPEN" if rate >= warn else "CLOSED")
+        state.update((int(start), int(total), int(bad), None if tripped is None else int(tripped)))
+        yield pd.DataFrame({entity: [key[0]] * len(out), "s": rows.index.to_numpy(), "state": out})
+
+    return (
+        events.select(entity, micros, success, load)
+        .groupBy(entity)
+        .applyInPandasWithState(step, f"{entity} {kind}, s long, state string", "start long, total long, bad long, tripped long", "append", GroupStateTimeout.NoTimeout)
+    )
+
+
+def online_state(events: DataFrame, entity: str, order: str, value: str, reward: str, alpha: float = 0.1, blend: float = 0.2, rate: float = 0.1, discount: float = 0.9) -> DataFrame:
+    """(entity, n, ema, mood, q) after each batch: average, blended mood and Q value of an entity in one state, sorted within the batch by ``order``."""
+    kind = dict(events.dtypes)[entity]
+
+    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, ema, mood, q = state.get if state.exists else (0, None, None, 0.0)
+        rows = pd.concat(list(frames)).sort_values(order)
+        for x, r in zip(rows[value].tolist(), rows[reward].tolist(), strict=True):
+            ema = x if ema is None else alpha * x + (1 - alpha) * ema
+            mood = x if mood is None else blend * x + (1 - blend) * mood
+            q += rate * (r + discount * q - q)
+        n += len(rows)
+        state.update((n, ema, mood, q))
+        yield pd.DataFrame({entity: [key[0]], "n": [n], "ema": [ema], "mood": [mood], "q": [q]})
+
+    numbers = "n long, ema double, mood double, q double"
+    return events.select(entity, order, value, reward).groupBy(entity).applyInPandasWithState(step, f"{entity} {kind}, {numbers}", numbers, "update", GroupStateTimeout.NoTimeout)
+
+
+def replayed(rows: DataFrame, order: str, batches: int = 4) -> DataFrame:
+    """The rows as a file stream of ``batches`` micro-batches in order: no batch begins before the one ahead of it ends."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "replay")
+    rows.repartitionByRange(batches, order).sortWithinPartitions(order).write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+    where = hadoop(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    files = sorted(x.getPath().toString() for x in store.listStatus(where) if x.getPath().getName().startswith("part-"))
+    for k, name in enumerate(files):
+        # a file stream takes files in the order of their times
+        store.setTimes(hadoop(name), 1_000_000_000_000 + 60_000 * k, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that there is into a written table: its rows and ``batch``. A batch that is run again overwrites its own rows."""
+    spark = stream.sparkSession
+    shared_dir(spark)
+    path = scratch_path(spark, "drained")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch_path(spark, "offsets")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+
+
 def last_values(events: DataFrame, entity: str, order: str, value: str, most: int = 100) -> DataFrame:
     """(entity, values): the latest ``most`` values of each entity; older ones are dropped from the state."""
     kind = dict(events.dtypes)[entity]
@@ -65,9 +150,11 @@ def last_values(events: DataFrame, entity: str, order: str, value: str, most: in
     )
 
 
-def periodic(events: DataFrame, consolidate: Callable[[DataFrame, int], None], checkpoint: str, least: int = 20, every: str = "1 hour"):
+def periodic(events: DataFrame, consolidate: Callable[[DataFrame, int], None], checkpoint: str, least: int = 20, every: str | None = "1 hour"):
     """Runs ``consolidate`` on all rows since its last run, as soon as they are ``least`` or more.
 
+    ``every`` None: starts at once, takes all that there is and ends; else the writer is returned for its caller to start.
+
     Each micro-batch is kept below ``checkpoint``/pending before its offsets are
     committed. A batch that is run again overwrites its own rows; a mark with the
     batch's number, set after ``consolidate``, says which rows are done. After a
@@ -100,7 +187,8 @@ def periodic(events: DataFrame, consolidate: Callable[[DataFrame, int], None], c
         for name in held:
             store.delete(path(name), True)
 
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if every is None else writer.trigger(processingTime=every)
 
 
 def with_dead_letters(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
