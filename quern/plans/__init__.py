@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from quern.plans import assessment, checks, graph, judgement, logs, memory, rules, storage, streams, text
+    from quern.plans import assessment, checks, graph, judgement, logs, memory, rules, sinks, storage, streams, text
 
-    return [text, rules, judgement, assessment, checks, memory, logs, graph, storage, streams]
+    return [text, rules, judgement, assessment, checks, memory, logs, graph, storage, sinks, streams]
 
 
 def queries() -> dict:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.sources.scratch import sized, written
+
 # Directories that a recursive scan leaves out.
 SKIPPED_DIRS = (".git", "node_modules", "vendor", "dist", "build", "__pycache__", ".venv", "target")
 
@@ -48,6 +52,75 @@ def rotate(spark: SparkSession, path: str, archive: str, schema: str, as_of_day:
     return rows.where(~old)
 
 
+def _store(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the maker of its paths)."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make  # noqa: SLF001
+
+
+def _delete_files(spark: SparkSession, files: DataFrame) -> None:
+    """Deletes the files of the first column, names as ``input_file_name`` gives them; those that are gone count as deleted."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    for r in files.toLocalIterator():
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r[0]))
+        _store(spark, r[0])[0].delete(where, False)
+
+
+def archive(spark: SparkSession, path: str, target: str, schema: str, as_of_day: str, retention_days: int = 180) -> None:
+    """Moves days older than the retention to gzip JSON below ``target``, a folder for each file that is moved.
+
+    Safe to repeat after a failure: a file is deleted after it is archived, and one that is archived again
+    is written over itself. Files that come meanwhile, or later for a day that is archived, are left for the next run.
+    """
+    rows = spark.read.schema(f"{schema}, category string, day string").json(path).withColumn("__file", F.input_file_name())
+    old = rows.where(F.col("day") < F.date_sub(F.lit(as_of_day).cast("date"), retention_days).cast("string"))
+    files = written(old.select("__file").distinct(), "moved")
+    moved = old.join(sized(files), "__file", "left_semi").withColumn("move", F.md5("__file")).drop("__file")
+    moved.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("category", "day", "move").json(target)
+    _delete_files(spark, files)
+
+
+def _finish_erasures(spark: SparkSession, path: str) -> None:
+    """Completes or drops what an earlier erasure left: with its list of files it is carried through, without it nothing was changed."""
+    root = f"{path.rstrip('/')}/_erase"
+    store, make = _store(spark, path)
+    if not store.exists(make(root)):
+        return
+    for stage in [x.getPath().toString() for x in store.listStatus(make(root))]:
+        if store.exists(make(f"{stage}/files/_SUCCESS")):
+            _delete_files(spark, spark.read.text(f"{stage}/files"))
+            found = store.listFiles(make(f"{stage}/rows"), True)
+            while found.hasNext():
+                name = found.next().getPath()
+                if name.getName().startswith("part-"):
+                    to = make(f"{path.rstrip('/')}/{name.toString().split('/rows/', 1)[1]}")
+                    store.mkdirs(to.getParent())
+                    if not store.rename(name, to):
+                        raise OSError(f"cannot move {name} to {to}")
+        store.delete(make(stage), True)
+    store.delete(make(root), True)
+
+
+def erase(spark: SparkSession, path: str, schema: str, keys: list[str], scope: Column) -> DataFrame:
+    """Erases the rows of ``scope`` from JSON partitioned by ``keys`` and gives one row with the counts erased and kept.
+
+    Only files that hold such rows are rewritten. What stays of them is written aside, then the list of the
+    old files; only then are those deleted and the new ones put in place. A run that
+    fails before the list has changed nothing, one that fails after it is carried through by the next. One
+    writer at a time. A null scope erases nothing.
+    """
+    _finish_erasures(spark, path)
+    rows = spark.read.schema(schema).json(path).withColumn("__file", F.input_file_name())
+    hit = F.coalesce(scope, F.lit(False))
+    counts = written(rows.agg(F.count(F.when(hit, 1)).alias("erased"), F.count(F.when(~hit, 1)).alias("kept")), "erased")
+    files = written(rows.where(hit).select("__file").distinct(), "files")
+    stage = f"{path.rstrip('/')}/_erase/{uuid.uuid4().hex}"
+    rows.join(sized(files), "__file", "left_semi").where(~hit).drop("__file").write.partitionBy(*keys).json(f"{stage}/rows")
+    files.select(F.col("__file").alias("value")).write.text(f"{stage}/files")
+    _finish_erasures(spark, path)
+    return counts
+
+
 def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, text) of all files below a directory, without version control, vendor and build directories."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(path)
