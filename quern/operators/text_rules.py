@@ -117,24 +117,6 @@ NAME_NEEDS = (
 )
 
 
-def architecture_issues(text: Column) -> Column:
-    """Functions whose body lacks what their name promises, missing exports and a mix of throws and callbacks, as a count.
-
-    A body ends with the first line that closes a brace at its start, which
-    stands in for brace matching.
-    """
-    issues = []
-    for name, needs in NAME_NEEDS:
-        body = F.regexp_extract(text, rf"(?is)(?:function|const|let|var|async)\s+{name}\s*\([^{{]*(\{{.*?(?:\n\}}|\}}\s*$|\}}(?=[^}}]*$)))", 1)
-        issues.append(_n((body != "") & ~body.rlike(f"(?i){needs}")))
-    defs = F.regexp_extract_all(text, F.lit(r"(?:function|const|let|var)\s+([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\("), 1)
-    exported = F.regexp_extract_all(F.regexp_extract(text, r"module\.exports\s*=\s*\{([^}]*)\}", 1), F.lit(r"([a-zA-Z_$][a-zA-Z0-9_$]*)"), 1)
-    missing = F.filter(defs, lambda d: ~d.startswith("_") & d.rlike("^[a-z$]") & ~F.array_contains(exported, d))
-    issues.append(_n((F.size(defs) > 3) & (F.size(exported) > 0) & (F.size(missing) > 0)))
-    issues.append(_n(text.rlike(r"throw\s+new\s+Error") & text.rlike(r"callback\s*\(\s*(?:err|error)")))
-    return _sum(issues)
-
-
 def context_free(text: Column, pattern: str, span: int, *saved: str) -> Column:
     """Matches of a pattern, in either case, without any of the saving patterns within ``span`` characters of their begin on either side."""
     found = windows(text, "(?i)" + java(pattern), span, span)
@@ -145,15 +127,19 @@ def context_free(text: Column, pattern: str, span: int, *saved: str) -> Column:
 # Destructive, sweeping and production words with what saves them.
 DESTRUCTIVE = (r"delete\s+table", r"drop\s+table", r"rm\s+-rf", "overwrite", r"rename\s+\w+", r"\bDDL\b", "migrate")
 SWEEPING = (r"\bbatch\s+\w+", r"\bbulk\s+\w+", r"\ball\s+\w+")
+CONFIRMED = r"confirm|user\s+approval|manual|approval|callback"
+BACKED_UP, BACKED_UP_WIDE = r"\.bak|backup|rollback|reverse|undo", r"\.bak|backup|rollback"
+COUNTED = r"\d+\s*(?:items?|records?|files?)"
+LIVE_SAVED = r"irreversible|manual\s+confirm|rollback"
 PRODUCTION = (r"production\s+config", r"\benv\s+\w+", r"\btoken\s*[:=]", r"\b(?:key|secret)\s*[:=]", "credential")
 
 
 def reversibility(text: Column) -> dict[str, Column]:
     """Destructive words without confirmation or backup near by (0.85), sweeping ones without scope and backup (0.6), and the score."""
-    hard = _sum(context_free(text, p, 200, r"confirm|user\s+approval|manual|approval|callback", r"\.bak|backup|rollback|reverse|undo") for p in DESTRUCTIVE)
-    scoped = lambda p: context_free(text, p, 150) - _both_near(text, p, 150, r"\d+\s*(?:items?|records?|files?)", r"\.bak|backup|rollback")
+    hard = _sum(context_free(text, p, 200, CONFIRMED, BACKED_UP) for p in DESTRUCTIVE)
+    scoped = lambda p: context_free(text, p, 150) - _both_near(text, p, 150, COUNTED, BACKED_UP_WIDE)
     wide = _sum(scoped(p) for p in SWEEPING)
-    live = _sum(_n(context_free(text, p, 200, r"irreversible|manual\s+confirm|rollback") > 0) for p in PRODUCTION)
+    live = _sum(_n(context_free(text, p, 200, LIVE_SAVED) > 0) for p in PRODUCTION)
     n = hard + wide + live
     mean = (hard * 0.85 + wide * 0.6 + live * 0.7) / F.greatest(n, F.lit(1))
     return {"destructive": hard, "sweeping": wide, "production": live, "score": F.when(n == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - mean))}

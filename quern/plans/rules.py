@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from quern.functions.regex import CJK, sql_text
 from quern.operators import dialogue as D
 from quern.operators import exposure as X
+from quern.operators import positions as P
 from quern.operators import text_rules as T
 from quern.operators.detectors import ARGUMENT_DETECTORS
+from quern.operators.judgement import sql_windows
 from quern.operators.rules import Match, any_literal, any_of, detect, findings
 from quern.plans.tables import settled, spread, table
 
@@ -223,9 +225,23 @@ def portable_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.size("findings").alias("n"), F.array_join(named, ",").alias("dimensions"))
 
 
-@query()
+def _repetition_sql() -> str:
+    bare = "text"
+    for q in T.QUOTES:
+        bare = f"regexp_replace({bare}, {sql_text(q)}, ' ', 'g')"
+    plain = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9一-鿿]', '', 'g')"
+    has = lambda rules, t: "(" + " OR ".join(Match(p, ic).sql(t) for ic, ps in rules for p in ps) + ")"
+    long_ = f"CASE WHEN regexp_matches(c, '{CJK}') THEN len(regexp_extract_all({plain('c')}, '{CJK}')) >= 6 ELSE len(regexp_extract_all(c, '[a-zA-Z0-9]+')) >= 3 AND regexp_matches({plain('c')}, '[a-z]{{3,}}') END"
+    return f"""WITH {TEXTS}, b AS (SELECT id, text, {bare} AS bare FROM texts),
+c AS (SELECT id, text, {has(T.REPEAT_MARKERS, 'bare')} AS marked, {plain('bare')} AS whole, list_distinct(list_transform(list_filter(regexp_split_to_array(bare, '[。！？；.!?;\n，,、]+'), lambda c: length({plain('c')}) >= 6 AND {long_}), lambda c: {plain('c')})) AS units FROM b),
+n AS (SELECT id, text, marked, coalesce(list_max(list_filter(list_transform(units, lambda u: (length(whole) - length(replace(whole, u, ''))) // length(u)), lambda k: k >= 2)), 0) AS most FROM c)
+SELECT id, CASE WHEN length(coalesce(text, '')) >= 8 AND NOT {has(T.REPEAT_EXEMPT, 'text')} AND (most >= 3 OR marked AND most >= 2)
+  THEN floor(least(0.82e0, 0.62e0 + CASE WHEN marked THEN 0.04e0 ELSE 0e0 END + greatest(0, most - 3) * 0.03e0) * 100 + 0.5) / 100 ELSE 0e0 END AS score FROM n"""
+
+
+@query(_repetition_sql())
 def repetition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated clauses (look-around free, but not SQL in one pass)."""
+    """Repeated clauses."""
     return texts(spark, sf_dir).select("id", T.repetition(F.col("text")).alias("score"))
 
 
@@ -424,13 +440,57 @@ def complexity_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("id", (c < 0.3).alias("light"))
 
 
-@query()
+def _code_sql() -> str:
+    def captured(p: str, ic: bool) -> str:
+        groups = p.replace(r"\(", "").count("(") - p.replace(r"\(", "").count("(?:")
+        parts = ["1"] + [f"(regexp_extract(text, {sql_text(('(?i)' if ic else '') + p)}, {g}) <> '')::INT" for g in range(1, groups + 1)]
+        return f"CASE WHEN {Match(p, ic).sql('text')} THEN {' + '.join(parts)} ELSE 0 END"
+
+    habits = " + ".join(captured(p, ic) for _, _, ic, ps in T.CODE_HABITS for p in ps) + f" + (len(regexp_extract_all(text, {sql_text(T.MEANINGLESS)})) >= 3)::INT"
+
+    def near(p: str, span: int, test: str) -> str:
+        return f"CASE WHEN {Match(p, True).sql('text')} THEN len(list_filter({sql_windows('text', '(?i)' + p, span, span)}, lambda w: {test})) ELSE 0 END"
+
+    has = lambda p: f"regexp_matches(w, {sql_text('(?i)' + p)})"
+    hard = " + ".join(near(p, 200, f"NOT {has(T.CONFIRMED)} AND NOT {has(T.BACKED_UP)}") for p in T.DESTRUCTIVE)
+    wide = " + ".join(near(p, 150, f"NOT ({has(T.COUNTED)} AND {has(T.BACKED_UP_WIDE)})") for p in T.SWEEPING)
+    live = " + ".join(f"({near(p, 200, 'NOT ' + has(T.LIVE_SAVED))} > 0)::INT" for p in T.PRODUCTION)
+    return f"""WITH {TEXTS}, n AS (SELECT id, {habits} AS habits, {hard} AS hard, {wide} AS wide, {live} AS live FROM texts),
+s AS (SELECT id, habits::INT AS habits, round(CASE WHEN hard + wide + live = 0 THEN 1e0 ELSE greatest(0e0, 1 - (hard * 0.85e0 + wide * 0.6e0 + live * 0.7e0) / (hard + wide + live)) END, 6) AS reversibility FROM n)
+SELECT * FROM s WHERE habits > 0 OR reversibility < 1"""
+
+
+@query(_code_sql())
 def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Habits, architecture and reversibility (look-around)."""
+    """Habits and reversibility."""
     t = F.col("text")
     rev = T.reversibility(t)
-    out = texts(spark, sf_dir).select("id", T.code_habits(t)[0].alias("habits"), T.architecture_issues(t).alias("architecture"), F.round(rev["score"], 6).alias("reversibility"))
-    return settled(out).where("habits > 0 or architecture > 0 or reversibility < 1")
+    out = texts(spark, sf_dir).select("id", T.code_habits(t)[0].cast("int").alias("habits"), F.round(rev["score"], 6).alias("reversibility"))
+    return settled(out).where("habits > 0 or reversibility < 1")
+
+
+_HEADS = [n for n, _ in T.NAME_NEEDS]
+#: Each document as the body of a function: some are never closed, some export all or a part of their functions.
+_CODE = f"""'function ' || ['{"', '".join(_HEADS)}'][(doc_id % 8)::INT + 1] || ' (x) {{\n if (x) {{ ' || text || ' }}\n' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '}}' END || '\nfunction alpha() {{}} function _beta() {{}} function gamma(a) {{ return {{ a }} }}'
+  || CASE doc_id % 5 WHEN 1 THEN ' module.exports = {{ alpha, inner: {{ gamma }}, {", ".join(_HEADS)} }};' WHEN 2 THEN ' module.exports = {{ alpha }};' ELSE '' END || CASE doc_id % 7 WHEN 1 THEN ' throw new Error(x); callback(err);' ELSE '' END"""
+
+
+@query(f"""WITH code AS (SELECT doc_id, {_CODE} AS code FROM documents),
+ch AS (SELECT doc_id, i, c FROM (SELECT doc_id, unnest(range(1, length(code) + 1)) AS i, unnest(string_split(code, '')) AS c FROM code) WHERE c IN ('{{', '}}')),
+d AS (SELECT *, sum(CASE c WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM ch),
+b AS (SELECT o.doc_id, o.i AS a, min(e.i) AS z FROM d o LEFT JOIN d e ON e.doc_id = o.doc_id AND e.i > o.i AND e.depth < o.depth WHERE o.c = '{{' GROUP BY ALL),
+names(name, need) AS (VALUES {", ".join(f"({sql_text(n)}, {sql_text('(?i)' + p)})" for n, p in T.NAME_NEEDS)}),
+decl AS (SELECT doc_id, code, name, need, length(regexp_extract(code, '(?is)^(.*?)(?:function|const|let|var|async)\\s+' || name || '\\s*\\(', 1)) AS spot FROM code, names WHERE regexp_matches(code, '(?i)(?:function|const|let|var|async)\\s+' || name || '\\s*\\(')),
+body AS (SELECT decl.doc_id, name, need, code, min(a) AS a FROM decl JOIN b ON b.doc_id = decl.doc_id AND b.a > spot GROUP BY ALL),
+mis AS (SELECT body.doc_id, count(*) AS misnamed FROM body JOIN b ON b.doc_id = body.doc_id AND b.a = body.a WHERE z IS NOT NULL AND NOT regexp_matches(substring(code, body.a, z - body.a + 1), need) GROUP BY 1),
+ex AS (SELECT b.doc_id, list_distinct(flatten(list(regexp_extract_all(substring(code, a + 1, z - a - 1), '{P.NAME}')))) AS listed FROM b JOIN code ON b.doc_id = code.doc_id WHERE z IS NOT NULL AND regexp_matches(substring(code, 1, a), 'module\\.exports\\s*=\\s*\\{{$') GROUP BY 1),
+f AS (SELECT code.doc_id, code, coalesce(misnamed, 0) AS misnamed, regexp_extract_all(code, {sql_text(P.DECLARED)}, 1) AS defs, list_filter(listed, lambda w: NOT list_contains({list(P.NO_NAMES)}, w)) AS listed FROM code LEFT JOIN mis ON mis.doc_id = code.doc_id LEFT JOIN ex ON ex.doc_id = code.doc_id)
+SELECT doc_id, misnamed::BIGINT AS misnamed, coalesce(len(defs) > 3 AND len(listed) > 0 AND len(list_filter(defs, lambda d: d[1] <> '_' AND regexp_matches(d, '^[a-z$]') AND NOT list_contains(listed, d))) > 0, false) AS unexported,
+  regexp_matches(code, {sql_text(P.THROWN)}) AND regexp_matches(code, {sql_text(P.CALLED_BACK)}) AS mixed FROM f WHERE code IS NOT NULL""")
+def code_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions against their names, exports and error styles, by matched braces, with documents as bodies."""
+    code = F.expr(_CODE.replace("['" + "', '".join(_HEADS) + "'][(doc_id % 8)::INT + 1]", "element_at(array('" + "', '".join(_HEADS) + "'), cast(doc_id % 8 as int) + 1)"))
+    return P.structure(table(spark, sf_dir, "documents").select("doc_id", code.alias("code")), "doc_id", "code")
 
 
 def _shares_sql() -> str:

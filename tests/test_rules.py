@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.regex import java, portable, risky
-from quern.operators import gates, text_rules as T
+from quern.operators import gates, positions as P, text_rules as T
 from quern.operators.detectors import ARGUMENT_DETECTORS
 from quern.operators.rules import AtLeast, Contains, Detector, Match, Not, Some, detect
 from quern.plans.rules import RULE_TEXTS
@@ -144,8 +144,6 @@ def test_text_rules(spark):
     assert one("stop repeating: the sky is green today, the sky is green today, the sky is green today", T.repetition(t)) == 0.0
     assert one("p​assword", T.adversarial_variant(t)["zero_width"]) and one("раypal login", T.adversarial_variant(t)["homoglyph"])
     assert not one("совсем русский текст", T.adversarial_variant(t)["homoglyph"])
-    assert one("function validate(x) {\n return 1;\n}", T.architecture_issues(t)) == 1
-    assert one("function validate(x) {\n return schema.check(x);\n}", T.architecture_issues(t)) == 0
     assert one("let tmp = 1; const data = 2; var res = 3;", T.code_habits(t)[0]) == 1
     assert one("你感觉如何", T.scope_action(t)) == "block" and one("please verify this", T.scope_action(t)) == "pass" and one("hello there friend", T.scope_action(t)) == "flag"
     assert one("教材里写道：如何识别骗局", T.quotation_confidence(t)) >= 0.45
@@ -212,3 +210,35 @@ def test_what_saves_a_word_may_be_ahead_of_it(spark):
     assert count("DROP TABLE users" + "x" * 200 + " after a backup") == 1 and count("drop table a, drop table b") == 2
     assert count("12 items with a backup: batch run", "sweeping") == 0 and count("12 items: batch run", "sweeping") == 1
     assert count(None) == 0 and count("") == 0
+
+
+def test_structure_of_code_by_matched_braces(spark):
+    codes = [
+        "function validate(x) {\n return 1;\n}",
+        "function validate(x) {\n return schema.check(x);\n}",
+        "function validate(x) { if (x) { y } z } check",
+        "function validate(x) { if (x) { y }",
+        "} } function parse(x) { { } split } { {",
+        "no code",
+        None,
+        "function a() {} function b() {} function c() {} function d() {} module.exports = { a, x: { b }, c };",
+        "function a() {} function b() {} function c() {} function _d() {} module.exports = { a, x: { b }, c };",
+        "throw new Error(1); callback(error)",
+        "日本 { async retry (a) { 重试 } } let log(q) { 😀 }",
+    ]
+    df = spark.createDataFrame(list(enumerate(codes)), "k long, t string")
+    got = {r["k"]: (r["misnamed"], r["unexported"], r["mixed"]) for r in P.structure(df, "k", "t").collect()}
+    none = (0, False, False)
+    assert got == {0: (1, False, False), 1: none, 2: (1, False, False), 3: none, 4: none, 5: none, 7: (0, True, False), 8: none, 9: (0, False, True), 10: (1, False, False)}
+
+
+def test_places_of_matches(spark):
+    df = spark.createDataFrame([(1, "ab日ab a"), (2, ""), (3, None), (4, "ab")], "k long, t string")
+    got = sorted((r["k"], r["name"], r["start"], r["end"], r["value"]) for r in P.occurrences(df, "k", "t", {"two": "ab", "one": "[a日]", "nil": "x*"}).collect())
+    assert got == [(1, "one", 0, 1, "a"), (1, "one", 2, 3, "日"), (1, "one", 3, 4, "a"), (1, "one", 6, 7, "a"), (1, "two", 0, 2, "ab"), (1, "two", 3, 5, "ab"), (4, "one", 0, 1, "a"), (4, "two", 0, 2, "ab")]
+
+
+def test_brackets_match_by_depth(spark):
+    text = "}{{}{}}{"
+    df = spark.createDataFrame([(1, k, c) for k, c in enumerate(text)], "key long, start long, value string")
+    assert sorted((r["open"], r["close"]) for r in P.matched(df, "key").collect()) == [(1, 6), (2, 3), (4, 5), (7, None)]
