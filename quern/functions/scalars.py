@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,31 +57,12 @@ def char_ngrams(text: Column, n: int) -> Column:
     return F.when(size < 1, F.expr("cast(array() as array<string>)")).otherwise(grams)
 
 
-def dictionary_tokens(words: list[str]):
-    """Longest-match tokens over a dictionary, single characters where no word fits. Greedy and sequential, so Arrow batches go through Python.
-
-    The dictionary is part of the closure: a fixed list of bounded size.
-    """
-    known = frozenset(words)
-    longest = max(map(len, known), default=1)
-
-    @F.pandas_udf("array<string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def cut(text: str | None) -> list[str] | None:
-            if text is None:
-                return None
-            out, at = [], 0
-            while at < len(text):
-                size = next((k for k in range(min(longest, len(text) - at), 1, -1) if text[at : at + k] in known), 1)
-                if not text[at : at + size].isspace():
-                    out.append(text[at : at + size])
-                at += size
-            return out
-
-        for s in parts:
-            yield s.map(cut)
-
-    return run
+def dictionary_tokens(words: list[str]) -> Callable[[Column], Column]:
+    """Longest-match tokens over a dictionary, single characters where no word fits, without blanks: one alternation, the longest words first."""
+    longest = "|".join(re.escape(w) for w in sorted({w for w in words if w}, key=lambda w: (-len(w), w)))
+    pattern = (longest + "|" if longest else "") + "(?s:.)"
+    blank = "^(?U)[\\s\\x1c-\\x1f]$"
+    return lambda text: F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: ~w.rlike(blank))
 
 
 def normalise_unicode(text: Column) -> Column:

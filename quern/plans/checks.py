@@ -179,7 +179,7 @@ _LONGEST = "|".join(sorted(_DICTIONARY, key=len, reverse=True)) + "|(?s:.)"
 def dictionary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """longest-match tokens over a dictionary."""
     cut = scalars.dictionary_tokens(list(_DICTIONARY))
-    return texts(spark, sf_dir).select("id", F.md5(F.array_join(cut("text"), "|")).alias("digest"))
+    return texts(spark, sf_dir).select("id", F.md5(F.array_join(cut(F.col("text")), "|")).alias("digest"))
 
 
 @query(f"WITH {TEXTS} SELECT id, md5(array_to_string(regexp_extract_all(text, '[一-鿿]|[A-Za-z0-9]+'), '|')) AS tokens, md5(array_to_string(regexp_extract_all(text, '[一-鿿]+|[^一-鿿]+'), '|')) AS pieces FROM texts")
@@ -233,3 +233,25 @@ def closed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         "movement": scalars.fitts(e % 50 + 1, F.lit(4.0)), "sensed": scalars.weber_fechner(e % 50 + 1, F.lit(2.0)), "upper_bound": scalars.drift_diffusion(v, F.lit(1.0)),
     }
     return table(spark, sf_dir, "events").select("event_id", *[F.round(c, 6).alias(n) for n, c in forms.items()])
+
+
+@query("""SELECT l_orderkey AS k, count(*)::BIGINT AS n, round(ln(sum(power(40 - l_linenumber - l_quantity / 2, -0.5e0))), 6)::DOUBLE AS activation, round(sum(l_discount * l_quantity) / sum(l_quantity), 6)::DOUBLE AS heat FROM lineitem GROUP BY 1""")
+def order_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """an order's lines as accesses and as weighted decisions: base activation and heat."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_discount")).alias("x"))
+    times = F.transform("x", lambda x: x["l_linenumber"] + x["l_quantity"] / 2)
+    heat = scalars.decision_heat(F.transform("x", lambda x: x["l_discount"]), F.transform("x", lambda x: x["l_quantity"]))
+    return li.select("k", F.size("x").cast("long").alias("n"), F.round(scalars.activation_base(times, F.lit(40.0)), 6).alias("activation"), F.round(heat, 6).alias("heat"))
+
+
+@query("""SELECT event_id, round(CASE WHEN d > 0 THEN 0.1e0 * exp(-d / 20e0) WHEN d < 0 THEN -0.12e0 * exp(d / 20e0) ELSE 0e0 END, 6)::DOUBLE AS plasticity, round(p * l / e, 6)::DOUBLE AS belief, round(q + 0.1e0 * (r + 0.9e0 * b - q), 6)::DOUBLE AS q
+FROM (SELECT event_id, value - 40 AS d, 0.2e0 + (user_id % 5) / 10e0 AS p, (value / 500e0) AS l, 0.5e0 + (event_id % 3) / 10e0 AS e, value / 100e0 AS q, (event_id % 2)::DOUBLE AS r, user_id / 100e0 AS b FROM events)""")
+def learning_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spike timing, Bayes' rule and a step of Q-learning over event values."""
+    v, u, e = F.col("value"), F.col("user_id"), F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.round(scalars.stdp(v - 40), 6).alias("plasticity"),
+        F.round(scalars.bayes(0.2 + u % 5 / 10, v / 500, 0.5 + e % 3 / 10), 6).alias("belief"),
+        F.round(scalars.q_update(v / 100, (e % 2).cast("double"), u / 100), 6).alias("q"),
+    )

@@ -555,7 +555,19 @@ def teaching_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(texts(spark, sf_dir).select("id", F.round(T.teaching(F.col("text"))[1], 6).alias("share"))).where("share > 0")
 
 
-@query()
+def _quotation_sql() -> str:
+    has = lambda p: f"regexp_matches(text, {sql_text(p)})"
+    at = lambda p: f"length(regexp_extract(text, {sql_text('(?s)^(.*?)' + p)}, 1))"
+    n = lambda p: f"len(regexp_extract_all(text, {sql_text(p)}))"
+    carrier, verb, (told, course, talk) = T.QUOTE_CARRIER, T.QUOTE_VERB, T.CLASSROOM
+    cues = [f"CASE WHEN {has(carrier)} AND {has(verb)} AND ({at(carrier)} <> {at(verb)} OR {n(carrier)} + {n(verb)} > 2) THEN 0.55e0 ELSE 0e0 END", f"CASE WHEN {has(told)} OR {has(course)} AND {has(talk)} THEN 0.55e0 ELSE 0e0 END"]
+    cues += [f"CASE WHEN {' AND '.join(map(has, ps))} THEN {w}e0 ELSE 0e0 END" for w, ps in T.QUOTE_CUES]
+    return " + ".join(cues)
+
+
+@query(f"""WITH {TEXTS}, s AS (SELECT id, text, CASE WHEN text IS NULL OR text = '' THEN 'pass' WHEN {any_of(*[p for _, p in T.OUT_OF_SCOPE], ignore=True).sql('text')} THEN 'block' WHEN NOT ({_WORD}) AND length(text) > 5 THEN 'flag' ELSE 'pass' END AS scope,
+  round(CASE WHEN coalesce(text, '') = '' THEN 0e0 ELSE least(1e0, {_quotation_sql()}) END, 6) AS quotation, round(({' + '.join(f'({e})::INT' for e in _CUES.values())}) / 8e0, 6) AS teaching FROM texts)
+SELECT id, scope, quotation, teaching FROM s WHERE scope = 'block' OR quotation > 0 OR teaching > 0""")
 def scope_and_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope, quotation and teaching material."""
     t = F.col("text")
@@ -608,8 +620,47 @@ def privacy_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", F.size("f").alias("n"), e["score"].alias("score"), e["severity"].alias("severity"))
 
 
-@query()
+def _claims_sql() -> str:
+    """Look-around stated otherwise: what may not follow is changed ahead of the search, what must follow always does."""
+    barred = "反([始终永远绝对一定肯定])"
+    zh = [(p.replace("(?=[，。]|$)", "").replace("(?<!反)", ""), False, k, "(?<!反)" in p) for p, k in X.CLAIMS_ZH]
+    en = [(p, ic, k, False) for p, ic, k in X.CLAIMS_EN]
+    source = lambda cut: f"regexp_replace(text, '{barred}', '反' || chr(1), 'g')" if cut else "text"
+    found = lambda rules: "list_concat(" + ", ".join(f"list_transform(regexp_extract_all({source(cut)}, {sql_text(('(?i)' if ic else '') + p)}), lambda m: {{'claim': trim(m), 'type': '{k}'}})" for p, ic, k, cut in rules) + ")"
+    opinion = f"(regexp_matches(x.claim, {sql_text(X.OPINIONS[0])}) OR regexp_matches(x.claim, {sql_text('(?i)' + X.OPINIONS[1])}))"
+    status = f"""CASE WHEN {opinion} THEN 'opinion' WHEN x.type = 'statistic' AND regexp_matches(x.claim, '(?i)根据|来自|来源|according|source|per\\b') THEN 'has_evidence' WHEN x.type = 'authority_dependent' THEN 'authority_referenced' WHEN x.type = 'prediction' THEN 'unverifiable' ELSE 'needs_evidence' END"""
+    return f"""WITH {TEXTS}, c AS (SELECT id, list_filter(CASE WHEN regexp_matches(text, '{CJK}') THEN {found(zh)} ELSE {found(en)} END, lambda x: length(x.claim) >= 5) AS cs FROM texts),
+f AS (SELECT id, list_filter(cs, lambda x, i: list_position(list_transform(cs, lambda y: left(y.claim, 30)), left(x.claim, 30)) = i) AS cs FROM c),
+s AS (SELECT id, list_transform(cs, lambda x: {{'claim': left(x.claim, 80), 'status': {status}}}) AS cs FROM f),
+n AS (SELECT id, len(cs) AS n, len(list_filter(cs, lambda x: x.status = 'needs_evidence')) AS needs, len(list_filter(cs, lambda x: x.status = 'authority_referenced')) AS authority, len(list_filter(cs, lambda x: regexp_matches(x.claim, '[0-9]+%'))) AS shares FROM s)
+SELECT id, n::INT AS n, CASE WHEN authority > 0 AND needs = 0 THEN 'authority_only' WHEN needs > 0 OR shares >= 2 THEN 'needs_evidence' ELSE 'verified' END AS verdict FROM n"""
+
+
+@query(_claims_sql())
 def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims and the verdict on their evidence (look-around)."""
+    """Claims and the verdict on their evidence."""
     c = texts(spark, sf_dir).select("id", X.claims(F.col("text")).alias("c"))
     return c.select("id", F.size("c").alias("n"), X.claim_verdict(F.col("c")).alias("verdict"))
+
+
+_LESSON = " ".join(f"WHEN regexp_matches(text, {sql_text(p)}) THEN {{'type': '{n}', 'content': trim(regexp_extract(text, {sql_text(p)}, 1))}}" for n, p in D.LESSONS)
+
+
+@query(f"WITH {TEXTS}, l AS (SELECT id, CASE WHEN length(text) < 10 THEN NULL {_LESSON} END AS x FROM texts) SELECT id, x.type AS kind, x.content AS content FROM l WHERE x IS NOT NULL")
+def reflection_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lesson that a reflection states."""
+    found = settled(texts(spark, sf_dir).select("id", D.lesson(F.col("text")).alias("x"))).where("x is not null")
+    return found.select("id", F.col("x.type").alias("kind"), "x.content")
+
+
+_FELT = " OR ".join(any_literal(*ws, lower=True).sql("text") for n, ws in D.EMOTIONS if n in ("frustration", "confusion"))
+_DEPTH = f"0.5e0 + CASE WHEN support THEN 0.2e0 ELSE 0e0 END + CASE WHEN length(text) > 100 THEN 0.1e0 ELSE 0e0 END + CASE WHEN surface IN ('problem_solving', 'learning') THEN 0.2e0 ELSE 0e0 END"
+
+
+@query(f"""WITH {TEXTS}, s AS (SELECT id, text, {', '.join(f'({e}) AS {n}' for n, e in _SURF.items())}, ({_FELT}) AS support FROM texts), g AS (SELECT *, greatest({', '.join(_SURF)}) AS top FROM s),
+n AS (SELECT *, CASE WHEN top = 0 THEN 'unclear' {' '.join(f"WHEN {n} = top THEN '{n}'" for n in _SURF)} END AS surface, CASE WHEN top = 0 THEN 0.3e0 ELSE least(1e0, top / 2e0) END AS sure FROM g)
+SELECT id, support AS needs_support, round((sure + least(1e0, {_DEPTH})) / 2, 6) AS confidence FROM n""")
+def intent_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Need of support and confidence over both layers of an intent."""
+    x = D.layered_intent(F.col("text"))
+    return texts(spark, sf_dir).select("id", x["needs_support"].alias("needs_support"), F.round(x["confidence"], 6).alias("confidence"))
