@@ -4,7 +4,8 @@ A text is cut into sentences, each is normalised and mapped to the identifiers o
 the known licence sentences in it, in order of place (of overlapping matches the
 one listed first wins); the sequence of identifiers is then matched against
 ordered rules, longest evidence first. Identifiers that a rule uses up are gone
-for later rules; what no rule explains is reported as unmatched. A licence that a
+for later rules; what no rule explains is reported as unmatched. A reservation of all rights
+in the copyright line ahead of a licence belongs to that licence. A licence that a
 sentence refuses ("not licensed under ...") has no identifier.
 
 Results for odd input: a null or empty text has no sentences and no licence;
@@ -16,6 +17,7 @@ further columns are not read, whatever they are called.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,12 +40,17 @@ SENTENCES = (
     ("MITPermission", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
     ("MITNotice", r"the above copyright notice and this permission notice shall be included"),
     ("MITAsIs", r"the software is provided \"?as is\"?,? without warranty of any kind"),
+    ("BSLPermission", r"permission is hereby granted,? free of charge,? to any person or organization obtaining a copy"),
     ("ISCPermission", r"permission to use,? copy,? modify,? and(/or)? distribute this software for any purpose"),
     ("BSDRedistribution", r"redistribution and use in source and binary forms,? with or without modification"),
     ("BSDSource", r"redistributions of source code must retain the above copyright"),
     ("BSDBinary", r"redistributions in binary form must reproduce the above copyright"),
-    ("BSDEndorse", r"neither the names? of .*? may be used to endorse or promote"),
-    ("BSDAsIs", r"this software is provided by .*? \"?as is\"?"),
+    ("BSDAdvertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("BSDEndorse", r"neither the names? of .{0,300}? may be used to endorse or promote"),
+    ("BSDAsIs", r"this software is provided by .{0,300}? \"?as is\"?"),
+    ("ZlibAsIs", r"this software is provided ['\"]?as[- ]is['\"]?,? without any express or implied warranty"),
+    ("ZlibOrigin", r"the origin of this software must not be misrepresented"),
+    ("ZlibAltered", r"altered source versions must be plainly marked as such"),
     ("BSD2Named", r"licensed under (the )?((simplified |2-clause |two-clause )bsd|bsd[ -](2|two)-clause)( license)?"),
     ("BSD4Named", r"licensed under (the )?((original |4-clause |four-clause )bsd|bsd[ -](4|four)-clause)( license)?"),
     ("BSDNamed", r"licensed under (the )?((new |modified |3-clause |three-clause )?bsd|bsd[ -](3|three)-clause)( license)?"),
@@ -68,11 +75,15 @@ SENTENCES = (
     ("GPLNamed", r"gnu general public license"),
     ("MPLNamed", r"mozilla public license,? (version |v\. ?|v)?2(\.0)?"),
     ("CC0Named", r"(cc0( 1\.0)?|creative commons zero|public domain dedication)"),
-    ("CCBYNCSANamed", r"cc[ -]by-nc-sa"),
-    ("CCBYNCNDNamed", r"cc[ -]by-nc-nd"),
-    ("CCBYNCNamed", r"cc[ -]by-nc"),
-    ("CCBYSANamed", r"cc[ -]by-sa"),
-    ("CCBYNDNamed", r"cc[ -]by-nd"),
+    ("EPL1Named", r"eclipse public license,?( -)? (version |v\.? ?)?1(\.0)?"),
+    ("EPL2Named", r"eclipse public license,?( -)? (version |v\.? ?)?2(\.0)?"),
+    ("BSLNamed", r"boost software license"),
+    ("ZlibNamed", r"(licensed|released|distributed) under (the )?(terms of the )?zlib license"),
+    ("CCBYNCSANamed", r"(cc[ -]by-nc-sa|creative commons attribution[ -]non-?commercial[ -]share-?alike)"),
+    ("CCBYNCNDNamed", r"(cc[ -]by-nc-nd|creative commons attribution[ -]non-?commercial[ -]no-?deriv)"),
+    ("CCBYNCNamed", r"(cc[ -]by-nc|creative commons attribution[ -]non-?commercial)"),
+    ("CCBYSANamed", r"(cc[ -]by-sa|creative commons attribution[ -]share-?alike)"),
+    ("CCBYNDNamed", r"(cc[ -]by-nd|creative commons attribution[ -]no-?deriv)"),
     ("CCBYNamed", r"(cc[ -]by|creative commons attribution)"),
     ("UnlicenseNamed", r"this is free and unencumbered software released into the public domain"),
     ("AllRights", r"all rights reserved"),
@@ -92,7 +103,7 @@ _GNU = (
     (("GPLFree", "GPL2Named", "GPL2Later"), "GPL-2.0-or-later"),
     (("GPLFree", "GPLNamed", "GPL2Later"), "GPL-2.0-or-later"),
     (("GPLFree", "GPLNamed", "GPL1Later"), "GPL-1.0-or-later"),
-    (("GPLFree", "GPLNamed", "GPLLater"), "GPL-2.0-or-later"),
+    (("GPLFree", "GPLNamed", "GPLLater"), "GPL"),
     (("GPLFree", "AGPLNamed"), "AGPL-3.0"),
     (("GPLFree", "LGPLNamed"), "LGPL"),
     (("GPLFree", "GPL3Named"), "GPL-3.0"),
@@ -124,9 +135,12 @@ def _with_tails(header: tuple[str, ...], licence: str) -> list[tuple[tuple[str,
 RULES = (
     (("ApacheLicensed", "ApacheCompliance", "ApacheCopy", "ApacheAsIs"), "Apache-2.0"),
     (("ApacheCompliance", "ApacheCopy", "ApacheAsIs"), "Apache-2.0"),
+    (("BSDRedistribution", "BSDSource", "BSDBinary", "BSDAdvertising", "BSDEndorse", "BSDAsIs"), "BSD-4-Clause"),
     (("BSDRedistribution", "BSDSource", "BSDBinary", "BSDEndorse", "BSDAsIs"), "BSD-3-Clause"),
     (("BSDRedistribution", "BSDSource", "BSDBinary", "BSDAsIs"), "BSD-2-Clause"),
     (("MITPermission", "MITNotice", "MITAsIs"), "MIT"),
+    (("BSLNamed", "BSLPermission"), "BSL-1.0"),
+    (("ZlibAsIs", "ZlibOrigin", "ZlibAltered"), "Zlib"),
     *(rule for header in _GNU for rule in _with_tails(*header)),
     (("ISCPermission", "MITAsIs"), "ISC"),
     (("ApacheLicensed",), "Apache-2.0"),
@@ -137,6 +151,12 @@ RULES = (
     (("BSD4Named",), "BSD-4-Clause"),
     (("BSDNamed",), "BSD-3-Clause"),
     (("MPLNamed",), "MPL-2.0"),
+    (("EPL2Named",), "EPL-2.0"),
+    (("EPL1Named",), "EPL-1.0"),
+    (("BSLPermission",), "BSL-1.0"),
+    (("BSLNamed",), "BSL-1.0"),
+    (("ZlibNamed",), "Zlib"),
+    (("ZlibOrigin", "ZlibAltered"), "Zlib"),
     (("CC0Named",), "CC0-1.0"),
     (("CCBYNCSANamed",), "CC-BY-NC-SA"),
     (("CCBYNCNDNamed",), "CC-BY-NC-ND"),
@@ -151,15 +171,25 @@ RULES = (
 
 #: A licence that is named behind one of these words is refused, not granted: its identifier is not given.
 _REFUSED = re.compile(r"(\bnot|\bnever|\bno longer|n't|\bneither|\bcannot be)\b[^,;:()]{0,40}$")
+#: Characters ahead of a name in which such a word and what may follow it lie.
+_REFUSED_SPAN = 60
 _NAMING = re.compile(r".*(Named|Licensed|Released)$")
 
 #: SPDX names by their lower case, for one spelling of a licence however a text names it.
-_SPELLINGS = {name.lower(): name for _, name in RULES}
+_SPELLINGS = {name.lower(): name for _, name in RULES} | {
+    f"{kind}-{version}{form}".lower(): f"{kind}-{version}{form}"
+    for kind, versions in (("GPL", ("1.0", "2.0", "3.0")), ("LGPL", ("2.0", "2.1", "3.0")), ("AGPL", ("1.0", "3.0")))
+    for version in versions
+    for form in ("", "-only", "-or-later", "+")
+}
+# Exceptions to a licence.
+EXCEPTIONS = ("Classpath-exception-2.0", "LLVM-exception", "GCC-exception-2.0", "GCC-exception-3.1", "Autoconf-exception-3.0", "Bison-exception-2.2", "Font-exception-2.0", "Linux-syscall-note")
+_SPELLINGS |= {name.lower(): name for name in EXCEPTIONS}
 
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 #: A line without any of these strings has no known sentence.
 _HINT = re.compile(
-    r"licen[sc]e|copyright|all\s+rights\s+reserved|redistribut|permission|public\s+domain|without\s+warranty|\bcc[ -]?(by|0)|creative\s+commons|provided\s+by|neither\s+the\s+names?|either\s+version|free\s+software|unencumbered",
+    r"licen[sc]e|copyright|all\s+rights\s+reserved|redistribut|permission|public\s+domain|without\s+warranty|\bcc[ -]?(by|0)|creative\s+commons|provided\s+by|neither\s+the\s+names?|either\s+version|free\s+software|unencumbered|advertising\s+materials|implied\s+warranty|misrepresented|plainly\s+marked",
     re.IGNORECASE,
 )
 _END = re.compile(r"(?<=[.;!?])\s+(?=[A-Z\"(0-9])|(?<=:)\s*\n\s*|\n\s*\n")
@@ -185,15 +215,18 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def known(plain: str) -> list[tuple[str, str]]:
     """(identifier, named part) of all known sentences in a normalised one, in order of place; an SPDX expression gives one a licence."""
+    # spans that are taken, in order of place: only the neighbours of a new one can overlap it
     spans: list[tuple[int, int, str, str]] = []
     for name, pattern in _KNOWN:
         for hit in pattern.finditer(plain):
-            if _NAMING.match(name) and _REFUSED.search(plain, 0, hit.start()):
+            begin, end = hit.span()
+            if _NAMING.match(name) and _REFUSED.search(plain, max(0, begin - _REFUSED_SPAN), begin):
                 continue
-            if all(hit.end() <= a or b <= hit.start() for a, b, _, _ in spans):
-                spans.append((hit.start(), hit.end(), name, hit.groupdict().get("name") or ""))
+            at = bisect_left(spans, (begin,))
+            if (at == 0 or spans[at - 1][1] <= begin) and (at == len(spans) or end <= spans[at][0]):
+                spans.insert(at, (begin, end, name, hit.groupdict().get("name") or ""))
     out = []
-    for _, _, name, part in sorted(spans):
+    for _, _, name, part in spans:
         out += [(name, x.strip(" ().")) for x in re.split(r" (?:and|or) ", part)]
     return out
 
@@ -228,27 +261,52 @@ def identified(text: str) -> list[list[tuple[str, str]]]:
 
 
 def match_rules(found: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
-    """The licences, in the order of their first sentence, and the identifiers that no rule explains."""
-    left = list(enumerate(found))
+    """The licences, in the order of their first sentence, and the identifiers that no rule explains.
+
+    The copyright line ahead of a licence belongs to it: ``All rights reserved`` there is no licence of its own.
+    Places are kept by identifier, in order, so a rule costs a search for each of its identifiers and not the whole sequence.
+    """
+    places: dict[str, list[int]] = {}
+    for at in range(len(found) - 1, -1, -1):
+        places.setdefault(found[at][0], []).append(at)
+    # the first place of an identifier is the last of its list, so that taking it is cheap
+    alive = [True] * len(found)
     got = []
+
+    def take(name: str, at: int) -> None:
+        own = places[name]
+        del own[bisect_left(own, -at, key=lambda x: -x)]
+        alive[at] = False
+
     for needed, licence in RULES:
         while True:
-            used, want = [], 0
-            for place, (name, part) in left:
-                if want < len(needed) and name == needed[want]:
-                    used.append((place, part))
-                    want += 1
-            if want < len(needed):
+            used, after = [], -1
+            for name in needed:
+                own = places.get(name, ())
+                # lists fall: what is behind ``after`` comes first
+                k = bisect_left(own, -after, key=lambda x: -x) - 1
+                if k < 0:
+                    break
+                after = own[k]
+                used.append(after)
+            if len(used) < len(needed):
                 break
-            got.append((used[0][0], used[0][1] or licence))
-            gone = {p for p, _ in used}
-            left = [x for x in left if x[0] not in gone]
-    return [x for _, x in sorted(got)], [name for _, (name, _) in left]
+            got.append((used[0], found[used[0]][1] or licence))
+            for name, at in zip(needed, used, strict=True):
+                take(name, at)
+            at = used[0] - 1
+            if licence != "Proprietary":
+                while at >= 0 and alive[at] and found[at][0] in ("Copyright", "AllRights"):
+                    if found[at][0] == "AllRights":
+                        take("AllRights", at)
+                    at -= 1
+    return [x for _, x in sorted(got)], [name for at, (name, _) in enumerate(found) if alive[at]]
 
 
 def spelt(licence: str) -> str:
     """One spelling of a licence's name: the SPDX one where it is known (expressions part by part), else as it is."""
-    return " ".join(_SPELLINGS.get(part, part) for part in licence.split(" "))
+    parts = [_SPELLINGS.get(part, part) for part in licence.split(" ")]
+    return " ".join("WITH" if part == "with" and parts[k + 1 : k + 2] and parts[k + 1] in EXCEPTIONS else part for k, part in enumerate(parts))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

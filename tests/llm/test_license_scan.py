@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from quern.llm import license_scan as L
 from quern.llm.common import table
 from tests.conftest import SF2
@@ -124,3 +129,86 @@ def test_hints_lose_no_sentence(spark):
         assert L.identify(t) == want
         hits += bool(want)
     assert hits > 20
+
+
+BSD4 = """Copyright (c) 1990 The Regents. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions of source code must retain the above copyright notice.
+Redistributions in binary form must reproduce the above copyright notice. All advertising materials mentioning features or use of this software must display the following acknowledgement: X.
+Neither the name of the University may be used to endorse or promote products. This software is provided by the Regents "as is"."""
+
+
+def licenses(text):
+    return list(dict.fromkeys(map(L.spelt, L.match_rules(L.identify(text))[0])))
+
+
+def test_notices_with_their_copyright_line():
+    assert licenses(BSD4) == ["BSD-4-Clause"]
+    three = BSD4[: BSD4.index("All advertising")] + BSD4[BSD4.index("Neither") :]
+    assert licenses(three) == ["BSD-3-Clause"]
+    assert licenses(three[: three.index("Neither")] + three[three.index("This software") :]) == ["BSD-2-Clause"]
+    mit = 'Copyright 2020 A. All rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy. The above copyright notice and this permission notice shall be included. The software is provided "as is", without warranty of any kind.'
+    assert licenses(mit) == ["MIT"] and licenses(mit + "\n\nAll rights reserved.") == ["MIT", "Proprietary"]
+    assert licenses("Copyright 2020 A. All rights reserved.") == ["Proprietary"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Under Creative Commons Attribution-NonCommercial 4.0.", ["CC-BY-NC"]),
+        ("Under Creative Commons Attribution-ShareAlike 4.0.", ["CC-BY-SA"]),
+        ("Under Creative Commons Attribution-NonCommercial-ShareAlike 4.0.", ["CC-BY-NC-SA"]),
+        ("Under Creative Commons Attribution-NonCommercial-NoDerivatives 4.0.", ["CC-BY-NC-ND"]),
+        ("Under Creative Commons Attribution-NoDerivs 3.0.", ["CC-BY-ND"]),
+        ("Under Creative Commons Attribution 4.0.", ["CC-BY"]),
+        ("This software is provided 'as-is', without any express or implied warranty. The origin of this software must not be misrepresented. Altered source versions must be plainly marked as such.", ["Zlib"]),
+        ("Eclipse Public License - v 2.0", ["EPL-2.0"]),
+        ("Eclipse Public License 1.0", ["EPL-1.0"]),
+        ("Boost Software License - Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software.", ["BSL-1.0"]),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only WITH Classpath-exception-2.0"]),
+        ("This program is free software: you can redistribute it and/or modify it under the GNU General Public License, either version 4 of the License, or (at your option) any later version.", ["GPL"]),
+    ],
+)
+def test_variants(text, want):
+    assert licenses(text) == want
+
+
+def plain_rules(found):
+    left, got = list(enumerate(found)), []
+    for needed, licence in L.RULES:
+        while True:
+            used, want = [], 0
+            for place, (name, part) in left:
+                if want < len(needed) and name == needed[want]:
+                    used.append((place, part))
+                    want += 1
+            if want < len(needed):
+                break
+            got.append((used[0][0], used[0][1] or licence))
+            gone = {p for p, _ in used}
+            at = used[0][0] - 1
+            there = dict(left)
+            while licence != "Proprietary" and at in there and there[at][0] in ("Copyright", "AllRights"):
+                if there[at][0] == "AllRights":
+                    gone.add(at)
+                at -= 1
+            left = [x for x in left if x[0] not in gone]
+    return [x for _, x in sorted(got)], [name for _, (name, _) in left]
+
+
+def test_rules_equal_a_plain_reading():
+    rnd = random.Random(2)
+    names = [n for n, _ in L.SENTENCES]
+    for _ in range(300):
+        some = rnd.sample(names, 8) + ["Copyright", "AllRights"]
+        found = [(rnd.choice(some), "") for _ in range(rnd.randint(0, 60))]
+        assert L.match_rules(found) == plain_rules(found)
+
+
+def test_long_texts_with_many_names_take_linear_time():
+    one = "Licensed under the MIT license and the Apache License, Version 2.0, not under the GNU General Public License, "
+    begin = time.time()
+    for text in (one * 12_500, one.replace(", ", ".\n") * 12_500, "neither the name of x this software is provided by " * 20_000):
+        L.match_rules(L.identify(text))
+    assert time.time() - begin < 60
+    assert len(L.identify(one * 12_500)) == 25_000
