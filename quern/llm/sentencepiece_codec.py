@@ -422,7 +422,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
 
 
 def decode(rows: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row a document: (doc_id, text). Null ids give a null text."""
+    """One row a document: (doc_id, text). A null list gives a null text; null ids and ids beyond the vocabulary stand for no piece."""
     model = Model.load(model_path)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
@@ -430,7 +430,7 @@ def decode(rows: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                back = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
+                back = [None if x is None else model.decode([i for i in x if i is not None and 0 <= i < len(model.pieces)]) for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.string())], schema=schema)
 
     chosen = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))

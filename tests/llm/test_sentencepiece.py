@@ -4,6 +4,7 @@ import pyarrow.parquet as pq
 import sentencepiece
 
 from quern.llm import sentencepiece_codec as C
+from quern.llm.common import ship
 from tests.conftest import SF
 from tests.llm.helpers import docs, empty, odd
 
@@ -91,3 +92,9 @@ def test_odd_input(spark):
     assert all(r["round_trip"] for r in rows if r["doc_id"] != 1)
     assert C.encode(empty(spark)).count() == 0
     assert C.decode(C.encode(odd(spark))).where("text is null").count() == 1
+
+
+def test_decode_of_odd_ids(spark):
+    ship(spark)
+    rows = spark.createDataFrame([(1, [None, -1, 1_000_000]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in C.decode(rows).collect()} == {1: "", 2: None, 3: ""}
