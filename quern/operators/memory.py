@@ -18,9 +18,7 @@ LAYERS = ("CORE", "LEARNED", "EPHEMERAL")
 HOUR, DAY, WEEK = 3600, 86_400, 604_800
 
 # Words that are no topics.
-STOP_WORDS = tuple(
-    "the and for are but not you all can had her was one our out has have this that with from they been said each which their would about could other into more some what when make like time just know take people year your good them than then only look also".split()
-)
+STOP_WORDS = ("the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has", "have", "this", "that", "with", "from", "they", "been", "said", "each", "which", "their", "would", "about", "could", "other", "into", "more", "some", "what", "when", "make", "like", "time", "just", "know", "take", "people", "year", "your", "good", "them", "than", "then", "only", "look", "also")
 # Words of the sentiment estimate.
 POSITIVE = ("good", "great", "happy", "love", "thanks", " wonderful", "excellent", "helpful", "like", "appreciate", "好的", "谢谢", "开心", "喜欢", "棒", "有用")
 NEGATIVE = ("bad", "wrong", "error", "fail", "hate", "terrible", "angry", "frustrated", "no", "never", "错了", "不好", "讨厌", "没用", "问题")
