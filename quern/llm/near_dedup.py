@@ -5,10 +5,11 @@
    filled by optimal densification: a fixed random sequence of other bins is
    tried for each bin until one holds a value.
 2. Documents with the same shingle set are one class (the digest of the whole
-   set), represented by the smallest id. Only representatives go on.
+   set). Each class gets a number of its own; from here on only classes are looked
+   at, so an id that several different texts share takes part with each of them.
 3. The signature is cut into BANDS bands of ROWS values: two documents with
    similarity 0.75 share no band with probability (1 - 0.75^4)^32 < 6e-6.
-4. In each bucket the representative with the smallest id is the centre of a
+4. In each bucket the class with the smallest number is the centre of a
    star; the bucket's other members are compared with it alone, so a bucket of
    n members gives n - 1 candidates and not n^2 / 2.
 5. Candidates are confirmed on the full sets. Confirmed links give components
@@ -24,7 +25,7 @@
 
 Results for odd input: a null or empty text, or one without words, has no
 shingles, is linked with nothing and kept; fewer than five words count as one
-shingle; repeated ids have their component in common; a null id is a document of
+shingle; repeated ids have their component in common, whatever their texts; a null id is a document of
 its own (null component, kept); very long texts are hashed whole; an empty table
 gives an empty table; further columns are not read, whatever they are called.
 """
@@ -37,10 +38,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, joined, sized, texts, written
+from quern.llm.common import discard, joined, ship, sized, texts, written
 
 WORDS = 5
 #: Link: 100 * intersection >= PERCENT * union.
@@ -114,6 +115,11 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.astype(np.int64, casting="unsafe")
 
 
+def _set_key(packed: bytes) -> bytes | None:
+    """The digest of a packed set; null without shingles."""
+    return hashlib.blake2b(packed, digest_size=16).digest() if packed else None
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: (doc_id, n_shingles, set_key, bands). ``set_key`` is null and ``bands`` empty without shingles."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -124,7 +130,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in texts(batch.column(1)):
                 s = shingle_set(text)
                 sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(_set_key(s.tobytes()))
                 bands.append(band_keys(signature(s)) if len(s) else np.zeros(0, np.int64))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -133,18 +139,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, shingles) of the documents in ``ids`` (column ``id``): the packed set. Repeated ids give one row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(sized(ids), "id", "left_semi")
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, shingles): the packed set of each class in ``nodes`` (id, doc_id, set_key), from a row of its id that has this set."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.join(sized(nodes.select("doc_id").distinct()), "doc_id", "left_semi")
+    schema = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [shingle_set(t).tobytes() for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], schema=schema)
+            keys = [_set_key(p) for p in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], schema=schema)
 
-    return rows.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    found = rows.mapInArrow(run, "doc_id long, set_key binary, shingles binary").dropDuplicates(["doc_id", "set_key"])
+    return found.join(nodes, ["doc_id", "set_key"]).select("id", "shingles")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,32 +231,64 @@ def _mixed_buckets(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
 
 
+def _band(n: Column) -> Column:
+    """A number that grows with a size; linked sizes are in the same band or in neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(100.0 / PERCENT)))
+
+
 def _across(members: DataFrame, whole: bool, tried: DataFrame) -> DataFrame:
     """Candidate pairs between components that share a rare shingle, of members (bucket, id, n, place, label), without those in ``tried``.
 
     Not ``whole``: one member of each component in the bucket against the members
-    of the others. ``whole``: all members of different components. The smaller set
-    of a pair needs the shingle among its first n - ceil(6n/7) + 1, sizes must fit,
-    and what can still follow in both orders must reach the overlap that 0.75 asks
-    for: the exact length, prefix and position filters of a set-similarity join.
+    of the others. ``whole``: all members of different components. The component
+    with the most members in a bucket stands on one side alone: every pair that is
+    asked for has a member of another one, and what is enumerated is at most twice
+    what is asked for. The smaller set of a pair needs the shingle among its first
+    n - ceil(6n/7) + 1, sizes must fit (they are part of the key), and what can still
+    follow in both orders must reach the overlap that 0.75 asks for: the exact
+    length, prefix and position filters of a set-similarity join.
     """
-    row = ["id", "n", "place"]
-    inside = joined(members, _mixed_buckets(members), "bucket", "left_semi")
-    left = inside
+    row = ["n", "place", "id"]
+    held = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("held"))
+    top = held.groupBy("bucket").agg(F.max(F.struct("held", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    inside = joined(members, top.select("bucket", "top"), "bucket")
+    left = inside.where("label != top")
     if not whole:
-        left = inside.groupBy("bucket", "label").agg(F.min(F.struct("n", "place", "id")).alias("m")).select("bucket", "label", *[f"m.{c}" for c in row])
-    left = left.where(f"7 * place <= n + {7}").select("bucket", F.col("label").alias("of_x"), *[F.col(c).alias(f"{c}_x") for c in row])
+        left = left.groupBy("bucket", "label").agg(F.min(F.struct(*row)).alias("m")).select("bucket", "label", *[f"m.{c}" for c in row])
+    left = left.select("bucket", F.col("label").alias("of_x"), *[F.col(c).alias(f"{c}_x") for c in row])
+    sizes = F.sequence(_band(F.ceil(F.col("n_x") * PERCENT / 100)), _band(F.floor(F.col("n_x") * 100 / PERCENT)))
+    key = lambda band: F.xxhash64("bucket", band)
+    left = left.withColumn("band", F.explode(sizes)).withColumn("tile", key(F.col("band"))).drop("band")
+    right = inside.withColumn("tile", key(_band(F.col("n")))).withColumnRenamed("bucket", "bucket_y")
+    # of two members that are both on both sides one order is enough
+    first = (F.col("n_x") < F.col("n")) | ((F.col("n_x") == F.col("n")) & (F.col("id_x") < F.col("id")))
+    once = (F.col("label") == F.col("top")) | first if whole else F.lit(True)
+    small, large = F.least("n_x", "n"), F.greatest("n_x", "n")
+    place = F.when(F.col("n_x") < F.col("n"), F.col("place_x")).when(F.col("n_x") > F.col("n"), F.col("place")).otherwise(F.least("place_x", "place"))
     fit = (
-        (F.col("n_x") <= F.col("n"))
-        & (100 * F.col("n_x") >= PERCENT * F.col("n"))
+        (F.col("bucket") == F.col("bucket_y"))
         & (F.col("label") != F.col("of_x"))
+        & (100 * small >= PERCENT * large)
+        & (7 * place <= small + 7)
         & ((100 + PERCENT) * (1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n") - F.col("place"))) >= PERCENT * (F.col("n_x") + F.col("n")))
+        & once
     )
-    pairs = joined(inside, left, "bucket").where(fit)
+    pairs = joined(right, left, "tile").where(fit)
     pairs = pairs.select(F.least("id_x", "id").alias("a"), F.greatest("id_x", "id").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
+def _same_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of an id that stands beside several different texts: a star for each such id."""
+    twice = written(known.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id"), "twice")
+    rows = known.select("doc_id", "set_key").join(sized(twice), "doc_id", "left_semi").distinct()
+    named = written(rows.join(classes.select("set_key", "id"), "set_key").select("doc_id", "id"), "twice")
+    first = named.groupBy("doc_id").agg(F.min("id").alias("a"))
+    out = written(joined(named, first, "doc_id").where("id != a").select("a", F.col("id").alias("b")), "same")
+    discard(twice, named)
+    return out
+
+
 def rare_buckets(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """(bucket, id, n, place): the rarest shingles of the sets of ``ids``, enough of them that any two linked sets share one.
 
@@ -281,26 +321,31 @@ def rare_buckets(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: (doc_id, n_shingles, component_id, kept). The result is written; the tables that led to it are removed."""
+    ship(docs.sparkSession)
     prints = written(fingerprints(docs, id_col, text_col), "prints")
     known = prints.where("set_key is not null and doc_id is not null")
     n_docs, n_hashes = prints.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "classes", n_docs)
+    # the numbers of the classes are fixed by being written
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id())
+    classes = written(classes, "classes", n_docs)
     # on key and id, not on the key alone: a class may hold a third of all rows
-    reps = known.join(classes, ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    everyone = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
+    reps = known.join(classes, ["set_key", "doc_id"]).dropDuplicates(["id"])
+    everyone = reps.select(F.explode("bands").alias("bucket"), "id")
     crowded = everyone.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = written(joined(everyone, crowded, "bucket", "left_semi"), "members", BANDS * classes.count())
     n_members = members.count()
-    sets = written(shingle_sets(docs, members.select("id").distinct(), id_col, text_col), "sets", n_hashes)
+    nodes = written(classes.join(members.select("id").distinct(), "id", "left_semi"), "nodes", n_docs)
+    sets = written(shingle_sets(docs, nodes, id_col, text_col), "sets", n_hashes)
     tried = written(_stars(members), "tried", n_members)
-    links = written(confirmed(tried, sets), "links", n_hashes)
+    same = _same_ids(known, classes)
+    links = written(confirmed(tried, sets).unionByName(same), "links", n_hashes)
     n_links = links.count()
     labels = components(links, n_links)
     named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
     rest = joined(named, _mixed_buckets(named), "bucket", "left_semi").select("id").distinct()
     rare = written(rare_buckets(sets, rest), "rare", n_hashes)
     n_rare = rare.count()
-    held, whole = [prints, classes, members, sets, rare, tried, links], False
+    held, whole = [prints, classes, members, nodes, same, sets, rare, tried, links], False
     while True:
         named = rare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         fresh = written(_across(named, whole, tried), "tried", n_rare)
@@ -318,7 +363,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         else:
             whole = True
-    final = classes.join(labels, classes["doc_id"] == labels["id"], "left").select("set_key", F.coalesce("label", "doc_id").alias("label"))
+    # a component is named after its smallest id
+    linked = classes.join(labels, "id")
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("least"))
+    linked = joined(linked, least, "label").select("id", "least")
+    final = classes.join(linked, "id", "left").select("set_key", F.coalesce("least", "doc_id").alias("label"))
     # documents without shingles are not dealt by the null of their key
     thin = prints.select("doc_id", "n_shingles", F.coalesce("set_key", F.encode(F.col("doc_id").cast("string"), "utf-8")).alias("set_key"))
     out = thin.join(final, "set_key", "left")
@@ -334,12 +383,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the smallest id of their component, with all their columns.
 
-    Rows that repeat an id are reduced to one. Rows with a null id all stay.
+    Rows that repeat an id are reduced to one, that of the smallest text. Rows with a null id all stay.
     """
     found = near_components(docs, id_col, text_col)
     gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(sized(gone), docs[id_col].cast("long") == gone["__gone"], "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        kept = named.unionByName(kept.where(F.col(id_col).isNull()))
+    twice = found.where("doc_id is not null and kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if twice.limit(1).count():
+        ids = sized(twice.select(F.col("doc_id").alias("__twice")))
+        on = F.col(id_col).cast("long") == F.col("__twice")
+        first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in kept.columns]), F.coalesce(text_col, F.lit("")))
+        named = kept.join(ids, on, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(first.alias("__row")).select("__row.*")
+        kept = kept.join(ids, on, "left_anti").unionByName(named)
     return kept

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quern.llm import near_dedup as N
 from quern.llm.common import table
@@ -86,6 +87,48 @@ def test_stars_bound_the_pairs(spark):
     assert N._stars(members).count() == 499
 
 
+def test_texts_of_repeated_ids_all_count(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    near_c = c.replace("c7", "x7")
+    rows = [(1, a), (5, b), (5, a), (7, a), (9, b), (12, c), (3, near_c), (12, "quite another text of more words"), (20, "quite another text of more words")]
+    got = {}
+    for r in N.near_components(docs(spark, rows)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert got == {1: {1}, 5: {1}, 7: {1}, 9: {1}, 12: {3}, 3: {3}, 20: {3}}
+    kept = N.keep_first(docs(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3]
+    # of the rows of a kept id that of the smallest text stays
+    rows = [(2, b), (2, a), (2, a), (4, c)]
+    assert {(r["doc_id"], r["text"]) for r in N.keep_first(docs(spark, rows)).collect()} == {(2, a), (4, c)}
+
+
+def test_a_stranger_among_many_of_one_component(spark):
+    """A bucket of 20,000 members of one component and one stranger gives a pair for each member at most, never their square."""
+    members = spark.range(20_000).selectExpr("1L AS bucket", "id", "40L AS n", "1L AS place", "0L AS label")
+    members = members.union(spark.createDataFrame([(1, 50_000, 41, 1, 50_000)], members.schema))
+    none = spark.createDataFrame([], "a long, b long")
+    assert N._across(members, False, none).count() == 20_000
+    assert N._across(members, True, none).count() == 20_000
+    far = members.withColumn("n", F.when(F.col("label") == 0, 40).otherwise(80).cast("long"))
+    assert N._across(far, True, none).count() == 0
+
+
+def test_pairs_across_against_all_pairs(spark):
+    rnd = random.Random(3)
+    rows = [(b, 100 * b + i, rnd.randrange(20, 60), rnd.randrange(1, 12), rnd.randrange(3)) for b in range(6) for i in range(30)]
+    members = spark.createDataFrame(rows, "bucket long, id long, n long, place long, label long")
+    none = spark.createDataFrame([], "a long, b long")
+    want = set()
+    for b, i, n, p, c in rows:
+        for b2, j, m, q, d in rows:
+            if b == b2 and i < j and c != d and 100 * min(n, m) >= 75 * max(n, m):
+                place = p if n < m else q if m < n else min(p, q)
+                if 7 * place <= min(n, m) + 7 and 175 * (1 + min(n - p, m - q)) >= 75 * (n + m):
+                    want.add((i, j))
+    got = N._across(members, True, none).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_odd_input(spark):
     got = N.near_components(odd(spark)).collect()
     assert len(got) == 10
