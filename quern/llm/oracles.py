@@ -37,11 +37,19 @@ def _op2() -> str:
         _spans("access", "AKIA[A-Z0-9]+", S.LEAST["access"], 0),
         _spans("hex", "[0-9a-f]{16,}", S.LEAST["hex"], 0),
     ]
+    words = _literal(S.ALLOW_WORDS)
     joined = "coalesce(string_agg(kind || ':' || start || ':' || end_at, ',' ORDER BY start, rank){f}, '')"
     return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({' UNION ALL '.join(base)}),
-cand AS ({_spans("entropy", "[A-Za-z0-9+/=_-]{20,}", 20, 0, f"NOT ({allow}) AND CASE {verdict} END")}),
-every AS (SELECT * FROM base UNION ALL SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.end_at AND c.start < b.end_at)),
+runs AS ({_spans("entropy", "[A-Za-z0-9+/=_-]{20,}", 20, 0).replace(" FROM (", ", m FROM (", 1)}),
+marks AS (SELECT r.doc_id, r.start AS run, m, b.start AS bs, b.end_at AS be FROM runs r JOIN base b ON b.doc_id = r.doc_id AND b.start < r.end_at AND r.start < b.end_at
+  UNION ALL SELECT doc_id, start, m, end_at, end_at FROM runs),
+gaps AS (SELECT doc_id, run, m, bs, greatest(run, coalesce(max(be) OVER (PARTITION BY doc_id, run ORDER BY bs, be ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), run)) AS a FROM marks),
+rests AS (SELECT doc_id, a, substring(m, (a - run + 1)::BIGINT, (bs - a)::BIGINT) AS r FROM gaps WHERE bs - a >= 20),
+cut AS (SELECT doc_id, a, unnest(g) AS v, unnest(list_concat([''], h)) AS h, unnest(range(len(g))) AS k FROM (
+  SELECT doc_id, a, regexp_split_to_array(r, {words}) AS g, regexp_extract_all(r, {words}) AS h FROM rests)),
+cand AS (SELECT doc_id, v, a + sum(length(v) + length(h)) OVER (PARTITION BY doc_id, a ORDER BY k ROWS UNBOUNDED PRECEDING) - length(v) AS start FROM cut),
+every AS (SELECT * FROM base UNION ALL SELECT doc_id, 3, start, start + length(v) FROM cand WHERE length(v) >= 20 AND NOT ({allow}) AND CASE {verdict} END),
 named AS (SELECT doc_id, rank, ['assign', 'access', 'hex', 'entropy'][rank + 1] AS kind, start::BIGINT AS start, end_at::BIGINT AS end_at FROM every)
 SELECT d.doc_id, count(*) FILTER (n.rank = 0)::BIGINT AS n_assign, count(*) FILTER (n.rank = 1)::BIGINT AS n_access, count(*) FILTER (n.rank = 2)::BIGINT AS n_hex,
   sha256({joined.format(f=" FILTER (n.rank < 3)")}) AS base_sha256, {joined.format(f=" FILTER (n.rank IS NOT NULL)")} AS spans, count(*) FILTER (n.rank = 3)::BIGINT AS n_entropy

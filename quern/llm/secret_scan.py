@@ -1,11 +1,12 @@
 """Secret scans by sliding-window Shannon entropy, on DataFrame functions alone.
 
 Base rules find assignments, access keys and hexadecimal runs. The method then
-looks at candidate strings (runs of token characters), slides a window over
-each, keeps the window's character counts up to date by one addition and one
-removal a step, and reports a candidate whose best window reaches the entropy
-threshold of its character class, unless an allow-list pattern matches it or a
-base span covers part of it.
+looks at candidate strings (runs of token characters, in what base spans and
+allow-listed words leave of the text), slides a window over each, keeps the
+entropy up to date by the counts of the character that enters and of the one that
+leaves, and reports a candidate whose best window reaches the threshold of its
+character class, unless an allow-list pattern matches the whole of it. So a token
+is found although an allow-listed word is glued to it or a base span touches it.
 
 Results for odd input: a null or empty text has no spans; very long texts are
 scanned whole; repeated rows give repeated results; an empty table gives an
@@ -39,74 +40,59 @@ CLASSES = (
     ("mixed", r"^.*$", 3.75),
 )
 
-#: Candidates that are never reported.
+#: Words of samples: they end a candidate, what is left on either side is a candidate of its own.
+ALLOW_WORDS = r"(?i)example|placeholder|changeme|dummy|sample|your[_-]?(?:key|token|secret)|x{6,}|0123456789|abcdefghij"
+
+#: Whole candidates that are never reported.
 ALLOW = (
-    r"(?i)example|placeholder|changeme|dummy|sample|your[_-]?(key|token|secret)",
-    r"(?i)x{6,}|0123456789|abcdefghij",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(.)\1*$",
 )
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 _SCALE = 1_000_000_000
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def _c_log_c(count: Column) -> Column:
+def _c_log_c(count: int) -> int:
     """count * log2(count) in whole billionths, so that adding and removing leaves no rounding error."""
-    table = [round(k * math.log2(k) * _SCALE) if k else 0 for k in range(WINDOW + 2)]
-    return F.element_at(F.array(*[F.lit(x).cast("long") for x in table]), count.cast("int") + 1)
+    return round(count * math.log2(count) * _SCALE) if count > 0 else 0
 
 
 def best_window_bits(candidate: Column) -> Column:
     """The largest Shannon entropy (bits a character) of any window of the candidate.
 
-    The state holds the counts of the window's characters and the sum of
-    c*log2(c); each step adds the character that enters and takes off the one
-    that leaves, so a step costs two passes over the ALPHABET's counts whatever the
-    window's length.
+    The state holds the window and the sum of c*log2(c) of its character counts.
+    A step looks up two counts in the window, that of the character that leaves and
+    that of the one that enters, and changes the sum by what the two change.
     """
     chars = F.filter(F.split(candidate, ""), lambda c: c != "")
-    shifted = F.slice(F.concat(F.array_repeat(F.lit(""), WINDOW), chars), F.lit(1), F.size(chars))
-    places = F.zip_with(
-        F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c)),
-        F.transform(shifted, lambda c: F.when(c == "", F.lit(0)).otherwise(F.instr(F.lit(ALPHABET), c))),
-        lambda enter, leave: F.struct(enter.alias("enter"), leave.alias("leave")),
-    )
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
-        F.lit(0).cast("long").alias("total"),
-        F.lit(0).alias("seen"),
-        F.lit(2**62).cast("long").alias("least"),
-    )
-
-    def bump(counts: Column, at: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, i: F.when(i + 1 == at, c + by).otherwise(c))
-
-    def step(state: Column, x: Column) -> Column:
-        less = F.when(x["leave"] > 0, F.element_at(state["counts"], F.greatest(x["leave"], F.lit(1)))).otherwise(F.lit(0))
-        same = x["leave"] == x["enter"]
-        more = F.element_at(state["counts"], x["enter"]) - F.when(same, F.lit(1)).otherwise(F.lit(0))
-        total = (
-            state["total"]
-            + F.when(x["leave"] > 0, _c_log_c(F.greatest(less - 1, F.lit(0))) - _c_log_c(less)).otherwise(F.lit(0).cast("long"))
-            + _c_log_c(more + 1)
-            - _c_log_c(more)
-        )
-        seen = state["seen"] + 1
+    fewer = F.array(*[F.lit(_c_log_c(k - 1) - _c_log_c(k)).cast("long") for k in range(WINDOW + 1)])
+    more = F.array(*[F.lit(_c_log_c(k + 1) - _c_log_c(k)).cast("long") for k in range(WINDOW + 1)])
+    start = F.struct(F.lit("").alias("window"), F.lit(0).cast("long").alias("total"), F.lit(2**62).cast("long").alias("least"))
+
+    def count(window: Column, c: Column) -> Column:
+        return F.length(window) - F.length(F.replace(window, c, F.lit("")))
+
+    def least(state: Column) -> Column:
+        return F.when(F.length(state["window"]) == WINDOW, F.least(state["least"], state["total"])).otherwise(state["least"])
+
+    def step(state: Column, c: Column) -> Column:
+        window = state["window"]
+        full = F.length(window) == WINDOW
+        first = F.substring(window, 1, 1)
+        gone = F.when(full, F.element_at(fewer, count(window, first) + 1)).otherwise(F.lit(0).cast("long"))
+        same = F.when(full & (first == c), F.lit(1)).otherwise(F.lit(0))
         return F.struct(
-            bump(bump(state["counts"], x["leave"], -1), x["enter"], 1).alias("counts"),
-            total.alias("total"),
-            seen.alias("seen"),
-            F.when(seen >= WINDOW, F.least(state["least"], total)).otherwise(state["least"]).alias("least"),
+            F.concat(F.when(full, F.substring(window, 2, WINDOW - 1)).otherwise(window), c).alias("window"),
+            (state["total"] + gone + F.element_at(more, count(window, c) - same + 1)).alias("total"),
+            least(state).alias("least"),
         )
 
-    least = F.aggregate(places, start, step, lambda state: state["least"])
-    return F.lit(math.log2(WINDOW)) - least / F.lit(float(WINDOW * _SCALE))
+    return F.lit(math.log2(WINDOW)) - F.aggregate(chars, start, step, least) / F.lit(float(WINDOW * _SCALE))
 
 
 def is_secret_like(candidate: Column) -> Column:
-    """Whether a window reaches the threshold of the candidate's class and no allow-list pattern matches."""
+    """Whether a window reaches the threshold of the candidate's class and no allow-list pattern matches the whole."""
     bits = best_window_bits(candidate)
     verdict = F.lit(False)
     for _, pattern, least in reversed(CLASSES):
@@ -120,12 +106,14 @@ def is_secret_like(candidate: Column) -> Column:
 def _matches(text: Column, pattern: str, rank: int, least: int, keep=None) -> Column:
     """Spans of the leftmost non-overlapping matches: the gaps between matches and the matches themselves give the places."""
     none = F.expr(f"cast(array() as {_SPAN})")
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # but for assignments the value is the whole match
+    hits = F.arrays_zip(whole.alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("value"))
+    if pattern != ASSIGN:
+        hits = F.transform(whole, lambda m: F.struct(m.alias("whole"), m.alias("value")))
     pieces = F.zip_with(
         F.split(text, pattern, -1),
-        F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("value"),
-        ),
+        hits,
         lambda gap, hit: F.struct(
             F.length(gap).alias("gap"),
             F.coalesce(F.length(hit["whole"]), F.lit(0)).alias("long"),
@@ -146,6 +134,33 @@ def _matches(text: Column, pattern: str, rank: int, least: int, keep=None) -> Co
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
+def _blank(length: Column) -> Column:
+    return F.repeat(F.lit(" "), length.cast("int"))
+
+
+def _without_spans(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans (sorted): every other character keeps its place."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.when(s["start"] > state["at"], F.substring(text, state["at"] + 1, s["start"] - state["at"])).otherwise(F.lit(""))
+        blank = _blank(F.greatest(s["end"] - F.greatest(s["start"], state["at"]), F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(gap, blank)).alias("parts"))
+
+    rest = F.aggregate(spans, start, step, lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
+def _without_words(text: Column) -> Column:
+    """The text with blanks in place of allow-listed words."""
+    pieces = F.zip_with(
+        F.split(text, ALLOW_WORDS, -1),
+        F.regexp_extract_all(text, F.lit(ALLOW_WORDS), F.lit(0)),
+        lambda gap, hit: F.concat(gap, _blank(F.coalesce(F.length(hit), F.lit(0)))),
+    )
+    return F.when(text.rlike(ALLOW_WORDS), F.array_join(pieces, "")).otherwise(text)
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
     """Adds ``out``: an array of (start, rank of the kind in KINDS, end), sorted; code points, end exclusive.
 
@@ -164,9 +179,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secret_spa
             )
         ),
     )
-    more = _matches(text, CANDIDATE, KINDS.index("entropy"), LEAST["entropy"], is_secret_like)
-    free = F.filter(more, lambda m: ~F.exists(F.col(out), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return base.withColumn(out, F.array_sort(F.concat(F.col(out), free)))
+    rest = "__secret_rest"
+    base = base.withColumn(rest, F.when(text.rlike(CANDIDATE), _without_spans(text, F.col(out))).otherwise(F.lit("")))
+    base = base.withColumn(rest, F.when(F.col(rest).rlike(CANDIDATE), _without_words(F.col(rest))).otherwise(F.lit("")))
+    more = _matches(F.col(rest), CANDIDATE, KINDS.index("entropy"), LEAST["entropy"], is_secret_like)
+    return base.withColumn(out, F.array_sort(F.concat(F.col(out), more))).drop(rest)
 
 
 def spans_text(spans: Column, method: bool = True) -> Column:
