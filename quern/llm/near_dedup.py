@@ -278,14 +278,16 @@ def _across(members: DataFrame, whole: bool, tried: DataFrame) -> DataFrame:
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _same_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of an id that stands beside several different texts: a star for each such id."""
-    twice = written(known.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id"), "twice")
+def _same_ids(known: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the classes of an id that stands beside several different texts: a star for each such id. None without such ids."""
+    twice = known.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id")
+    if not twice.limit(1).count():
+        return None
     rows = known.select("doc_id", "set_key").join(sized(twice), "doc_id", "left_semi").distinct()
-    named = written(rows.join(classes.select("set_key", "id"), "set_key").select("doc_id", "id"), "twice")
+    named = written(rows.join(classes.select("set_key", "id"), "set_key").select("doc_id", "id"), "named")
     first = named.groupBy("doc_id").agg(F.min("id").alias("a"))
     out = written(joined(named, first, "doc_id").where("id != a").select("a", F.col("id").alias("b")), "same")
-    discard(twice, named)
+    discard(named)
     return out
 
 
@@ -338,14 +340,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(shingle_sets(docs, nodes, id_col, text_col), "sets", n_hashes)
     tried = written(_stars(members), "tried", n_members)
     same = _same_ids(known, classes)
-    links = written(confirmed(tried, sets).unionByName(same), "links", n_hashes)
+    links = confirmed(tried, sets)
+    links = written(links if same is None else links.unionByName(same), "links", n_hashes)
     n_links = links.count()
     labels = components(links, n_links)
     named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
     rest = joined(named, _mixed_buckets(named), "bucket", "left_semi").select("id").distinct()
     rare = written(rare_buckets(sets, rest), "rare", n_hashes)
     n_rare = rare.count()
-    held, whole = [prints, classes, members, nodes, same, sets, rare, tried, links], False
+    held, whole = [prints, classes, members, nodes, sets, rare, tried, links], False
+    if same is not None:
+        held.append(same)
     while True:
         named = rare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         fresh = written(_across(named, whole, tried), "tried", n_rare)
