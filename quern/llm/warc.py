@@ -4,13 +4,16 @@ Writing: each page gives a request, a response (or revisit) and a metadata
 record; request and metadata name the response's record id in
 WARC-Concurrent-To. Of pages with equal payloads of at least REVISIT_BYTES
 bytes, those with the largest id carry the payload and the others are
-revisit records that refer to it. The sink is the gzip text sink with CRLF line
-ends, so archives are written by Spark's own committer to any store that Spark
-can write, and a lost executor leaves no half-written file.
-
-Reading: archives are split among tasks, decompressed piece by piece, and cut
-into records by Content-Length, so a payload may hold anything, a record header
-included. The records of a capture are joined through their concurrent-to ids,
+revisit records that refer to it. Each record is a gzip member of its own, and an
+empty member with a comment (``MARK``) ends a page. The sink is Spark's text sink with
+the mark as its line end, so archives are written by Spark's own committer to any store
+that Spark can write, and a lost executor leaves no half-written file.
+
+Reading: archives written here are cut at the marks by Spark's text source
+(``read_archives``): tasks take byte ranges of a file of any size, and what one of them
+holds is a page. Archives of others are read a file at a time (``read_records``). Both
+are decompressed piece by piece and cut into records by Content-Length, so a payload may
+hold anything, a record header included. The records of a capture are joined through their concurrent-to ids,
 one nested row a capture: in one step for archives written here (``captures``), over
 chains of any length and direction for any archive (``assemble``).
 
@@ -32,20 +35,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_IDS, scratch, sized, written
+from quern.llm.common import BROADCAST_IDS, SLICE, joined, scratch, ship, sized, written
 from quern.llm.near_dedup import components
 
 #: Payloads shorter than this are never written as revisits.
 REVISIT_BYTES = 1000
 
-#: Pages in an archive, at most.
+#: Pages in an archive, at most. Archives written here are read by byte ranges, so their size bounds nothing.
 ARCHIVE_PAGES = 5_000
 
+#: The end of a page: a gzip member without content, told from all others by its comment.
+MARK = b"\x1f\x8b\x08\x10\x00\x00\x00\x00\x00\xffend of capture\x00\x03\x00" + bytes(8)
+
+#: Options of the text sink and source that end and cut lines at the mark, byte for byte.
+LINES = {"lineSep": MARK.decode("latin-1"), "encoding": "ISO-8859-1"}
+
+#: Equal rows that one row of the dealing stands for.
+BLOCK_ROWS = 1_000
+
 #: Bytes of blocks handed back at a time.
 BATCH_BYTES = 24 << 20
 
-#: Bytes decompressed at a time.
+#: Bytes decompressed at a time, at most and at the beginning of a gzip member (what follows a member is copied).
 PIECE = 1 << 18
+FIRST_PIECE = 1 << 12
 
 # Record versions and the profile of a revisit with an identical payload.
 VERSION = "WARC/1.1"
@@ -71,17 +84,22 @@ def _roles(thin: DataFrame) -> DataFrame:
     """(row id, refers-to row id) of the revisits. Only ids and digests are shuffled."""
     large = thin.where(F.col("__bytes") >= REVISIT_BYTES).select("__row", "__page", "__digest")
     first = large.groupBy("__digest").agg(F.max(F.struct(F.col("__page"), F.col("__row"))).alias("top"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("__digest", F.col("top.__row").alias("__target"), F.col("top.__page").alias("__top"))
+    first = first.where("n > 1").select(F.xxhash64("__digest").alias("__hash"), F.col("__digest").alias("__same"), F.col("top.__row").alias("__target"), F.col("top.__page").alias("__top"))
     other = (F.col("__row") != F.col("__target")) & (F.col("__page").isNull() | (F.col("__page") != F.col("__top")))
-    return large.join(first, "__digest").where(other).select(F.col("__row").alias("__of"), "__target")
+    # one payload may be that of a third of all pages
+    both = joined(large.withColumn("__hash", F.xxhash64("__digest")), first, "__hash").where("__digest = __same")
+    return both.where(other).select(F.col("__row").alias("__of"), "__target")
 
 
 def _occurrences(rows: DataFrame, repeated: DataFrame, each: bool) -> DataFrame:
-    """Equal rows, each with an id of its own; unless ``each``, equal rows with a page id once. Only repeated rows are shuffled."""
+    """Equal rows, each with an id of its own; unless ``each``, equal rows with a page id once. Only repeated rows are shuffled, many copies in blocks."""
     marked = rows.join(sized(repeated), "__row", "left")
     again = marked.where("__n is not null").dropDuplicates(["__row"])
     times = F.when(F.col("__page").isNull() | F.lit(each), F.col("__n")).otherwise(F.lit(1).cast("long"))
-    again = again.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    again = again.withColumn("__times", times)
+    again = again.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__times - 1) div {BLOCK_ROWS}"))))
+    again = again.repartition("__row", "__block")
+    again = again.withColumn("__k", F.explode(F.expr(f"sequence(__block * {BLOCK_ROWS} + 1, least(__times, (__block + 1) * {BLOCK_ROWS}))")))
     again = again.withColumn("__row", F.concat_ws(":", "__row", F.col("__k").cast("string")))
     return marked.where("__n is null").select(*rows.columns).unionByName(again.select(*rows.columns))
 
@@ -89,7 +107,7 @@ def _occurrences(rows: DataFrame, repeated: DataFrame, each: bool) -> DataFrame:
 def records(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2026-01-01T00:00:00Z", each: bool = False
 ) -> DataFrame:
-    """(value): one row a page, the text of its request, response or revisit, and metadata record.
+    """(request, response, metadata): one row a page, the bytes of its request, response or revisit, and metadata record.
 
     ``each``: rows that agree in page id, URL and html are a capture each; else they are one.
     """
@@ -157,16 +175,36 @@ def records(
         ),
         note,
     )
-    end = CRLF + CRLF
     body = F.when(F.col("__of").isNull(), response).otherwise(revisit)
-    return rows.select(F.concat(request, F.lit(end), body, F.lit(end), metadata, F.lit(CRLF)).alias("value"))
+    ended = lambda c, name: F.concat(c, F.lit(CRLF + CRLF)).cast("binary").alias(name)
+    return rows.select(ended(request, "request"), ended(body, "response"), ended(metadata, "metadata"))
+
+
+def member(record: bytes) -> bytes:
+    """The record as one gzip member; as several where a stored block would hold the mark."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
+    out = deflate.compress(record) + deflate.flush()
+    if MARK not in out:
+        return out
+    at = record.find(MARK)
+    cut = at + len(MARK) // 2 if at >= 0 else len(record) // 2
+    return member(record[:cut]) + member(record[cut:])
 
 
 def write_archives(pages: DataFrame, path: str, **columns) -> None:
-    """Writes gzip archives below ``path``. The sink's line end supplies the last CRLF of a record."""
-    records(pages, **columns).write.option("lineSep", CRLF).option("compression", "gzip").option(
-        "zlib.compress.level", "BEST_SPEED"
-    ).option("maxRecordsPerFile", ARCHIVE_PAGES).text(path)
+    """Writes gzip archives below ``path``: a member a record, a mark after each page."""
+    schema = pa.schema([("value", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                kinds = [c.to_pylist() for c in batch.slice(i, SLICE).columns]
+                rows = [b"".join(map(member, of_page)) for of_page in zip(*kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], schema=schema)
+
+    ship(pages.sparkSession)
+    packed = records(pages, **columns).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    packed.write.options(**LINES).option("maxRecordsPerFile", ARCHIVE_PAGES).text(path)
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
@@ -220,25 +258,34 @@ def _plain(data: bytes) -> Iterator[bytes]:
         for at in range(0, len(view), PIECE):
             yield bytes(view[at : at + PIECE])
         return
-    at = 0
+    at, size = 0, FIRST_PIECE
     inflate = zlib.decompressobj(31)
     while at < len(view):
+        piece = view[at : at + min(size, PIECE)]
+        yield inflate.decompress(piece)
+        at += len(piece) - len(inflate.unused_data)
+        size = min(2 * size, PIECE)
         if inflate.eof:
-            rest = inflate.unused_data
-            inflate = zlib.decompressobj(31)
-            if rest:
-                yield inflate.decompress(rest)
-                continue
-        yield inflate.decompress(bytes(view[at : at + PIECE]))
-        at += PIECE
-    while inflate.eof and inflate.unused_data:
-        rest = inflate.unused_data
-        inflate = zlib.decompressobj(31)
-        yield inflate.decompress(rest)
+            inflate, size = zlib.decompressobj(31), FIRST_PIECE
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row a record of archives that ``write_archives`` made: files of any size, by byte ranges, a page at a time. ``payloads`` as below."""
+    pages = spark.read.options(**LINES).text(path).select(F.col("value").cast("binary").alias("content"))
+    return _records_of(pages, payloads)
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row a record. Without ``payloads`` the bytes stay in the task; lengths and digests are taken all the same."""
+    """One row a record of any archives, a file (2 GB at most) at a time.
+
+    Without ``payloads`` the bytes stay in the task; lengths and digests are taken all the same.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    return _records_of(files, payloads)
+
+
+def _records_of(contents: DataFrame, payloads: bool) -> DataFrame:
+    """One row a record of ``contents`` (content): whole archives or whole members of one."""
     fields = [("type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string())]
     fields += [("concurrent_to", pa.string()), ("refers_to", pa.string()), ("block_digest", pa.string()), ("payload_digest", pa.string())]
     fields += [("block_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("page_id", pa.int64()), ("payload", pa.binary())]
@@ -286,19 +333,19 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
+            rows, size = [], 0
             for i in range(batch.num_rows):
-                rows, size = [], 0
                 for headers, block in parse(batch.column(0)[i].as_py()):
                     rows.append(row(headers, block))
                     size += len(block) if payloads else 0
                     if len(rows) >= 2000 or size > BATCH_BYTES:
                         yield out(rows)
                         rows, size = [], 0
-                if rows:
-                    yield out(rows)
+            if rows:
+                yield out(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+    ship(contents.sparkSession)
+    return contents.mapInArrow(run, RECORD)
 
 
 def captures(found: DataFrame) -> DataFrame:
@@ -359,7 +406,7 @@ def digest(pages: DataFrame, each: bool = False) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_archives(pages, path, each=each)
-    found = captures(read_records(spark, path, payloads=False))
+    found = captures(read_archives(spark, path, payloads=False))
     length = F.regexp_extract("metadata.fields", r"payloadLength: (\d+)", 1).cast("long")
     revisit = F.col("response.type") == "revisit"
     target = F.when(revisit, F.expr("try_cast(split(response.refers_to, ':')[2] as long)"))

@@ -1,6 +1,8 @@
+import glob
 import gzip
 import hashlib
 import os
+import random
 
 import pytest
 
@@ -142,3 +144,53 @@ def test_assembly_equals_captures_for_own_archives(spark):
     key = lambda r: (r["capture_id"], r["page_id"], r["response"]["record_id"], r["request"]["record_id"], r["metadata"]["record_id"])
     assert sorted(map(key, W.assemble(records).collect())) == sorted(map(key, W.captures(records).collect()))
     assert W.assemble(records.limit(0)).count() == 0
+
+
+def test_archives_larger_than_a_split_are_read_by_ranges(spark):
+    rng = random.Random(5)
+    # letters of 64 values compress little: 5 MB a page
+    long = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=5_000_000)) for _ in range(4)]
+    rows = [(i, f"http://h/{i}", html) for i, html in enumerate([*long, "short", "", *(f"page {i}" * 300 for i in range(50)), long[0]])]
+    path = scratch(spark, "warc-large")
+    W.write_archives(pages(spark, rows).coalesce(1), path)
+    local = path.removeprefix("file:").replace("//", "/")
+    [archive] = glob.glob(f"{local}/part-*")
+    with open(archive, "rb") as f:
+        data = f.read()
+    assert sum(1 for _ in W.parse(data)) == 3 * len(rows) and gzip.decompress(data).count(b"WARC/1.1\r\n") == 3 * len(rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("1m", "300001"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            found = W.read_archives(spark, path)
+            assert found.rdd.getNumPartitions() > len(data) // (1 << 20)
+            payloads = {r["page_id"]: bytes(r["payload"]).decode() for r in found.where("type = 'response'").collect()}
+            assert payloads == {i: h for i, _, h in rows if i != 0} and found.count() == 3 * len(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_payload_that_holds_the_mark(spark):
+    noise = random.Random(7).randbytes(40_000)
+    hostile = noise + W.MARK + noise[::-1] + W.MARK * 3
+    packed = W.member(hostile)
+    assert W.MARK not in packed and gzip.decompress(packed) == hostile
+    path = scratch(spark, "warc-mark")
+    ship(spark)
+    W.write_archives(spark.createDataFrame([(1, "u", bytearray(hostile)), (2, "v", bytearray(W.MARK))], "page_id long, url string, html binary"), path)
+    found = W.read_archives(spark, path).where("type = 'response'").collect()
+    assert {r["page_id"]: bytes(r["payload"]) for r in found} == {1: hostile, 2: W.MARK}
+
+
+def test_many_equal_rows_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(W, "BLOCK_ROWS", 7)
+    big = "a" * 2000
+    rows = [(1, "u", big)] * 50 + [(None, "u", "x")] * 14 + [(2, "u", "y")] * 7
+    out = W.digest(pages(spark, rows), each=True).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["payload_bytes"]) for r in out) == [(0, "response", 1)] * 14 + [(1, "response", 2000)] * 50 + [(2, "response", 1)] * 7
+
+
+def test_one_payload_on_most_pages(spark):
+    big = "b" * 3000
+    rows = [(i, f"http://h/{i}", big if i % 3 else f"{i}" * 900) for i in range(600)]
+    assert got(W.digest(pages(spark, rows))) == want(rows)
