@@ -18,8 +18,9 @@
    the centre. The documents of buckets that still hold several components are
    looked at again, in buckets of their rarest shingles (``rare_buckets``, an exact
    filter that a passage common to thousands of documents does not fill): first
-   the smallest member of each component against the members of the others, then,
-   when that finds no more, all members of different components. Within a component
+   the smallest members of each component with one another, then, when that finds no
+   more, each of them against the members of the others, then all members of different
+   components. Within a component
    nothing is compared again. It ends when no new link joins two components, so
    every link between documents that share a bucket counts.
 
@@ -236,11 +237,11 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(100.0 / PERCENT)))
 
 
-def _across(members: DataFrame, whole: bool, tried: DataFrame) -> DataFrame:
+def _across(members: DataFrame, whole: bool, tried: DataFrame, few: bool = False) -> DataFrame:
     """Candidate pairs between components that share a rare shingle, of members (bucket, id, n, place, label), without those in ``tried``.
 
     Not ``whole``: one member of each component in the bucket against the members
-    of the others. ``whole``: all members of different components. The component
+    of the others, or with ``few`` against one of each. ``whole``: all members of different components. The component
     with the most members in a bucket stands on one side alone: every pair that is
     asked for has a member of another one, and what is enumerated is at most twice
     what is asked for. The smaller set of a pair needs the shingle among its first
@@ -252,9 +253,12 @@ def _across(members: DataFrame, whole: bool, tried: DataFrame) -> DataFrame:
     held = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("held"))
     top = held.groupBy("bucket").agg(F.max(F.struct("held", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     inside = joined(members, top.select("bucket", "top"), "bucket")
+    one = lambda df: df.groupBy("bucket", "label", "top").agg(F.min(F.struct(*row)).alias("m")).select("bucket", "label", "top", *[f"m.{c}" for c in row])
+    if few:
+        inside = one(inside)
     left = inside.where("label != top")
-    if not whole:
-        left = left.groupBy("bucket", "label").agg(F.min(F.struct(*row)).alias("m")).select("bucket", "label", *[f"m.{c}" for c in row])
+    if not whole and not few:
+        left = one(left)
     left = left.select("bucket", F.col("label").alias("of_x"), *[F.col(c).alias(f"{c}_x") for c in row])
     sizes = F.sequence(_band(F.ceil(F.col("n_x") * PERCENT / 100)), _band(F.floor(F.col("n_x") * 100 / PERCENT)))
     key = lambda band: F.xxhash64("bucket", band)
@@ -262,7 +266,7 @@ def _across(members: DataFrame, whole: bool, tried: DataFrame) -> DataFrame:
     right = inside.withColumn("tile", key(_band(F.col("n")))).withColumnRenamed("bucket", "bucket_y")
     # of two members that are both on both sides one order is enough
     first = (F.col("n_x") < F.col("n")) | ((F.col("n_x") == F.col("n")) & (F.col("id_x") < F.col("id")))
-    once = (F.col("label") == F.col("top")) | first if whole else F.lit(True)
+    once = (F.col("label") == F.col("top")) | first if whole or few else F.lit(True)
     small, large = F.least("n_x", "n"), F.greatest("n_x", "n")
     place = F.when(F.col("n_x") < F.col("n"), F.col("place_x")).when(F.col("n_x") > F.col("n"), F.col("place")).otherwise(F.least("place_x", "place"))
     fit = (
@@ -348,12 +352,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = joined(named, _mixed_buckets(named), "bucket", "left_semi").select("id").distinct()
     rare = written(rare_buckets(sets, rest), "rare", n_hashes)
     n_rare = rare.count()
-    held, whole = [prints, classes, members, nodes, sets, rare, tried, links], False
+    held = [prints, classes, members, nodes, sets, rare, tried, links]
     if same is not None:
         held.append(same)
-    while True:
+    # the smallest members of components, each of them against all members, all against all
+    step = 0
+    while step < 3:
         named = rare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        fresh = written(_across(named, whole, tried), "tried", n_rare)
+        fresh = written(_across(named, step == 2, tried, few=step == 0), "tried", n_rare)
         more = written(confirmed(fresh, sets), "links", n_hashes)
         held += [fresh, more]
         tried = tried.unionByName(fresh)
@@ -361,13 +367,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if found:
             # what is linked so far is a star of each component
             known = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more)
-            n_links, before, whole = n_links + found, labels, False
+            n_links, before, step = n_links + found, labels, 0
             labels = components(known, 2 * n_links)
             discard(before)
-        elif whole:
-            break
         else:
-            whole = True
+            step += 1
     # a component is named after its smallest id
     linked = classes.join(labels, "id")
     least = linked.groupBy("label").agg(F.min("doc_id").alias("least"))
