@@ -111,12 +111,12 @@ def predictions(model: DataFrame, top: int = 5) -> DataFrame:
 
 
 def choose_action(model: DataFrame, weight: float = 0.3) -> DataFrame:
-    """The action of each state with the best exploitation plus exploration score."""
+    """The action of each state with the best exploitation plus exploration score; the score is rounded after the choice."""
     sure = model.groupBy("from_state", "action").agg(F.max("probability").alias("confidence"))
     score = F.col("confidence") * (1 - weight) + (1 - F.col("confidence")) * weight
     by = Window.partitionBy("from_state").orderBy(F.desc("score"), "action")
-    scored = sure.withColumn("score", F.round(score, 3)).withColumn("reason", F.when(1 - F.col("confidence") > 0.5, "explore").otherwise("exploit"))
-    return scored.withColumn("rank", F.row_number().over(by)).where("rank = 1").drop("rank")
+    scored = sure.withColumn("score", score).withColumn("reason", F.when(1 - F.col("confidence") > 0.5, "explore").otherwise("exploit"))
+    return scored.withColumn("rank", F.row_number().over(by)).where("rank = 1").drop("rank").withColumn("score", F.round("score", 3))
 
 
 def calibration(rows: DataFrame, raw: Column, adjusted: Column, bins: int = 10) -> DataFrame:
