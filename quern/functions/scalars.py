@@ -143,6 +143,12 @@ def pleasure_arousal_dominance(pleasure: Column, arousal: Column, dominance: Col
     return F.sqrt(pleasure * pleasure + arousal * arousal + dominance * dominance) / F.sqrt(F.lit(3.0))
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """Half up of the binary value, as C and DuckDB round; Spark's round takes the decimals that a double prints as, so 0.0628125 may differ."""
+    scale = F.lit(10.0**digits)
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+
+
 def activation_base(accesses: Column, now: Column, decay: float = 0.5) -> Column:
     """Base-level activation from the times of accesses: log of the sum of age^-d."""
     return F.log(F.aggregate(accesses, F.lit(0.0), lambda a, t: a + F.pow(F.greatest(now - t, F.lit(1e-9)), F.lit(-decay))))
