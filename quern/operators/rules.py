@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.regex import CJK, has_cjk, java, needs_cjk, portable, sql_text
+from quern.operators.screen import current, screened
 
 
 #: Up to so many literals are looked for one by one, which beats an alternation.
@@ -52,6 +53,8 @@ class Match(Expr):
     ignore: bool = False
 
     def column(self, text: Column) -> Column:
+        if current():
+            return current().hit(text, self.pattern, self.ignore)
         hit = text.rlike(("(?i)" if self.ignore else "") + java(self.pattern))
         return has_cjk(text) & hit if needs_cjk(self.pattern) else hit
 
@@ -70,7 +73,8 @@ class Contains(Expr):
     lower: bool = False
 
     def column(self, text: Column) -> Column:
-        return (F.lower(text) if self.lower else text).contains(F.lit(self.literal))
+        plain = lambda t: (F.lower(t) if self.lower else t).contains(F.lit(self.literal))
+        return current().contains(text, (self.literal,), self.lower, plain) if current() else plain(text)
 
     def sql(self, text: str) -> str:
         return f"contains({f'lower({text})' if self.lower else text}, {sql_text(self.literal)})"
@@ -125,6 +129,9 @@ class Literals(Expr):
     lower: bool = False
 
     def column(self, text: Column) -> Column:
+        return current().contains(text, self.literals, self.lower, self._column) if current() else self._column(text)
+
+    def _column(self, text: Column) -> Column:
         if len(self.literals) <= FEW_LITERALS:
             low = F.lower(text) if self.lower else text
             return reduce(lambda a, b: a | b, [low.contains(F.lit(x)) for x in self.literals])
@@ -215,18 +222,15 @@ def detect(texts: DataFrame, detectors: list[Detector], text_col: str = "text",
     """Adds ``<name>_score`` for each detector.
 
     Detectors are added a group at a time, so that no projection outgrows the
-    size up to which a method is compiled.
+    size up to which a method is compiled. Their literals are looked for once.
     """
-    out = texts
-    for at in range(0, len(detectors), group):
-        part = detectors[at : at + group]
-        out = out.withColumns({f"{d.name}_score": d.score(F.col(text_col)) for d in part})
-    return out
+    return screened(texts, F.col(text_col), lambda: {f"{d.name}_score": d.score(F.col(text_col)) for d in detectors}, group)
 
 
 def findings(texts: DataFrame, detectors: list[Detector], text_col: str = "text") -> DataFrame:
     """Adds ``findings``: (dimension, severity 0 to 100, score) of the hits, most severe first, then in declared order."""
-    scored = texts.withColumn("findings", F.array(*[d.score(F.col(text_col)) for d in detectors]))
+    scores = [f"{d.name}_score" for d in detectors]
+    scored = detect(texts, detectors, text_col).withColumn("findings", F.array(*scores)).drop(*scores)
     names = F.array(*[F.lit(d.name) for d in detectors])
     rows = F.transform(
         "findings",
