@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.regex import sql_text
 from quern.operators import judgement as J
 from quern.operators.rules import Match, any_of
+from quern.operators.screen import screened
 from quern.plans.rules import TEXTS, texts
 from quern.plans.tables import settled, table
 
@@ -96,7 +97,7 @@ def _tone_sql() -> str:
 @query(_tone_sql())
 def tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urgency, emotion, register and intensity."""
-    return texts(spark, sf_dir).select("id", J.tone(F.col("text")).alias("x")).select("id", "x.*")
+    return screened(texts(spark, sf_dir), F.col("text"), lambda: {"x": J.tone(F.col("text"))}).select("id", "x.*")
 
 
 def _needs_sql() -> str:
@@ -116,7 +117,7 @@ def _needs_sql() -> str:
 def implicit_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unspoken needs, with the mood of the same text."""
     t = F.col("text")
-    found = settled(texts(spark, sf_dir).select("id", J.implicit_needs(t, J.tone(t)["emotion"]).alias("x"))).where(F.size("x") > 0)
+    found = settled(screened(texts(spark, sf_dir), t, lambda: {"x": J.implicit_needs(t, J.tone(t)["emotion"])}).select("id", "x")).where(F.size("x") > 0)
     return found.select("id", F.array_join(F.transform("x", lambda x: x["need"]), ",").alias("needs"), F.size("x").alias("n"), F.exists("x", lambda x: x["confidence"] >= 0.8).alias("certain"))
 
 

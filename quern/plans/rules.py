@@ -19,6 +19,7 @@ from quern.operators import text_rules as T
 from quern.operators.detectors import ARGUMENT_DETECTORS
 from quern.operators.judgement import sql_windows
 from quern.operators.rules import Match, any_literal, any_of, detect, findings
+from quern.operators.screen import screened
 from quern.plans.tables import settled, spread, table
 
 QUERIES: dict = {}
@@ -314,7 +315,7 @@ _LONE = rf"len(list_filter(range(1, len({_AFTER})), lambda k: NOT regexp_matches
 SELECT id, gaps::INT AS gaps FROM g WHERE gaps > 0""")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing halves of verb pairs and data shapes."""
-    return settled(texts(spark, sf_dir).select("id", T.coverage_gaps(F.col("text")).alias("gaps"))).where("gaps > 0")
+    return settled(screened(texts(spark, sf_dir), F.col("text"), lambda: {"gaps": T.coverage_gaps(F.col("text"))}).select("id", "gaps")).where("gaps > 0")
 
 
 _TAX = " ".join(f"WHEN {any_literal(*ws, lower=True).sql('text')} THEN '{c}'" for c, _, ws in sorted(T.ERROR_TAXONOMY, key=lambda t: t[1]))
@@ -376,7 +377,7 @@ SELECT id, len(s)::INT AS n, CASE WHEN list_max(s) >= 60 THEN 'rewrite' WHEN len
 )
 def frame_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed frames and the action."""
-    s = settled(texts(spark, sf_dir).select("id", T.frame_severities(F.col("text")).alias("s"))).where(F.size("s") > 0)
+    s = settled(screened(texts(spark, sf_dir), F.col("text"), lambda: {"s": T.frame_severities(F.col("text"))}).select("id", "s")).where(F.size("s") > 0)
     return s.select("id", F.size("s").alias("n"), T.frame_action(F.col("s")).alias("action"))
 
 
