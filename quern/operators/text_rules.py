@@ -664,11 +664,16 @@ def goal_domain(text: Column, domains: dict[str, list[str]]) -> Column:
 
 def goal_distance(goal: Column, said: Column, domains: dict[str, list[str]]) -> Column:
     """(deviates, related, confidence): the share of an input's keywords that are the goal's, in percent, and whether both have one domain."""
-    ours, theirs = goal_keywords(goal, domains), goal_keywords(said, domains)
-    share = F.when(F.size(theirs) > 0, F.size(F.array_intersect(theirs, ours)) / F.size(theirs)).otherwise(0.0)
-    aim = goal_domain(goal, domains)
-    same = (goal_domain(said, domains) == aim) | (aim == "general")
-    return F.struct(((share < 0.5) & ~same).alias("deviates"), ((share > 0.3) | same).alias("related"), F.floor(share * 100 + 0.5).cast("int").alias("confidence"))
+    ours, aim = goal_keywords(goal, domains), goal_domain(goal, domains)
+
+    def judged(x: Column) -> Column:
+        theirs, same = x["words"], (x["domain"] == aim) | (aim == "general")
+        share = F.when(F.size(theirs) > 0, F.size(F.array_intersect(theirs, ours)) / F.size(theirs)).otherwise(0.0)
+        return F.struct(((share < 0.5) & ~same).alias("deviates"), ((share > 0.3) | same).alias("related"), F.floor(share * 100 + 0.5).cast("int").alias("confidence"))
+
+    # words and domain are made once, as a lambda's argument
+    known = F.struct(goal_keywords(said, domains).alias("words"), goal_domain(said, domains).alias("domain"))
+    return F.get(F.transform(F.array(known), judged), 0)
 
 
 def goal_deviation(goal: Column, action: Column, same_domain: Column) -> Column:
