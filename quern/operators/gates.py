@@ -146,6 +146,12 @@ def uncertainty_gap(text: Column) -> Column:
     return F.when((F.coalesce(F.length(text), F.lit(0)) >= 20) & (n > 2) & ~has_hedge(text), gap).otherwise(F.lit(0.0))
 
 
+def _gap_once(text: Column) -> Column:
+    """``uncertainty_gap`` where nothing else counts the claims: they are counted once, as a lambda's argument."""
+    gap = lambda n: F.when((n > 2) & ~has_hedge(text), F.least(F.lit(0.5), (n - 2) * F.lit(0.1))).otherwise(F.lit(0.0))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) >= 20, F.get(F.transform(F.array(claim_count(text)), gap), 0)).otherwise(F.lit(0.0))
+
+
 def contradictions(text: Column) -> Column:
     """Severities of contradictions within a Chinese text: 30 for each concession frame (but in the last sentence), 70 for affirmation and denial together."""
     parts = F.filter(F.split(text, r"[。！？\n.!?]+"), lambda s: F.length(F.trim(s)) > 10)
@@ -159,8 +165,8 @@ def contradictions(text: Column) -> Column:
 
 def output_severities(text: Column) -> Column:
     """Severities (0 to 100) of all findings of the output screen, most severe first."""
-    gap = F.floor(uncertainty_gap(text) * 100 + 0.5).cast("int")
-    found = F.concat(_phrase_findings(text), contradictions(text), F.when(gap > 0, F.array(gap)).otherwise(F.expr("cast(array() as array<int>)")))
+    gap = F.floor(_gap_once(text) * 100 + 0.5).cast("int")
+    found = F.concat(_phrase_findings(text), contradictions(text), F.filter(F.array(gap), lambda g: g > 0))
     return F.sort_array(F.when(F.coalesce(text, F.lit("")) == "", F.expr("cast(array() as array<int>)")).otherwise(found), asc=False)
 
 

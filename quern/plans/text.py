@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import gates
 from quern.operators import logs as L
 from quern.operators.rules import Match
+from quern.operators.screen import screened
 from quern.plans.tables import settled, spread, table
 
 QUERIES: dict = {}
@@ -95,7 +96,7 @@ def output_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4 over T41, T42 and T43: the output screen of all documents and turns."""
     both = table(spark, sf_dir, "documents").select("doc_id", "text")
     turns = table(spark, sf_dir, "conversations").select((F.lit(-1) - F.col("conv_id") * 100 - F.col("turn")).alias("doc_id"), "text")
-    found = spread(both.unionByName(turns)).select("doc_id", gates.output_severities(F.col("text")).alias("s"))
+    found = screened(spread(both.unionByName(turns)), F.col("text"), lambda: {"s": gates.output_severities(F.col("text"))})
     return found.select(
         "doc_id",
         F.size("s").cast("long").alias("n_findings"),
