@@ -132,12 +132,26 @@ def risky(pattern: str) -> str | None:
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def required_literals(pattern: str) -> list[str]:
-    """Literals, ASCII letters in lower case, of which every match holds one in either case; empty if none is certain.
+#: White space and marks between words. A run of them is taken as one ``GAP`` by ``required_runs``.
+MARKS = " \t\n\r\x0b\x0c\u3000\u00a0\ufeff,.;:!?\x01"
+GAP = "\x01"
 
-    They are the longest run of certain characters, or the alternatives of a group where the
-    shortest of those is longer.
-    """
+
+def _is_gap(items) -> bool:
+    """Whether parsed items match marks only, and at least one."""
+    if len(items) != 1:
+        return False
+    (op, arg), marks = items[0], set(map(ord, MARKS))
+    if str(op) == "LITERAL":
+        return arg in marks
+    if str(op) != "IN":
+        return False
+    plain = lambda o, x: o == "LITERAL" and x in marks or o == "RANGE" and set(range(x[0], x[1] + 1)) <= marks or o == "CATEGORY" and str(x) == "CATEGORY_SPACE"
+    return all(plain(str(o), x) for o, x in arg)
+
+
+def _certain(items, gaps: bool) -> list[list[str]]:
+    """What every match of parsed items holds: lists of runs of characters, of each of which it holds one."""
     found: list[list[str]] = []
     run: list[str] = []
 
@@ -146,10 +160,16 @@ def required_literals(pattern: str) -> list[str]:
             found.append(["".join(run)])
             run.clear()
 
+    def gap() -> None:
+        if run[-1:] != [GAP]:
+            run.append(GAP)
+
     def walk(items) -> None:
         for op, arg in items:
             name = str(op)
-            if name == "LITERAL":
+            if gaps and name in ("LITERAL", "IN") and _is_gap([(op, arg)]):
+                gap()
+            elif name == "LITERAL":
                 run.append(chr(arg))
             elif name in ("AT", "ASSERT", "ASSERT_NOT"):
                 continue
@@ -157,26 +177,40 @@ def required_literals(pattern: str) -> list[str]:
                 walk(arg[3])
             elif name == "ATOMIC_GROUP":
                 walk(arg)
+            elif gaps and name.endswith("REPEAT") and arg[0] >= 1 and _is_gap(arg[2]):
+                gap()
             elif name.endswith("REPEAT") and arg[0] >= 1:
                 walk(arg[2])
                 if arg[1] != 1:
                     cut()
             elif name == "BRANCH":
                 cut()
-                each = [best(list(x)) for x in arg[1]]
+                each = [_best(_certain(list(x), gaps)) for x in arg[1]]
                 if all(each):
                     found.append([lit for part in each for lit in part])
             else:
                 cut()
 
-    def best(items: list) -> list[str]:
-        nonlocal found, run
-        outer = found, run
-        found, run = [], []
-        walk(items)
-        cut()
-        chosen = max(found, key=lambda x: (min(map(len, x)), -len(x)), default=[])
-        found, run = outer
-        return chosen
-
-    return [x.translate(_ASCII_LOWER) for x in best(list(re._parser.parse(pattern)))]  # noqa: SLF001
+    walk(items)
+    cut()
+    return found
+
+
+def _best(found: list[list[str]]) -> list[str]:
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=[])
+
+
+def required_literals(pattern: str) -> list[str]:
+    """Literals, ASCII letters in lower case, of which every match holds one in either case; empty if none is certain.
+
+    They are the longest run of certain characters, or the alternatives of a group where the
+    shortest of those is longer.
+    """
+    return [x.translate(_ASCII_LOWER) for x in _best(_certain(list(re._parser.parse(pattern)), False))]  # noqa: SLF001
+
+
+def required_runs(pattern: str) -> tuple[list[str], list[str]]:
+    """(runs, needs), ASCII letters in lower case. Every match, with each run of ``MARKS`` as one ``GAP``, holds one of the runs; a match as it stands holds each of the needs."""
+    parsed = list(re._parser.parse(pattern))  # noqa: SLF001
+    lower = lambda xs: [x.translate(_ASCII_LOWER) for x in xs]
+    return lower(_best(_certain(parsed, True))), lower(x[0] for x in _certain(parsed, False) if len(x) == 1)

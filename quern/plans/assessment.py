@@ -12,7 +12,7 @@ from quern.operators import registry as R
 from quern.operators import rule_index as I  # noqa: E741
 from quern.operators.rules import Match, any_literal, any_of
 from quern.plans.rules import TEXTS, texts
-from quern.plans.tables import settled, table
+from quern.plans.tables import settled, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -292,8 +292,10 @@ def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select((F.lit(1_000_000) + F.col("item_id")).cast("long").alias("n"), *[part(k).alias(f"w{k}") for k in (1, 2, 3)])
     made = F.concat("w1", F.lit("[ ,.\\n]+"), "w2", F.lit(".{0,20}"), "w3")
     rules = turns.unionByName(items).where("w1 <> ''").select("n", made.alias("pattern"))
-    hit = I.matches(table(spark, sf_dir, "documents"), rules, "doc_id", "text")
-    out = hit.groupBy("doc_id").agg(F.min(F.struct("n", "pattern")).alias("first"), F.count(F.lit(1)).alias("hits"))
+    # rules that have one pattern occur together
+    kinds = rules.groupBy("pattern").agg(F.min("n").alias("n"), F.count_distinct("n").alias("rules"))
+    hit = I.matches(spread(table(spark, sf_dir, "documents")), kinds, "doc_id", "text")
+    out = hit.groupBy("doc_id").agg(F.min(F.struct("n", "pattern")).alias("first"), F.sum("rules").alias("hits"))
     return out.select("doc_id", F.col("first.n").alias("rule"), "first.pattern", "hits")
 
 
