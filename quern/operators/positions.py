@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.regex import java
 from quern.operators.text_rules import NAME_NEEDS
+from quern.sources.scratch import written
 
 # Words that are no exported names.
 NO_NAMES = (
@@ -33,8 +34,10 @@ def occurrences(texts: DataFrame, key: str, text: str, patterns: Mapping[str, st
     A text is cut at the matches of a pattern once; places are running sums of the lengths of pieces and
     matches. Patterns that can match nothing are refused by their empty matches having no place.
     """
-    cut = [F.struct(F.lit(n).alias("name"), F.regexp_extract_all(text, F.lit(java(p)), 0).alias("v"), F.split(F.col(text), java(p), -1).alias("g")) for n, p in patterns.items()]
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.inline(F.array(*cut))).where(F.size("v") > 0)
+    # texts without a match, most of them, are looked through once and not cut
+    found = lambda n, p: F.struct(F.lit(n).alias("name"), F.regexp_extract_all(text, F.lit(java(p)), 0).alias("v"), F.split(F.col(text), java(p), -1).alias("g"))
+    cut = [F.when(F.col(text).rlike(java(p)), found(n, p)) for n, p in patterns.items()]
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.explode(F.array(*cut)).alias("m")).where("m is not null").select("key", "m.*")
     rows = rows.select("key", "name", F.posexplode(F.arrays_zip("v", F.slice("g", 1, F.size("v")).alias("g"))).alias("k", "x")).where("x.v <> ''")
     upto = Window.partitionBy("key", "name").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("x.v")
@@ -62,7 +65,9 @@ def structure(texts: DataFrame, key: str, text: str) -> DataFrame:
     function is not among the exports, and whether errors are both thrown and called back. Keys are unique; null texts are left out.
     """
     known = texts.where(F.col(text).isNotNull()).select(F.col(key).alias(key), F.col(text).alias("code"))
+    # written: it is read three times
     spots = occurrences(known, key, "code", {"brace": "[{}]", "exports": EXPORTS} | {f"name:{n}": DECLARATION.format(n) for n, _ in NAME_NEEDS})
+    spots = written(spots, "spots")
     pairs = matched(spots.where("name = 'brace'"), key)
     # the first declaration of each name, the first brace from there on
     named = spots.where("name like 'name:%'").groupBy(key, "name").agg(F.min("start").alias("at"))

@@ -491,7 +491,7 @@ SELECT doc_id, misnamed::BIGINT AS misnamed, coalesce(len(defs) > 3 AND len(list
 def code_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions against their names, exports and error styles, by matched braces, with documents as bodies."""
     code = F.expr(_CODE.replace("['" + "', '".join(_HEADS) + "'][(doc_id % 8)::INT + 1]", "element_at(array('" + "', '".join(_HEADS) + "'), cast(doc_id % 8 as int) + 1)"))
-    return P.structure(table(spark, sf_dir, "documents").select("doc_id", code.alias("code")), "doc_id", "code")
+    return P.structure(spread(table(spark, sf_dir, "documents")).select("doc_id", code.alias("code")), "doc_id", "code")
 
 
 def _shares_sql() -> str:
