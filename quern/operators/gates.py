@@ -139,11 +139,11 @@ def has_hedge(text: Column) -> Column:
     return F.when(has_cjk(text), zh).otherwise(en)
 
 
-def uncertainty_gap(text: Column) -> Column:
-    """0 to 0.5: more than two claims and no hedge."""
-    n = claim_count(text)
+def uncertainty_gap(text: Column, claims: Column | None = None, hedged: Column | None = None) -> Column:
+    """0 to 0.5: more than two claims and no hedge. ``claims`` and ``hedged``: columns that have them already."""
+    n = claim_count(text) if claims is None else claims
     gap = F.least(F.lit(0.5), (n - 2) * F.lit(0.1))
-    return F.when((F.coalesce(F.length(text), F.lit(0)) >= 20) & (n > 2) & ~has_hedge(text), gap).otherwise(F.lit(0.0))
+    return F.when((F.coalesce(F.length(text), F.lit(0)) >= 20) & (n > 2) & ~(has_hedge(text) if hedged is None else hedged), gap).otherwise(F.lit(0.0))
 
 
 def _gap_once(text: Column) -> Column:

@@ -83,9 +83,8 @@ _PHRASES = ", ".join(
 def uncertainty_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims, hedges and the gap of each document (none has a Han character)."""
     t = F.col("text")
-    return spread(table(spark, sf_dir, "documents")).select(
-        "doc_id", gates.claim_count(t).cast("long").alias("claims"), gates.has_hedge(t).alias("hedged"), F.round(gates.uncertainty_gap(t), 6).alias("gap")
-    )
+    rows = settled(spread(table(spark, sf_dir, "documents")).select("doc_id", "text", gates.claim_count(t).cast("long").alias("claims"), gates.has_hedge(t).alias("hedged")))
+    return rows.select("doc_id", "claims", "hedged", F.round(gates.uncertainty_gap(t, F.col("claims"), F.col("hedged")), 6).alias("gap"))
 
 
 @query(f"""WITH f AS (SELECT doc_id, list_filter([{_PHRASES}, CASE WHEN {_GAP} > 0 THEN floor({_GAP} * 100 + 0.5)::INT END], lambda x: x IS NOT NULL) AS s
