@@ -18,12 +18,14 @@ five-word shingles. The join is exact: no link between different sets is lost.
    (n + m - bits that differ) bounds the overlap from above. Only pairs that pass it
    (and the bounds by size and by position) get to the exact intersection of the
    sorted arrays.
-5. For components: a tile's smallest member is compared with the rest, then only
-   members of different components are compared in tiles that still hold several
-   (first the most alike two of any two components, at the end all). So a group of m
-   near copies takes about m comparisons a tile. Tiles of more than TILE members are
-   cut into blocks, and pairs of blocks are dealt over tasks; two blocks of one
-   component never meet.
+5. For components: a tile's smallest member is compared with the rest, then members of
+   different components in tiles that still hold several. A first pass over their bitmaps
+   tells which members have any partner that passes; only those get their sets, and a second
+   pass compares them exactly where they meet and gives the links that join two components of
+   a part, fewer than its members. Pairs that do not link leave the task in neither pass, so
+   a group of m texts gives no more than m rows a tile. Tiles of more than TILE members or
+   CELLS shingles are cut into blocks, and pairs of blocks are dealt over tasks; two blocks of
+   one component never meet.
 
 Results for odd input: a null or empty text, or one without words, has no shingles
 and is linked with nothing; fewer than five words count as one shingle; all texts of
@@ -58,6 +60,9 @@ LEAST_BITS, MOST_BITS = 64, 1 << 14
 #: Members that are compared with each other in one step of a task.
 TILE = 2048
 
+#: Shingles of the members of a block: what a task holds of whole sets.
+CELLS = 1 << 21
+
 _SLICE_END = np.uint64(int(SLICE_SHARE * 2**64))
 
 
@@ -228,16 +233,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _blocks(named: DataFrame, tile: int) -> DataFrame:
     """The members of mixed tiles dealt into parts (tile, part, side, ...): side 0 is compared with side 1, side 2 with itself.
 
-    A tile of at most ``tile`` members is one part. In a larger one, blocks of its largest
-    component meet the blocks of the rest, and those meet each other.
+    A tile of at most ``tile`` members and CELLS shingles is one part. In a larger one, blocks of
+    its largest component meet the blocks of the rest, and those meet each other.
     """
-    by_label = named.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n"))
-    told = by_label.groupBy("tile").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    told = told.select("tile", "m", F.col("top.n").alias("major"), F.col("top.label").alias("of_major"))
+    by_label = named.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    told = by_label.groupBy("tile").agg(F.sum("m").alias("m_all"), F.sum("n").alias("n_all"), F.max(F.struct("m", "label", "n")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    up = lambda m, n: F.greatest(F.ceil(m / tile), F.ceil(n / CELLS))
+    m, n = F.col("top.m"), F.col("top.n")
+    told = told.select("tile", up(F.col("m_all"), F.col("n_all")).alias("n_tile"), up(m, n).alias("n_major"), up(F.col("m_all") - m, F.col("n_all") - n).alias("n_rest"), F.col("top.label").alias("of_major"))
     rows = joined(named, told, "tile")
-    up = lambda c: F.ceil(c / tile)
-    small, mine = F.col("m") <= tile, F.col("label") == F.col("of_major")
-    n_major, n_rest = up(F.col("major")), up(F.col("m") - F.col("major"))
+    small, mine = F.col("n_tile") == 1, F.col("label") == F.col("of_major")
+    n_major, n_rest = F.col("n_major"), F.col("n_rest")
     at = F.pmod(F.xxhash64("key"), F.when(mine, n_major).otherwise(n_rest))
     seat = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
     zero = F.lit(0)
@@ -251,35 +257,69 @@ def _blocks(named: DataFrame, tile: int) -> DataFrame:
     return rows.select("tile", F.xxhash64("s.kind", "s.i", "s.j").alias("part"), F.col("s.side").alias("side"), "key", "label", "n", "place", "home")
 
 
-def _compared(parts: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidates (a, b), a < b, of different labels whose sizes, places and bitmaps allow a link. ``best``: the most alike two of any two labels in a part."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _met(group: pa.Table, label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, j): each member of a part with those of another label whose sizes, places and bitmaps allow a link. ``label`` is read anew for each."""
+    n, place, side = (group.column(c).to_numpy() for c in ("n", "place", "side"))
+    home, bits = group.column("home").to_numpy(), folded(group.column("bits").to_pylist())
+    right = np.flatnonzero(side != 0)
+    for i in np.flatnonzero(side != 1):
+        j = right[(label[right] != label[i]) & (home[right] | home[i]) & ((side[right] == 1) | (right > i))]
+        both = n[i] + n[j]
+        most = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+        j = j[(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * most >= percent * both)]
+        if len(j):
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            both = n[i] + n[j]
+            j = j[(both - apart) * (100 + percent) >= 2 * percent * both]
+        if len(j):
+            yield i, j
+
+
+def _rivals(named: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """The members (tile, key, label, n, place, home) of mixed tiles that may link with one of another label: at most all of them."""
+    schema = "tile long, key long, label long, n long, place long, home boolean"
 
     def run(group: pa.Table) -> pa.Table:
-        key, label, n, place, side = (group.column(c).to_numpy() for c in ("key", "label", "n", "place", "side"))
-        home, bits = group.column("home").to_numpy(), folded(group.column("bits").to_pylist())
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        found = []
-        for i in left:
-            j = right[(label[right] != label[i]) & (home[right] | home[i]) & ((side[right] == 1) | (right > i))]
-            both = n[i] + n[j]
-            j = j[(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * (np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])) >= percent * both)]
-            if not len(j):
-                continue
-            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-            ok = (n[i] + n[j] - apart) * (100 + percent) >= 2 * percent * (n[i] + n[j])
-            found.append(np.stack([np.full(ok.sum(), i), j[ok], apart[ok]]))
-        i, j, apart = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        if best and len(i):
-            low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-            order = np.lexsort((apart, high, low))
-            first = np.ones(len(order), bool)
-            first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-            i, j = i[order[first]], j[order[first]]
-        return pa.Table.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], schema=schema)
+        some = np.zeros(len(group), bool)
+        for i, j in _met(group, group.column("label").to_numpy(), percent):
+            some[i] = some[j] = True
+        return group.select(["tile", "key", "label", "n", "place", "home"]).filter(pa.array(some))
 
-    rows = parts.join(sets.select("key", "bits"), "key")
-    return rows.groupBy("tile", "part").applyInArrow(run, "a long, b long").distinct()
+    rows = _blocks(named, tile).join(sets.select("key", "bits"), "key")
+    return rows.groupBy("tile", "part").applyInArrow(run, schema).distinct()
+
+
+def _links(rivals: DataFrame, sets: DataFrame, percent: int, tile: int, forest: bool) -> DataFrame:
+    """(a, b, shared, joint): the ids of classes of different labels that link, and the sizes of intersection and union.
+
+    ``forest``: of a part's links only those that join two of its components that no link
+    before them joined, fewer than it has members. What is left out links within a component.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("joint", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        label, at = group.column("label").to_numpy().copy(), group.column("id").to_numpy()
+        packed = group.column("shingles").to_pylist()
+        size = np.array([len(p) // 8 for p in packed])
+        values, places = np.unique(np.frombuffer(b"".join(packed), np.uint64), return_inverse=True)
+        sets_of = np.split(places.astype(np.int32), np.cumsum(size)[:-1])
+        held, found = np.zeros(len(values), bool), []
+        for i, j in _met(group, label, percent):
+            held[sets_of[i]] = True
+            shared = np.add.reduceat(held[np.concatenate([sets_of[k] for k in j])].astype(np.int64), np.cumsum(size[j]) - size[j])
+            held[sets_of[i]] = False
+            joint = size[i] + size[j] - shared
+            ok = 100 * shared >= percent * joint
+            for k, s, u in zip(j[ok], shared[ok], joint[ok], strict=True):
+                if forest:
+                    if label[k] == label[i]:
+                        continue
+                    label[label == label[k]] = label[i]
+                found.append((min(at[i], at[k]), max(at[i], at[k]), s, u))
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in np.array(found, np.int64).reshape(-1, 4).T], schema=schema)
+
+    rows = _blocks(rivals, tile).join(sets.select("key", "id", "bits", "shingles"), "key")
+    return rows.groupBy("tile", "part").applyInArrow(run, "a long, b long, shared long, joint long").distinct()
 
 
 def _start(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -301,11 +341,9 @@ def similar_pairs(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     of a set; pairs of equal sets are not listed. Two sets of one repeated id are no pair.
     """
     every, classes, sets, tiles = _start(docs, percent, id_col, text_col)
-    named = tiles.withColumn("label", F.col("key"))
-    pairs = written(_compared(_blocks(named, tile), sets, percent, best=False), "pairs")
-    out = _linked(pairs, sets, percent).where("a != b")
-    out = written(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "joint").distinct(), "links")
-    discard(every, classes, sets, tiles, pairs)
+    rivals = written(_rivals(tiles.withColumn("label", F.col("key")), sets, percent, tile), "rivals")
+    out = written(_links(rivals, sets, percent, tile, forest=False).where("a != b").distinct(), "links")
+    discard(every, classes, sets, tiles, rivals)
     return out
 
 
@@ -329,23 +367,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     through = known.join(several, "doc_id", "left_semi").join(classes.select("key", "id"), "key")
     links = written(links.unionByName(through.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))), "links")
     labels = components(links)
-    held, best = [every, classes, sets, tiles, tried, links], True
-    while True:
-        named = tiles.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        fresh = _compared(_blocks(named, tile), sets, percent, best).join(tried, ["a", "b"], "left_anti")
-        fresh = written(fresh, "tried")
-        more = written(_linked(fresh, sets, percent).select("a", "b"), "links")
-        held += [fresh, more]
-        tried = tried.unionByName(fresh)
-        if more.limit(1).count():
-            # what is linked so far is a star of each component
-            before, best = labels, True
-            labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more))
-            discard(before)
-        elif best:
-            best = False
-        else:
-            break
+    named = tiles.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rivals = written(_rivals(named, sets, percent, tile), "rivals")
+    more = written(_links(rivals, sets, percent, tile, forest=True).select("a", "b"), "links")
+    held = [every, classes, sets, tiles, tried, links, rivals, more]
+    if more.limit(1).count():
+        # what is linked so far is a star of each component
+        held.append(labels)
+        labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more))
     final = classes.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("label"))
     # documents without shingles are not dealt by the null of their key
     thin = every.select("doc_id", "n_shingles", F.col("key").isNotNull().alias("real"), F.coalesce("key", F.xxhash64("doc_id")).alias("key"))

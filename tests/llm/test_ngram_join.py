@@ -131,3 +131,22 @@ def test_odd_rows(spark):
 def test_members_of_classes(spark):
     rows = [(3, "a b c d e f"), (2, "A b c d e f"), (4, ""), (None, "a b c d e f")]
     assert sorted((r.doc_id or 0, r.class_id) for r in N.class_members(docs(spark, rows)).collect() if r.doc_id) == [(2, 2), (3, 2), (4, None)]
+
+
+@pytest.mark.parametrize("cells", [N.CELLS if hasattr(N, "CELLS") else 0, 1500])
+def test_texts_that_share_a_passage_but_do_not_link_give_no_rows_for_each_pair(spark, monkeypatch, cells):
+    monkeypatch.setattr(N, "CELLS", cells, raising=False)
+    made, plain = {}, N.written
+
+    def written(df, name, *rest):
+        out = plain(df, name, *rest)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(N, "written", written)
+    passage = " ".join(f"p{k}" for k in range(60))
+    # 56 of 72 shingles in common, which the bitmaps let pass; the last three texts link
+    rows = [(i, f"{passage} " + " ".join(f"t{min(i, 100)}x{k}" for k in range(7)) + f" t{i}") for i in range(103)]
+    got = {r.doc_id: r.component_id for r in N.jaccard_components(docs(spark, rows)).collect()}
+    assert got == plain_components(rows) and got[102] == 100
+    assert max(made.values()) <= max(made["tiles"], len(rows)), made
