@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.regex import count_matches, has_cjk, java
+from quern.functions.regex import count_matches, has_cjk, java, needs_cjk
 from quern.functions.scalars import sentences
 from quern.operators.detectors import FRAMES_EN, FRAMES_ZH
 from quern.operators.judgement import windows
 from quern.operators.rules import Expr, Match, Some, any_literal, any_of
+from quern.operators.screen import current, literals
 
 
 def _sum(parts) -> Column:
@@ -563,16 +564,24 @@ QUOTE_CUES = (
 CLASSROOM = ("老师让我们|课堂上|课上講|课上讲|课程中|教学中", "课|课堂|课程", "讲|讨论|分析|探讨|案例|情境")
 
 
+def _occurs(text: Column, pattern: str) -> Column:
+    """Whether a pattern occurs as it stands, tried where the screen holds one of its literals or, without a screen, a Han character that it needs."""
+    hit, own = text.rlike(pattern), literals(pattern)
+    if current() and own:
+        return current().some(own) & hit
+    return has_cjk(text) & hit if needs_cjk(pattern) else hit
+
+
 def quotation_confidence(text: Column) -> Column:
     """0 to 1; from 0.45 on a text speaks about what it quotes. Carrier and verb count when they stand at different places."""
-    both = text.rlike(QUOTE_CARRIER) & text.rlike(QUOTE_VERB)
+    both = _occurs(text, QUOTE_CARRIER) & _occurs(text, QUOTE_VERB)
     apart = (F.regexp_instr(text, F.lit(QUOTE_CARRIER)) != F.regexp_instr(text, F.lit(QUOTE_VERB))) | (
         F.regexp_count(text, F.lit(QUOTE_CARRIER)) + F.regexp_count(text, F.lit(QUOTE_VERB)) > 2
     )
     told, course, talk = CLASSROOM
     cues = [F.when(both, F.when(apart, 0.55).otherwise(0.0)).otherwise(0.0)]
-    cues.append(F.when(text.rlike(told) | (text.rlike(course) & text.rlike(talk)), 0.55).otherwise(0.0))
-    cues += [F.when(reduce(lambda a, b: a & b, [text.rlike(p) for p in ps]), w).otherwise(0.0) for w, ps in QUOTE_CUES]
+    cues.append(F.when(_occurs(text, told) | (_occurs(text, course) & _occurs(text, talk)), 0.55).otherwise(0.0))
+    cues += [F.when(reduce(lambda a, b: a & b, [_occurs(text, p) for p in ps]), w).otherwise(0.0) for w, ps in QUOTE_CUES]
     return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(F.least(F.lit(1.0), _sum(cues)))
 
 
@@ -603,7 +612,7 @@ ANY_CUE = (("dehumanization", 0.5), ("code_security", 0.6), ("privacy_boundary",
 
 def teaching(text: Column) -> tuple[dict[str, Column], Column]:
     """(cues, share of the eight)."""
-    cues = {n: F.coalesce(text.rlike(java(p) if r"\b" in p else p), F.lit(False)) for n, p in TEACHING_CUES}
+    cues = {n: F.coalesce(_occurs(text, java(p) if r"\b" in p else p), F.lit(False)) for n, p in TEACHING_CUES}
     cues["config_example"] = cues["config_example"] & F.coalesce(text.rlike("cli_[a-z0-9]+|[xX]{4}"), F.lit(False))
     return cues, _sum(_n(c) for c in cues.values()) / 8
 

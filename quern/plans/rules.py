@@ -572,8 +572,8 @@ SELECT id, scope, quotation, teaching FROM s WHERE scope = 'block' OR quotation
 def scope_and_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope, quotation and teaching material."""
     t = F.col("text")
-    out = texts(spark, sf_dir).select("id", T.scope_action(t).alias("scope"), F.round(T.quotation_confidence(t), 6).alias("quotation"), F.round(T.teaching(t)[1], 6).alias("teaching"))
-    return settled(out).where("scope = 'block' or quotation > 0 or teaching > 0")
+    build = lambda: {"scope": T.scope_action(t), "quotation": F.round(T.quotation_confidence(t), 6), "teaching": F.round(T.teaching(t)[1], 6)}
+    return settled(screened(texts(spark, sf_dir), t, build).drop("text")).where("scope = 'block' or quotation > 0 or teaching > 0")
 
 
 _SURF = {n: " + ".join(f"contains(lower(text), {sql_text(w)})::INT" for w in ws) for n, ws in D.SURFACE}
