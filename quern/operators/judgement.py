@@ -336,33 +336,41 @@ def implicit_needs(text: Column, emotion: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["need"].alias("need"), x["confidence"].alias("confidence")))
 
 
+def _concern(low: Column, words: Column) -> Column:
+    """The part of concern: the words of it that a text holds, and whether more of them, at their first places, are about others than about its writer."""
+
+    def about(w: Column) -> Column:
+        at = F.instr(low, w) - 1
+        start = F.greatest(F.lit(0), at - 5)
+        around = F.substring(low, start + 1, at + F.length(w) + 5 - start)
+        return F.when(around.rlike(ABOUT_OTHERS), 1).when(around.rlike(ABOUT_SELF), -1).otherwise(0)
+
+    more = F.aggregate(words, F.lit(0), lambda n, w: n + about(w))
+    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.least(F.lit(0.8), F.size(words) * 0.3) + F.when(more > 0, 0.2).otherwise(0.0)))
+
+
 def empathy(text: Column, low: Column | None = None) -> Column:
     """(contagion, concern, perspective, distinction, score, level) of a text; ``low``: a column that has it in lower case."""
     low = F.lower(text) if low is None else low
     feelings = holds(low, JOY) + holds(low, GRIEF)
     contagion = F.least(F.lit(1.0), feelings / F.lit(3.0))
-    others = own = F.lit(0)
-    for w in CONCERN:
-        at = F.instr(low, w) - 1
-        start = F.greatest(F.lit(0), at - 5)
-        around = F.substring(low, start + 1, at + len(w) + 5 - start)
-        found = low.contains(F.lit(w))
-        others = others + (found & around.rlike(ABOUT_OTHERS)).cast("int")
-        own = own + (found & ~around.rlike(ABOUT_OTHERS) & around.rlike(ABOUT_SELF)).cast("int")
-    cared = holds(low, CONCERN)
-    concern = F.when(cared == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.least(F.lit(0.8), cared * 0.3) + F.when(others > own, 0.2).otherwise(0.0)))
-    has = {w: low.contains(F.lit(w)) for w in PERSPECTIVE}
-    seen = reduce(lambda a, b: a + b, [F.when(has[w], F.regexp_count(low, F.lit(w))).otherwise(0) for w in PERSPECTIVE])
-    near = reduce(lambda a, b: a | b, [has[w] & F.exists(windows(low, w, 8, len(w) + 8), lambda x: x.rlike(SPECULATIVE)) for w in PERSPECTIVE])
-    guessed = low.rlike(SPECULATIVE) & near
-    perspective = F.when(seen == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.least(F.lit(0.9), seen * 0.25) + F.when(guessed, 0.1).otherwise(0.0)))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+    concern = once(F.filter(F.array(*[F.lit(w) for w in CONCERN]), lambda w: low.contains(w)), lambda words: _concern(low, words))
+    seen = reduce(lambda a, b: a + b, [F.when(low.contains(F.lit(w)), F.regexp_count(low, F.lit(w))).otherwise(0) for w in PERSPECTIVE])
+    # a speculative word is one of PERSPECTIVE itself, so it stands in its own surroundings
+    guessed = low.rlike(SPECULATIVE)
+    perspective = once(seen, lambda n: F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.least(F.lit(0.9), n * 0.25) + F.when(guessed, 0.1).otherwise(0.0))))
     mine, yours, edge = holds(low, SELF_WORDS) > 0, holds(low, OTHER_WORDS) > 0, holds(low, BOUNDARY_WORDS) > 0
     distinction = F.when(mine & yours, 0.5).otherwise(0.0) + F.when(edge, 0.3).otherwise(0.0) + F.when(mine | yours, 0.2).otherwise(0.0)
     parts = {"contagion": contagion, "concern": concern, "perspective": perspective, "distinction": distinction}
-    score = reduce(lambda a, b: a + b, [parts[k] * w for k, w in EMPATHY_WEIGHTS.items()])
-    level = F.when(score >= 0.7 - 1e-9, "high").when(score >= 0.4 - 1e-9, "moderate").when(score > 0, "low").otherwise("none")
+
+    def judged(x: Column) -> Column:
+        score = reduce(lambda a, b: a + b, [x[k] * w for k, w in EMPATHY_WEIGHTS.items()])
+        level = F.when(score >= 0.7 - 1e-9, "high").when(score >= 0.4 - 1e-9, "moderate").when(score > 0, "low").otherwise("none")
+        return F.struct(*[_half_up(x[k]).alias(k) for k in parts], _half_up(score).alias("score"), level.alias("level"))
+
     blank = F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0
-    found = F.struct(*[_half_up(v).alias(k) for k, v in parts.items()], _half_up(score).alias("score"), level.alias("level"))
+    found = once(F.struct(*[v.alias(k) for k, v in parts.items()]), judged)
     none = F.struct(*[F.lit(0.0).alias(k) for k in (*parts, "score")], F.lit("none").alias("level"))
     return F.when(blank, none).otherwise(found)
 
