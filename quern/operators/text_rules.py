@@ -242,32 +242,38 @@ def repetition(text: Column) -> Column:
     """0.62 and up: the same clause three times, or twice with a marker, outside quotations.
 
     The bare text, its plain form and its clauses are arguments of lambdas, so each is made once and not for every clause.
+    Markers and exemptions are looked for where a clause is repeated.
     """
     once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
-    exempt = _any(Match(p, ic).column(text) for ic, ps in REPEAT_EXEMPT for p in ps)
-    plain = lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9一-鿿]", "")
-    long_ = lambda c: F.when(c["c"].rlike("[一-鿿]"), F.regexp_count(c["p"], F.lit("[一-鿿]")) >= 6).otherwise((F.regexp_count(c["c"], F.lit("[a-zA-Z0-9]+")) >= 3) & c["p"].rlike("[a-z]{3,}"))
+    plain = lambda s: F.regexp_replace(F.lower(s), "[^a-z0-9一-鿿]+", "")
+    long_ = lambda c: F.when(c["c"].rlike("[一-鿿]"), F.regexp_count(c["p"], F.lit("[一-鿿]")) >= 6).otherwise(c["c"].rlike("(?<![a-zA-Z0-9])[a-zA-Z0-9]++(?:[^a-zA-Z0-9]++[a-zA-Z0-9]++){2}") & c["p"].rlike("[a-z]{3}"))
 
     def judged(bare: Column) -> Column:
-        marked = _any(Match(p, ic).column(bare) for ic, ps in REPEAT_MARKERS for p in ps)
         clauses = F.transform(F.split(bare, r"[。！？；.!?;\n，,、]+"), lambda c: F.struct(c.alias("c"), plain(c).alias("p")))
-        units = F.array_distinct(F.transform(F.filter(clauses, lambda c: (F.length(c["p"]) >= 6) & long_(c)), lambda c: c["p"]))
-        return F.struct(marked.alias("marked"), plain(bare).alias("whole"), units.alias("units"))
+        return once(clauses, lambda cs: counted(bare, units(cs), F.array_join(F.transform(cs, lambda c: c["p"]), "")))
 
-    def counted(x: Column) -> Column:
+    def units(clauses: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(clauses, lambda c: (F.length(c["p"]) >= 6) & long_(c)), lambda c: c["p"]))
+
+    def counted(bare: Column, units: Column, whole: Column) -> Column:
         # a second place is looked for before places are counted: most clauses have none
-        again = F.filter(x["units"], lambda u: F.call_function("locate", u, x["whole"], F.instr(x["whole"], u) + F.length(u)) > 0)
-        counts = F.transform(again, lambda u: ((F.length(x["whole"]) - F.length(F.replace(x["whole"], u, F.lit("")))) / F.length(u)).cast("int"))
-        return F.struct(x["marked"].alias("marked"), F.coalesce(F.array_max(counts), F.lit(0)).alias("most"))
-
-    def scored(x: Column) -> Column:
-        hit = (x["most"] >= 3) | (x["marked"] & (x["most"] >= 2))
-        score = F.least(F.lit(0.82), 0.62 + F.when(x["marked"], 0.04).otherwise(0.0) + F.greatest(F.lit(0), x["most"] - 3) * 0.03)
-        return F.when(hit, F.floor(score * 100 + 0.5) / 100).otherwise(F.lit(0.0))
-
-    bare = reduce(lambda t, q: F.regexp_replace(t, q, " "), QUOTES, text)
-    found = once(once(once(bare, judged), counted), scored)
-    return F.when((F.coalesce(F.length(text), F.lit(0)) >= 8) & ~exempt, F.coalesce(found, F.lit(0.0))).otherwise(F.lit(0.0))
+        def most(x: Column) -> Column:
+            again = F.filter(x["units"], lambda u: F.call_function("locate", u, x["whole"], F.instr(x["whole"], u) + F.length(u)) > 0)
+            return F.array_max(F.transform(again, lambda u: ((F.length(x["whole"]) - F.length(F.replace(x["whole"], u, F.lit("")))) / F.length(u)).cast("int")))
+
+        return once(once(F.struct(units.alias("units"), whole.alias("whole")), most), lambda n: F.when(n >= 2, scored(bare, n)).otherwise(F.lit(0.0)))
+
+    def scored(bare: Column, most: Column) -> Column:
+        def score(marked: Column) -> Column:
+            value = F.least(F.lit(0.82), 0.62 + F.when(marked, 0.04).otherwise(0.0) + F.greatest(F.lit(0), most - 3) * 0.03)
+            return F.when((most >= 3) | marked, F.floor(value * 100 + 0.5) / 100).otherwise(F.lit(0.0))
+
+        exempt = _any(Match(p, ic).column(text) for ic, ps in REPEAT_EXEMPT for p in ps)
+        return F.when(exempt, F.lit(0.0)).otherwise(once(_any(Match(p, ic).column(bare) for ic, ps in REPEAT_MARKERS for p in ps), score))
+
+    bare = reduce(lambda t, q: once(t, lambda s: F.when(s.contains(q[0]), F.regexp_replace(s, q, " ")).otherwise(s)), QUOTES, text)
+    found = once(bare, judged)
+    return F.when(F.coalesce(F.length(text), F.lit(0)) >= 8, F.coalesce(found, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 # -- completion claims --------------------------------------------------------------------
