@@ -151,11 +151,10 @@ def preference_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIDES = " OR ".join(f"(contains(lower(a.c), '{x}') AND contains(lower(b.c), '{y}')) OR (contains(lower(a.c), '{y}') AND contains(lower(b.c), '{x}'))" for x, y in D.EXCLUSIVE)
 
 
-@query(f"WITH p AS (SELECT c_custkey AS k, c_nationkey AS owner, {_PREF} AS c FROM customer WHERE c_custkey % 11 = 0) SELECT a.owner, a.k AS earlier, b.k AS later FROM p a JOIN p b ON a.owner = b.owner AND a.k < b.k WHERE {_SIDES}")
+@query(f"WITH p AS (SELECT c_custkey AS k, c_nationkey AS owner, {_PREF} AS c FROM customer) SELECT a.owner, a.k AS earlier, b.k AS later FROM p a JOIN p b ON a.owner = b.owner AND a.k < b.k WHERE {_SIDES}")
 def excluding_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preferences of one owner that exclude each other."""
-    some = _preferences(spark, sf_dir).where("k % 11 = 0")
-    return D.excluding_pairs(some, "owner", "k", "content")
+    return D.excluding_pairs(_preferences(spark, sf_dir), "owner", "k", "content")
 
 
 _BELIEFS = ("I always win", "never trust him", "they distrust us", "love is good", "it is bad", "we can", "they cannot")
